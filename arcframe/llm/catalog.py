@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcframe.llm import exact_dedup
+from arcframe.llm import bpe, exact_dedup, token_orc
 from arcframe.llm.common import read_table
 
 
@@ -12,8 +12,25 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file; the folder's package is read where it is installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.token_table(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_orc": op3_token_orc,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES = {
