@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcframe.llm import bpe, exact_dedup, token_orc, toxicity
+from arcframe.llm import bpe, exact_dedup, mixing, sharding, token_orc, toxicity
 from arcframe.llm.common import read_table
 
 
@@ -27,6 +27,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read_table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -35,6 +43,8 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_orc": op3_token_orc,
     "op6_toxicity": op6_toxicity,
+    "op8_mixing": op8_mixing,
+    "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
 }
 
