@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcframe.llm import bpe, exact_dedup, mixing, sharding, token_orc, toxicity
+from arcframe.llm import bpe, exact_dedup, mixing, ngram_join, sharding, token_orc, toxicity
 from arcframe.llm.common import read_table
 
 
@@ -23,6 +23,10 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_table(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_components(read_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_orc": op3_token_orc,
+    "op4_ngram_join": op4_ngram_join,
     "op6_toxicity": op6_toxicity,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,

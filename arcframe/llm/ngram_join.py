@@ -1,0 +1,341 @@
+"""Jaccard self-join on word shingles by vertical partitioning.
+
+1. Sets are reduced to classes: texts with equal shingle sets share a 128-bit digest and
+   are one member from here on, however many copies there are.
+2. One global order holds for all shingles: by how often slices of the input repeat them
+   (summed over the whole input), then by hash. Rare shingles come first.
+3. Two sets with overlap enough share a shingle of their prefixes in that order. Prefixes
+   are dealt by shingle to owners, packed by slice. Owners give candidate pairs of small
+   buckets, and in large buckets pairs with one leader.
+4. The order is cut into fragments. Overlaps of a candidate pair are counted per fragment,
+   apart from each other, and summed per pair: an exact test of the Jaccard bound.
+5. Large buckets: members already in one component need no further pair. Members of other
+   components meet new leaders, and in the end each other.
+
+The result is exact for components: a link that is never tested joins two members that are
+in one component already.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from arcframe.llm import golomb
+from arcframe.llm.common import shuffle_width, written
+from arcframe.llm.components import connected_components
+from arcframe.llm.fragments import slices
+from arcframe.llm.shingles import WORDS, shingle_sets
+
+PERCENT = 75
+FRAGMENTS = 4
+TOKEN_BITS = 48
+#: A slice tells a shingle that so many of its sets hold; the order knows those of this total.
+TOLD, COMMON = 3, 10
+#: Common shingles that the order tells apart at most (16 bytes each); the rest tie.
+ORDER_ROWS = 1 << 18
+#: Buckets up to this size give all their pairs at once.
+SMALL = 8
+#: Prefix entries of one owner in the mean, and members of one part of a very common shingle.
+OWNER_ROWS, PART_ROWS = 1 << 20, 20_000
+#: Sets whose prefixes a task packs together.
+PACK_SETS = 8_000
+LEADER_ROUNDS = 3
+BROADCAST_ROWS = 200_000
+
+FACTS = "kind int, id {kind}, n long, class long, high long"
+SENT = "owner int, n_sets int, body binary"
+FOUND = "kind int, bucket long, a long, b long, na int, nb int"
+
+
+def _digest(tokens: np.ndarray) -> tuple[int, int]:
+    raw = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    low, high = np.frombuffer(raw, "<i8")
+    return int(low), int(high)
+
+
+def _facts(width: int):
+    """(id, text) -> kind 0: id, set size, class; kind 1: a shingle and its sets in a slice (n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for lo, hi in slices(batch.column(1)):
+                sizes, low, high, seen = [], [], [], {}
+                for tokens in shingle_sets(batch.column(1).slice(lo, hi - lo), width):
+                    pair = _digest(tokens)
+                    sizes.append(len(tokens))
+                    low.append(pair[0])
+                    high.append(pair[1])
+                    seen[pair] = tokens
+                values, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
+                told = counts >= TOLD
+                values, counts = values[told].view(np.int64), counts[told]
+                n, m = hi - lo, len(values)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat([0, 1], [n, m]), pa.int32()),
+                        pa.concat_arrays([ids.slice(lo, n), pa.nulls(m, ids.type)]),
+                        pa.array(np.concatenate([sizes, counts]).astype(np.int64)),
+                        pa.array(np.concatenate([np.array(low, np.int64), values])),
+                        pa.array(np.concatenate([np.array(high, np.int64), np.zeros(m, np.int64)])),
+                    ],
+                    names=["kind", "id", "n", "class", "high"],
+                )
+
+    return run
+
+
+class Order:
+    """The global order of shingles: count of common ones (0 for all others), then hash."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        by = np.argsort(tokens)
+        self.tokens, self.counts = tokens[by], counts[by]
+
+    def rank(self, tokens: np.ndarray) -> np.ndarray:
+        if not len(self.tokens) or not len(tokens):
+            return np.zeros(len(tokens), np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == tokens, self.counts[at], 0)
+
+
+def global_order(facts: DataFrame) -> Order:
+    rows = (
+        facts.where("kind = 1")
+        .groupBy("class")
+        .agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= COMMON)
+        .orderBy(F.desc("n"), "class")
+        .limit(ORDER_ROWS)
+        .toPandas()
+    )
+    return Order(rows["class"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
+
+
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    """Shingles of a set of n of which every partner must share one."""
+    return n - -(-n * percent // 100) + 1
+
+
+def _prefixes(order, owners: int, width: int, percent: int):
+    """(text) -> packed prefixes by owner: classes, sizes, tokens and each token's set."""
+    shift = np.uint64(64 - (owners - 1).bit_length()) if owners > 1 else None
+
+    def pack(sets: dict[tuple[int, int], tuple[int, np.ndarray]]):
+        known = order.value
+        classes = np.array([low for low, _ in sets], np.int64)
+        sizes = np.array([n for n, _ in sets.values()], np.int32)
+        tokens = np.concatenate([t for _, t in sets.values()])
+        index = np.repeat(np.arange(len(sets)), [len(t) for _, t in sets.values()])
+        owner = (tokens >> shift).astype(np.int64) if shift is not None else np.zeros(len(tokens), np.int64)
+        parts = known.rank(tokens) // PART_ROWS + 1
+        split = parts > 1
+        owner[split] = (owner[split] + (classes[index[split]] & 0x7FFFFFFF) % parts[split]) % owners
+        by = np.argsort(owner, kind="stable")
+        owner, tokens, index = owner[by], tokens[by], index[by]
+        rows = []
+        cuts = np.flatnonzero(np.diff(owner)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(owner)]):
+            used, local = np.unique(index[lo:hi], return_inverse=True)
+            body = b"".join([classes[used].tobytes(), sizes[used].tobytes(), tokens[lo:hi].tobytes(), local.astype("<u2").tobytes()])
+            rows.append((int(owner[lo]), len(used), body))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["owner", "n_sets", "body"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sets = order.value, {}
+        for batch in batches:
+            for lo, hi in slices(batch.column(0)):
+                for tokens in shingle_sets(batch.column(0).slice(lo, hi - lo), width):
+                    if len(tokens):
+                        first = prefix_length(len(tokens), percent)
+                        by = np.lexsort((tokens, known.rank(tokens)))[:first]
+                        sets.setdefault(_digest(tokens), (len(tokens), tokens[by]))
+                    if len(sets) >= PACK_SETS:
+                        yield pack(sets)
+                        sets = {}
+        if sets:
+            yield pack(sets)
+
+    return run
+
+
+def _buckets(order, percent: int):
+    """Packed prefixes of one owner -> pairs (kind 0) and members of large buckets (kind 1)."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        classes, sizes, tokens = [], [], []
+        for n, body in zip(rows["n_sets"], rows["body"]):
+            m = (len(body) - 12 * n) // 10
+            own = np.frombuffer(body, "<i8", n)
+            own_sizes = np.frombuffer(body, "<i4", n, 8 * n)
+            local = np.frombuffer(body, "<u2", m, 12 * n + 8 * m)
+            tokens.append(np.frombuffer(body, "<u8", m, 12 * n))
+            classes.append(own[local])
+            sizes.append(own_sizes[local])
+        tokens, classes, sizes = map(np.concatenate, (tokens, classes, sizes))
+        by = np.lexsort((classes, tokens))
+        tokens, classes, sizes = tokens[by], classes[by], sizes[by]
+        fresh = np.r_[True, (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])]
+        tokens, classes, sizes = tokens[fresh], classes[fresh], sizes[fresh]
+        begin = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        count = np.diff(np.r_[begin, len(tokens)])
+        split = order.value.rank(tokens[begin]) >= PART_ROWS
+        left, right = [], []
+        for m in range(2, SMALL + 1):
+            at = begin[(count == m) & ~split]
+            for i in range(m):
+                for j in range(i + 1, m):
+                    left.append(at + i)
+                    right.append(at + j)
+        big = (count > SMALL) | split
+        members = np.concatenate([np.arange(b, b + c) for b, c in zip(begin[big], count[big])]) if big.any() else np.zeros(0, np.int64)
+        leader = np.repeat(begin[big], count[big])
+        left.append(leader[leader != members])
+        right.append(members[leader != members])
+        left, right = np.concatenate(left), np.concatenate(right)
+        fits = 100 * np.minimum(sizes[left], sizes[right]).astype(np.int64) >= percent * np.maximum(sizes[left], sizes[right]).astype(np.int64)
+        pairs = pd.DataFrame({"kind": 0, "bucket": 0, "a": classes[left[fits]], "b": classes[right[fits]], "na": sizes[left[fits]], "nb": sizes[right[fits]]})
+        pairs = pairs.drop_duplicates(["a", "b"])
+        groups = pd.DataFrame({"kind": 1, "bucket": tokens[leader].view(np.int64), "a": classes[members], "b": 0, "na": sizes[members], "nb": 0})
+        return pd.concat([pairs, groups], ignore_index=True).astype({"kind": "int32", "bucket": "int64", "b": "int64", "na": "int32", "nb": "int32"})
+
+    return run
+
+
+def _fragments(order, width: int):
+    """(class, text) -> Rice-coded fragments of the set, where the text has that class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = order.value
+        cap = np.uint64(64 - TOKEN_BITS)
+        for batch in batches:
+            wanted = batch.column(0).to_numpy()
+            for lo, hi in slices(batch.column(1)):
+                rows = []
+                for own, tokens in zip(wanted[lo:hi].tolist(), shingle_sets(batch.column(1).slice(lo, hi - lo), width)):
+                    if _digest(tokens)[0] != own:
+                        continue
+                    common = known.rank(tokens) > 0
+                    part = np.where(common, FRAGMENTS - 1, tokens % np.uint64(FRAGMENTS - 1)).astype(np.int64)
+                    for f in range(FRAGMENTS):
+                        short = np.unique(tokens[part == f] >> cap).astype(np.int64)
+                        k = golomb.rice_parameter(1 << TOKEN_BITS, len(short))
+                        rows.append((own, f, len(short), k, golomb.encode(short, k)))
+                if rows:
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["class", "fragment", "size", "k", "body"])
+
+    return run
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial overlap of each (pair, fragment)."""
+    for batch in batches:
+        x = {name: batch.column(name).to_pylist() for name in ("sa", "ka", "ba", "sb", "kb", "bb")}
+        out = []
+        for sa, ka, ba, sb, kb, bb in zip(x["sa"], x["ka"], x["ba"], x["sb"], x["kb"], x["bb"]):
+            out.append(len(np.intersect1d(golomb.decode(ba, sa, ka), golomb.decode(bb, sb, kb), assume_unique=True)))
+        names = ["a", "b", "na", "nb"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(out, pa.int64())], names=[*names, "overlap"])
+
+
+def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that link: partial overlaps per fragment, summed per pair."""
+    every = F.explode(F.array(*[F.lit(i) for i in range(FRAGMENTS)])).alias("fragment")
+    wide = pairs.select("a", "b", "na", "nb", every)
+    left = fragments.select(F.col("class").alias("a"), "fragment", F.col("size").alias("sa"), F.col("k").alias("ka"), F.col("body").alias("ba"))
+    right = fragments.select(F.col("class").alias("b"), "fragment", F.col("size").alias("sb"), F.col("k").alias("kb"), F.col("body").alias("bb"))
+    both = wide.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).where("sa > 0 and sb > 0")
+    partial = both.select("a", "b", "na", "nb", "sa", "ka", "ba", "sb", "kb", "bb").mapInArrow(_overlaps, "a long, b long, na int, nb int, overlap long")
+    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+    return total.where(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("na").cast("long") + F.col("nb") - F.col("overlap"))).select("a", "b")
+
+
+def _links(found: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """Verified links that span the components of all classes."""
+    pairs = found.where("kind = 0").select("a", "b", "na", "nb").distinct()
+    links = written(_verified(pairs, fragments, percent), "links")
+    members = found.where("kind = 1").select("bucket", F.col("a").alias("class"), F.col("na").alias("n"))
+    if members.isEmpty():
+        return links
+    for turn in range(LEADER_ROUNDS + 1):
+        roots = connected_components(links).select(F.col("node").alias("class"), "root")
+        placed = members.join(roots, "class", "left").select("bucket", "class", "n", F.coalesce("root", "class").alias("root"))
+        mixed = placed.groupBy("bucket").agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("class", "n", "root"), F.xxhash64("class", F.lit(turn))).alias("leader")
+        ).where("lo <> hi")
+        open_members = written(placed.join(mixed.select("bucket", "leader"), "bucket"), "open-buckets")
+        if open_members.isEmpty():
+            return links
+        members = open_members.select("bucket", "class", "n")
+        if turn < LEADER_ROUNDS:
+            raw = open_members.where("root <> leader.root").select(F.col("leader.class").alias("x"), F.col("leader.n").alias("nx"), F.col("class").alias("y"), F.col("n").alias("ny"))
+        else:
+            one = open_members.select("bucket", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+            two = open_members.select("bucket", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+            fits = F.lit(100) * F.least("nx", "ny") >= F.lit(percent) * F.greatest("nx", "ny")
+            raw = one.join(two, "bucket").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & fits)
+        swap = F.col("x") > F.col("y")
+        fresh = raw.where(F.lit(100) * F.least("nx", "ny") >= F.lit(percent) * F.greatest("nx", "ny")).select(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb")
+        ).distinct()
+        fresh = fresh.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = written(pairs.unionByName(fresh), "tested")
+        links = written(links.unionByName(_verified(fresh, fragments, percent)), "links")
+    return links
+
+
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WORDS) -> DataFrame:
+    """Per row: id_col, n_shingles, component_id (the smallest id reachable by links).
+
+    A set is the distinct `width`-word shingles of the whole text; texts link when
+    100 * intersection >= percent * union. Null and empty texts have no set and link with
+    nothing. Rows that repeat an id each get a row. A null id is never a component's id
+    unless all of its rows have null ids. An empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    facts = written(texts.mapInArrow(_facts(width), FACTS.format(kind=kind)), "shingle-facts")
+    sets = facts.where("kind = 0 and n > 0")
+    order = spark.sparkContext.broadcast(global_order(facts))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    owners = max(2, shuffle_width(spark), total * (100 - percent) // 100 // OWNER_ROWS)
+    owners = 1 << (owners - 1).bit_length()
+    sent = texts.select("text").mapInArrow(_prefixes(order, owners, width, percent), SENT)
+    found = written(sent.groupBy("owner").applyInPandas(_buckets(order, percent), FOUND), "buckets")
+    ends = found.where("kind = 0").select(F.col("a").alias("class")).unionByName(found.where("kind = 0").select(F.col("b").alias("class")))
+    wanted = ends.unionByName(found.where("kind = 1").select(F.col("a").alias("class"))).distinct()
+    classes = written(
+        sets.groupBy("class").agg(F.min("id").alias("id"), F.min("high").alias("lo"), F.max("high").alias("hi")), "classes"
+    )
+    clash = F.raise_error(F.lit("two different sets share one class number"))
+    classes = classes.select("class", F.when(F.col("lo") == F.col("hi"), F.col("id")).otherwise(clash).alias("id"))
+    involved = written(classes.join(wanted, "class", "left_semi"), "involved")
+    side = F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved
+    chosen = texts.join(side.withColumnRenamed("id", "rep"), F.col("id").eqNullSafe(F.col("rep"))).select("class", "text")
+    fragments = written(
+        chosen.mapInArrow(_fragments(order, width), "class long, fragment int, size int, k int, body binary").dropDuplicates(["class", "fragment"]), "fragments"
+    )
+    roots = connected_components(_links(found, fragments, percent))
+    least = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    names = least.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = least.join(names, "root").select("class", F.lit(1).alias("linked"), "component_id")
+    rows = facts.where("kind = 0").select("id", "n", "class", F.when(F.col("n") > 0, 1).otherwise(0).alias("linked"))
+    return rows.join(named, ["class", "linked"], "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("linked") == 1, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+    )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component stays, the one with the smallest id; columns as they were."""
+    found = near_duplicate_components(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    keep = written(found.select(F.col(id_col).alias("__af_keep")).distinct(), "kept-ids")
+    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__af_keep")), "left_semi")
