@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcframe.llm import bpe, exact_dedup, mixing, ngram_join, sharding, token_orc, toxicity
+from arcframe.llm import bpe, exact_dedup, media, mixing, ngram_join, sharding, token_orc, toxicity
 from arcframe.llm.common import read_table
 
 
@@ -27,6 +27,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_components(read_table(spark, sf_dir, "documents"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_table(read_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_orc": op3_token_orc,
     "op4_ngram_join": op4_ngram_join,
+    "op5_media": op5_media,
     "op6_toxicity": op6_toxicity,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
