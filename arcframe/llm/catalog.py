@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcframe.llm import bpe, exact_dedup, media, mixing, ngram_join, sharding, token_orc, toxicity
+from arcframe.llm import bpe, exact_dedup, media, mixing, ngram_join, sharding, token_orc, toxicity, warc_index
 from arcframe.llm.common import read_table
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_index": op1_warc_index,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_orc": op3_token_orc,
     "op4_ngram_join": op4_ngram_join,
@@ -59,6 +64,13 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc_index": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f""",
     "op2_exact_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS x,
                           sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256

@@ -30,7 +30,7 @@ class Appender:
         if self.stream is None:
             system, path = _open(self.folder)
             system.create_dir(path, recursive=True)
-            self.stream = system.open_output_stream(f"{path}/{self.name}")
+            self.stream = system.open_output_stream(f"{path}/{self.name}", compression=None)
         at = self.size
         self.stream.write(body)
         self.size += len(body)
