@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcframe.llm import bpe, exact_dedup, media, mixing, ngram_join, sharding, token_orc, toxicity, warc_index
+from arcframe.llm import bpe, exact_dedup, media, mixing, ngram_join, repeats, sharding, token_orc, toxicity, warc_index
 from arcframe.llm.common import read_table
 
 
@@ -39,6 +39,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op4_ngram_join": op4_ngram_join,
     "op5_media": op5_media,
     "op6_toxicity": op6_toxicity,
+    "op7_repeats": op7_repeats,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
