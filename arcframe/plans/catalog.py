@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from arcframe.plans import archive, relational, scalar
+
+QUERIES: dict = {**scalar.QUERIES, **relational.QUERIES, **archive.QUERIES}
+ORACLES: dict = {**scalar.ORACLES, **relational.ORACLES, **archive.ORACLES}
