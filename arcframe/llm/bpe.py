@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +13,12 @@ from pyspark.sql import functions as F
 from arcframe.llm.fragments import Memo, forced_cuts, slices, split_rows, token_bytes
 
 
-def _fragment_coder(path: str):
-    """fragment -> (ids as comma-joined decimals, number of ids, bytes the ids decode to)."""
+@cache
+def _fragment_coder(path: str) -> Memo:
+    """fragment -> (ids as comma-joined decimals, number of ids, bytes the ids decode to).
+
+    Kept by a worker between tasks.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)

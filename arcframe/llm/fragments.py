@@ -2,9 +2,10 @@
 
 A merge joins two byte strings into a vocabulary token, so a pair of bytes that occurs
 inside no token is never merged across: a certain cut. Cuts are taken where such a pair
-ends in ASCII white space and does not begin with it. There both tokenizers' word patterns
-also begin a new word whatever stands to the left, so fragments can be encoded one by one
-and their ids concatenated.
+ends in ASCII white space and does not begin with it, or leads from an ASCII letter to
+ASCII punctuation. There both tokenizers' word patterns also begin a new word whatever
+stands to the left, so fragments can be encoded one by one and their ids concatenated.
+Apostrophes (contractions) and the signs of special tokens are left out of the second kind.
 """
 
 from __future__ import annotations
@@ -15,10 +16,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from arcframe.llm.common import mix64
+
 WHITE = b" \t\n\r\x0b\x0c"
+BYTE = mix64(np.arange(20_001, 20_257, dtype=np.uint64))
+PLACE = mix64(np.arange(21_001, 21_257, dtype=np.uint64)) | np.uint64(1)
 #: Bytes of text whose fragments are held at once.
 SLICE_BYTES = 2 << 20
-#: Fragments remembered by a worker; the table is emptied when full.
+LETTERS = bytes([*range(65, 91), *range(97, 123)])
+MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: Fragments in the younger half of a worker's memory.
 MEMO_ROWS = 1 << 18
 
 
@@ -44,22 +51,24 @@ def token_bytes(path: str) -> dict[int, bytes]:
 
 
 def forced_cuts(path: str) -> np.ndarray:
-    """cut[a, b]: the byte pair (a, b) lies in no token, b is white space and a is not."""
+    """cut[a, b]: the byte pair (a, b) lies in no token and begins a word (see above)."""
     inside = np.zeros((256, 256), bool)
     for body in token_bytes(path).values():
         codes = np.frombuffer(body, np.uint8)
         inside[codes[:-1], codes[1:]] = True
     white = np.zeros(256, bool)
     white[list(WHITE)] = True
-    return ~inside & white[None, :] & ~white[:, None]
+    starts = white[None, :] & ~white[:, None]
+    starts[np.ix_(list(LETTERS), list(MARKS))] = True
+    return ~inside & starts
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about SLICE_BYTES of text, one row at least."""
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about size bytes of text, one row at least."""
     offsets = _offsets(column)
     lo, n = 0, len(column)
     while lo < n:
-        hi = int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, "right")) - 1
+        hi = int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1
         hi = min(n, max(lo + 1, hi))
         yield lo, hi
         lo = hi
@@ -84,17 +93,50 @@ def split_rows(column: pa.Array, cut: np.ndarray) -> Iterator[list[bytes]]:
         yield [data[a:b] for a, b in zip([int(lo), *own], [*own, int(hi)])] if hi > lo else []
 
 
+def coded_rows(column: pa.Array, cut: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct fragments, number of each fragment in order, row of each fragment).
+
+    Fragments of a slice are told apart by a 64-bit hash of their bytes, places and length.
+    """
+    offsets = _offsets(column).astype(np.int64)
+    base, end = int(offsets[0]), int(offsets[-1])
+    data = memoryview(column.buffers()[2])[base:end].tobytes() if end > base else b""
+    if not data:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.frombuffer(data, np.uint8)
+    begins = np.zeros(len(codes), bool)
+    begins[1:] = cut[codes[:-1], codes[1:]]
+    rows = offsets - base
+    begins[rows[:-1][rows[:-1] < len(codes)]] = True
+    starts = np.flatnonzero(begins)
+    sizes = np.diff(np.append(starts, len(codes)))
+    place = np.arange(len(codes)) - np.repeat(starts, sizes)
+    with np.errstate(over="ignore"):
+        parts = BYTE[codes] * PLACE[place & 255] * (2 * (place >> 8) + 1).astype(np.uint64)
+        hashes = np.add.reduceat(parts, starts) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    lo, hi = starts[first].tolist(), (starts[first] + sizes[first]).tolist()
+    return [data[a:b] for a, b in zip(lo, hi)], number, np.searchsorted(rows, starts, "right") - 1
+
+
 class Memo(dict):
-    """fragment -> value; a miss calls make()."""
+    """fragment -> value; a miss calls make().
+
+    When MEMO_ROWS are held they become the older half and the half before is forgotten;
+    what is met again moves back to the younger half.
+    """
 
     def __init__(self, make: Callable[[bytes], object]):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, fragment: bytes):
-        value = self.make(fragment)
+        value = self.old.get(fragment)
+        if value is None:
+            value = self.make(fragment)
         if len(fragment) <= 64:
             if len(self) >= MEMO_ROWS:
+                self.old = dict(self)
                 self.clear()
             self[fragment] = value
         return value

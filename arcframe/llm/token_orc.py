@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcframe.llm.common import new_folder, shuffle_width
-from arcframe.llm.fragments import Memo, forced_cuts, slices, split_rows
+from arcframe.llm.fragments import Memo, coded_rows, forced_cuts, slices
 
+#: Bytes of text that a task encodes at once.
+SLICE_BYTES = 4 << 20
 ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
     "orc.stripe.size": str(64 << 20),
@@ -27,6 +30,31 @@ ORC_OPTIONS = {
 }
 
 
+@cache
+def _coder(path: str) -> tuple[Memo, np.ndarray]:
+    """fragment -> ids as little-endian bytes, and the cuts; kept by a worker between tasks."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return Memo(lambda f: np.array(tokenizer.encode(f.decode(), add_special_tokens=False).ids, "<i4").tobytes()), forced_cuts(path)
+
+
+def _encoded(column: pa.Array, memo: Memo, cut: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one behind the other, end_id after each, and the edges of the texts."""
+    distinct, number, row = coded_rows(column, cut)
+    bodies = [memo[f] for f in distinct]
+    flat = np.frombuffer(b"".join(bodies), "<i4")
+    each = np.array([len(b) for b in bodies], np.int64) // 4
+    size = each[number] if len(number) else np.zeros(0, np.int64)
+    begin = (np.cumsum(each) - each)[number] if len(number) else size
+    stop = np.cumsum(size)
+    ids = flat[np.repeat(begin - (stop - size), size) + np.arange(int(size.sum()))]
+    ends = np.cumsum(np.bincount(row, size, len(column)).astype(np.int64))
+    return np.insert(ids, ends, np.int32(end_id)), np.append(0, ends + np.arange(1, len(column) + 1))
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> None:
     """Encodes every whole text, appends end_id and writes ORC files below path.
 
@@ -36,24 +64,23 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer, cut = Tokenizer.from_file(vocabulary), forced_cuts(vocabulary)
-        memo = Memo(lambda f: np.array(tokenizer.encode(f.decode(), add_special_tokens=False).ids, "<i4").tobytes())
-        end, shard, start = np.int32(end_id).tobytes(), TaskContext.get().partitionId(), 0
+        memo, cut = _coder(vocabulary)
+        shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
-                rows = [b"".join([memo[f] for f in row]) + end for row in split_rows(batch.column(1).slice(lo, hi - lo), cut)]
-                sizes = np.array([len(r) for r in rows], np.int64) // 4
-                before = np.cumsum(sizes) - sizes
-                ids = pa.ListArray.from_arrays(
-                    pa.array(np.append(before, sizes.sum()).astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32())
-                )
+            for lo, hi in slices(batch.column(1), SLICE_BYTES):
+                ids, edges = _encoded(batch.column(1).slice(lo, hi - lo), memo, cut, end_id)
+                sizes = np.diff(edges)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.full(len(rows), shard), pa.int32()), pa.array(before + start), pa.array(sizes), ids],
+                    [
+                        batch.column(0).slice(lo, hi - lo),
+                        pa.array(np.full(hi - lo, shard), pa.int32()),
+                        pa.array(edges[:-1] + start),
+                        pa.array(sizes),
+                        pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids)),
+                    ],
                     names=[id_col, "shard", "local_start", "n_tokens", "ids"],
                 )
-                start += int(sizes.sum())
+                start += int(edges[-1])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
