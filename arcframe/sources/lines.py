@@ -48,7 +48,7 @@ def save_splits(df: DataFrame, column: str, path: str, most_lines: int) -> None:
 
 def line_index(df: DataFrame, key: str, column: str, part: str) -> DataFrame:
     """(part, key, count, offset, length): where the lines of each key stand in its sorted part."""
-    sized = df.select(part, key, (F.octet_length(column) + 1).cast("long").alias("n")).groupBy(part, key).agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("length"))
+    sized = df.select(part, key, (F.octet_length(column) + 1).cast("long").alias("__bytes")).groupBy(part, key).agg(F.count(F.lit(1)).alias("count"), F.sum("__bytes").alias("length"))
     w = Window.partitionBy(part).orderBy(key)
     return sized.withColumn("offset", F.sum("length").over(w) - F.col("length"))
 
