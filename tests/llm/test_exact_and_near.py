@@ -1,0 +1,138 @@
+"""Exact duplicates, the Jaccard join, components and Rice coding against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from arcframe.llm import components, exact_dedup, golomb, ngram_join
+
+SPACE = re.compile("[\x20\x09-\x0d]+")
+
+
+@pytest.mark.parametrize("k", [0, 1, 5, 17])
+def test_rice_round_trip(k):
+    rng = random.Random(k)
+    for size in (0, 1, 2, 50):
+        values = np.array(sorted(rng.sample(range(1 << 12 if k < 5 else 1 << 30), size)), np.int64)
+        assert golomb.decode(golomb.encode(values, k), size, k).tolist() == values.tolist()
+
+
+def exact_reference(rows):
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(SPACE.sub("", t or ""), []).append((i, t or ""))
+    out = []
+    for norm, members in groups.items():
+        keep = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))[0]
+        sha = hashlib.sha256(norm.encode()).hexdigest()
+        out += [(i, keep, len(members), i == keep, sha) for i, _ in members]
+    return sorted(out, key=repr)
+
+
+def as_rows(df, *names):
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
+
+
+def test_exact_duplicates(docs):
+    want = exact_reference([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert as_rows(exact_dedup.exact_duplicates(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+
+
+def test_exact_duplicates_meet_in_a_shuffle_beyond_the_broadcast_bound(docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 0)
+    want = exact_reference([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert as_rows(exact_dedup.exact_duplicates(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+
+
+def test_wrong_marks_only_add_suspects(docs):
+    rows = docs.count()
+    marks, _ = exact_dedup._marks(docs, "doc_id", "text")
+    shifted = exact_dedup._suspects(docs.repartition(2), "doc_id", "text", marks, rows, [])
+    groups = exact_dedup._groups(shifted.where("__af_suspect").select("__af_sha", "__af_norm", "__af_text", "__af_id"))
+    want = {k[4] for k in exact_reference([(r["doc_id"], r["text"]) for r in docs.collect()]) if k[2] > 1}
+    assert want <= {r["__af_sha"] for r in groups.where("__af_size > 1").collect()}
+
+
+def test_repeated_rows_leave_one(spark, nothing):
+    df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (2, "ab", "y"), (3, "z", "q")], "doc_id long, text string, __af_n string")
+    assert as_rows(exact_dedup.drop_exact_duplicates(df), "doc_id", "text", "__af_n") == [(1, "a b", "x"), (3, "z", "q")]
+    assert exact_dedup.exact_duplicates(nothing).count() == 0 == exact_dedup.drop_exact_duplicates(nothing).count()
+
+
+def near_reference(rows, percent=75):
+    sets, parent = [], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for _, t in rows:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        w = [x for x in SPACE.split(low) if x]
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=repr)
+
+
+def family(spark, size, seed):
+    """Near copies of one text, in chains, with exact copies between."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(90)]
+    rows = []
+    for i in range(size):
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randint(0, 89)] = f"n{i}"
+        rows.append((i, " ".join(words)))
+        if i % 5 == 0:
+            base[rng.randint(0, 89)] = f"b{i}"
+    return rows + [(1000 + i, rows[i][1]) for i in range(0, size, 4)]
+
+
+def test_near_duplicates(docs):
+    want = near_reference([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert as_rows(ngram_join.near_duplicate_components(docs), "doc_id", "n_shingles", "component_id") == want
+
+
+@pytest.mark.parametrize("small", [8, 1])
+def test_large_buckets_of_near_copies(spark, monkeypatch, small):
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    rows = family(spark, 40, 1) + [(5000 + i, t) for i, t in family(spark, 30, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_rows(ngram_join.near_duplicate_components(df), "doc_id", "n_shingles", "component_id") == near_reference(rows)
+
+
+def test_near_duplicates_of_nothing(nothing):
+    assert ngram_join.near_duplicate_components(nothing).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = family(spark, 20, 3)
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
+    keep = {c for _, _, c in near_reference(rows)}
+    kept = ngram_join.drop_near_duplicates(df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == keep
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (300, 300), (200, 100)]
+    found = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
+    got = dict(found.select("node", "root").collect())
+    assert all(got[i] == 0 for i in range(61)) and all(got[200 + i] == 100 for i in range(30)) and got[300] == 300
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert found.select(F.countDistinct("root")).first()[0] == 3
