@@ -56,5 +56,6 @@ def text_bytes(column) -> Iterator[bytes]:
     """UTF-8 bytes of each value of an Arrow string column; null is empty."""
     import pyarrow as pa
 
-    for value in column.cast(pa.large_binary()).to_pylist():
-        yield value or b""
+    for lo in range(0, len(column), 128):
+        for value in column.slice(lo, 128).cast(pa.large_binary()).to_pylist():
+            yield value or b""

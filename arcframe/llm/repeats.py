@@ -33,7 +33,7 @@ from arcframe.llm.fragments import slices
 
 DEPTH, DIGIT = 200, 100
 #: Bytes of text that a task packs together.
-PACK_BYTES = 8 << 20
+PACK_BYTES = 3 << 20
 #: Texts are cut into stretches of so many windows at most; positions fit into POSITION_BITS.
 STRETCH, POSITION_BITS = 1 << 23, 24
 #: Runs of one anchor within a pack beyond which they go to the last pass directly.
@@ -136,11 +136,10 @@ def _packed(make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, held = {}, 0
         for batch in batches:
-            extra = batch.column(1).to_pylist() if batch.num_columns > 1 else None
             for i, text in enumerate(text_bytes(batch.column(0))):
                 key = _key(text)
                 if key not in items:
-                    items[key] = (text, extra[i] if extra else None)
+                    items[key] = (text, batch.column(1)[i].as_py() if batch.num_columns > 1 else None)
                     held += len(text)
                 if held >= PACK_BYTES:
                     rows = make(items)
@@ -257,7 +256,7 @@ def _last_pass(owners: int):
     """(text, open runs) -> windows by owner of their digits (kind 0) and stretches folded here (kind 1)."""
 
     def make(items: dict[bytes, tuple[bytes, bytes]]) -> list:
-        keys, run_tables, tables, total = list(items), [], [], 0
+        keys, run_tables, tables, routes, total = list(items), [], [], [], 0
         for number, (text, body) in enumerate(items.values()):
             own = np.frombuffer(body, RUN).copy()
             own["text"] = number
@@ -272,6 +271,8 @@ def _last_pass(owners: int):
                 strings = SECOND.strings(SECOND.prefix(data), begin, begin + DEPTH)
                 table["h"] = mix64(strings + mix64(own["h"])[which])
             table["c"] = own["h"][which] & np.uint64(0xFFFFFFFF)
+            # Equal windows have equal anchors at equal distances: a run's windows go to a few owners, not to all.
+            routes.append(mix64(own["h"][which] + ((own["d"][which].astype(np.int64) - offset) >> 5).astype(np.uint64)) % np.uint64(owners))
             table["run"], table["o"] = which + total, offset
             marked = np.zeros(len(own), SPAN)
             marked["a"], marked["text"] = own["i"], number
@@ -279,15 +280,15 @@ def _last_pass(owners: int):
             tables.append(table)
             total += len(own)
         rows = []
-        table, known = np.concatenate(tables), np.concatenate(run_tables)
-        table = table[np.lexsort((table["c"], table["h"]))]
+        table, known, route = np.concatenate(tables), np.concatenate(run_tables), np.concatenate(routes).astype(np.int64)
+        by = np.lexsort((table["c"], table["h"]))
+        table, route = table[by], route[by]
         begin = np.flatnonzero(np.r_[True, (table["h"][1:] != table["h"][:-1]) | (table["c"][1:] != table["c"][:-1])])
         count = np.diff(np.r_[begin, len(table)])
         spans = _matched(table[np.repeat(count > 1, count)], known)
         _pack(rows, _owner_of_texts(keys, spans["text"], owners), spans, keys, 1)
         table["twice"][begin] = count > 1
-        table = table[begin]
-        owner = (table["h"] % np.uint64(owners)).astype(np.int64)
+        table, owner = table[begin], route[begin]
         by = np.argsort(owner, kind="stable")
         owner, table = owner[by], table[by]
         cuts = np.flatnonzero(np.diff(owner)) + 1
@@ -406,7 +407,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = plain.mapInArrow(_keys, f"id {kind}, text string, text_key binary")
     width = shuffle_width(spark)
-    owners = max(2, width)
+    owners = max(2, 2 * width)
     sent = plain.select("text").mapInArrow(_first_pass(owners), SENT)
     found = written(sent.groupBy("owner").applyInPandas(_first_owner, FOUND), "repeats")
     bodies = F.collect_list("body").alias("bodies")
