@@ -4,13 +4,14 @@
    are one member from here on, however many copies there are.
 2. One global order holds for all shingles: by how often slices of the input repeat them
    (summed over the whole input), then by hash. Rare shingles come first.
-3. Two sets with overlap enough share a shingle of their prefixes in that order. Prefixes
-   are dealt by shingle to owners, packed by slice. Owners give candidate pairs of small
-   buckets, and in large buckets pairs with one leader.
+3. Two sets with overlap enough share SHARED shingles of their prefixes in that order.
+   Prefixes are dealt by shingle to owners, packed by slice. Owners count what pairs share
+   in small buckets; counts are summed per pair and pairs with fewer than SHARED dropped.
+   In large buckets every member is paired with one leader.
 4. The order is cut into fragments. Overlaps of a candidate pair are counted per fragment,
    apart from each other, and summed per pair: an exact test of the Jaccard bound.
 5. Large buckets: members already in one component need no further pair. Members of other
-   components meet new leaders, and in the end each other.
+   components meet new leaders, and in the end each other where they share SHARED shingles.
 
 The result is exact for components: a link that is never tested joins two members that are
 in one component already.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcframe.llm import golomb
@@ -40,18 +41,20 @@ TOKEN_BITS = 48
 TOLD, COMMON = 3, 10
 #: Common shingles that the order tells apart at most (16 bytes each); the rest tie.
 ORDER_ROWS = 1 << 18
+#: Shingles that the prefixes of linked sets share at least, unless the sets are smaller.
+SHARED = 3
 #: Buckets up to this size give all their pairs at once.
-SMALL = 8
+SMALL = 24
 #: Prefix entries of one owner in the mean, and members of one part of a very common shingle.
 OWNER_ROWS, PART_ROWS = 1 << 20, 20_000
 #: Sets whose prefixes a task packs together.
 PACK_SETS = 8_000
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 BROADCAST_ROWS = 200_000
 
 FACTS = "kind int, id {kind}, n long, class long, high long"
 SENT = "owner int, n_sets int, body binary"
-FOUND = "kind int, bucket long, a long, b long, na int, nb int"
+FOUND = "kind int, bucket long, a long, b long, na int, nb int, shared int"
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -120,8 +123,8 @@ def global_order(facts: DataFrame) -> Order:
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    """Shingles of a set of n of which every partner must share one."""
-    return n - -(-n * percent // 100) + 1
+    """Shingles of a set of n of which every partner must share SHARED (all, if it is small)."""
+    return min(n, n - -(-n * percent // 100) + SHARED)
 
 
 def _prefixes(order, owners: int, width: int, percent: int):
@@ -199,12 +202,14 @@ def _buckets(order, percent: int):
         leader = np.repeat(begin[big], count[big])
         left.append(leader[leader != members])
         right.append(members[leader != members])
+        met = np.repeat([1, SHARED], [sum(map(len, left[:-1])), len(left[-1])])
         left, right = np.concatenate(left), np.concatenate(right)
         fits = 100 * np.minimum(sizes[left], sizes[right]).astype(np.int64) >= percent * np.maximum(sizes[left], sizes[right]).astype(np.int64)
-        pairs = pd.DataFrame({"kind": 0, "bucket": 0, "a": classes[left[fits]], "b": classes[right[fits]], "na": sizes[left[fits]], "nb": sizes[right[fits]]})
-        pairs = pairs.drop_duplicates(["a", "b"])
-        groups = pd.DataFrame({"kind": 1, "bucket": tokens[leader].view(np.int64), "a": classes[members], "b": 0, "na": sizes[members], "nb": 0})
-        return pd.concat([pairs, groups], ignore_index=True).astype({"kind": "int32", "bucket": "int64", "b": "int64", "na": "int32", "nb": "int32"})
+        pairs = pd.DataFrame({"kind": 0, "bucket": 0, "a": classes[left[fits]], "b": classes[right[fits]], "na": sizes[left[fits]], "nb": sizes[right[fits]], "shared": met[fits]})
+        pairs = pairs.groupby(["kind", "bucket", "a", "b", "na", "nb"], as_index=False)["shared"].sum()
+        groups = pd.DataFrame({"kind": 1, "bucket": tokens[leader].view(np.int64), "a": classes[members], "b": 0, "na": sizes[members], "nb": 0, "shared": 0})
+        kinds = {"kind": "int32", "bucket": "int64", "a": "int64", "b": "int64", "na": "int32", "nb": "int32", "shared": "int32"}
+        return pd.concat([pairs, groups], ignore_index=True).astype(kinds)
 
     return run
 
@@ -242,8 +247,8 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for sa, ka, ba, sb, kb, bb in zip(x["sa"], x["ka"], x["ba"], x["sb"], x["kb"], x["bb"]):
             out.append(len(np.intersect1d(golomb.decode(ba, sa, ka), golomb.decode(bb, sb, kb), assume_unique=True)))
-        names = ["a", "b", "na", "nb"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(out, pa.int64())], names=[*names, "overlap"])
+        names = ["a", "b", "na", "nb", "fragment"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.int64())], names=[*names, "overlap"])
 
 
 def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
@@ -253,27 +258,38 @@ def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame
     left = fragments.select(F.col("class").alias("a"), "fragment", F.col("size").alias("sa"), F.col("k").alias("ka"), F.col("body").alias("ba"))
     right = fragments.select(F.col("class").alias("b"), "fragment", F.col("size").alias("sb"), F.col("k").alias("kb"), F.col("body").alias("bb"))
     both = wide.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).where("sa > 0 and sb > 0")
-    partial = both.select("a", "b", "na", "nb", "sa", "ka", "ba", "sb", "kb", "bb").mapInArrow(_overlaps, "a long, b long, na int, nb int, overlap long")
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+    names = ["a", "b", "na", "nb", "fragment", "sa", "ka", "ba", "sb", "kb", "bb"]
+    partial = both.select(*names).mapInArrow(_overlaps, "a long, b long, na int, nb int, fragment int, overlap long")
+    each = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("overlap").alias("overlap"))
+    total = each.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     return total.where(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("na").cast("long") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
-def _links(found: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """Verified links that span the components of all classes."""
-    pairs = found.where("kind = 0").select("a", "b", "na", "nb").distinct()
+def _least_shared(na: str, nb: str, percent: int) -> Column:
+    """Prefix shingles that linked sets of these sizes share at least."""
+    return F.least(F.lit(SHARED), F.ceil(F.greatest(na, nb) * F.lit(percent) / 100))
+
+
+def _candidates(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share enough of their prefixes, counts summed over all owners."""
+    counts = found.where("kind = 0").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
+    return counts.where(F.col("shared") >= _least_shared("na", "nb", percent)).select("a", "b", "na", "nb")
+
+
+def _roots(pairs: DataFrame, found: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of all classes with links."""
     links = written(_verified(pairs, fragments, percent), "links")
     members = found.where("kind = 1").select("bucket", F.col("a").alias("class"), F.col("na").alias("n"))
-    if members.isEmpty():
-        return links
     for turn in range(LEADER_ROUNDS + 1):
-        roots = connected_components(links).select(F.col("node").alias("class"), "root")
+        found_roots = connected_components(links)
+        roots = found_roots.select(F.col("node").alias("class"), "root")
         placed = members.join(roots, "class", "left").select("bucket", "class", "n", F.coalesce("root", "class").alias("root"))
         mixed = placed.groupBy("bucket").agg(
             F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("class", "n", "root"), F.xxhash64("class", F.lit(turn))).alias("leader")
         ).where("lo <> hi")
         open_members = written(placed.join(mixed.select("bucket", "leader"), "bucket"), "open-buckets")
         if open_members.isEmpty():
-            return links
+            return found_roots
         members = open_members.select("bucket", "class", "n")
         if turn < LEADER_ROUNDS:
             raw = open_members.where("root <> leader.root").select(F.col("leader.class").alias("x"), F.col("leader.n").alias("nx"), F.col("class").alias("y"), F.col("n").alias("ny"))
@@ -281,7 +297,12 @@ def _links(found: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
             one = open_members.select("bucket", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
             two = open_members.select("bucket", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
             fits = F.lit(100) * F.least("nx", "ny") >= F.lit(percent) * F.greatest("nx", "ny")
-            raw = one.join(two, "bucket").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & fits)
+            # Buckets that are not open hold one component each, so open ones count all that two components share.
+            met = one.join(two, "bucket").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & fits)
+            counts = met.groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("large"))
+            little = found.where("kind = 0").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum("shared").alias("small"))
+            both = F.col("large") + F.coalesce("small", F.lit(0))
+            raw = counts.join(little, ["x", "y"], "left").where(both >= _least_shared("nx", "ny", percent)).select("x", "nx", "y", "ny")
         swap = F.col("x") > F.col("y")
         fresh = raw.where(F.lit(100) * F.least("nx", "ny") >= F.lit(percent) * F.greatest("nx", "ny")).select(
             F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb")
@@ -289,7 +310,7 @@ def _links(found: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
         fresh = fresh.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(pairs.unionByName(fresh), "tested")
         links = written(links.unionByName(_verified(fresh, fragments, percent)), "links")
-    return links
+    return connected_components(links)
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WORDS) -> DataFrame:
@@ -311,7 +332,8 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     owners = 1 << (owners - 1).bit_length()
     sent = texts.select("text").mapInArrow(_prefixes(order, owners, width, percent), SENT)
     found = written(sent.groupBy("owner").applyInPandas(_buckets(order, percent), FOUND), "buckets")
-    ends = found.where("kind = 0").select(F.col("a").alias("class")).unionByName(found.where("kind = 0").select(F.col("b").alias("class")))
+    pairs = written(_candidates(found, percent), "candidates")
+    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
     wanted = ends.unionByName(found.where("kind = 1").select(F.col("a").alias("class"))).distinct()
     classes = written(
         sets.groupBy("class").agg(F.min("id").alias("id"), F.min("high").alias("lo"), F.max("high").alias("hi")), "classes"
@@ -321,10 +343,8 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     involved = written(classes.join(wanted, "class", "left_semi"), "involved")
     side = F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved
     chosen = texts.join(side.withColumnRenamed("id", "rep"), F.col("id").eqNullSafe(F.col("rep"))).select("class", "text")
-    fragments = written(
-        chosen.mapInArrow(_fragments(order, width), "class long, fragment int, size int, k int, body binary").dropDuplicates(["class", "fragment"]), "fragments"
-    )
-    roots = connected_components(_links(found, fragments, percent))
+    fragments = written(chosen.mapInArrow(_fragments(order, width), "class long, fragment int, size int, k int, body binary"), "fragments")
+    roots = _roots(pairs, found, fragments, percent)
     least = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = least.groupBy("root").agg(F.min("id").alias("component_id"))
     named = least.join(names, "root").select("class", F.lit(1).alias("linked"), "component_id")
