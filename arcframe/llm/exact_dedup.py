@@ -146,11 +146,12 @@ def _groups(suspects: DataFrame) -> DataFrame:
     verified = (
         suspects.groupBy("__af_sha", "__af_norm", F.char_length("__af_text").alias("__af_points"))
         .agg(F.min("__af_id").alias("__af_first"), F.count(F.lit(1)).alias("__af_n"))
-        .select("__af_sha", F.xxhash64("__af_norm").alias("__af_check"), "__af_points", "__af_first", "__af_n")
+        .select("__af_sha", F.char_length("__af_norm").alias("__af_len"), F.xxhash64("__af_norm").alias("__af_check"), "__af_points", "__af_first", "__af_n")
     )
     group = verified.groupBy("__af_sha").agg(
         F.min_by("__af_first", F.struct(-F.col("__af_points"), F.col("__af_first").isNull(), F.col("__af_first"))).alias("__af_keep"),
         F.sum("__af_n").alias("__af_size"),
+        F.max("__af_len").alias("__af_len"),
         F.min("__af_check").alias("__af_lo"),
         F.max("__af_check").alias("__af_hi"),
     )
@@ -169,9 +170,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marks, rows = _marks(docs, id_col, text_col)
     every = _suspects(docs, id_col, text_col, marks, rows, [])
     groups = _groups(every.where("__af_suspect").select("__af_sha", "__af_norm", "__af_text", "__af_id"))
-    lean = every.select("__af_id", "__af_sha", F.lit(True).alias("__af_row"))
+    # The length is part of the key so that both sides are dealt for this join alone: only then can AQE split a large group.
+    lean = every.select("__af_id", "__af_sha", F.char_length("__af_norm").alias("__af_len"))
     keep = F.when(F.col("__af_size").isNull(), F.col("__af_id")).otherwise(F.col("__af_keep"))
-    return lean.join(groups, "__af_sha", "left").select(
+    return lean.join(groups, ["__af_sha", "__af_len"], "left").select(
         F.col("__af_id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("__af_size", F.lit(1)).cast("long").alias("group_size"),
