@@ -33,13 +33,13 @@ from arcframe.llm.fragments import slices
 
 DEPTH, DIGIT = 200, 100
 #: Bytes of text that a task packs together.
-PACK_BYTES = 3 << 20
+PACK_BYTES = 3 << 19
 #: Texts are cut into stretches of so many windows at most; positions fit into POSITION_BITS.
 STRETCH, POSITION_BITS = 1 << 23, 24
 #: Runs of one anchor within a pack beyond which they go to the last pass directly.
 CROWD = 8
 #: Intervals and open runs up to this size are broadcast to the texts.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 2 << 20
 
 SENT = "owner int, kind int, n_texts int, body binary"
 FOUND = "text_key binary, kind int, body binary"
