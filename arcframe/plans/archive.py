@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arcframe.functions import surt
 from arcframe.operators import attachments, cdx, derive, graph, html
-from arcframe.plans.tables import CAPTURES_SQL, HOST_SQL, SURT_SQL, captures, table
+from arcframe.plans.tables import BASE_TS14, CAPTURES_SQL, HOST_SQL, SURT_SQL, all_captures, captures, table
 
 
 def outlinks(spark, sf):
@@ -92,30 +92,30 @@ def html_css_js(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.size(html.css_embeds(css)).alias("css"), F.size(html.script_urls(js)).alias("js"))
 
 
-def cdx_emit(spark, sf):
-    return cdx.from_captures(captures(spark, sf)).select("surt", "ts14", cdx.line().alias("line"))
+def cdx_emit(spark, sf, rows=captures):
+    return cdx.from_captures(rows(spark, sf)).select("surt", "ts14", cdx.line().alias("line"))
 
 
-def cdx_parse(spark, sf):
-    lines = cdx.from_captures(captures(spark, sf)).select(cdx.line().alias("value"))
+def cdx_parse(spark, sf, rows=captures):
+    lines = cdx.from_captures(rows(spark, sf)).select(cdx.line().alias("value"))
     return cdx.parse(lines).select("surt", "ts14", "url", "mime", "status", "digest", "compressed_size")
 
 
-def cdx_status_mime(spark, sf):
-    return cdx.html_pages(cdx.from_captures(captures(spark, sf))).groupBy("surt").agg(F.count(F.lit(1)).alias("captures"))
+def cdx_status_mime(spark, sf, rows=captures):
+    return cdx.html_pages(cdx.from_captures(rows(spark, sf))).groupBy("surt").agg(F.count(F.lit(1)).alias("captures"))
 
 
-def cdx_latest_capture(spark, sf):
-    return cdx.latest(cdx.from_captures(captures(spark, sf)).select("surt", "ts14", "digest"))
+def cdx_latest_capture(spark, sf, rows=captures):
+    return cdx.latest(cdx.from_captures(rows(spark, sf)).select("surt", "ts14", "digest"))
 
 
-def cdx_digest_dedup(spark, sf):
-    return cdx.first_of_digest(cdx.from_captures(captures(spark, sf)).select("surt", "digest", "ts14", "url")).select("surt", "digest", "ts14")
+def cdx_digest_dedup(spark, sf, rows=captures):
+    return cdx.first_of_digest(cdx.from_captures(rows(spark, sf)).select("surt", "digest", "ts14", "url")).select("surt", "digest", "ts14")
 
 
-def cdx_prefix_scan(spark, sf):
+def cdx_prefix_scan(spark, sf, rows=captures):
     prefixes = spark.createDataFrame([("com,example,",), ("com,example,th",), ("com,example,t",)], "prefix string")
-    return cdx.scan(cdx.from_captures(captures(spark, sf)).select("surt", "ts14"), prefixes).groupBy("surt", "matched").agg(F.count(F.lit(1)).alias("n"))
+    return cdx.scan(cdx.from_captures(rows(spark, sf)).select("surt", "ts14"), prefixes).groupBy("surt", "matched").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lang_blocks(spark, sf):
@@ -153,6 +153,15 @@ def attach_walk(spark, sf):
 
 QUERIES = {f.__name__: f for f in (outlinks, host_graph, outlink_targets, link_nodes, link_adjacency, json_nodes, json_adjacency, html_title, html_tag_counts, html_attr_values, html_comments_removed, html_scripts_removed, html_body_text, html_tag_stream, html_embeds, html_css_js, cdx_emit, cdx_parse, cdx_status_mime, cdx_latest_capture, cdx_digest_dedup, cdx_prefix_scan, lang_blocks, entity_sets, pipe_upper, attach_zip, attach_walk)}
 
+
+def _over_all_pages(query):
+    return lambda spark, sf: query(spark, sf, all_captures)
+
+
+#: The CDX queries once more, over captures of all pages.
+ALL_PAGES = {f"{f.__name__}_all_pages": f for f in (cdx_emit, cdx_parse, cdx_status_mime, cdx_latest_capture, cdx_digest_dedup, cdx_prefix_scan)}
+QUERIES |= {name: _over_all_pages(f) for name, f in ALL_PAGES.items()}
+
 _LINKS = r"""l AS (SELECT url, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || href AS target
     FROM (SELECT url, unnest(regexp_extract_all(html, '<a\s[^>]*href *= *[''"]([^''"]*)[''"]', 1)) AS href FROM pages) WHERE href LIKE '/%' AND href NOT LIKE '//%')"""
 _DST = SURT_SQL.replace("url", "target")
@@ -170,6 +179,12 @@ _BASE32 = """list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGH
     1 + ((('0x' || substr(sha1(html), 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), lambda a, b: a || b)"""
 _CDX = f"""WITH {CAPTURES_SQL}, k AS (SELECT url AS u, {SURT_SQL} AS surt, {_BASE32} AS digest, strlen(html) AS compressed_size FROM pages),
     cdx AS (SELECT surt, ts14, url, mime, status, digest, compressed_size FROM captures JOIN k ON k.u = url)"""
+_CDX_ALL_PAGES = f"""WITH k AS (SELECT url, {SURT_SQL} AS surt, {_BASE32} AS digest, strlen(html) AS compressed_size,
+           row_number() OVER (ORDER BY page_id) - 1 AS number, count(*) OVER () AS pages FROM pages),
+    cdx AS (SELECT surt, '{BASE_TS14}' AS ts14, url, 'text/html' AS mime, 200 AS status, digest, compressed_size FROM k UNION ALL
+            SELECT surt, strftime(e.ts, '%Y%m%d%H%M%S'), url, CASE WHEN e.event_type = 'click' THEN 'text/plain' ELSE 'text/html' END,
+                   CASE WHEN e.event_type = 'error' THEN 404 ELSE 200 END, digest, compressed_size
+            FROM events e JOIN k ON e.user_id % k.pages = k.number)"""
 _SIDE = """s AS (SELECT source AS file, doc_id AS line_no, sha1(text) AS checksum, toxic || '/' || quality AS content FROM documents LEFT JOIN labels USING (doc_id))"""
 ORACLES = {
     "outlinks": f"WITH {_LINKS} SELECT url, target FROM l",
@@ -195,3 +210,4 @@ ORACLES = {
     "attach_zip": f"""WITH {_SIDE} SELECT file, line_no, checksum, CASE WHEN line_no % 10 <> 3 THEN content END AS content,
         CASE WHEN content IS NULL THEN 'Unavailable' WHEN line_no % 10 = 3 THEN 'ChecksumMismatch' ELSE 'Available' END AS status FROM s""",
 }
+ORACLES |= {name: ORACLES[f.__name__].replace(_CDX, _CDX_ALL_PAGES) for name, f in ALL_PAGES.items()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcframe.operators import layout
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,7 +21,24 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.join(pages, "page_id").select("event_id", "url", "ts14", mime.alias("mime"), status.alias("status"), "body")
 
 
-#: The same rows in SQL.
+def all_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """captures() over all pages: one base capture of every page, and every event on the page its user id falls on.
+
+    Pages are numbered in the order of page_id, so ids with gaps lose no event.
+    """
+    pages = layout.dense_ids(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body")), ["page_id"], "__index")
+    count = pages.count()
+    base = pages.select(F.lit(None).cast("long").alias("event_id"), "url", F.lit(BASE_TS14).alias("ts14"), F.lit("text/html").alias("mime"), F.lit(200).alias("status"), "body")
+    events = table(spark, sf_dir, "events").withColumn("__index", F.pmod("user_id", F.lit(count))).withColumn("ts14", F.date_format("ts", "yyyyMMddHHmmss"))
+    status = F.when(F.col("event_type") == "error", 404).otherwise(200)
+    mime = F.when(F.col("event_type") == "click", "text/plain").otherwise("text/html")
+    return base.unionByName(events.join(pages, "__index").select("event_id", "url", "ts14", mime.alias("mime"), status.alias("status"), "body"))
+
+
+#: Time of the base capture of every page.
+BASE_TS14 = "20240101000000"
+
+#: The rows of captures() in SQL.
 CAPTURES_SQL = """
     captures AS (
         SELECT e.event_id, p.url, strftime(e.ts, '%Y%m%d%H%M%S') AS ts14,

@@ -141,3 +141,17 @@ def test_plans_have_no_cross_join_and_push_filters(spark):
     assert "CartesianProduct" not in plan
     scan = joins.key_from(spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_name"), "p_name", "m")._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(p_name,m)" in scan and "ReadSchema: struct<p_partkey:bigint,p_name:string>" in scan
+
+
+def test_captures_reach_every_page(spark):
+    from support import SF
+
+    from arcframe.plans import catalog, tables
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    events = spark.read.parquet(f"{SF}/events.parquet").count()
+    found = tables.all_captures(spark, SF)
+    assert found.count() == pages.count() + events
+    assert found.select("url").distinct().count() == pages.select("url").distinct().count()
+    lines = catalog.QUERIES["cdx_emit_all_pages"](spark, SF)
+    assert lines.count() == pages.count() + events
