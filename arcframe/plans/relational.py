@@ -193,7 +193,27 @@ def repartitioned_uniform(spark, sf):
     return rows.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (run_groups, adjacent_distinct, first_of_sorted, zip_next, zip_index, take_until, drop_until, reduce_by_key, distinct_minus, combine_maps, topk_map, group_total, cogroup_orders_lineitem, exists_flag, lookup_left, subtract_keys, subtract_values, merge_sorted, prefix_match, prefix_shortest, prefix_filter, key_from, key_before, drop_keys, adjacent_asof, index_candidates, pointer_islands, budget_bins, budget_lanes, uniform_partitions, equal_partitions, chunks_by_lines, chunks_by_groups, sort_range_within, hash_sort_within, dense_ids, rows_sample, repartitioned_uniform)}
+def distinct_minus_whole(spark, sf):
+    return groups.distinct_minus(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"))
+
+
+def cogroup_orders_lineitem_whole(spark, sf):
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    both = joins.cogroup({"customers": (orders, "o_orderkey", F.col("o_custkey")), "parts": (lines, "l_orderkey", F.col("l_partkey"))})
+    return both.select("key", F.array_join("customers", ",").alias("customers"), F.array_join("parts", ",").alias("parts"))
+
+
+def adjacent_asof_whole(spark, sf):
+    return joins.adjacent(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", table(spark, sf, "customer"), "c_custkey")
+
+
+def index_candidates_whole(spark, sf):
+    index = table(spark, sf, "pages").select((F.col("page_id") % 2).alias("file"), F.col("url").alias("key"))
+    prefixes = spark.createDataFrame([("http://www.",), ("https://t",), ("http://t",)], "prefix string")
+    return joins.index_candidates(index, "key", "file", prefixes, "prefix")
+
+
+QUERIES = {f.__name__: f for f in (run_groups, adjacent_distinct, first_of_sorted, zip_next, zip_index, take_until, drop_until, reduce_by_key, distinct_minus, combine_maps, topk_map, group_total, cogroup_orders_lineitem, exists_flag, lookup_left, subtract_keys, subtract_values, merge_sorted, prefix_match, prefix_shortest, prefix_filter, key_from, key_before, drop_keys, adjacent_asof, index_candidates, pointer_islands, budget_bins, budget_lanes, uniform_partitions, equal_partitions, chunks_by_lines, chunks_by_groups, sort_range_within, hash_sort_within, dense_ids, rows_sample, repartitioned_uniform, distinct_minus_whole, cogroup_orders_lineitem_whole, adjacent_asof_whole, index_candidates_whole)}
 
 _W = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
 _PREFIXES = """p AS (SELECT DISTINCT prefix FROM (SELECT unnest([left(p_type, 5), left(p_type, 8), array_to_string(string_split(p_type, ' ')[1:2], ' ')]) AS prefix FROM part)
@@ -256,4 +276,16 @@ ORACLES = {
     "hash_sort_within": "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_suppkey",
     "dense_ids": "SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment DESC, c_custkey) - 1 AS id FROM customer",
     "repartitioned_uniform": "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey",
+    "distinct_minus_whole": "SELECT DISTINCT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
+    "cogroup_orders_lineitem_whole": """
+        WITH o AS (SELECT o_orderkey AS key, string_agg(o_custkey, ',' ORDER BY o_custkey) AS customers FROM orders GROUP BY 1),
+             l AS (SELECT l_orderkey AS key, string_agg(l_partkey, ',' ORDER BY l_partkey) AS parts FROM lineitem GROUP BY 1)
+        SELECT key, coalesce(customers, '') AS customers, coalesce(parts, '') AS parts FROM o FULL JOIN l USING (key)""",
+    "adjacent_asof_whole": """
+        WITH o AS (SELECT o_orderkey, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM orders)
+        SELECT o_orderkey FROM o WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey >= o_orderkey AND (nxt IS NULL OR c_custkey < nxt))""",
+    "index_candidates_whole": """
+        WITH i AS (SELECT page_id % 2 AS file, url AS key, lead(url) OVER (PARTITION BY page_id % 2 ORDER BY url) AS nxt FROM pages)
+        SELECT file, key, p AS prefix FROM i JOIN (VALUES ('http://www.'), ('https://t'), ('http://t')) t(p)
+        ON (key <= p OR starts_with(key, p)) AND (nxt IS NULL OR nxt >= p)""",
 }

@@ -155,3 +155,13 @@ def test_captures_reach_every_page(spark):
     assert found.select("url").distinct().count() == pages.select("url").distinct().count()
     lines = catalog.QUERIES["cdx_emit_all_pages"](spark, SF)
     assert lines.count() == pages.count() + events
+
+
+def test_whole_table_queries_read_every_key(spark):
+    from support import SF
+
+    from arcframe.plans import catalog
+
+    orders, lines = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("orders", "lineitem"))
+    keys = orders.select(F.col("o_orderkey").alias("key")).union(lines.select("l_orderkey")).distinct().count()
+    assert catalog.QUERIES["cogroup_orders_lineitem_whole"](spark, SF).count() == keys
