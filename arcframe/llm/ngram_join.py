@@ -6,15 +6,14 @@
    (summed over the whole input), then by hash. Rare shingles come first.
 3. Two sets with overlap enough share SHARED shingles of their prefixes in that order.
    Prefixes are dealt by shingle to owners, packed by slice. Owners count what pairs share
-   in small buckets; counts are summed per pair and pairs with fewer than SHARED dropped.
-   In large buckets every member is paired with one leader.
-4. The order is cut into fragments. Overlaps of a candidate pair are counted per fragment,
-   apart from each other, and summed per pair: an exact test of the Jaccard bound.
-5. Large buckets: members already in one component need no further pair. Members of other
-   components meet new leaders, and in the end each other where they share SHARED shingles.
-
-The result is exact for components: a link that is never tested joins two members that are
-in one component already.
+   in small buckets. Large buckets are dealt in salted blocks, and all members of two blocks
+   meet. Counts are summed per pair; pairs with fewer than SHARED are dropped.
+4. Candidates are checked in fragments: one of all common shingles, the others by hash.
+   Overlaps of a pair are counted per fragment, apart from each other, and summed per pair:
+   an exact test of the Jaccard bound.
+
+Every link between two classes is found and verified, also where both are in one component
+already; components are derived from the links.
 """
 
 from __future__ import annotations
@@ -43,13 +42,12 @@ TOLD, COMMON = 3, 10
 ORDER_ROWS = 1 << 18
 #: Shingles that the prefixes of linked sets share at least, unless the sets are smaller.
 SHARED = 3
-#: Buckets up to this size give all their pairs at once.
-SMALL = 24
+#: Buckets up to this size give all their pairs at their owner, larger ones in blocks of BLOCK_ROWS members.
+SMALL, BLOCK_ROWS = 24, 1_000
 #: Prefix entries of one owner in the mean, and members of one part of a very common shingle.
 OWNER_ROWS, PART_ROWS = 1 << 20, 20_000
 #: Sets whose prefixes a task packs together.
 PACK_SETS = 8_000
-LEADER_ROUNDS = 2
 BROADCAST_ROWS = 200_000
 
 FACTS = "kind int, id {kind}, n long, class long, high long"
@@ -199,15 +197,13 @@ def _buckets(order, percent: int):
                     right.append(at + j)
         big = (count > SMALL) | split
         members = np.concatenate([np.arange(b, b + c) for b, c in zip(begin[big], count[big])]) if big.any() else np.zeros(0, np.int64)
-        leader = np.repeat(begin[big], count[big])
-        left.append(leader[leader != members])
-        right.append(members[leader != members])
-        met = np.repeat([1, SHARED], [sum(map(len, left[:-1])), len(left[-1])])
-        left, right = np.concatenate(left), np.concatenate(right)
+        bucket = np.repeat(tokens[begin[big]], count[big])
+        none = np.zeros(0, np.int64)
+        left, right = np.concatenate([none, *left]), np.concatenate([none, *right])
         fits = 100 * np.minimum(sizes[left], sizes[right]).astype(np.int64) >= percent * np.maximum(sizes[left], sizes[right]).astype(np.int64)
-        pairs = pd.DataFrame({"kind": 0, "bucket": 0, "a": classes[left[fits]], "b": classes[right[fits]], "na": sizes[left[fits]], "nb": sizes[right[fits]], "shared": met[fits]})
+        pairs = pd.DataFrame({"kind": 0, "bucket": 0, "a": classes[left[fits]], "b": classes[right[fits]], "na": sizes[left[fits]], "nb": sizes[right[fits]], "shared": 1})
         pairs = pairs.groupby(["kind", "bucket", "a", "b", "na", "nb"], as_index=False)["shared"].sum()
-        groups = pd.DataFrame({"kind": 1, "bucket": tokens[leader].view(np.int64), "a": classes[members], "b": 0, "na": sizes[members], "nb": 0, "shared": 0})
+        groups = pd.DataFrame({"kind": 1, "bucket": bucket.view(np.int64), "a": classes[members], "b": 0, "na": sizes[members], "nb": 0, "shared": 0})
         kinds = {"kind": "int32", "bucket": "int64", "a": "int64", "b": "int64", "na": "int32", "nb": "int32", "shared": "int32"}
         return pd.concat([pairs, groups], ignore_index=True).astype(kinds)
 
@@ -252,7 +248,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that link: partial overlaps per fragment, summed per pair."""
+    """The pairs (a, b, na, nb, overlap) that link: partial overlaps per fragment, summed per pair."""
     every = F.explode(F.array(*[F.lit(i) for i in range(FRAGMENTS)])).alias("fragment")
     wide = pairs.select("a", "b", "na", "nb", every)
     left = fragments.select(F.col("class").alias("a"), "fragment", F.col("size").alias("sa"), F.col("k").alias("ka"), F.col("body").alias("ba"))
@@ -262,7 +258,7 @@ def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame
     partial = both.select(*names).mapInArrow(_overlaps, "a long, b long, na int, nb int, fragment int, overlap long")
     each = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("overlap").alias("overlap"))
     total = each.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    return total.where(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("na").cast("long") + F.col("nb") - F.col("overlap"))).select("a", "b")
+    return total.where(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("na").cast("long") + F.col("nb") - F.col("overlap")))
 
 
 def _least_shared(na: str, nb: str, percent: int) -> Column:
@@ -270,57 +266,31 @@ def _least_shared(na: str, nb: str, percent: int) -> Column:
     return F.least(F.lit(SHARED), F.ceil(F.greatest(na, nb) * F.lit(percent) / 100))
 
 
-def _candidates(found: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share enough of their prefixes, counts summed over all owners."""
-    counts = found.where("kind = 0").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
-    return counts.where(F.col("shared") >= _least_shared("na", "nb", percent)).select("a", "b", "na", "nb")
+def _large_pairs(found: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, shared) of all pairs in large buckets whose sizes allow a link, a row per bucket.
 
-
-def _roots(pairs: DataFrame, found: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of all classes with links."""
-    links = written(_verified(pairs, fragments, percent), "links")
+    Members are dealt to blocks of about BLOCK_ROWS; each pair of blocks is a group of its own.
+    """
     members = found.where("kind = 1").select("bucket", F.col("a").alias("class"), F.col("na").alias("n"))
-    for turn in range(LEADER_ROUNDS + 1):
-        found_roots = connected_components(links)
-        roots = found_roots.select(F.col("node").alias("class"), "root")
-        placed = members.join(roots, "class", "left").select("bucket", "class", "n", F.coalesce("root", "class").alias("root"))
-        mixed = placed.groupBy("bucket").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("class", "n", "root"), F.xxhash64("class", F.lit(turn))).alias("leader")
-        ).where("lo <> hi")
-        open_members = written(placed.join(mixed.select("bucket", "leader"), "bucket"), "open-buckets")
-        if open_members.isEmpty():
-            return found_roots
-        members = open_members.select("bucket", "class", "n")
-        if turn < LEADER_ROUNDS:
-            raw = open_members.where("root <> leader.root").select(F.col("leader.class").alias("x"), F.col("leader.n").alias("nx"), F.col("class").alias("y"), F.col("n").alias("ny"))
-        else:
-            one = open_members.select("bucket", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-            two = open_members.select("bucket", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-            fits = F.lit(100) * F.least("nx", "ny") >= F.lit(percent) * F.greatest("nx", "ny")
-            # Buckets that are not open hold one component each, so open ones count all that two components share.
-            met = one.join(two, "bucket").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & fits)
-            counts = met.groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("large"))
-            little = found.where("kind = 0").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum("shared").alias("small"))
-            both = F.col("large") + F.coalesce("small", F.lit(0))
-            raw = counts.join(little, ["x", "y"], "left").where(both >= _least_shared("nx", "ny", percent)).select("x", "nx", "y", "ny")
-        swap = F.col("x") > F.col("y")
-        fresh = raw.where(F.lit(100) * F.least("nx", "ny") >= F.lit(percent) * F.greatest("nx", "ny")).select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb")
-        ).distinct()
-        fresh = fresh.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = written(pairs.unionByName(fresh), "tested")
-        links = written(links.unionByName(_verified(fresh, fragments, percent)), "links")
-    return connected_components(links)
+    blocks = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("class", "bucket"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = dealt.select("bucket", F.col("own").alias("p"), every.alias("q"), F.col("class").alias("a"), F.col("n").alias("na"))
+    two = dealt.select("bucket", every.alias("p"), F.col("own").alias("q"), F.col("class").alias("b"), F.col("n").alias("nb"))
+    fits = F.lit(100) * F.least("na", "nb").cast("long") >= F.lit(percent) * F.greatest("na", "nb").cast("long")
+    return one.join(two, ["bucket", "p", "q"]).where((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb", F.lit(1).alias("shared"))
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WORDS) -> DataFrame:
-    """Per row: id_col, n_shingles, component_id (the smallest id reachable by links).
+def _candidates(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share enough of their prefixes, counts summed over all owners and large buckets."""
+    small = found.where("kind = 0").select("a", "b", "na", "nb", "shared")
+    met = small.unionByName(_large_pairs(found, percent))
+    counts = met.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
+    return counts.where(F.col("shared") >= _least_shared("na", "nb", percent)).select("a", "b", "na", "nb")
 
-    A set is the distinct `width`-word shingles of the whole text; texts link when
-    100 * intersection >= percent * union. Null and empty texts have no set and link with
-    nothing. Rows that repeat an id each get a row. A null id is never a component's id
-    unless all of its rows have null ids. An empty table gives an empty result.
-    """
+
+def _join(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts of all rows, id of each class, links between classes)."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -333,8 +303,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     sent = texts.select("text").mapInArrow(_prefixes(order, owners, width, percent), SENT)
     found = written(sent.groupBy("owner").applyInPandas(_buckets(order, percent), FOUND), "buckets")
     pairs = written(_candidates(found, percent), "candidates")
-    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
-    wanted = ends.unionByName(found.where("kind = 1").select(F.col("a").alias("class"))).distinct()
+    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     classes = written(
         sets.groupBy("class").agg(F.min("id").alias("id"), F.min("high").alias("lo"), F.max("high").alias("hi")), "classes"
     )
@@ -344,7 +313,33 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     side = F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved
     chosen = texts.join(side.withColumnRenamed("id", "rep"), F.col("id").eqNullSafe(F.col("rep"))).select("class", "text")
     fragments = written(chosen.mapInArrow(_fragments(order, width), "class long, fragment int, size int, k int, body binary"), "fragments")
-    roots = _roots(pairs, found, fragments, percent)
+    return facts, classes, written(_verified(pairs, fragments, percent), "links")
+
+
+def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WORDS) -> DataFrame:
+    """Every verified pair of classes: id_a, id_b, n_a, n_b, overlap.
+
+    A class is all texts with one set of shingles and goes by its smallest id; equal sets
+    are not paired with each other. Sizes and overlap are numbers of shingles, and a pair
+    occurs once, with id_a <= id_b.
+    """
+    _, classes, links = _join(docs, id_col, text_col, percent, width)
+    named = links.join(classes.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(classes.select(F.col("class").alias("b"), F.col("id").alias("y")), "b")
+    swap = F.col("x") > F.col("y")
+    turned = lambda one, two: F.when(swap, F.col(two)).otherwise(F.col(one))
+    return named.select(turned("x", "y").alias("id_a"), turned("y", "x").alias("id_b"), turned("na", "nb").alias("n_a"), turned("nb", "na").alias("n_b"), "overlap")
+
+
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WORDS) -> DataFrame:
+    """Per row: id_col, n_shingles, component_id (the smallest id reachable by links).
+
+    A set is the distinct `width`-word shingles of the whole text; texts link when
+    100 * intersection >= percent * union. Null and empty texts have no set and link with
+    nothing. Rows that repeat an id each get a row. A null id is never a component's id
+    unless all of its rows have null ids. An empty table gives an empty result.
+    """
+    facts, classes, links = _join(docs, id_col, text_col, percent, width)
+    roots = connected_components(links.select("a", "b"))
     least = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = least.groupBy("root").agg(F.min("id").alias("component_id"))
     named = least.join(names, "root").select("class", F.lit(1).alias("linked"), "component_id")

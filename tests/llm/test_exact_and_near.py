@@ -136,3 +136,33 @@ def test_components_of_chains_stars_and_loops(spark):
     assert all(got[i] == 0 for i in range(61)) and all(got[200 + i] == 100 for i in range(30)) and got[300] == 300
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert found.select(F.countDistinct("root")).first()[0] == 3
+
+
+def pair_reference(rows, percent=75):
+    """All links between different sets, by the smallest id of each."""
+    least = {}
+    for i, t in rows:
+        w = [x for x in SPACE.split(t.lower()) if x]
+        own = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        least[own] = min(i, least.get(own, i))
+    every = sorted(least.items(), key=lambda x: x[1])
+    out = []
+    for k, (x, i) in enumerate(every):
+        for y, j in every[k + 1 :]:
+            if 100 * len(x & y) >= percent * len(x | y):
+                out.append((i, j, len(x), len(y), len(x & y)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("small,block", [(24, 1000), (8, 7), (1, 3)])
+def test_every_link_of_a_large_family_is_verified(spark, monkeypatch, small, block):
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(90)]
+    rows = [(i, " ".join([*base[: 2 * i], f"n{i}", *base[2 * i + 1 :]])) for i in range(40)]
+    rows += [(500 + i, rows[i][1]) for i in range(0, 40, 4)] + [(900 + i, t) for i, t in family(spark, 30, 2)]
+    want = pair_reference(rows)
+    assert len(want) > 780
+    found = ngram_join.near_duplicate_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert as_rows(found, "id_a", "id_b", "n_a", "n_b", "overlap") == want
