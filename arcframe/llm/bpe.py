@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from arcframe.llm.fragments import Memo, forced_cuts, slices, split_rows, token_
 
 @cache
 def _fragment_coder(path: str) -> Memo:
-    """fragment -> (ids as comma-joined decimals, number of ids, bytes the ids decode to).
+    """fragment -> (ids as 32-bit integers, bytes the ids decode to).
 
     Kept by a worker between tasks.
     """
@@ -26,9 +26,9 @@ def _fragment_coder(path: str) -> Memo:
     tokenizer.no_padding()
     bodies = token_bytes(path)
 
-    def make(fragment: bytes) -> tuple[str, int, bytes]:
+    def make(fragment: bytes) -> tuple[bytes, bytes]:
         ids = tokenizer.encode(fragment.decode(), add_special_tokens=False).ids
-        return ",".join(map(str, ids)), len(ids), b"".join([bodies[i] for i in ids])
+        return np.array(ids, np.int32).tobytes(), b"".join([bodies[i] for i in ids])
 
     return Memo(make)
 
@@ -71,8 +71,8 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataF
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, n_tokens, ids_sha256 (of the comma-joined ids), decoded_sha256.
+def coded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id_col, ids array<int>, text (decoded from these ids).
 
     Encodes and decodes each whole text in one pass over the table, without a shuffle; a
     worker holds the fragments of about 2 MB of text at a time. A null text is encoded
@@ -82,20 +82,28 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, cut = _fragment_coder(vocabulary), forced_cuts(vocabulary)
         for batch in batches:
-            counts, id_digests, text_digests = [], [], []
             for lo, hi in slices(batch.column(1)):
-                for row in split_rows(_texts(batch.column(1).slice(lo, hi - lo)), cut):
-                    coded = [memo[f] for f in row]
-                    ids, sizes, bodies = zip(*coded) if coded else ((), (), ())
-                    counts.append(sum(sizes))
-                    id_digests.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-                    body = b"".join(bodies).decode("utf-8", "replace")
-                    text_digests.append(hashlib.sha256(body.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                part = batch.slice(lo, hi - lo)
+                sizes, ids, texts = [], [], []
+                for row in split_rows(_texts(part.column(1)), cut):
+                    found = [memo[f] for f in row]
+                    sizes.append(sum(len(f) // 4 for f, _ in found))
+                    ids.append(b"".join([f for f, _ in found]))
+                    texts.append(b"".join([body for _, body in found]).decode("utf-8", "replace"))
+                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, text string")
+
+
+def digests(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Figures of coded() rows: id_col, n_tokens, ids_sha256 (of the comma-joined ids), decoded_sha256."""
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return tokens.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Digests of the ids and the decoded text of each row."""
+    return digests(coded(docs, vocabulary, id_col, text_col), id_col)

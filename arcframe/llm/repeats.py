@@ -363,20 +363,23 @@ def removed(spans: list[bytes], size: int) -> list[tuple[int, int]]:
 
 
 def _outcome(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, spans or null, copies) -> the result of each row."""
+    """(id, text, spans or null, copies) -> the removed spans and the kept bytes of each row."""
+    span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
     for batch in batches:
-        rows = []
-        for text, spans, copies in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if copies > 1 and len(text) >= DEPTH:
-                cuts = [(0, len(text))]
-            else:
-                cuts = removed(spans, len(text)) if spans else []
-            ends = [0, *(e for _, e in cuts)]
-            kept = b"".join([text[a:b] for a, b in zip(ends, [*(a for a, _ in cuts), len(text)])])
-            rows.append((len(text), len(text) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        for lo, hi in slices(batch.column(1)):
+            part = batch.slice(lo, hi - lo)
+            sizes, every, bodies = [], [], []
+            for text, spans, copies in zip(text_bytes(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                if copies > 1 and len(text) >= DEPTH:
+                    cuts = [(0, len(text))]
+                else:
+                    cuts = removed(spans, len(text)) if spans else []
+                ends = [0, *(e for _, e in cuts)]
+                sizes.append(len(text))
+                every.append([{"begin": x, "end": y} for x, y in cuts])
+                bodies.append(b"".join([text[x:y] for x, y in zip(ends, [*(x for x, _ in cuts), len(text)])]))
+            columns = [pa.array(sizes, pa.int64()), pa.array(every, pa.list_(span)), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "n_bytes", "spans", "kept"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,8 +397,8 @@ def _bytes(df: DataFrame, column) -> int:
     return df.agg(F.sum(column)).first()[0] or 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, n_bytes, n_removed, n_spans, kept_sha256.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id_col, n_bytes, spans (begin, end: the bytes removed), kept (the bytes left).
 
     Texts are UTF-8 bytes (null: none). A byte goes when a DEPTH-byte string that covers it
     also starts elsewhere, in the same text or in another row; windows never cross rows.
@@ -421,4 +424,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     facts = written(spans.join(copies, "text_key", "full_outer"), "spans")
     size = _bytes(facts, F.expr("16 + aggregate(coalesce(bodies, array()), 0, (n, x) -> n + octet_length(x))"))
     rows = _joined(texts, facts, size, "left").select("id", "text", "bodies", F.coalesce("copies", F.lit(1)).alias("copies"))
-    return rows.mapInArrow(_outcome, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_outcome, f"id {kind}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary").withColumnRenamed("id", id_col)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Figures of without_repeats() per row: id_col, n_bytes, n_removed, n_spans, kept_sha256."""
+    left = F.octet_length("kept").cast("long")
+    return without_repeats(docs, id_col, text_col).select(
+        id_col, "n_bytes", (F.col("n_bytes") - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )

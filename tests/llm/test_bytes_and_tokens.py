@@ -154,3 +154,26 @@ def test_topic_features_are_brute_force(texts):
         classes = Counter(sum(x) % mixing.TOPICS for x in parts if len(x) >= mixing.TOPIC_WORD_BYTES)
         best = min(range(mixing.TOPICS), key=lambda c: (-classes[c], c))
         assert (w, k) == (len(parts), best if classes else 0)
+
+
+def test_kept_text_and_spans_are_returned(docs):
+    found = repeats.without_repeats(docs).collect()
+    texts = Counter((d, t) for d, t in pairs(docs))
+    got = Counter()
+    for r in found:
+        body, kept, at = bytes(r["kept"]), b"", 0
+        source = next(t.encode() for d, t in texts if d == r["doc_id"] and len(t.encode()) == r["n_bytes"])
+        for s in r["spans"]:
+            kept, at = kept + source[at : s["begin"]], s["end"]
+        assert body == kept + source[at:]
+        got[r["doc_id"], hashlib.sha256(body).hexdigest()] += 1
+    assert got == Counter((d, sha) for d, _, _, _, sha in repeat_reference([(d, t.encode()) for d, t in pairs(docs)]))
+
+
+def test_pipeline_ends_with_ids_and_text(docs):
+    import corpus_pipeline
+
+    found = corpus_pipeline.tokens(docs)
+    tokenizer = tokenizers.Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    want = sorted(((d, tokenizer.encode(t, add_special_tokens=False).ids, t) for d, t in pairs(docs)), key=repr)
+    assert sorted(((r["doc_id"], r["ids"], r["text"]) for r in found.collect()), key=repr) == want
