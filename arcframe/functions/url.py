@@ -24,12 +24,6 @@ def decode(text: Column) -> Column:
     return F.coalesce(F.try_url_decode(text), text)
 
 
-def resolve_rooted(page_url: Column, link: Column) -> Column:
-    """The link's absolute URL where it is absolute or begins with '/', else null; JVM only."""
-    origin = F.regexp_extract(page_url, r"^([A-Za-z]+://[^/?#]+)", 1)
-    return F.when(link.rlike(r"^(?i)(https?|ftp)://"), link).when(link.startswith("/") & ~link.startswith("//"), F.concat(origin, link))
-
-
 def resolve_one(base: str | None, link: str | None) -> str | None:
     """Absolute http(s) or ftp URL of a link, white space escaped; none for other schemes."""
     if not base or link is None:

@@ -10,11 +10,11 @@ from arcframe.plans.tables import BASE_TS14, CAPTURES_SQL, HOST_SQL, SURT_SQL, a
 
 
 def outlinks(spark, sf):
-    return html.rooted_links(table(spark, sf, "pages").where(html.strict_html(F.col("html")).isNotNull()))
+    return html.outlinks(table(spark, sf, "pages").where(html.strict_html(F.col("html")).isNotNull())).select("url", "target")
 
 
 def host_graph(spark, sf):
-    links = html.rooted_links(table(spark, sf, "pages").where(html.strict_html(F.col("html")).isNotNull()))
+    links = html.outlinks(table(spark, sf, "pages").where(html.strict_html(F.col("html")).isNotNull()))
     return links.groupBy(surt.url_host(F.col("url")).alias("src_host"), surt.url_host(F.col("target")).alias("dst_host")).agg(F.count(F.lit(1)).alias("links"))
 
 
@@ -24,7 +24,7 @@ def outlink_targets(spark, sf):
 
 
 def _edges(spark, sf):
-    found = html.rooted_links(table(spark, sf, "pages"))
+    found = html.outlinks(table(spark, sf, "pages"))
     return graph.links(found.select(F.col("url").alias("src_url"), F.lit("20240101000000").alias("ts14"), F.col("target").alias("dst_url")))
 
 

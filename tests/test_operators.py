@@ -165,3 +165,18 @@ def test_whole_table_queries_read_every_key(spark):
     orders, lines = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("orders", "lineitem"))
     keys = orders.select(F.col("o_orderkey").alias("key")).union(lines.select("l_orderkey")).distinct().count()
     assert catalog.QUERIES["cogroup_orders_lineitem_whole"](spark, SF).count() == keys
+
+
+def test_link_queries_resolve_every_kind_of_link(spark, tmp_path):
+    from arcframe.plans import catalog
+
+    body = "<html><a href='p.html'>a</a><a href='../x'>b</a><a href='?q'>c</a><a href='//o.org/y'>d</a><area href='/m'><form action='f'></form></html>"
+    pages = [(0, "http://a.com/d/e/i.html", body), (1, "http://c.com/", "<html><base href='http://b.net/z/'><a href='w'>e</a></html>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = ["http://a.com/d/e/f", "http://a.com/d/e/i.html?q", "http://a.com/d/e/p.html", "http://a.com/d/x", "http://a.com/m", "http://b.net/z/w", "http://o.org/y"]
+    found = sorted(r["target"] for r in catalog.QUERIES["outlinks"](spark, str(tmp_path)).collect())
+    assert found == want
+    hosts = catalog.QUERIES["host_graph"](spark, str(tmp_path))
+    assert rows(hosts, "src_host", "dst_host", "links") == [("a.com", "a.com", 5), ("a.com", "o.org", 1), ("c.com", "b.net", 1)]
+    surts = {r["surt"] for r in catalog.QUERIES["link_nodes"](spark, str(tmp_path)).collect()}
+    assert {"org,o)/y", "net,b)/z/w", "com,a)/d/x"} <= surts
