@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -52,6 +53,52 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Masks of the first 0 to 8 bytes of a little-endian word; words of a run that are hashed side by side.
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+RUN_WORDS = 32
+
+
+def _words(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of the runs that reach it, their j-th eight bytes) for the first RUN_WORDS places j."""
+    wide = np.ndarray((len(codes) + 1,), "<u8", np.append(codes, np.zeros(8, np.uint8)), strides=(1,))
+    live = np.flatnonzero(sizes > 0)
+    for j in range(RUN_WORDS):
+        if not len(live):
+            return
+        yield live, wide[starts[live] + 8 * j] & _HEAD[np.minimum(sizes[live] - 8 * j, 8)]
+        live = live[sizes[live] > 8 * j + 8]
+
+
+def run_hashes(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; every byte and its place count."""
+    out = sizes.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for live, body in _words(codes, starts, sizes):
+            out[live] = mix64(out[live] * np.uint64(0xD6E8FEB86659FD93) + body)
+        for i in np.flatnonzero(sizes > 8 * RUN_WORDS):
+            raw = hashlib.blake2b(codes[starts[i] : starts[i] + sizes[i]].tobytes(), digest_size=8).digest()
+            out[i] = np.frombuffer(raw, "<u8")[0]
+    return out
+
+
+def same_runs(codes: np.ndarray, one: np.ndarray, two: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether the bytes of each run that begins at one are those that begin at two."""
+    for (_, left), (_, right) in zip(_words(codes, one, sizes), _words(codes, two, sizes)):
+        if not np.array_equal(left, right):
+            return False
+    long = np.flatnonzero(sizes > 8 * RUN_WORDS)
+    return all(np.array_equal(codes[one[i] : one[i] + sizes[i]], codes[two[i] : two[i] + sizes[i]]) for i in long)
+
+
+def fresh_name(df: DataFrame, stem: str) -> str:
+    """stem, or stem with a number where df has a column of that name in any case."""
+    taken, name, n = {c.lower() for c in df.columns}, stem, 0
+    while name.lower() in taken:
+        n += 1
+        name = f"{stem}{n}"
+    return name
+
+
 def text_bytes(column) -> Iterator[bytes]:
     """UTF-8 bytes of each value of an Arrow string column; null is empty."""
     import pyarrow as pa

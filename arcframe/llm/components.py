@@ -7,21 +7,19 @@ from pyspark.sql import functions as F
 
 from arcframe.llm.common import shared_dir
 
-ROUNDS = 60
-
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a long, b long); root is the smallest node reachable.
 
     Every round takes the least label among neighbours and then the label's own label, so
     labels travel twice as far each round. Rounds are cut by checkpoint(). Self-loops and
-    repeated edges are allowed; no edges give no rows.
+    repeated edges are allowed; no edges give no rows. Rounds go on until no label moves.
     """
     shared_dir(edges.sparkSession)
     links = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     labels = labels.select("node", F.least("node", "root").alias("root")).checkpoint()
-    for _ in range(ROUNDS):
+    while True:
         near = (
             links.join(labels.select(F.col("node").alias("b"), F.col("root").alias("other")), "b")
             .groupBy(F.col("a").alias("node"))
@@ -33,4 +31,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "root")
         if after.where("moved").isEmpty():
             return labels
-    raise RuntimeError("connected components did not settle")

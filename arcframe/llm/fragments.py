@@ -16,11 +16,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from arcframe.llm.common import mix64
+from arcframe.llm.common import run_hashes, same_runs
 
 WHITE = b" \t\n\r\x0b\x0c"
-BYTE = mix64(np.arange(20_001, 20_257, dtype=np.uint64))
-PLACE = mix64(np.arange(21_001, 21_257, dtype=np.uint64)) | np.uint64(1)
 #: Bytes of text whose fragments are held at once.
 SLICE_BYTES = 2 << 20
 LETTERS = bytes([*range(65, 91), *range(97, 123)])
@@ -96,7 +94,8 @@ def split_rows(column: pa.Array, cut: np.ndarray) -> Iterator[list[bytes]]:
 def coded_rows(column: pa.Array, cut: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(distinct fragments, number of each fragment in order, row of each fragment).
 
-    Fragments of a slice are told apart by a 64-bit hash of their bytes, places and length.
+    Fragments of a slice are told apart by a 64-bit hash, and those with equal hashes are
+    compared byte by byte; on a difference the bytes themselves are the keys.
     """
     offsets = _offsets(column).astype(np.int64)
     base, end = int(offsets[0]), int(offsets[-1])
@@ -110,13 +109,20 @@ def coded_rows(column: pa.Array, cut: np.ndarray) -> tuple[list[bytes], np.ndarr
     begins[rows[:-1][rows[:-1] < len(codes)]] = True
     starts = np.flatnonzero(begins)
     sizes = np.diff(np.append(starts, len(codes)))
-    place = np.arange(len(codes)) - np.repeat(starts, sizes)
-    with np.errstate(over="ignore"):
-        parts = BYTE[codes] * PLACE[place & 255] * (2 * (place >> 8) + 1).astype(np.uint64)
-        hashes = np.add.reduceat(parts, starts) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    hashes = run_hashes(codes, starts, sizes)
+    by = np.argsort(hashes)
+    fresh = np.append(True, np.diff(hashes[by]) != 0)
+    first, number = by[fresh], np.empty(len(by), np.int64)
+    number[by] = np.cumsum(fresh) - 1
+    row = np.searchsorted(rows, starts, "right") - 1
+    like = first[number]
+    later = np.flatnonzero(like != np.arange(len(like)))
+    if not np.array_equal(sizes[later], sizes[like[later]]) or not same_runs(codes, starts[later], starts[like[later]], sizes[later]):
+        table: dict[bytes, int] = {}
+        number = np.array([table.setdefault(data[a : a + n], len(table)) for a, n in zip(starts.tolist(), sizes.tolist())])
+        return list(table), number, row
     lo, hi = starts[first].tolist(), (starts[first] + sizes[first]).tolist()
-    return [data[a:b] for a, b in zip(lo, hi)], number, np.searchsorted(rows, starts, "right") - 1
+    return [data[a:b] for a, b in zip(lo, hi)], number, row
 
 
 class Memo(dict):

@@ -1,19 +1,22 @@
 """Jaccard self-join on word shingles by vertical partitioning.
 
-1. Sets are reduced to classes: texts with equal shingle sets share a 128-bit digest and
-   are one member from here on, however many copies there are.
+1. Sets are reduced to classes: texts with equal shingle sets are one member from here on,
+   however many copies there are. The sets are written once and read by the later passes.
 2. One global order holds for all shingles: by how often slices of the input repeat them
    (summed over the whole input), then by hash. Rare shingles come first.
-3. Two sets with overlap enough share SHARED shingles of their prefixes in that order.
-   Prefixes are dealt by shingle to owners, packed by slice. Owners count what pairs share
-   in small buckets. Large buckets are dealt in salted blocks, and all members of two blocks
-   meet. Counts are summed per pair; pairs with fewer than SHARED are dropped.
-4. Candidates are checked in fragments: one of all common shingles, the others by hash.
-   Overlaps of a pair are counted per fragment, apart from each other, and summed per pair:
-   an exact test of the Jaccard bound.
-
-Every link between two classes is found and verified, also where both are in one component
-already; components are derived from the links.
+3. Linked sets share a shingle of their prefixes in that order. Prefixes are dealt by shingle
+   to owners. The least class that holds a shingle leads it, and all sets of the shingle join
+   the group of that leader: a family of near copies shares dozens of prefix shingles, but
+   few leaders, so each set joins few groups and two linked sets have a group in common.
+   No pair is made here; rows are linear in the prefixes.
+4. Groups are cut into blocks, and every pair of blocks is a unit of bounded size. The global
+   order is cut into FRAGMENTS ranges. Each (unit, fragment) counts the partial overlaps of
+   its sets apart from all others and gives one matrix of counts; the matrices of a unit are
+   summed per pair, which tests the Jaccard bound exactly.
+5. A pair with several common groups counts in that of the least leader. Units return the
+   number of links of each set and a forest of what they connect, or, on demand, every pair.
+
+Shingles are 64-bit hashes; counts are exact for them.
 """
 
 from __future__ import annotations
@@ -24,35 +27,40 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcframe.llm import golomb
-from arcframe.llm.common import shuffle_width, written
+from arcframe.llm.common import fresh_name, shuffle_width, written
 from arcframe.llm.components import connected_components
 from arcframe.llm.fragments import slices
 from arcframe.llm.shingles import WORDS, shingle_sets
 
 PERCENT = 75
-FRAGMENTS = 4
-TOKEN_BITS = 48
+#: Ranges of the global order: so many of rare shingles, and of common ones.
+RARE, FREQUENT = 2, 2
+FRAGMENTS = RARE + FREQUENT
 #: A slice tells a shingle that so many of its sets hold; the order knows those of this total.
 TOLD, COMMON = 3, 10
 #: Common shingles that the order tells apart at most (16 bytes each); the rest tie.
 ORDER_ROWS = 1 << 18
-#: Shingles that the prefixes of linked sets share at least, unless the sets are smaller.
-SHARED = 3
-#: Buckets up to this size give all their pairs at their owner, larger ones in blocks of BLOCK_ROWS members.
-SMALL, BLOCK_ROWS = 24, 1_000
+#: Members and shingles of a block; in groups of more than 16 blocks they grow up to 4 times.
+BLOCK_ROWS, BLOCK_TOKENS = 500, 1 << 19
 #: Prefix entries of one owner in the mean, and members of one part of a very common shingle.
 OWNER_ROWS, PART_ROWS = 1 << 20, 20_000
 #: Sets whose prefixes a task packs together.
 PACK_SETS = 8_000
+#: Shingles and pairs of the units that one group of rows counts, in the mean.
+PACK_TOKENS, PACK_PAIRS = 1 << 21, 1 << 22
+#: Work of one step of a count in a unit: pairs that meet in a shingle, and shingles of a product of matrices.
+STEP_PAIRS, STEP_TOKENS = 1 << 20, 512
 BROADCAST_ROWS = 200_000
 
-FACTS = "kind int, id {kind}, n long, class long, high long"
+FACTS = "kind int, id {kind}, n long, class long, high long, tokens binary"
 SENT = "owner int, n_sets int, body binary"
-FOUND = "kind int, bucket long, a long, b long, na int, nb int, shared int"
+FOUND = "bucket long, leader long, class long, n int"
+UNIT = ["leader", "p", "q"]
+PARTIAL = "pack long, leader long, p int, q int, fragment int, counts binary"
+OUT = "kind int, a long, b long, na long, nb long, n long"
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -62,49 +70,71 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _facts(width: int):
-    """(id, text) -> kind 0: id, set size, class; kind 1: a shingle and its sets in a slice (n)."""
+    """(id, text) -> kind 0: id, set size, class and set; kind 1: a shingle and its sets in a slice (n).
+
+    The set itself stands at the first row of its class in a slice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for lo, hi in slices(batch.column(1)):
-                sizes, low, high, seen = [], [], [], {}
+                pairs, sizes, bodies, seen = [], [], [], {}
                 for tokens in shingle_sets(batch.column(1).slice(lo, hi - lo), width):
                     pair = _digest(tokens)
+                    pairs.append(pair)
                     sizes.append(len(tokens))
-                    low.append(pair[0])
-                    high.append(pair[1])
+                    bodies.append(tokens.tobytes() if len(tokens) and pair not in seen else None)
                     seen[pair] = tokens
                 values, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
                 told = counts >= TOLD
                 values, counts = values[told].view(np.int64), counts[told]
                 n, m = hi - lo, len(values)
+                own = np.array(pairs, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat([0, 1], [n, m]), pa.int32()),
                         pa.concat_arrays([ids.slice(lo, n), pa.nulls(m, ids.type)]),
                         pa.array(np.concatenate([sizes, counts]).astype(np.int64)),
-                        pa.array(np.concatenate([np.array(low, np.int64), values])),
-                        pa.array(np.concatenate([np.array(high, np.int64), np.zeros(m, np.int64)])),
+                        pa.array(np.concatenate([own[:, 0], values])),
+                        pa.array(np.concatenate([own[:, 1], np.zeros(m, np.int64)])),
+                        pa.concat_arrays([pa.array(bodies, pa.binary()), pa.nulls(m, pa.binary())]),
                     ],
-                    names=["kind", "id", "n", "class", "high"],
+                    names=["kind", "id", "n", "class", "high", "tokens"],
                 )
 
     return run
 
 
 class Order:
-    """The global order of shingles: count of common ones (0 for all others), then hash."""
+    """The global order of shingles: count of common ones (0 for all others), then hash; cut into ranges."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        cut = np.lexsort((tokens, counts))
+        share = np.cumsum(counts[cut], dtype=np.float64) / max(1, counts.sum())
+        part = np.empty(len(cut), np.int64)
+        part[cut] = np.minimum((share * FREQUENT).astype(np.int64), FREQUENT - 1)
         by = np.argsort(tokens)
-        self.tokens, self.counts = tokens[by], counts[by]
+        self.tokens, self.counts, self.part = tokens[by], counts[by], RARE + part[by]
 
-    def rank(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.tokens) or not len(tokens):
-            return np.zeros(len(tokens), np.int64)
+    def _find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.tokens):
+            return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
         at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == tokens, self.counts[at], 0)
+        return at, self.tokens[at] == tokens
+
+    def rank(self, tokens: np.ndarray) -> np.ndarray:
+        at, known = self._find(tokens)
+        out = np.zeros(len(tokens), np.int64)
+        out[known] = self.counts[at[known]]
+        return out
+
+    def fragment(self, tokens: np.ndarray) -> np.ndarray:
+        """The range of each shingle: rare ones by their hash, common ones by equal shares of all counts."""
+        at, known = self._find(tokens)
+        out = ((tokens >> np.uint64(32)) * np.uint64(RARE) >> np.uint64(32)).astype(np.int64)
+        out[known] = self.part[at[known]]
+        return out
 
 
 def global_order(facts: DataFrame) -> Order:
@@ -121,17 +151,17 @@ def global_order(facts: DataFrame) -> Order:
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    """Shingles of a set of n of which every partner must share SHARED (all, if it is small)."""
-    return min(n, n - -(-n * percent // 100) + SHARED)
+    """Shingles of a set of n of which every partner shares one at least."""
+    return n - -(-n * percent // 100) + 1
 
 
-def _prefixes(order, owners: int, width: int, percent: int):
-    """(text) -> packed prefixes by owner: classes, sizes, tokens and each token's set."""
+def _prefixes(order, owners: int, percent: int):
+    """(class, set) -> packed prefixes by owner: classes, sizes, tokens and each token's set."""
     shift = np.uint64(64 - (owners - 1).bit_length()) if owners > 1 else None
 
-    def pack(sets: dict[tuple[int, int], tuple[int, np.ndarray]]):
+    def pack(sets: dict[int, tuple[int, np.ndarray]]):
         known = order.value
-        classes = np.array([low for low, _ in sets], np.int64)
+        classes = np.array(list(sets), np.int64)
         sizes = np.array([n for n, _ in sets.values()], np.int32)
         tokens = np.concatenate([t for _, t in sets.values()])
         index = np.repeat(np.arange(len(sets)), [len(t) for _, t in sets.values()])
@@ -152,23 +182,26 @@ def _prefixes(order, owners: int, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sets = order.value, {}
         for batch in batches:
-            for lo, hi in slices(batch.column(0)):
-                for tokens in shingle_sets(batch.column(0).slice(lo, hi - lo), width):
-                    if len(tokens):
-                        first = prefix_length(len(tokens), percent)
-                        by = np.lexsort((tokens, known.rank(tokens)))[:first]
-                        sets.setdefault(_digest(tokens), (len(tokens), tokens[by]))
-                    if len(sets) >= PACK_SETS:
-                        yield pack(sets)
-                        sets = {}
+            for own, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if own not in sets:
+                    tokens = np.frombuffer(body.as_buffer(), "<u8")
+                    first = prefix_length(len(tokens), percent)
+                    by = np.lexsort((tokens, known.rank(tokens)))[:first]
+                    sets[own] = (len(tokens), tokens[by])
+                if len(sets) >= PACK_SETS:
+                    yield pack(sets)
+                    sets = {}
         if sets:
             yield pack(sets)
 
     return run
 
 
-def _buckets(order, percent: int):
-    """Packed prefixes of one owner -> pairs (kind 0) and members of large buckets (kind 1)."""
+def _buckets(order):
+    """Packed prefixes of one owner -> (leader, class, n), once each, of shingles of two sets or more.
+
+    The sets of a shingle that is split over owners come with the shingle (bucket) and no leader.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         classes, sizes, tokens = [], [], []
@@ -183,137 +216,222 @@ def _buckets(order, percent: int):
         tokens, classes, sizes = map(np.concatenate, (tokens, classes, sizes))
         by = np.lexsort((classes, tokens))
         tokens, classes, sizes = tokens[by], classes[by], sizes[by]
-        fresh = np.r_[True, (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])]
-        tokens, classes, sizes = tokens[fresh], classes[fresh], sizes[fresh]
         begin = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         count = np.diff(np.r_[begin, len(tokens)])
-        split = order.value.rank(tokens[begin]) >= PART_ROWS
-        left, right = [], []
-        for m in range(2, SMALL + 1):
-            at = begin[(count == m) & ~split]
-            for i in range(m):
-                for j in range(i + 1, m):
-                    left.append(at + i)
-                    right.append(at + j)
-        big = (count > SMALL) | split
-        members = np.concatenate([np.arange(b, b + c) for b, c in zip(begin[big], count[big])]) if big.any() else np.zeros(0, np.int64)
-        bucket = np.repeat(tokens[begin[big]], count[big])
-        none = np.zeros(0, np.int64)
-        left, right = np.concatenate([none, *left]), np.concatenate([none, *right])
-        fits = 100 * np.minimum(sizes[left], sizes[right]).astype(np.int64) >= percent * np.maximum(sizes[left], sizes[right]).astype(np.int64)
-        pairs = pd.DataFrame({"kind": 0, "bucket": 0, "a": classes[left[fits]], "b": classes[right[fits]], "na": sizes[left[fits]], "nb": sizes[right[fits]], "shared": 1})
-        pairs = pairs.groupby(["kind", "bucket", "a", "b", "na", "nb"], as_index=False)["shared"].sum()
-        groups = pd.DataFrame({"kind": 1, "bucket": bucket.view(np.int64), "a": classes[members], "b": 0, "na": sizes[members], "nb": 0, "shared": 0})
-        kinds = {"kind": "int32", "bucket": "int64", "a": "int64", "b": "int64", "na": "int32", "nb": "int32", "shared": "int32"}
-        return pd.concat([pairs, groups], ignore_index=True).astype(kinds)
+        split = np.repeat(order.value.rank(tokens[begin]) >= PART_ROWS, count)
+        leaders = np.repeat(classes[begin], count)
+        shared = (np.repeat(classes[begin + count - 1], count) != leaders) & ~split
+        one = pd.DataFrame({"bucket": 0, "leader": leaders[shared], "class": classes[shared], "n": sizes[shared]}).drop_duplicates()
+        two = pd.DataFrame({"bucket": tokens[split].view(np.int64), "leader": None, "class": classes[split], "n": sizes[split]}).drop_duplicates()
+        return pd.concat([one.astype({"leader": "Int64"}), two.astype({"leader": "Int64"})], ignore_index=True)
 
     return run
 
 
-def _fragments(order, width: int):
-    """(class, text) -> Rice-coded fragments of the set, where the text has that class."""
+def _segments(order):
+    """(class, set) -> class and its set cut into the ranges of the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = order.value
-        cap = np.uint64(64 - TOKEN_BITS)
         for batch in batches:
-            wanted = batch.column(0).to_numpy()
-            for lo, hi in slices(batch.column(1)):
-                rows = []
-                for own, tokens in zip(wanted[lo:hi].tolist(), shingle_sets(batch.column(1).slice(lo, hi - lo), width)):
-                    if _digest(tokens)[0] != own:
-                        continue
-                    common = known.rank(tokens) > 0
-                    part = np.where(common, FRAGMENTS - 1, tokens % np.uint64(FRAGMENTS - 1)).astype(np.int64)
-                    for f in range(FRAGMENTS):
-                        short = np.unique(tokens[part == f] >> cap).astype(np.int64)
-                        k = golomb.rice_parameter(1 << TOKEN_BITS, len(short))
-                        rows.append((own, f, len(short), k, golomb.encode(short, k)))
-                if rows:
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["class", "fragment", "size", "k", "body"])
+            cut = []
+            for body in batch.column(1):
+                tokens = np.frombuffer(body.as_buffer(), "<u8")
+                part = known.fragment(tokens)
+                cut.append([tokens[part == f].tobytes() for f in range(FRAGMENTS)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.binary()))], names=["class", "segments"])
 
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial overlap of each (pair, fragment)."""
-    for batch in batches:
-        x = {name: batch.column(name).to_pylist() for name in ("sa", "ka", "ba", "sb", "kb", "bb")}
-        out = []
-        for sa, ka, ba, sb, kb, bb in zip(x["sa"], x["ka"], x["ba"], x["sb"], x["kb"], x["bb"]):
-            out.append(len(np.intersect1d(golomb.decode(ba, sa, ka), golomb.decode(bb, sb, kb), assume_unique=True)))
-        names = ["a", "b", "na", "nb", "fragment"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.int64())], names=[*names, "overlap"])
-
+def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Common shingles of every left and right set (each without repeats), as a matrix of 32-bit counts.
 
-def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb, overlap) that link: partial overlaps per fragment, summed per pair."""
-    every = F.explode(F.array(*[F.lit(i) for i in range(FRAGMENTS)])).alias("fragment")
-    wide = pairs.select("a", "b", "na", "nb", every)
-    left = fragments.select(F.col("class").alias("a"), "fragment", F.col("size").alias("sa"), F.col("k").alias("ka"), F.col("body").alias("ba"))
-    right = fragments.select(F.col("class").alias("b"), "fragment", F.col("size").alias("sb"), F.col("k").alias("kb"), F.col("body").alias("bb"))
-    both = wide.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).where("sa > 0 and sb > 0")
-    names = ["a", "b", "na", "nb", "fragment", "sa", "ka", "ba", "sb", "kb", "bb"]
-    partial = both.select(*names).mapInArrow(_overlaps, "a long, b long, na int, nb int, fragment int, overlap long")
-    each = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("overlap").alias("overlap"))
-    total = each.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    return total.where(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("na").cast("long") + F.col("nb") - F.col("overlap")))
+    Shingles of few sets add their pairs one by one, those of many as products of 0/1 matrices.
+    """
+    out = np.zeros((len(left), len(right)), np.uint32)
+    one, two = np.concatenate(left), np.concatenate(right)
+    by_one, by_two = np.argsort(one), np.argsort(two)
+    rows = np.repeat(np.arange(len(left)), [len(t) for t in left])[by_one]
+    cols = np.repeat(np.arange(len(right)), [len(t) for t in right])[by_two]
+    kinds, begin, c = np.unique(one[by_one], return_index=True, return_counts=True)
+    other, begin_two, d = np.unique(two[by_two], return_index=True, return_counts=True)
+    _, i, j = np.intersect1d(kinds, other, assume_unique=True, return_indices=True)
+    begin, c, begin_two, d = begin[i], c[i], begin_two[j], d[j]
+    heavy = c * d * 100 > out.size
+    for at in np.split(np.flatnonzero(~heavy), np.flatnonzero(np.diff(np.cumsum((c * d)[~heavy]) // STEP_PAIRS)) + 1):
+        # every left entry of these shingles meets the d right entries of its shingle
+        spread = np.repeat(d[at], c[at])
+        x = np.repeat(rows[_ranges(begin[at], c[at])], spread)
+        y = cols[_ranges(np.repeat(begin_two[at], c[at]), spread)]
+        out += np.bincount(x * len(right) + y, minlength=out.size).reshape(out.shape).astype(np.uint32)
+    many = np.flatnonzero(heavy)
+    for at in (many[k : k + STEP_TOKENS] for k in range(0, len(many), STEP_TOKENS)):
+        a, b = np.zeros((len(left), len(at)), np.float32), np.zeros((len(at), len(right)), np.float32)
+        a[rows[_ranges(begin[at], c[at])], np.repeat(np.arange(len(at)), c[at])] = 1
+        b[np.repeat(np.arange(len(at)), d[at]), cols[_ranges(begin_two[at], d[at])]] = 1
+        out += (a @ b).astype(np.uint32)
+    return out
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] numbers), begin[1], ..."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def _units(rows: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame, pd.DataFrame]]:
+    """(leader, p, q), left and right members in the order of their classes, of each unit in rows."""
+    for key, unit in rows.groupby(UNIT, sort=False):
+        unit = unit.sort_values("class")
+        left = unit[unit["side"] == 0]
+        yield key, left, left if key[1] == key[2] else unit[unit["side"] == 1]
+
+
+def _partial(rows: pd.DataFrame) -> pd.DataFrame:
+    """Segments of one pack and fragment -> the matrix of partial overlaps of each unit."""
+    out = []
+    for (leader, p, q), left, right in _units(rows):
+        a = [np.frombuffer(x, "<u8") for x in left["segment"]]
+        b = a if right is left else [np.frombuffer(x, "<u8") for x in right["segment"]]
+        found = _counts(a, b) if len(a) and len(b) else np.zeros((0, 0), np.uint32)
+        if found.any():
+            kind = "<u2" if int(found.max()) < 1 << 16 else "<u4"
+            out.append((rows["pack"].iloc[0], leader, p, q, rows["fragment"].iloc[0], kind.encode() + found.astype(kind).tobytes()))
+    return pd.DataFrame(out, columns=["pack", *UNIT, "fragment", "counts"])
+
+
+def _earlier(leader: int, left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    """Whether a left and a right member also meet in a group of a lesser leader."""
+    number: dict[int, int] = {}
+    sides = []
+    for side in (left, right):
+        at = [(i, number.setdefault(x, len(number))) for i, own in enumerate(side["leaders"]) for x in own if x < leader]
+        sides.append(np.array(at, np.int64).reshape(-1, 2))
+    out = np.zeros((len(left), len(right)), bool)
+    for lo in range(0, len(number), STEP_TOKENS):
+        marks = []
+        for at, size in zip(sides, out.shape):
+            own = at[(at[:, 1] >= lo) & (at[:, 1] < lo + STEP_TOKENS)]
+            mark = np.zeros((size, STEP_TOKENS), np.float32)
+            mark[own[:, 0], own[:, 1] - lo] = 1
+            marks.append(mark)
+        out |= marks[0] @ marks[1].T > 0
+    return out
+
+
+def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """(least class, other class) for every class of each component of the links between left and right."""
+    out = []
+    todo = linked.any(1)
+    while todo.any():
+        rows, cols = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        front = np.zeros(len(left), bool)
+        front[np.argmax(todo)] = True
+        while front.any():
+            rows |= front
+            cols |= linked[front].any(0)
+            front = linked[:, cols].any(1) & ~rows
+        todo &= ~rows
+        own = np.unique(np.concatenate([left[rows], right[cols]])).tolist()
+        out += [(own[0], x) for x in own[1:]]
+    return out
+
+
+def _links(percent: int, every: bool):
+    """Members and partial overlaps of one pack -> kind 0: what a unit connects; kind 1: number of
+    links of a class in a unit (n); with every, kind 2: each linked pair, sizes and overlap (n)."""
+
+    def run(members: pd.DataFrame, partial: pd.DataFrame) -> pd.DataFrame:
+        parts = {key: own["counts"].tolist() for key, own in partial.groupby(UNIT, sort=False)}
+        out: list[tuple[int, ...]] = []
+        for key, left, right in _units(members):
+            if key not in parts:
+                continue
+            shape = (len(left), len(right))
+            total = np.zeros(shape, np.int64)
+            for body in parts[key]:
+                total += np.frombuffer(body, body[:3].decode(), offset=3).reshape(shape)
+            a, b = left["class"].to_numpy(), right["class"].to_numpy()
+            na, nb = left["n"].to_numpy(np.int64), right["n"].to_numpy(np.int64)
+            linked = 100 * total >= percent * (na[:, None] + nb[None, :] - total)
+            if right is left:
+                np.fill_diagonal(linked, False)
+            out += [(0, x, y, 0, 0, 0) for x, y in _forest(linked, a, b)]
+            linked &= ~_earlier(key[0], left, right)
+            for classes, n in ((a, linked.sum(1)),) if right is left else ((a, linked.sum(1)), (b, linked.sum(0))):
+                out += [(1, x, 0, 0, 0, k) for x, k in zip(classes[n > 0].tolist(), n[n > 0].tolist())]
+            if every:
+                i, j = np.nonzero(np.triu(linked) if right is left else linked)
+                out += zip([2] * len(i), a[i].tolist(), b[j].tolist(), na[i].tolist(), nb[j].tolist(), total[i, j].tolist())
+        return pd.DataFrame(out, columns=["kind", "a", "b", "na", "nb", "n"])
 
+    return run
 
-def _least_shared(na: str, nb: str, percent: int) -> Column:
-    """Prefix shingles that linked sets of these sizes share at least."""
-    return F.least(F.lit(SHARED), F.ceil(F.greatest(na, nb) * F.lit(percent) / 100))
 
+def _numbered(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, one row a class); the rare sets that share 64 bits of their digest get another number."""
+    while True:
+        sets = facts.where("kind = 0 and n > 0")
+        classes = written(
+            sets.groupBy("class").agg(F.min("id").alias("id"), F.min("high").alias("lo"), F.max("high").alias("hi")), "classes"
+        )
+        clashes = classes.where("lo <> hi").select("class", "lo")
+        if clashes.isEmpty():
+            return facts, classes.select("class", "id")
+        other = (F.col("kind") == 0) & F.col("lo").isNotNull() & (F.col("high") != F.col("lo"))
+        moved = F.when(other, F.xxhash64("class", "high")).otherwise(F.col("class"))
+        facts = written(facts.join(clashes, "class", "left").withColumn("class", moved).drop("lo"), "shingle-facts")
+
+
+def _members(found: DataFrame) -> DataFrame:
+    """(leader, class, n), once each, where the group has two classes or more, with the group's blocks."""
+    split = found.where("leader is null")
+    leads = split.groupBy("bucket").agg(F.min("class").alias("leader"))
+    named = found.where("leader is not null").select("leader", "class", "n").unionByName(
+        split.select("bucket", "class", "n").join(leads, "bucket").select("leader", "class", "n")
+    )
+    members = written(named.distinct(), "members")
+    groups = members.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens")).where("m > 1")
+    least = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("tokens") / BLOCK_TOKENS))
+    blocks = F.when(least <= 16, least).otherwise(F.greatest(F.lit(16), F.ceil(least / 4))).cast("int")
+    return members.join(groups.select("leader", blocks.alias("blocks")), "leader")
 
-def _large_pairs(found: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb, shared) of all pairs in large buckets whose sizes allow a link, a row per bucket.
 
-    Members are dealt to blocks of about BLOCK_ROWS; each pair of blocks is a group of its own.
-    """
-    members = found.where("kind = 1").select("bucket", F.col("a").alias("class"), F.col("na").alias("n"))
-    blocks = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("class", "bucket"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    one = dealt.select("bucket", F.col("own").alias("p"), every.alias("q"), F.col("class").alias("a"), F.col("n").alias("na"))
-    two = dealt.select("bucket", every.alias("p"), F.col("own").alias("q"), F.col("class").alias("b"), F.col("n").alias("nb"))
-    fits = F.lit(100) * F.least("na", "nb").cast("long") >= F.lit(percent) * F.greatest("na", "nb").cast("long")
-    return one.join(two, ["bucket", "p", "q"]).where((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb", F.lit(1).alias("shared"))
-
-
-def _candidates(found: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share enough of their prefixes, counts summed over all owners and large buckets."""
-    small = found.where("kind = 0").select("a", "b", "na", "nb", "shared")
-    met = small.unionByName(_large_pairs(found, percent))
-    counts = met.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
-    return counts.where(F.col("shared") >= _least_shared("na", "nb", percent)).select("a", "b", "na", "nb")
-
-
-def _join(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts of all rows, id of each class, links between classes)."""
+def _join(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts of all rows, id of each class, what the units found)."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    facts = written(texts.mapInArrow(_facts(width), FACTS.format(kind=kind)), "shingle-facts")
-    sets = facts.where("kind = 0 and n > 0")
+    facts, classes = _numbered(written(texts.mapInArrow(_facts(width), FACTS.format(kind=kind)), "shingle-facts"))
+    sets = facts.where("tokens is not null").select("class", "tokens")
     order = spark.sparkContext.broadcast(global_order(facts))
-    total = sets.agg(F.sum("n")).first()[0] or 0
+    total = facts.where("kind = 0").agg(F.sum("n")).first()[0] or 0
     owners = max(2, shuffle_width(spark), total * (100 - percent) // 100 // OWNER_ROWS)
     owners = 1 << (owners - 1).bit_length()
-    sent = texts.select("text").mapInArrow(_prefixes(order, owners, width, percent), SENT)
-    found = written(sent.groupBy("owner").applyInPandas(_buckets(order, percent), FOUND), "buckets")
-    pairs = written(_candidates(found, percent), "candidates")
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    classes = written(
-        sets.groupBy("class").agg(F.min("id").alias("id"), F.min("high").alias("lo"), F.max("high").alias("hi")), "classes"
+    sent = sets.mapInArrow(_prefixes(order, owners, percent), SENT)
+    found = written(sent.groupBy("owner").applyInPandas(_buckets(order), FOUND), "buckets")
+    members = written(_members(found), "grouped")
+
+    wanted = written(members.groupBy("class").agg(F.collect_set("leader").alias("leaders")), "wanted")
+    own = wanted.select("class")
+    side = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
+    segments = sets.join(side, "class", "left_semi").mapInArrow(_segments(order), "class long, segments array<binary>")
+    segments = segments.groupBy("class").agg(F.first("segments").alias("segments"))
+
+    block = F.pmod(F.xxhash64("class", "leader"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(
+        "leader", "class", "n", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side")
     )
-    clash = F.raise_error(F.lit("two different sets share one class number"))
-    classes = classes.select("class", F.when(F.col("lo") == F.col("hi"), F.col("id")).otherwise(clash).alias("id"))
-    involved = written(classes.join(wanted, "class", "left_semi"), "involved")
-    side = F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved
-    chosen = texts.join(side.withColumnRenamed("id", "rep"), F.col("id").eqNullSafe(F.col("rep"))).select("class", "text")
-    fragments = written(chosen.mapInArrow(_fragments(order, width), "class long, fragment int, size int, k int, body binary"), "fragments")
-    return facts, classes, written(_verified(pairs, fragments, percent), "links")
+    load = members.agg(F.sum(F.col("n").cast("long") * F.col("blocks")).alias("tokens"), F.sum(F.lit(BLOCK_ROWS) * F.col("blocks")).alias("pairs")).first()
+    packs = max(shuffle_width(spark), (load["tokens"] or 0) // PACK_TOKENS, (load["pairs"] or 0) // PACK_PAIRS)
+    dealt = written(dealt.withColumn("pack", F.pmod(F.xxhash64(*UNIT), F.lit(packs))), "units")
+
+    bodies = dealt.join(segments, "class").select("pack", *UNIT, "side", "class", F.posexplode("segments").alias("fragment", "segment"))
+    partial = bodies.groupBy("pack", "fragment").applyInPandas(_partial, PARTIAL)
+    rows = dealt.join(wanted, "class")
+    links = rows.groupBy("pack").cogroup(partial.groupBy("pack")).applyInPandas(_links(percent, every), OUT)
+    return facts, classes, written(links, "links")
 
 
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WORDS) -> DataFrame:
@@ -321,36 +439,49 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A class is all texts with one set of shingles and goes by its smallest id; equal sets
     are not paired with each other. Sizes and overlap are numbers of shingles, and a pair
-    occurs once, with id_a <= id_b.
+    occurs once, with id_a <= id_b. The result has as many rows as there are links.
     """
-    _, classes, links = _join(docs, id_col, text_col, percent, width)
+    _, classes, found = _join(docs, id_col, text_col, percent, width, True)
+    links = found.where("kind = 2")
     named = links.join(classes.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(classes.select(F.col("class").alias("b"), F.col("id").alias("y")), "b")
     swap = F.col("x") > F.col("y")
     turned = lambda one, two: F.when(swap, F.col(two)).otherwise(F.col(one))
-    return named.select(turned("x", "y").alias("id_a"), turned("y", "x").alias("id_b"), turned("na", "nb").alias("n_a"), turned("nb", "na").alias("n_b"), "overlap")
+    return named.select(
+        turned("x", "y").alias("id_a"),
+        turned("y", "x").alias("id_b"),
+        turned("na", "nb").alias("n_a"),
+        turned("nb", "na").alias("n_b"),
+        F.col("n").alias("overlap"),
+    )
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WORDS) -> DataFrame:
-    """Per row: id_col, n_shingles, component_id (the smallest id reachable by links).
+    """Per row: id_col, n_shingles, component_id (the smallest id reachable by links), n_links.
 
     A set is the distinct `width`-word shingles of the whole text; texts link when
-    100 * intersection >= percent * union. Null and empty texts have no set and link with
-    nothing. Rows that repeat an id each get a row. A null id is never a component's id
-    unless all of its rows have null ids. An empty table gives an empty result.
+    100 * intersection >= percent * union. n_links counts the other sets that the row's set
+    links with; rows of one set are not counted. Null and empty texts have no set and link
+    with nothing. Rows that repeat an id each get a row. A null id is never a component's
+    id unless all of its rows have null ids. An empty table gives an empty result.
     """
-    facts, classes, links = _join(docs, id_col, text_col, percent, width)
-    roots = connected_components(links.select("a", "b"))
+    facts, classes, found = _join(docs, id_col, text_col, percent, width, False)
+    roots = connected_components(found.where("kind = 0").select("a", "b"))
+    degrees = found.where("kind = 1").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n_links"))
     least = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = least.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = least.join(names, "root").select("class", F.lit(1).alias("linked"), "component_id")
+    named = least.join(names, "root").join(degrees, "class", "left").select("class", F.lit(1).alias("linked"), "component_id", "n_links")
     rows = facts.where("kind = 0").select("id", "n", "class", F.when(F.col("n") > 0, 1).otherwise(0).alias("linked"))
     return rows.join(named, ["class", "linked"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("linked") == 1, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("linked") == 1, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component stays, the one with the smallest id; columns as they were."""
+    name = fresh_name(docs, "__af_keep")
     found = near_duplicate_components(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    keep = written(found.select(F.col(id_col).alias("__af_keep")).distinct(), "kept-ids")
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__af_keep")), "left_semi")
+    keep = written(found.select(F.col(id_col).alias(name)).distinct(), "kept-ids")
+    return docs.join(keep, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")

@@ -7,21 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from arcframe.llm.common import mix64
+from arcframe.llm.common import mix64, run_hashes
 from arcframe.llm.fragments import WHITE
 
 WORDS = 5
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """A random number per byte, A-Z as a-z, and a number per position in a word (mod 256)."""
-    byte = mix64(np.arange(1, 257, dtype=np.uint64))
-    byte[65:91] = byte[97:123]
-    place = mix64(np.arange(1001, 1257, dtype=np.uint64)) | np.uint64(1)
-    return byte, place
-
-
-BYTE, PLACE = _tables()
+#: Each byte, A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _WHITE = np.zeros(256, bool)
 _WHITE[list(WHITE)] = True
 
@@ -46,14 +40,11 @@ def shingle_sets(column: pa.Array, width: int = WORDS) -> Iterator[np.ndarray]:
     if not len(starts):
         yield from (np.zeros(0, np.uint64) for _ in range(len(column)))
         return
-    spans = np.diff(np.append(starts, len(data)))
+    ends = solid.copy()
+    ends[:-1] &= ~solid[1:] | begins[1:]
+    sizes = np.flatnonzero(ends) + 1 - starts
+    words = run_hashes(LOWER[data], starts, sizes)
     with np.errstate(over="ignore"):
-        where = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
-        parts = BYTE[data[starts[0] :]] * PLACE[where & 255]
-        parts[~solid[starts[0] :]] = 0
-        sums = np.add.reduceat(parts, starts - starts[0])
-        sizes = np.add.reduceat(solid[starts[0] :].astype(np.int64), starts - starts[0])
-        words = mix64(sums + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         rows = np.searchsorted(starts, edges, "left")
         grams = np.zeros(max(0, len(words) - width + 1), np.uint64)
         for i in range(width):

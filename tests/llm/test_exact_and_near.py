@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,13 +109,65 @@ def test_near_duplicates(docs):
     assert as_rows(ngram_join.near_duplicate_components(docs), "doc_id", "n_shingles", "component_id") == want
 
 
-@pytest.mark.parametrize("small", [8, 1])
-def test_large_buckets_of_near_copies(spark, monkeypatch, small):
-    monkeypatch.setattr(ngram_join, "SMALL", small)
+def degrees(rows):
+    """(id, number of other sets that the set of the id links with)."""
+    least, sets = {}, {}
+    for i, t in rows:
+        w = [x for x in SPACE.split(t.lower()) if x]
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        least[sets[i]] = min(i, least.get(sets[i], i))
+    n = Counter(x for pair in pair_reference(rows) for x in pair[:2])
+    return sorted(((i, n[least[own]]) for i, own in sets.items()), key=repr)
+
+
+@pytest.mark.parametrize("block,part", [(500, 20_000), (7, 12), (1, 1)])
+def test_large_families_of_near_copies(spark, monkeypatch, block, part):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(ngram_join, "PART_ROWS", part)
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     rows = family(spark, 40, 1) + [(5000 + i, t) for i, t in family(spark, 30, 2)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert as_rows(ngram_join.near_duplicate_components(df), "doc_id", "n_shingles", "component_id") == near_reference(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = ngram_join.near_duplicate_components(df).cache()
+    assert as_rows(found, "doc_id", "n_shingles", "component_id") == near_reference(rows)
+    assert as_rows(found, "doc_id", "n_links") == degrees(rows)
+
+
+def test_sets_that_share_a_class_number_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_digest", (lambda real: lambda tokens: (real(tokens)[0] % 3, real(tokens)[1]))(ngram_join._digest))
+    rows = family(spark, 20, 5)
+    found = ngram_join.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert as_rows(found, "doc_id", "n_shingles", "component_id") == near_reference(rows)
+
+
+def swapped(n, i, j, fill):
+    """Two runs of n letters that differ in the order of four letters, two by two 256 apart."""
+    one, two = [fill] * n, [fill] * n
+    one[i], one[i + 256], one[j], one[j + 256] = "qzzq"
+    two[i], two[i + 256], two[j], two[j + 256] = "zqqz"
+    return "".join(one), "".join(two)
+
+
+def test_long_words_whose_bytes_change_places(spark):
+    every = [swapped(n, k, k + 512, "abcdefghij"[k % 10]) for k, n in enumerate([1000, 1300, 2500, 5000] * 6)]
+    rows = [(1, " ".join(a for a, _ in every)), (2, " ".join(b for _, b in every)), (3, " ".join(a for a, _ in every) + " end")]
+    found = ngram_join.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert as_rows(found, "doc_id", "n_shingles", "component_id") == [(1, 20, 1), (2, 20, 2), (3, 21, 1)]
+
+
+def test_partial_overlaps_of_rare_and_common_shingles():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool[: rng.integers(5, 400)], rng.integers(0, 60))) for _ in range(40)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[10:]] for a in sets]
+    assert ngram_join._counts(sets, sets[10:]).tolist() == want
+
+
+def test_fragments_are_ranges_of_the_order():
+    tokens = np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64)
+    order = ngram_join.Order(tokens[:300], np.random.default_rng(4).integers(10, 90, 300))
+    by = np.lexsort((tokens, order.rank(tokens)))
+    parts = order.fragment(tokens[by])
+    assert (np.diff(parts) >= 0).all() and set(parts.tolist()) == {0, 2, 3}
 
 
 def test_near_duplicates_of_nothing(nothing):
@@ -123,7 +176,7 @@ def test_near_duplicates_of_nothing(nothing):
 
 def test_one_row_of_each_component_stays(spark):
     rows = family(spark, 20, 3)
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
+    df = spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id long, text string, component_id string, __af_keep int")
     keep = {c for _, _, c in near_reference(rows)}
     kept = ngram_join.drop_near_duplicates(df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == keep
@@ -154,9 +207,8 @@ def pair_reference(rows, percent=75):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("small,block", [(24, 1000), (8, 7), (1, 3)])
-def test_every_link_of_a_large_family_is_verified(spark, monkeypatch, small, block):
-    monkeypatch.setattr(ngram_join, "SMALL", small)
+@pytest.mark.parametrize("block", [1000, 7])
+def test_every_link_of_a_large_family_is_verified(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
     rng = random.Random(4)
     base = [f"w{rng.randint(0, 500)}" for _ in range(90)]
