@@ -1,18 +1,20 @@
 """Jaccard self-join on word shingles by vertical partitioning.
 
 1. Sets are reduced to classes: texts with equal shingle sets are one member from here on,
-   however many copies there are. The sets are written once and read by the later passes.
-2. One global order holds for all shingles: by how often slices of the input repeat them
-   (summed over the whole input), then by hash. Rare shingles come first.
-3. Linked sets share a shingle of their prefixes in that order. Prefixes are dealt by shingle
-   to owners. The least class that holds a shingle leads it, and all sets of the shingle join
-   the group of that leader: a family of near copies shares dozens of prefix shingles, but
-   few leaders, so each set joins few groups and two linked sets have a group in common.
-   No pair is made here; rows are linear in the prefixes.
-4. Groups are cut into blocks, and every pair of blocks is a unit of bounded size. The global
-   order is cut into FRAGMENTS ranges. Each (unit, fragment) counts the partial overlaps of
-   its sets apart from all others and gives one matrix of counts; the matrices of a unit are
-   summed per pair, which tests the Jaccard bound exactly.
+   however many copies there are.
+2. All shingles are dealt by their hash to owners, packed by slices of the sets. Owners count
+   the classes that hold a shingle and send back those that two or more hold. That gives one
+   global order: the binary magnitude of the count, then the hash; shingles of one class
+   come first and need not be named. A table of at most 64 magnitudes cuts the order into
+   FRAGMENTS ranges of equal size.
+3. Linked sets share a shingle of their prefixes in that order. The least class that holds a
+   shingle in its prefix leads it, and all sets of the shingle join the group of that leader:
+   a family of near copies shares dozens of prefix shingles, but few leaders, so each set
+   joins few groups and two linked sets have a group in common. No pair is made here.
+4. Groups are cut into blocks, and every pair of blocks is a unit of bounded size. Each
+   (unit, fragment) counts the partial overlaps of its sets apart from all others and gives
+   one matrix of counts; the matrices of a unit are summed per pair, which tests the Jaccard
+   bound exactly.
 5. A pair with several common groups counts in that of the least leader. Units return the
    number of links of each set and a forest of what they connect, or, on demand, every pair.
 
@@ -36,28 +38,27 @@ from arcframe.llm.fragments import slices
 from arcframe.llm.shingles import WORDS, shingle_sets
 
 PERCENT = 75
-#: Ranges of the global order: so many of rare shingles, and of common ones.
-RARE, FREQUENT = 2, 2
-FRAGMENTS = RARE + FREQUENT
-#: A slice tells a shingle that so many of its sets hold; the order knows those of this total.
-TOLD, COMMON = 3, 10
-#: Common shingles that the order tells apart at most (16 bytes each); the rest tie.
-ORDER_ROWS = 1 << 18
+#: Ranges of the global order.
+FRAGMENTS = 4
+#: A slice tells a shingle that so many of its sets hold; that finds the hot ones.
+TOLD = 3
+#: Hot shingles that are dealt to more than one owner at most (16 bytes each).
+HOT_ROWS = 1 << 18
 #: Members and shingles of a block; in groups of more than 16 blocks they grow up to 4 times.
 BLOCK_ROWS, BLOCK_TOKENS = 500, 1 << 19
-#: Prefix entries of one owner in the mean, and members of one part of a very common shingle.
+#: Shingles of one owner in the mean, and members of one part of a hot shingle.
 OWNER_ROWS, PART_ROWS = 1 << 20, 20_000
-#: Sets whose prefixes a task packs together.
-PACK_SETS = 8_000
+#: Sets and shingles that a task packs together.
+PACK_SETS, PACK_SHINGLES = 60_000, 1 << 21
 #: Shingles and pairs of the units that one group of rows counts, in the mean.
-PACK_TOKENS, PACK_PAIRS = 1 << 21, 1 << 22
+UNIT_TOKENS, UNIT_PAIRS = 1 << 21, 1 << 22
 #: Work of one step of a count in a unit: pairs that meet in a shingle, and shingles of a product of matrices.
 STEP_PAIRS, STEP_TOKENS = 1 << 20, 512
-BROADCAST_ROWS = 200_000
 
-FACTS = "kind int, id {kind}, n long, class long, high long, tokens binary"
+FACTS = "kind int, id {kind}, n long, class long, high long"
 SENT = "owner int, n_sets int, body binary"
-FOUND = "bucket long, leader long, class long, n int"
+BACK = "home int, n_sets int, body binary, magnitude int, entries long"
+REDUCED = "class long, n long, prefix array<long>, segments array<binary>"
 UNIT = ["leader", "p", "q"]
 PARTIAL = "pack long, leader long, p int, q int, fragment int, counts binary"
 OUT = "kind int, a long, b long, na long, nb long, n long"
@@ -70,21 +71,17 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _facts(width: int):
-    """(id, text) -> kind 0: id, set size, class and set; kind 1: a shingle and its sets in a slice (n).
-
-    The set itself stands at the first row of its class in a slice.
-    """
+    """(id, text) -> kind 0: id, set size, class; kind 1: a shingle and its sets in a slice (n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for lo, hi in slices(batch.column(1)):
-                pairs, sizes, bodies, seen = [], [], [], {}
+                pairs, sizes, seen = [], [], {}
                 for tokens in shingle_sets(batch.column(1).slice(lo, hi - lo), width):
                     pair = _digest(tokens)
                     pairs.append(pair)
                     sizes.append(len(tokens))
-                    bodies.append(tokens.tobytes() if len(tokens) and pair not in seen else None)
                     seen[pair] = tokens
                 values, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
                 told = counts >= TOLD
@@ -98,148 +95,169 @@ def _facts(width: int):
                         pa.array(np.concatenate([sizes, counts]).astype(np.int64)),
                         pa.array(np.concatenate([own[:, 0], values])),
                         pa.array(np.concatenate([own[:, 1], np.zeros(m, np.int64)])),
-                        pa.concat_arrays([pa.array(bodies, pa.binary()), pa.nulls(m, pa.binary())]),
                     ],
-                    names=["kind", "id", "n", "class", "high", "tokens"],
+                    names=["kind", "id", "n", "class", "high"],
                 )
 
     return run
 
 
-class Order:
-    """The global order of shingles: count of common ones (0 for all others), then hash; cut into ranges."""
+class Hot:
+    """Shingles of so many sets that several owners share each of them, with those told."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        cut = np.lexsort((tokens, counts))
-        share = np.cumsum(counts[cut], dtype=np.float64) / max(1, counts.sum())
-        part = np.empty(len(cut), np.int64)
-        part[cut] = np.minimum((share * FREQUENT).astype(np.int64), FREQUENT - 1)
         by = np.argsort(tokens)
-        self.tokens, self.counts, self.part = tokens[by], counts[by], RARE + part[by]
-
-    def _find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.tokens):
-            return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        return at, self.tokens[at] == tokens
+        self.tokens, self.counts = tokens[by], counts[by]
 
-    def rank(self, tokens: np.ndarray) -> np.ndarray:
-        at, known = self._find(tokens)
+    def told(self, tokens: np.ndarray) -> np.ndarray:
+        """Sets told of each shingle, 0 where it is not hot."""
         out = np.zeros(len(tokens), np.int64)
-        out[known] = self.counts[at[known]]
-        return out
-
-    def fragment(self, tokens: np.ndarray) -> np.ndarray:
-        """The range of each shingle: rare ones by their hash, common ones by equal shares of all counts."""
-        at, known = self._find(tokens)
-        out = ((tokens >> np.uint64(32)) * np.uint64(RARE) >> np.uint64(32)).astype(np.int64)
-        out[known] = self.part[at[known]]
+        if len(self.tokens):
+            at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+            known = self.tokens[at] == tokens
+            out[known] = self.counts[at[known]]
         return out
 
 
-def global_order(facts: DataFrame) -> Order:
-    rows = (
-        facts.where("kind = 1")
-        .groupBy("class")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= COMMON)
-        .orderBy(F.desc("n"), "class")
-        .limit(ORDER_ROWS)
-        .toPandas()
-    )
-    return Order(rows["class"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
+def hot_shingles(facts: DataFrame) -> Hot:
+    told = facts.where("kind = 1").groupBy("class").agg(F.sum("n").alias("n"))
+    rows = told.where(F.col("n") >= PART_ROWS).orderBy(F.desc("n"), "class").limit(HOT_ROWS).toPandas()
+    return Hot(rows["class"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
+def prefix_length(n, percent: int = PERCENT):
     """Shingles of a set of n of which every partner shares one at least."""
     return n - -(-n * percent // 100) + 1
 
 
-def _prefixes(order, owners: int, percent: int):
-    """(class, set) -> packed prefixes by owner: classes, sizes, tokens and each token's set."""
-    shift = np.uint64(64 - (owners - 1).bit_length()) if owners > 1 else None
+def _bits(n: int) -> np.uint64:
+    """The shift that leaves a number below n (a power of two) of a 64-bit hash."""
+    return np.uint64(65 - n.bit_length())
 
-    def pack(sets: dict[int, tuple[int, np.ndarray]]):
-        known = order.value
-        classes = np.array(list(sets), np.int64)
-        sizes = np.array([n for n, _ in sets.values()], np.int32)
-        tokens = np.concatenate([t for _, t in sets.values()])
-        index = np.repeat(np.arange(len(sets)), [len(t) for _, t in sets.values()])
-        owner = (tokens >> shift).astype(np.int64) if shift is not None else np.zeros(len(tokens), np.int64)
-        parts = known.rank(tokens) // PART_ROWS + 1
+
+def _pack(keys: np.ndarray, classes: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(key, sets, body) for each run of equal keys; byte planes of sorted tokens compress well."""
+    cuts = np.flatnonzero(np.diff(keys)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(keys)]) if len(keys) else ():
+        used, first, local = np.unique(classes[lo:hi], return_index=True, return_inverse=True)
+        body = [used.tobytes(), sizes[lo:hi][first].astype("<i4").tobytes(), tokens[lo:hi].view(np.uint8).reshape(-1, 8).T.tobytes()]
+        body += [local.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), *(x[lo:hi].tobytes() for x in more)]
+        yield int(keys[lo]), len(used), b"".join(body)
+
+
+def _unpack(n_sets, bodies, more: int) -> list[np.ndarray]:
+    """Class, size and token of each entry, and as many arrays of bytes as _pack() was given more."""
+    out = []
+    for n, body in zip(n_sets, bodies):
+        kind = "<u2" if n <= 1 << 16 else "<u4"
+        wide = np.dtype(kind).itemsize
+        m = (len(body) - 12 * n) // (8 + wide + more)
+        local = np.frombuffer(body, kind, m, 12 * n + 8 * m)
+        tokens = np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * m, 12 * n).reshape(8, m).T).view("<u8")[:, 0]
+        rest = [np.frombuffer(body, np.uint8, m, 12 * n + (8 + wide + i) * m) for i in range(more)]
+        out.append((np.frombuffer(body, "<i8", n)[local], np.frombuffer(body, "<i4", n, 8 * n)[local].astype(np.int64), tokens, *rest))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def _sets(hot, moved: dict[tuple[int, int], int], owners: int, width: int):
+    """(text) -> whole sets by owner of their shingles, packed; a class once in a pack."""
+
+    def pack(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        each = [len(t) for t in sets.values()]
+        tokens = np.concatenate(list(sets.values()))
+        by = np.argsort(tokens)
+        tokens = tokens[by]
+        classes, sizes = (np.repeat(np.array(x, np.int64), each)[by] for x in (list(sets), each))
+        owner = (tokens >> _bits(owners)).astype(np.int64)
+        parts = hot.value.told(tokens) // PART_ROWS + 1
         split = parts > 1
-        owner[split] = (owner[split] + (classes[index[split]] & 0x7FFFFFFF) % parts[split]) % owners
-        by = np.argsort(owner, kind="stable")
-        owner, tokens, index = owner[by], tokens[by], index[by]
-        rows = []
-        cuts = np.flatnonzero(np.diff(owner)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(owner)]):
-            used, local = np.unique(index[lo:hi], return_inverse=True)
-            body = b"".join([classes[used].tobytes(), sizes[used].tobytes(), tokens[lo:hi].tobytes(), local.astype("<u2").tobytes()])
-            rows.append((int(owner[lo]), len(used), body))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["owner", "n_sets", "body"])
+        if split.any():
+            owner[split] = (owner[split] + (classes[split] & 0x7FFFFFFF) % parts[split]) % owners
+            by = np.argsort(owner, kind="stable")
+            owner, classes, sizes, tokens = owner[by], classes[by], sizes[by], tokens[by]
+        rows = zip(*_pack(owner, classes, sizes, tokens))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int32(), pa.binary()))], names=["owner", "n_sets", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sets = order.value, {}
+        sets, held = {}, 0
         for batch in batches:
-            for own, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if own not in sets:
-                    tokens = np.frombuffer(body.as_buffer(), "<u8")
-                    first = prefix_length(len(tokens), percent)
-                    by = np.lexsort((tokens, known.rank(tokens)))[:first]
-                    sets[own] = (len(tokens), tokens[by])
-                if len(sets) >= PACK_SETS:
-                    yield pack(sets)
-                    sets = {}
+            for lo, hi in slices(batch.column(0)):
+                for tokens in shingle_sets(batch.column(0).slice(lo, hi - lo), width):
+                    if len(tokens):
+                        pair = _digest(tokens)
+                        own = moved.get(pair, pair[0])
+                        if own not in sets:
+                            sets[own] = tokens
+                            held += len(tokens)
+                    if len(sets) >= PACK_SETS or held >= PACK_SHINGLES:
+                        yield pack(sets)
+                        sets, held = {}, 0
         if sets:
             yield pack(sets)
 
     return run
 
 
-def _buckets(order):
-    """Packed prefixes of one owner -> (leader, class, n), once each, of shingles of two sets or more.
-
-    The sets of a shingle that is split over owners come with the shingle (bucket) and no leader.
-    """
+def _shared(hot, homes: int):
+    """Packed sets of one owner -> shingles of two classes or more with the magnitude of their
+    count, packed by home of the class, and how many entries each magnitude has."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        classes, sizes, tokens = [], [], []
-        for n, body in zip(rows["n_sets"], rows["body"]):
-            m = (len(body) - 12 * n) // 10
-            own = np.frombuffer(body, "<i8", n)
-            own_sizes = np.frombuffer(body, "<i4", n, 8 * n)
-            local = np.frombuffer(body, "<u2", m, 12 * n + 8 * m)
-            tokens.append(np.frombuffer(body, "<u8", m, 12 * n))
-            classes.append(own[local])
-            sizes.append(own_sizes[local])
-        tokens, classes, sizes = map(np.concatenate, (tokens, classes, sizes))
+        classes, sizes, tokens = _unpack(rows["n_sets"], rows["body"], 0)
         by = np.lexsort((classes, tokens))
-        tokens, classes, sizes = tokens[by], classes[by], sizes[by]
-        begin = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        count = np.diff(np.r_[begin, len(tokens)])
-        split = np.repeat(order.value.rank(tokens[begin]) >= PART_ROWS, count)
-        leaders = np.repeat(classes[begin], count)
-        shared = (np.repeat(classes[begin + count - 1], count) != leaders) & ~split
-        one = pd.DataFrame({"bucket": 0, "leader": leaders[shared], "class": classes[shared], "n": sizes[shared]}).drop_duplicates()
-        two = pd.DataFrame({"bucket": tokens[split].view(np.int64), "leader": None, "class": classes[split], "n": sizes[split]}).drop_duplicates()
-        return pd.concat([one.astype({"leader": "Int64"}), two.astype({"leader": "Int64"})], ignore_index=True)
+        classes, sizes, tokens = classes[by], sizes[by], tokens[by]
+        fresh = np.append(True, (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1]))
+        classes, sizes, tokens = classes[fresh], sizes[fresh], tokens[fresh]
+        begin = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        count = np.diff(np.append(begin, len(tokens)))
+        told = hot.value.told(tokens[begin])
+        magnitude = np.repeat(np.frexp(np.where(told > 0, told, count))[1], count).astype(np.uint8)
+        keep = magnitude > 1
+        classes, sizes, tokens, magnitude = classes[keep], sizes[keep], tokens[keep], magnitude[keep]
+        home = (classes.view(np.uint64) >> _bits(homes)).astype(np.int64)
+        by = np.argsort(home, kind="stable")
+        out = [(*x, None, None) for x in _pack(home[by], classes[by], sizes[by], tokens[by], magnitude[by])]
+        kinds, entries = np.unique(magnitude, return_counts=True)
+        out += [(None, None, None, k, n) for k, n in zip(kinds.tolist(), entries.tolist())]
+        return pd.DataFrame(out, columns=["home", "n_sets", "body", "magnitude", "entries"]).astype({k: "Int64" for k in ("home", "n_sets", "magnitude", "entries")})
 
     return run
 
 
-def _segments(order):
-    """(class, set) -> class and its set cut into the ranges of the global order."""
+class Cuts:
+    """Ranges of the global order (magnitude, then hash) with equal numbers of entries."""
+
+    def __init__(self, entries: dict[int, int]):
+        share = np.zeros(65)
+        for magnitude, n in entries.items():
+            share[magnitude] = n
+        self.share = share / max(1.0, share.sum())
+        self.before = np.cumsum(self.share) - self.share
+
+    def fragment(self, tokens: np.ndarray, magnitudes: np.ndarray) -> np.ndarray:
+        place = self.before[magnitudes] + self.share[magnitudes] * (tokens / 2.0**64)
+        return np.minimum((place * FRAGMENTS).astype(np.int64), FRAGMENTS - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = order.value
-        for batch in batches:
-            cut = []
-            for body in batch.column(1):
-                tokens = np.frombuffer(body.as_buffer(), "<u8")
-                part = known.fragment(tokens)
-                cut.append([tokens[part == f].tobytes() for f in range(FRAGMENTS)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.binary()))], names=["class", "segments"])
+
+def _reduced(cuts: Cuts, percent: int):
+    """Shared shingles of the classes of one home -> each class with a shared shingle in its prefix:
+    that part of the prefix, and its shared shingles by ranges of the global order."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        classes, sizes, tokens, magnitude = _unpack(rows["n_sets"], rows["body"], 1)
+        by = np.lexsort((tokens, magnitude, classes))
+        classes, sizes, tokens = classes[by], sizes[by], tokens[by]
+        part = cuts.fragment(tokens, magnitude[by])
+        begin = np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))
+        end = np.append(begin[1:], len(classes))
+        first = prefix_length(sizes[begin], percent) - sizes[begin] + end - begin
+        out = []
+        for lo, hi, k in zip(begin, end, first):
+            if k > 0:
+                edges = lo + np.searchsorted(part[lo:hi], np.arange(FRAGMENTS + 1))
+                segments = [np.sort(tokens[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:])]
+                out.append((classes[lo], sizes[lo], tokens[lo : lo + k].view(np.int64), segments))
+        return pd.DataFrame(out, columns=["class", "n", "prefix", "segments"])
 
     return run
 
@@ -368,30 +386,31 @@ def _links(percent: int, every: bool):
     return run
 
 
-def _numbered(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts, one row a class); the rare sets that share 64 bits of their digest get another number."""
+def _numbered(facts: DataFrame) -> tuple[DataFrame, DataFrame, dict[tuple[int, int], int]]:
+    """(facts, one row a class, new numbers of the rare sets that share 64 bits of their digest)."""
+    moved: dict[tuple[int, int], int] = {}
     while True:
         sets = facts.where("kind = 0 and n > 0")
-        classes = written(
-            sets.groupBy("class").agg(F.min("id").alias("id"), F.min("high").alias("lo"), F.max("high").alias("hi")), "classes"
-        )
+        classes = sets.groupBy("class").agg(F.min("id").alias("id"), F.min("high").alias("lo"), F.max("high").alias("hi"))
+        classes = written(classes, "classes")
         clashes = classes.where("lo <> hi").select("class", "lo")
         if clashes.isEmpty():
-            return facts, classes.select("class", "id")
+            return facts, classes.select("class", "id"), moved
         other = (F.col("kind") == 0) & F.col("lo").isNotNull() & (F.col("high") != F.col("lo"))
-        moved = F.when(other, F.xxhash64("class", "high")).otherwise(F.col("class"))
-        facts = written(facts.join(clashes, "class", "left").withColumn("class", moved).drop("lo"), "shingle-facts")
+        named = facts.join(clashes, "class", "left").withColumn("other", F.when(other, F.xxhash64("class", "high")))
+        named = written(named, "shingle-facts")
+        old = {new: pair for pair, new in moved.items()}
+        for low, high, new in named.where("other is not null").select("class", "high", "other").distinct().collect():
+            moved[(old[low][0] if low in old else low, high)] = new
+        facts = named.withColumn("class", F.coalesce("other", "class")).drop("other", "lo")
 
 
-def _members(found: DataFrame) -> DataFrame:
+def _members(reduced: DataFrame) -> DataFrame:
     """(leader, class, n), once each, where the group has two classes or more, with the group's blocks."""
-    split = found.where("leader is null")
-    leads = split.groupBy("bucket").agg(F.min("class").alias("leader"))
-    named = found.where("leader is not null").select("leader", "class", "n").unionByName(
-        split.select("bucket", "class", "n").join(leads, "bucket").select("leader", "class", "n")
-    )
-    members = written(named.distinct(), "members")
-    groups = members.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens")).where("m > 1")
+    entries = reduced.select("class", "n", F.explode("prefix").alias("token"))
+    leads = entries.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last")).where("leader <> last")
+    members = written(entries.join(leads, "token").select("leader", "class", "n").distinct(), "members")
+    groups = members.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"))
     least = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("tokens") / BLOCK_TOKENS))
     blocks = F.when(least <= 16, least).otherwise(F.greatest(F.lit(16), F.ceil(least / 4))).cast("int")
     return members.join(groups.select("leader", blocks.alias("blocks")), "leader")
@@ -402,31 +421,28 @@ def _join(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int,
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    facts, classes = _numbered(written(texts.mapInArrow(_facts(width), FACTS.format(kind=kind)), "shingle-facts"))
-    sets = facts.where("tokens is not null").select("class", "tokens")
-    order = spark.sparkContext.broadcast(global_order(facts))
+    facts, classes, moved = _numbered(written(texts.mapInArrow(_facts(width), FACTS.format(kind=kind)), "shingle-facts"))
+    hot = spark.sparkContext.broadcast(hot_shingles(facts))
     total = facts.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    owners = max(2, shuffle_width(spark), total * (100 - percent) // 100 // OWNER_ROWS)
+    owners = max(2, shuffle_width(spark), total // OWNER_ROWS)
     owners = 1 << (owners - 1).bit_length()
-    sent = sets.mapInArrow(_prefixes(order, owners, percent), SENT)
-    found = written(sent.groupBy("owner").applyInPandas(_buckets(order), FOUND), "buckets")
-    members = written(_members(found), "grouped")
-
-    wanted = written(members.groupBy("class").agg(F.collect_set("leader").alias("leaders")), "wanted")
-    own = wanted.select("class")
-    side = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
-    segments = sets.join(side, "class", "left_semi").mapInArrow(_segments(order), "class long, segments array<binary>")
-    segments = segments.groupBy("class").agg(F.first("segments").alias("segments"))
+    sent = texts.select("text").mapInArrow(_sets(hot, moved, owners, width), SENT)
+    back = written(sent.groupBy("owner").applyInPandas(_shared(hot, owners), BACK), "shared-shingles")
+    cuts = Cuts(dict(back.where("home is null").groupBy("magnitude").agg(F.sum("entries")).collect()))
+    reduced = written(back.where("home is not null").groupBy("home").applyInPandas(_reduced(cuts, percent), REDUCED), "reduced-sets")
+    members = written(_members(reduced), "grouped")
 
+    wanted = members.groupBy("class").agg(F.collect_set("leader").alias("leaders"))
     block = F.pmod(F.xxhash64("class", "leader"), F.col("blocks")).cast("int")
     dealt = members.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         "leader", "class", "n", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side")
     )
     load = members.agg(F.sum(F.col("n").cast("long") * F.col("blocks")).alias("tokens"), F.sum(F.lit(BLOCK_ROWS) * F.col("blocks")).alias("pairs")).first()
-    packs = max(shuffle_width(spark), (load["tokens"] or 0) // PACK_TOKENS, (load["pairs"] or 0) // PACK_PAIRS)
+    packs = max(shuffle_width(spark), (load["tokens"] or 0) // UNIT_TOKENS, (load["pairs"] or 0) // UNIT_PAIRS)
     dealt = written(dealt.withColumn("pack", F.pmod(F.xxhash64(*UNIT), F.lit(packs))), "units")
 
+    segments = reduced.select("class", "segments")
     bodies = dealt.join(segments, "class").select("pack", *UNIT, "side", "class", F.posexplode("segments").alias("fragment", "segment"))
     partial = bodies.groupBy("pack", "fragment").applyInPandas(_partial, PARTIAL)
     rows = dealt.join(wanted, "class")

@@ -124,7 +124,7 @@ def degrees(rows):
 def test_large_families_of_near_copies(spark, monkeypatch, block, part):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
     monkeypatch.setattr(ngram_join, "PART_ROWS", part)
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "TOLD", 1)
     rows = family(spark, 40, 1) + [(5000 + i, t) for i, t in family(spark, 30, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     found = ngram_join.near_duplicate_components(df).cache()
@@ -163,11 +163,11 @@ def test_partial_overlaps_of_rare_and_common_shingles():
 
 
 def test_fragments_are_ranges_of_the_order():
-    tokens = np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64)
-    order = ngram_join.Order(tokens[:300], np.random.default_rng(4).integers(10, 90, 300))
-    by = np.lexsort((tokens, order.rank(tokens)))
-    parts = order.fragment(tokens[by])
-    assert (np.diff(parts) >= 0).all() and set(parts.tolist()) == {0, 2, 3}
+    rng = np.random.default_rng(3)
+    tokens, magnitude = rng.integers(0, 1 << 63, 5000).astype(np.uint64) * 2, rng.integers(2, 9, 5000)
+    cuts = ngram_join.Cuts(dict(zip(*np.unique(magnitude, return_counts=True))))
+    parts = cuts.fragment(tokens, magnitude)[np.lexsort((tokens, magnitude))]
+    assert (np.diff(parts) >= 0).all() and np.bincount(parts).min() > 1100 and len(np.bincount(parts)) == 4
 
 
 def test_near_duplicates_of_nothing(nothing):
