@@ -10,14 +10,20 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def sha1_base32(value: Column) -> Column:
-    """SHA-1 in upper-case base32 (32 characters): eight groups of 20 bits, four letters each."""
-    hexed = F.sha1(value.cast("binary"))
-    letters = []
-    for group in range(8):
-        number = F.conv(F.substring(hexed, 5 * group + 1, 5), 16, 10).cast("int")
-        for shift in (15, 10, 5, 0):
-            letters.append(F.substring(F.lit(BASE32), F.shiftright(number, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)))
-    return F.concat(*letters)
+    """SHA-1 in upper-case base32 (32 characters): eight groups of 20 bits, four letters each.
+
+    The digest is bound once, as the element of an array, and stands once in the plan.
+    """
+
+    def spelled(hexed: Column) -> Column:
+        letters = []
+        for group in range(8):
+            number = F.conv(F.substring(hexed, F.lit(5 * group + 1), F.lit(5)), 16, 10).cast("int")
+            for shift in (15, 10, 5, 0):
+                letters.append(F.substring(F.lit(BASE32), F.shiftright(number, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)))
+        return F.concat(*letters)
+
+    return F.transform(F.array(F.sha1(value.cast("binary"))), spelled)[0]
 
 
 def md5_hex(value: Column) -> Column:

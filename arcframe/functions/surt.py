@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from arcframe.functions.text import after, before
+from arcframe.functions.text import after, before, is_absolute_url_start
+from arcframe.functions.url import resolve
 
 # Fixed value: hosts of a valid key.
 HOST_PATTERN = r"^[a-z]+,[\p{L}\p{M}0-9\-,]+$"
@@ -52,9 +53,15 @@ def surt_host(key: Column) -> Column:
 
 
 def surt_to_url(key: Column) -> Column:
-    """http URL of a key."""
+    """http URL of a key; what is a URL already stays."""
     host = F.array_join(F.reverse(F.split(F.regexp_replace(before(key, ")"), ",$", ""), ",")), ".")
-    return F.concat(F.lit("http://"), host, F.when(F.locate(")", key) > 0, after(key, ")")).otherwise(""))
+    url = F.concat(F.lit("http://"), host, F.when(F.locate(")", key) > 0, after(key, ")")).otherwise(""))
+    return F.when(is_absolute_url_start(key), key).otherwise(url)
+
+
+def surt_from_base(link: Column, base: Column) -> Column:
+    """Key of a link that is resolved against a base, a URL or key."""
+    return surt(resolve(surt_to_url(base), link))
 
 
 def is_valid_host(host: Column) -> Column:
@@ -64,10 +71,21 @@ def is_valid_host(host: Column) -> Column:
     return host.rlike(HOST_PATTERN) & ~host.contains("--") & sound
 
 
-def url_prefixes(url: Column, subdomains: bool = True) -> Column:
-    """Key prefixes that cover a URL: the site's subdomains, and its path with each delimiter and port."""
-    host = reversed_host(url_host(url))
-    path = F.regexp_extract(F.regexp_replace(url, r"^(?i)[a-z][a-z0-9+.\-]*://", ""), r"^[^/?#]*/?([^?#]*)", 1)
-    whole = [F.concat(host, F.lit(f"{port})/"), path, F.lit(end)) for port in ("", ":80", ":443") for end in (" ", "?", "#", "/")]
-    site = [F.concat(host, F.lit(","))] if subdomains else []
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array(*site, *whole)))
+def url_prefixes(url: Column, subdomains: bool = True, subpaths: bool = True) -> Column:
+    """Key prefixes that cover a URL.
+
+    With a path: the site's key with each default port, the path and each delimiter that can
+    follow it (only the end of the key where the path has a query). Without one: the site
+    with each port and, on demand, its subdomains. A site with a port has that port only.
+    """
+    key = surt(F.when(is_absolute_url_start(url), url).otherwise(F.concat(F.lit("http://"), url)))
+    site, path = F.trim(before(key, ")")), F.when(F.locate(")", key) > 0, F.trim(after(key, ")"))).otherwise("")
+    path = F.regexp_replace(F.regexp_replace(path, "^/", ""), "/$", "")
+    ports = F.when(site.contains(":"), F.array(F.lit(""))).otherwise(F.array(*[F.lit(p) for p in ("", ":80", ":443")]))
+    ends = [" ", "?", "#", "/" if subpaths else "/ "]
+    own = F.when(path.contains("?") | path.contains("#"), F.array(F.lit(" "))).otherwise(F.array(*[F.lit(e) for e in ends]))
+    whole = F.flatten(F.transform(ports, lambda p: F.transform(own, lambda e: F.concat(site, p, F.lit(")/"), path, e))))
+    bare = F.transform(ports, lambda p: F.concat(site, p, F.lit(")")))
+    if subdomains:
+        bare = F.when(site.contains(":"), bare).otherwise(F.concat(bare, F.array(F.concat(site, F.lit(",")))))
+    return F.when(site == "", F.array().cast("array<string>")).otherwise(F.when(path == "", bare).otherwise(whole))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Byte units, 1024 apart.
+from arcframe.session import stored
+
+# Characters of a word that is dropped, and byte units, 1024 apart.
+LONG_WORD = 100
 UNITS = ("bytes", "KB", "MB", "GB", "TB", "PB")
 
 
@@ -32,8 +37,8 @@ def remove_long_words(text: Column, longest: int) -> Column:
 
 
 def clean_latin(text: Column) -> Column:
-    """Latin letters, digits and common punctuation stay; all else becomes a space."""
-    return one_line(F.regexp_replace(text, r"[^\p{IsLatin}\p{M}0-9.,;:!?'\"()\-\s]+", " "))
+    """Latin letters, digits and common punctuation stay, all else becomes a space; long words go."""
+    return trim_lines(F.regexp_replace(remove_long_words(text, LONG_WORD), r"[^\p{IsLatin}0-9\s.,!?'\"()\-&;]+", " "))
 
 
 def strip_prefix(text: Column, prefix: str) -> Column:
@@ -50,9 +55,10 @@ def strip_suffix(text: Column, suffix: str) -> Column:
 
 
 def strip_bracket(text: Column, left: str, right: str) -> Column:
-    """text without one pair of brackets around it."""
-    both = text.startswith(left) & text.endswith(right) & (F.char_length(text) >= len(left) + len(right))
-    inner = F.substring(text, F.lit(len(left) + 1), F.char_length(text) - len(left) - len(right))
+    """text without one pair of brackets around it, whatever their case; one mark can be both."""
+    low = F.lower(text)
+    both = low.startswith(left.lower()) & low.endswith(right.lower())
+    inner = F.substring(text, F.lit(len(left) + 1), F.greatest(F.char_length(text) - len(left) - len(right), F.lit(0)))
     return F.when(both, inner).otherwise(text)
 
 
@@ -95,21 +101,31 @@ def format_bytes(size: Column) -> Column:
 
 
 def is_absolute_url_start(text: Column) -> Column:
-    return text.rlike(r"^(?i)([a-z]+:|//)")
+    return F.lower(text).rlike(r"\A[a-z]+:.*\z")
 
 
 def has_word_character(text: Column) -> Column:
-    return text.rlike(r"[\p{L}\p{M}0-9]")
+    """Whether there is a letter or mark; digits are none."""
+    return text.rlike(r"[\p{L}\p{M}]")
 
 
 def split_limited(text: Column, pattern: str, limit: int) -> Column:
-    """At most limit parts; an empty last part is dropped."""
+    """At most limit parts; an empty last part is dropped where there are fewer."""
     parts = F.split(text, pattern, limit)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-
-
-def to_fixpoint(text: Column, step, most: int = 8) -> Column:
-    """step applied up to most times; a further application is only made where it changes text."""
-    for _ in range(most):
-        text = step(text)
-    return text
+    cut = (F.element_at(parts, -1) == "") & (F.size(parts) < limit) & (text != "")
+    return F.when(cut, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def to_fixpoint(df: DataFrame, column: str, step) -> DataFrame:
+    """df with step applied to the column until no value changes, however often that takes.
+
+    Each round is written to the shared folder; only rows that still change take part in it.
+    """
+    done, rest = [], df.withColumn("__before", F.lit(None).cast("string"))
+    while True:
+        rest = stored(rest.withColumn("__before", F.col(column)).withColumn(column, step(F.col(column))), "fixpoint")
+        moved = ~F.col(column).eqNullSafe(F.col("__before"))
+        done.append(rest.where(~moved).drop("__before"))
+        rest = rest.where(moved)
+        if rest.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), done)

@@ -26,10 +26,10 @@ def decode(text: Column) -> Column:
 
 def resolve_one(base: str | None, link: str | None) -> str | None:
     """Absolute http(s) or ftp URL of a link, white space escaped; none for other schemes."""
-    if not base or link is None:
+    if link is None or not (base or ABSOLUTE.match(link.strip())):
         return None
     try:
-        found = urljoin(base, link.strip())
+        found = urljoin(base or "", link.strip())
     except ValueError:
         return None
     if not KEPT.match(found):

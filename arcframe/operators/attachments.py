@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AVAILABLE, MISMATCH, UNAVAILABLE, MALFORMED, NOT_PARSABLE = "Available", "ChecksumMismatch", "Unavailable", "Malformed", "NotParsable"
@@ -14,10 +16,12 @@ def attachment_path(path: str, name: str) -> str:
     return f"{path.removesuffix('.gz')}.{name}.att.gz"
 
 
-def aligned(records: DataFrame, side: DataFrame) -> DataFrame:
+def aligned(records: DataFrame, side: DataFrame, parse: Callable[[Column], Column] = lambda content: content) -> DataFrame:
     """(file, line_no, checksum, content, status): records joined with the side line of their number.
 
     The plain path: both sides carry (file, line_no) and a blank line holds a record's slot.
+    content is what follows the side line's checksum, on a mismatch too, and the whole line
+    where it is malformed. parse gives null for content that cannot be parsed.
     """
     r = records.select("file", "line_no", F.col("checksum").alias("own"))
     s = side.select("file", "line_no", "line")
@@ -26,21 +30,30 @@ def aligned(records: DataFrame, side: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("line").isNull() | (F.trim("line") == ""), UNAVAILABLE)
         .when(rest.isNull(), MALFORMED)
+        .when(parse(rest).isNull(), NOT_PARSABLE)
         .when(head != F.col("own"), MISMATCH)
         .otherwise(AVAILABLE)
     )
-    return joined.select("file", "line_no", F.col("own").alias("checksum"), F.when(status == AVAILABLE, rest).alias("content"), status.alias("status"))
+    content = F.when(status == MALFORMED, F.col("line")).when(status != UNAVAILABLE, rest)
+    return joined.select("file", "line_no", F.col("own").alias("checksum"), content.alias("content"), status.alias("status"))
 
 
-def zipped(records: DataFrame, side: DataFrame, advance_on_mismatch: bool = False) -> DataFrame:
+def zipped(records: DataFrame, side: DataFrame, advance_on_mismatch: bool = False, parse: Callable[[str], object] = str) -> DataFrame:
     """aligned() for side files that skip records: a line is used up only when it matches.
 
-    Comments (#) are skipped. One file is one sequence; a group is a file's (line_no,
+    Comments (#) are skipped; content that parse raises on is used up as not parsable. One file is one sequence; a group is a file's (line_no,
     checksum) rows and side lines.
     """
 
+    def parsable(content: str) -> bool:
+        try:
+            parse(content)
+            return True
+        except Exception:
+            return False
+
     def walk(own: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        queue = [x for x in lines.sort_values("side_no")["line"] if not str(x).startswith("#")]
+        queue = [x for x in lines.sort_values("side_no")["line"] if not str(x).strip().startswith("#")]
         at, out = 0, []
         for row in own.sort_values("line_no").itertuples():
             status, content = UNAVAILABLE, None
@@ -49,11 +62,13 @@ def zipped(records: DataFrame, side: DataFrame, advance_on_mismatch: bool = Fals
                 if not queue[at].strip():
                     at += 1
                 elif not sep:
-                    status, at = MALFORMED, at + 1
+                    status, content, at = MALFORMED, head, at + 1
+                elif not parsable(rest):
+                    status, content, at = NOT_PARSABLE, rest, at + 1
                 elif head == row.checksum:
                     status, content, at = AVAILABLE, rest, at + 1
                 else:
-                    status, at = MISMATCH, at + int(advance_on_mismatch)
+                    status, content, at = MISMATCH, rest, at + int(advance_on_mismatch)
             out.append((row.file, row.line_no, row.checksum, content, status))
         return pd.DataFrame(out, columns=["file", "line_no", "checksum", "content", "status"])
 

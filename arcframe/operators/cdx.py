@@ -7,24 +7,26 @@ from pyspark.sql import functions as F
 
 from arcframe.functions import digest, surt, time14
 from arcframe.operators.groups import first_per_key
-from arcframe.operators.joins import prefix_column
+from arcframe.operators.joins import prefix_match
 
 FIELDS = ("surt", "ts14", "url", "mime", "status", "digest", "redirect", "meta", "compressed_size")
 
 
-def parse(lines: DataFrame, column: str = "value") -> DataFrame:
-    """CDX columns of text lines; lines of fewer than seven or of exactly eight fields go.
+def parse(lines: DataFrame, column: str = "value", *kept: str) -> DataFrame:
+    """CDX columns of text lines, and the columns kept; lines of fewer than seven or of exactly eight fields go.
 
     Seven fields are the server layout (no redirect and meta); nine or more are the full
     one with extras. A bad status is -1; lines with a bad size go.
     """
-    f = F.split(F.col(column), "[ \\t]")
+    f = F.col("__fields")
     n = F.size(f)
+    lines = lines.select(*kept, F.explode(F.array(F.split(F.col(column), "[ \\t]"))).alias("__fields"))  # a generator is not copied into each field
     server = n == 7
     at = lambda i: F.get(f, F.lit(i))
     size = F.when(server, at(6)).otherwise(at(8))
     size = F.when(size == "-", F.lit("0")).otherwise(size).try_cast("long")
     out = lines.where((n == 7) | (n >= 9)).select(
+        *kept,
         at(0).alias("surt"),
         F.substring(F.regexp_replace(at(1), r"\D", ""), 1, 14).alias("ts14"),
         at(2).alias("url"),
@@ -56,19 +58,29 @@ def time() -> Column:
     return time14.parse(F.col("ts14"))
 
 
-def from_captures(captures: DataFrame) -> DataFrame:
-    """CDX columns of (url, ts14, mime, status, body)."""
+def body_keys(bodies: DataFrame) -> DataFrame:
+    """(url, body) rows with surt, digest and compressed_size in place of the body."""
     body = F.coalesce(F.col("body"), F.lit(""))
-    return captures.select(
-        surt.surt(F.col("url")).alias("surt"),
+    own = (surt.surt(F.col("url")).alias("surt"), digest.sha1_base32(body).alias("digest"), F.octet_length(body).cast("long").alias("compressed_size"))
+    return bodies.select("*", *own).drop("body")
+
+
+def from_captures(captures: DataFrame) -> DataFrame:
+    """CDX columns of (url, ts14, mime, status, body), or of rows with body_keys() in place of the body.
+
+    Many captures of one body should be joined to its keys: they are worked out once a body.
+    """
+    keyed = body_keys(captures) if "body" in captures.columns else captures
+    return keyed.select(
+        "surt",
         time14.fix(F.col("ts14")).alias("ts14"),
         "url",
         F.coalesce("mime", F.lit("-")).alias("mime"),
         F.coalesce("status", F.lit(-1)).alias("status"),
-        digest.sha1_base32(body).alias("digest"),
+        "digest",
         F.lit("-").alias("redirect"),
         F.lit("-").alias("meta"),
-        F.octet_length(body).cast("long").alias("compressed_size"),
+        "compressed_size",
         F.array().cast("array<string>").alias("extra"),
     )
 
@@ -87,6 +99,6 @@ def first_of_digest(cdx: DataFrame) -> DataFrame:
     return first_per_key(cdx, ["surt", "digest"], [F.col("ts14"), F.col("url")])
 
 
-def scan(cdx: DataFrame, prefixes: DataFrame, prefix: str = "prefix", longest: int = 256) -> DataFrame:
+def scan(cdx: DataFrame, prefixes: DataFrame, prefix: str = "prefix") -> DataFrame:
     """Captures whose key begins with a prefix, with the longest one as `matched`."""
-    return prefix_column(cdx, "surt", prefixes, prefix, longest).where("matched is not null")
+    return prefix_match(cdx, "surt", prefixes, prefix, inner=True)

@@ -6,7 +6,7 @@ import subprocess
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Frequent words by language, for the default detector.
@@ -32,18 +32,32 @@ def stop_word_language(tokens: Column) -> Column:
     return F.when(best["n"] > 0, best["lang"])
 
 
+def merged_blocks(blocks: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """(key, block, tokens): blocks of LEAST_TERMS terms or more, and runs of shorter ones as one block.
+
+    Blocks without a term are left out before; merged ones that are still short go.
+    """
+    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}0-9]+"), lambda t: t != "")
+    sized = blocks.select(key, order, tokens.alias("tokens")).withColumn("n", F.size("tokens")).where("n > 0")
+    w = Window.partitionBy(key).orderBy(order)
+    joins_last = (F.col("n") < LEAST_TERMS) & (F.lag("n").over(w) < LEAST_TERMS)
+    numbered = sized.withColumn("new", F.when(joins_last, 0).otherwise(1)).withColumn("block", F.sum("new").over(w))
+    merged = numbered.groupBy(key, "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "tokens"))), lambda x: x["tokens"])).alias("tokens"))
+    return merged.where(F.size("tokens") >= LEAST_TERMS)
+
+
 def block_languages(docs: DataFrame, key: str, text: str, detect: Callable[[Column], Column] = stop_word_language) -> DataFrame:
-    """(key, lang, share): languages of line blocks of ten terms or more, weighted by terms squared.
+    """(key, lang, share): languages of the merged line blocks, weighted by terms squared.
 
-    Shorter blocks are left out. detect maps a token array to a language or null.
+    Blocks whose language is not recognised count in the total. detect maps a token array to
+    a language or null.
     """
-    blocks = docs.select(key, F.explode(F.split(F.col(text), "\n")).alias("block"))
-    tokens = F.filter(F.split(F.lower("block"), r"[^\p{L}\p{M}0-9]+"), lambda t: t != "")
-    sized = blocks.select(key, tokens.alias("tokens")).where(F.size("tokens") >= LEAST_TERMS)
-    marked = sized.select(key, detect(F.col("tokens")).alias("lang"), F.pow(F.size("tokens").cast("double"), F.lit(2)).alias("weight"))
-    by = marked.where("lang is not null").groupBy(key, "lang").agg(F.sum("weight").alias("weight"))
+    lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+    weight = F.pow(F.size("tokens").cast("double"), F.lit(2))
+    marked = merged_blocks(lines, key, "line_no", "line").select(key, detect(F.col("tokens")).alias("lang"), weight.alias("weight"))
+    by = marked.groupBy(key, "lang").agg(F.sum("weight").alias("weight"))
     total = by.groupBy(key).agg(F.sum("weight").alias("total"))
-    return by.join(total, key).select(key, "lang", (F.col("weight") / F.col("total")).alias("share"))
+    return by.join(total, key).where("lang is not null").select(key, "lang", (F.col("weight") / F.col("total")).alias("share"))
 
 
 ENTITIES = "locations array<string>, organizations array<string>, persons array<string>"

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arcframe.operators.layout import in_ranges
+
 #: Prefixes are broadcast up to this number; beyond it they are joined by key.
 BROADCAST_PREFIXES = 100_000
 
@@ -63,36 +65,45 @@ def drop_keys(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.join(F.broadcast(first), key, "left_anti")
 
 
-def prefix_match(df: DataFrame, column: str, prefixes: DataFrame, prefix: str, longest: int, shortest_wins: bool = False) -> DataFrame:
-    """df with `matched`: the longest (or shortest) of prefixes that starts the column, else null.
+def prefix_hits(values: DataFrame, column: str, prefixes: DataFrame, prefix: str) -> DataFrame:
+    """(column, __p): every prefix of each value, the empty one included; values are distinct.
 
-    The column is cut to every length that occurs among prefixes, at most `longest`, and the
-    cuts are joined by equality. No pair of a row and a prefix that differ is ever made.
+    Values are cut to every length that occurs among prefixes, and the cuts are joined by
+    equality. No pair of a value and a prefix that differ is ever made.
     """
-    known = prefixes.select(F.col(prefix).alias("__p")).where(F.char_length("__p").between(1, longest)).distinct()
-    lengths = F.broadcast(known.select(F.char_length("__p").alias("n")).distinct().agg(F.sort_array(F.collect_list("n")).alias("__lengths")))
-    rows = df.withColumn("__row", F.monotonically_increasing_id())
-    cuts = rows.select("__row", column).join(lengths).select("__row", F.explode(F.array_distinct(F.transform("__lengths", lambda n: F.substring(F.col(column), F.lit(1), n)))).alias("__p"))
+    known = prefixes.select(F.col(prefix).alias("__p")).where("__p is not null").distinct()
+    lengths = F.broadcast(known.agg(F.sort_array(F.collect_set(F.char_length("__p"))).alias("__lengths")))
+    fitting = F.filter("__lengths", lambda n: n <= F.char_length(F.col(column)))
+    cuts = values.join(lengths).select(column, F.explode(F.transform(fitting, lambda n: F.substring(F.col(column), F.lit(1), n))).alias("__p"))
     side = F.broadcast(known) if known.count() <= BROADCAST_PREFIXES else known
-    pick = F.min_by if shortest_wins else F.max_by
-    best = cuts.join(side, "__p").groupBy("__row").agg(pick("__p", F.char_length("__p")).alias("matched"))
-    return rows.join(best, "__row", "left").drop("__row")
+    return cuts.join(side, "__p")
 
 
-def prefix_column(df: DataFrame, column: str, prefixes: DataFrame, prefix: str, longest: int) -> DataFrame:
-    """prefix_match for frames whose rows are told apart by their column: distinct values only."""
-    values = df.select(column).distinct()
-    return df.join(prefix_match(values, column, prefixes, prefix, longest), column)
+def prefix_match(df: DataFrame, column: str, prefixes: DataFrame, prefix: str, shortest_wins: bool = False, inner: bool = False) -> DataFrame:
+    """df with `matched`: the longest (or shortest) of prefixes that starts the column, else null.
+
+    Distinct values are matched and joined back by value. inner leaves out rows without one.
+    """
+    hits = prefix_hits(df.select(column).distinct(), column, prefixes, prefix)
+    pick = F.min_by if shortest_wins else F.max_by
+    best = hits.groupBy(column).agg(pick("__p", F.char_length("__p")).alias("matched"))
+    return df.join(best, column, "inner" if inner else "left")
 
 
 def adjacent(df: DataFrame, key: str, lookups: DataFrame, lookup_key: str) -> DataFrame:
     """Rows with a lookup value in [key, next key): an as-of semi join.
 
-    Both sides meet in one order; the last key at or before each lookup value is kept.
+    Both sides meet in one order that is cut into ranges; the last key at or before each
+    lookup value is kept, and the last key of a range is carried into the next ones.
     """
-    both = df.select(F.col(key).alias("k"), F.lit(0).alias("side")).unionByName(lookups.select(F.col(lookup_key).alias("k"), F.lit(1).alias("side")))
-    last = F.last(F.when(F.col("side") == 0, F.col("k")), ignorenulls=True).over(Window.orderBy("k", "side").rowsBetween(Window.unboundedPreceding, 0))
-    hit = both.withColumn("hit", last).where("side = 1 and hit is not null").select(F.col("hit").alias("__hit")).distinct()
+    both = df.select(F.col(key).alias("k"), F.lit(0).alias("side")).unionByName(lookups.select(F.col(lookup_key).alias("k"), F.lit(1).alias("side"))).where("k is not null")
+    ranged = in_ranges(both.distinct(), ["k", "side"])
+    own = F.when(F.col("side") == 0, F.col("k"))
+    ends = ranged.groupBy("__part").agg(F.max(own).alias("__end"))
+    carried = ends.select("__part", F.max("__end").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    within = F.max(own).over(Window.partitionBy("__part").orderBy("k", "side").rowsBetween(Window.unboundedPreceding, 0))
+    hit = ranged.join(F.broadcast(carried), "__part").withColumn("hit", F.coalesce(within, "__carried"))
+    hit = hit.where("side = 1 and hit is not null").select(F.col("hit").alias("__hit")).distinct()
     return df.join(hit, df[key] == F.col("__hit"), "left_semi")
 
 
@@ -100,11 +111,16 @@ def index_candidates(index: DataFrame, key: str, part: str, prefixes: DataFrame,
     """(part, key, prefix) of the index lines whose block can hold a key that begins with prefix.
 
     A block reaches from its key up to, and including, the next line's key within its file.
+    Prefixes are broadcast, and where there are more than BROADCAST_PREFIXES they are taken
+    in as many slices as keep each below that number.
     """
-    w = Window.partitionBy(part).orderBy(key)
-    spans = index.withColumn("next_key", F.lead(key).over(w))
+    spans = index.withColumn("next_key", F.lead(key).over(Window.partitionBy(part).orderBy(key)))
+    known = prefixes.select(prefix).distinct()
+    n = -(-known.count() // BROADCAST_PREFIXES)
     high = F.concat(F.col(prefix), F.lit("\U0010ffff"))
-    return spans.join(F.broadcast(prefixes), (F.col(key) <= high) & (F.col("next_key").isNull() | (F.col("next_key") >= F.col(prefix)))).select(part, key, prefix)
+    meets = (F.col(key) <= high) & (F.col("next_key").isNull() | (F.col("next_key") >= F.col(prefix)))
+    cut = [known.where(F.pmod(F.xxhash64(prefix), F.lit(2 * n)) == i) for i in range(2 * n)] if n > 1 else [known]
+    return reduce(lambda a, b: a.unionByName(b), (spans.join(F.broadcast(p), meets).select(part, key, prefix) for p in cut))
 
 
 def islands(pointers: DataFrame, part: str, offset: str, length: str, tolerance: int) -> DataFrame:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arcframe.session import stored
+
 
 def next_fit(costs, budget: int):
     """Bins of a sequence of costs: a new one where a non-empty bin would exceed budget."""
@@ -60,8 +62,15 @@ def repartition_by_budget(df: DataFrame, order: str, cost: str, budget: int, lan
 
 
 def equal_parts(df: DataFrame, order: str, parts: int) -> DataFrame:
-    """df with `part`: equal row counts, remainders spread, no row lost."""
-    return df.withColumn("part", F.ntile(parts).over(Window.orderBy(order)) - 1)
+    """df with `part`: equal row counts, remainders spread over the first parts, no row lost.
+
+    Rows are numbered range by range (dense_ids), so no task sees all of them.
+    """
+    numbered = dense_ids(df, [order], "__id")
+    size, more = divmod(numbered.count(), parts)
+    at, head = F.col("__id"), more * (size + 1)
+    rest = F.floor((at - head) / F.lit(max(1, size))) + more
+    return numbered.withColumn("part", F.when(at < head, F.floor(at / (size + 1))).otherwise(rest).cast("int")).drop("__id")
 
 
 def chunks_by_rows(df: DataFrame, order: str, size: int, part: list[str]) -> DataFrame:
@@ -72,8 +81,8 @@ def chunks_by_rows(df: DataFrame, order: str, size: int, part: list[str]) -> Dat
 
 def chunks_by_groups(df: DataFrame, key: str, size: int) -> DataFrame:
     """(key, chunk): `size` keys a chunk, in key order; keys are numbered, not rows."""
-    keys = df.select(key).distinct()
-    return keys.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("long"))
+    keys = dense_ids(df.select(key).distinct(), [key], "__id")
+    return keys.select(key, F.floor(F.col("__id") / size).cast("long").alias("chunk"))
 
 
 def range_sort(df: DataFrame, parts: int, by: list[str], then: list[str]) -> DataFrame:
@@ -90,18 +99,27 @@ def spread(df: DataFrame, parts: int) -> DataFrame:
     return df.repartition(parts)
 
 
+def in_ranges(df: DataFrame, order: list, parts: int | None = None) -> DataFrame:
+    """df cut into sorted ranges of a global order, with __part and __pos (from 0 within a part).
+
+    Written to the shared folder, so numbers stay what they are when executors are lost.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__mono", F.monotonically_increasing_id())
+    placed = ranged.withColumn("__part", F.shiftright("__mono", 33)).withColumn("__pos", F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1)))
+    return stored(placed.drop("__mono"), "ranges")
+
+
 def dense_ids(df: DataFrame, order: list, name: str = "id", parts: int | None = None) -> DataFrame:
     """df with a gapless 0-based id in a global order.
 
     Ranges are sorted and numbered side by side; the ranges' starts are sums over one row a
     range. No single task sees all rows.
     """
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__mono", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("__part", F.shiftright("__mono", 33)).withColumn("__pos", F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1))).persist()
+    ranged = in_ranges(df, order, parts)
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
-    return ranged.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__pos")).drop("__mono", "__part", "__pos", "__start")
+    return ranged.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__pos")).drop("__part", "__pos", "__start")
 
 
 def seeded_sample(df: DataFrame, fraction: float, key: str, seed: int) -> DataFrame:

@@ -89,7 +89,8 @@ def html_embeds(spark, sf):
 def html_css_js(spark, sf):
     css = F.regexp_extract("html", r"(?is)<style[^>]*>(.*?)</style>", 1)
     js = F.regexp_extract("html", r"(?is)<script[^>]*>(.*?)</script>", 1)
-    return table(spark, sf, "pages").select("page_id", F.size(html.css_embeds(css)).alias("css"), F.size(html.script_urls(js)).alias("js"))
+    url = F.col("url")
+    return table(spark, sf, "pages").select("page_id", F.size(html.css_embeds(css, url)).alias("css"), F.size(html.script_urls(js, url)).alias("js"))
 
 
 def cdx_emit(spark, sf, rows=captures):
@@ -207,7 +208,7 @@ ORACLES = {
         CASE WHEN starts_with(surt, 'com,example,th') THEN 'com,example,th' WHEN starts_with(surt, 'com,example,t') THEN 'com,example,t'
              WHEN starts_with(surt, 'com,example,') THEN 'com,example,' END AS p FROM cdx) WHERE p IS NOT NULL GROUP BY surt, p""",
     "pipe_upper": "SELECT c_custkey, c_mktsegment, upper(c_mktsegment) AS piped FROM customer",
-    "attach_zip": f"""WITH {_SIDE} SELECT file, line_no, checksum, CASE WHEN line_no % 10 <> 3 THEN content END AS content,
+    "attach_zip": f"""WITH {_SIDE} SELECT file, line_no, checksum, content,
         CASE WHEN content IS NULL THEN 'Unavailable' WHEN line_no % 10 = 3 THEN 'ChecksumMismatch' ELSE 'Available' END AS status FROM s""",
 }
 ORACLES |= {name: ORACLES[f.__name__].replace(_CDX, _CDX_ALL_PAGES) for name, f in ALL_PAGES.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arcframe.plans import archive, relational, scalar
+from arcframe.plans import archive, files, relational, scalar
 
-QUERIES: dict = {**scalar.QUERIES, **relational.QUERIES, **archive.QUERIES}
-ORACLES: dict = {**scalar.ORACLES, **relational.ORACLES, **archive.ORACLES}
+QUERIES: dict = {**scalar.QUERIES, **relational.QUERIES, **archive.QUERIES, **files.QUERIES}
+ORACLES: dict = {**scalar.ORACLES, **relational.ORACLES, **archive.ORACLES, **files.ORACLES}

@@ -105,16 +105,16 @@ def _prefixes(spark, sf):
 
 
 def prefix_match(spark, sf):
-    return joins.prefix_match(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type", _prefixes(spark, sf), "prefix", 64)
+    return joins.prefix_match(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type", _prefixes(spark, sf), "prefix")
 
 
 def prefix_shortest(spark, sf):
-    return joins.prefix_match(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type", _prefixes(spark, sf), "prefix", 64, shortest_wins=True)
+    return joins.prefix_match(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type", _prefixes(spark, sf), "prefix", shortest_wins=True)
 
 
 def prefix_filter(spark, sf):
     prefixes = spark.createDataFrame([("http://www.",), ("https://",)], "prefix string")
-    return joins.prefix_column(table(spark, sf, "pages").select("page_id", "url"), "url", prefixes, "prefix", 32).where("matched is not null").select("page_id", "url", "matched")
+    return joins.prefix_match(table(spark, sf, "pages").select("page_id", "url"), "url", prefixes, "prefix", inner=True).select("page_id", "url", "matched")
 
 
 def key_from(spark, sf):

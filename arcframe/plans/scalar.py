@@ -104,9 +104,12 @@ ORACLES = {
         SELECT page_id, 'http://' || array_to_string(list_reverse(string_split(split_part(k, ')', 1), ',')), '.') || substr(k, strpos(k, ')') + 1) AS url
         FROM (SELECT page_id, {SURT_SQL} AS k FROM pages)""",
     "surt_prefixes": f"""
-        WITH h AS (SELECT page_id, {REVERSED_SQL} AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]+/?([^?#]*)', 1) AS path FROM pages)
-        SELECT page_id, host || ',' AS prefix FROM h UNION ALL
-        SELECT page_id, host || p.port || ')/' || path || e.e FROM h, (VALUES (''), (':80'), (':443')) p(port), (VALUES (' '), ('?'), ('#'), ('/')) e(e)""",
+        WITH k AS (SELECT page_id, {SURT_SQL} AS k FROM pages),
+             h AS (SELECT page_id, split_part(k, ')', 1) AS site, trim(regexp_replace(regexp_replace(substr(k, strpos(k, ')') + 1), '^/', ''), '/$', '')) AS path FROM k),
+             p AS (SELECT unnest(['', ':80', ':443']) AS port), e AS (SELECT unnest([' ', '?', '#', '/']) AS e)
+        SELECT page_id, site || port || ')/' || path || e AS prefix FROM h, p, e WHERE path <> '' AND (e = ' ' OR NOT contains(path, '?'))
+        UNION ALL SELECT page_id, site || port || ')' FROM h, p WHERE path = ''
+        UNION ALL SELECT page_id, site || ',' FROM h WHERE path = ''""",
     "doc_tokens": r"""
         SELECT token, count(*) AS n FROM (
             SELECT unnest(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}0-9]+', ' ', 'g')), ' ')) AS token FROM documents)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcframe.operators import layout
+from arcframe.operators import cdx, layout
+
+KEYS = ("surt", "digest", "compressed_size")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,12 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(url, ts14, mime, status, body): every event is a capture of the page its user id falls on."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body"))
+    """(url, ts14, mime, status, keys of the body): every event is a capture of the page its user id falls on."""
+    pages = cdx.body_keys(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body")))
     events = table(spark, sf_dir, "events").select("event_id", "event_type", F.date_format("ts", "yyyyMMddHHmmss").alias("ts14"), (F.col("user_id") % 50).alias("page_id"))
     status = F.when(F.col("event_type") == "error", 404).otherwise(200)
     mime = F.when(F.col("event_type") == "click", "text/plain").otherwise("text/html")
-    return events.join(pages, "page_id").select("event_id", "url", "ts14", mime.alias("mime"), status.alias("status"), "body")
+    return events.join(pages, "page_id").select("event_id", "url", "ts14", mime.alias("mime"), status.alias("status"), *KEYS)
 
 
 def all_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,13 +28,14 @@ def all_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Pages are numbered in the order of page_id, so ids with gaps lose no event.
     """
-    pages = layout.dense_ids(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body")), ["page_id"], "__index")
+    keyed = cdx.body_keys(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body")))
+    pages = layout.dense_ids(keyed, ["page_id"], "__index")
     count = pages.count()
-    base = pages.select(F.lit(None).cast("long").alias("event_id"), "url", F.lit(BASE_TS14).alias("ts14"), F.lit("text/html").alias("mime"), F.lit(200).alias("status"), "body")
+    base = pages.select(F.lit(None).cast("long").alias("event_id"), "url", F.lit(BASE_TS14).alias("ts14"), F.lit("text/html").alias("mime"), F.lit(200).alias("status"), *KEYS)
     events = table(spark, sf_dir, "events").withColumn("__index", F.pmod("user_id", F.lit(count))).withColumn("ts14", F.date_format("ts", "yyyyMMddHHmmss"))
     status = F.when(F.col("event_type") == "error", 404).otherwise(200)
     mime = F.when(F.col("event_type") == "click", "text/plain").otherwise("text/html")
-    return base.unionByName(events.join(pages, "__index").select("event_id", "url", "ts14", mime.alias("mime"), status.alias("status"), "body"))
+    return base.unionByName(events.join(pages, "__index").select("event_id", "url", "ts14", mime.alias("mime"), status.alias("status"), *KEYS))
 
 
 #: Time of the base capture of every page.

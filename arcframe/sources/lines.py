@@ -54,5 +54,6 @@ def line_index(df: DataFrame, key: str, column: str, part: str) -> DataFrame:
 
 
 def save_csv(df: DataFrame, path: str) -> None:
-    """Quoted strings with doubled quotes, a header line."""
-    df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """Quoted strings with doubled quotes and their white space, a header line."""
+    options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(**options).csv(path)

@@ -3,70 +3,84 @@
     register(spark)
     spark.read.format("warc").load("/data/*.warc.gz")
 
-Each file is one input partition; gzip members and zstd frames are read one by one, so a
-damaged gzip member costs only itself. Rows: file, offset, length, version, headers,
-payload. With option mode=raw rows hold the undecoded record bytes as payload.
+Gzip files are read in ranges of SPLIT_BYTES (option splitBytes), other files whole; members,
+frames and records are streamed one by one, so a damaged gzip member costs only itself. Rows:
+file, offset, length, version, headers, payload. With option mode=raw rows hold the
+undecoded record bytes as payload.
 """
 
 from __future__ import annotations
 
-import glob
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from arcframe.functions import digest, surt
+from arcframe.sources.ranges import CHUNK, Ranged, list_files, open_system
 
 SCHEMA = "file string, offset long, length long, version string, headers array<struct<k:string, v:string>>, payload binary"
+ARROW = pa.schema(
+    [("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("version", pa.string()), ("headers", pa.list_(pa.struct([("k", pa.string()), ("v", pa.string())]))), ("payload", pa.binary())]
+)
+BLANK = re.compile(rb"\r?\n\r?\n")
+SPLIT_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
 GZIP, ZSTD, SKIPPABLE = b"\x1f\x8b", b"\x28\xb5\x2f\xfd", b"\x5d\x2a\x4d\x18"
 
 
-def gzip_members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of each readable member; damage skips to the next magic."""
-    at = data.find(GZIP)
-    while 0 <= at < len(data):
-        machine = zlib.decompressobj(31)
+def _inflated(f: Ranged, at: int, machine) -> tuple[int, bytes] | None:
+    """(length, content) of what a decompressor reads from at to its end; None where it is cut off."""
+    start, parts = at, []
+    while not machine.eof:
+        body = f.read(at, CHUNK)
+        if not body:
+            return None
+        parts.append(machine.decompress(body))
+        at += len(body)
+    return at - len(machine.unused_data) - start, b"".join(parts)
+
+
+def gzip_members(f: Ranged, begin: int = 0, end: int | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each readable member that starts in [begin, end).
+
+    Damage skips to the next magic. The file is read in chunks; one member is held at a time.
+    """
+    end = f.size if end is None else end
+    at = f.find(GZIP, begin, end)
+    while at >= 0:
         try:
-            body = machine.decompress(data[at:]) + machine.flush()
-            if not machine.eof:
+            found = _inflated(f, at, zlib.decompressobj(31))
+            if found is None:
                 raise zlib.error("cut off")
-            length = len(data) - at - len(machine.unused_data)
-            yield at, length, body
-            at = data.find(GZIP, at + length)
+            yield at, *found
+            at = f.find(GZIP, at + found[0], end)
         except zlib.error:
-            at = data.find(GZIP, at + 2)
+            at = f.find(GZIP, at + 2, end)
 
 
-def zstd_frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+def zstd_frames(f: Ranged) -> Iterator[tuple[int, int, bytes]]:
     """(offset, length, content) of zstd frames; a leading skippable frame holds their dictionary."""
     import zstandard
 
     at, dictionary = 0, None
-    if data[:4] == SKIPPABLE:
-        size = int.from_bytes(data[4:8], "little")
-        raw = data[8 : 8 + size]
+    if f.read(0, 4) == SKIPPABLE:
+        size = int.from_bytes(f.read(4, 4), "little")
+        raw = f.read(8, size)
         if raw[:4] == ZSTD:
             raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
         dictionary, at = zstandard.ZstdCompressionDict(raw), 8 + size
-    while data[at : at + 4] == ZSTD:
+    while f.read(at, 4) == ZSTD:
         machine = (zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()).decompressobj()
-        body = machine.decompress(data[at:])
-        length = len(data) - at - len(machine.unused_data)
-        yield at, length, body
-        at += length
-
-
-def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """Compressed members by magic; plain files are one."""
-    if data[:2] == GZIP:
-        return gzip_members(data)
-    if data[:4] in (ZSTD, SKIPPABLE):
-        return zstd_frames(data)
-    return iter([(0, len(data), data)])
+        found = _inflated(f, at, machine)
+        if found is None:
+            return
+        yield at, *found
+        at += found[0]
 
 
 def header_lines(block: bytes) -> list[tuple[str, str]]:
@@ -82,94 +96,146 @@ def _arc(line: bytes, rest: bytes) -> tuple[str, list[tuple[str, str]], int] | N
     url, ip, stamp, mime = parts[:4]
     date = re.sub(r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d).*", r"\1-\2-\3T\4:\5:\6Z", stamp)
     headers = [("WARC-Type", "response"), ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-IP-Address", ip), ("Content-Type", mime), ("Content-Length", parts[-1])]
-    if len(parts) == 10 and parts[5] != "-":
-        headers.append(("WARC-Payload-Digest", parts[5]))
+    if len(parts) == 10:
+        more = zip(("ARC-Result-Code", "WARC-Payload-Digest", "ARC-Location", "ARC-Record-Location", "ARC-Filename"), parts[4:9])
+        headers += [(k, v) for k, v in more if v != "-"]
     return "ARC/2" if len(parts) == 10 else "ARC/1", headers, int(parts[-1])
 
 
+def _head(body: bytes, at: int) -> tuple[str, list[tuple[str, str]], int, int, bool] | None:
+    """(version, headers, place of the payload, its size, whether it is a record) of a header at `at`.
+
+    A line that begins no record has size 0 and goes. None: the header is cut off.
+    """
+    end = body.find(b"\n", at)
+    if end < 0:
+        return None
+    line = body[at:end].rstrip(b"\r")
+    if line.startswith(b"WARC/"):
+        stop = BLANK.search(body, end - 1)
+        if not stop:
+            return None
+        headers = header_lines(body[end + 1 : stop.start()])
+        size = dict((k.lower(), v) for k, v in headers).get("content-length") or "0"
+        return line.decode("ascii", "replace"), headers, stop.end(), int(size) if size.isdigit() else 0, True
+    arc = _arc(line, body)
+    if arc is None:
+        return "", [], end + 1, 0, False
+    return arc[0], arc[1], end + 1, arc[2], not line.startswith(b"filedesc:")
+
+
 def records(body: bytes) -> Iterator[tuple[int, int, str, list[tuple[str, str]], bytes]]:
     """(offset, length, version, headers, payload) of the records of one member."""
     at = 0
     while at < len(body):
         while body[at : at + 1] in (b"\r", b"\n"):
             at += 1
-        end = body.find(b"\n", at)
-        if end < 0:
+        head = _head(body, at)
+        if head is None:
             return
-        line = body[at:end].rstrip(b"\r")
-        if line.startswith(b"WARC/"):
-            stop = re.compile(rb"\r?\n\r?\n").search(body, end - 1)
-            if not stop:
+        version, headers, start, size, kept = head
+        if kept:
+            yield at, start + size - at, version, headers, body[start : start + size]
+        at = start + size
+
+
+def plain_records(f: Ranged) -> Iterator[tuple[int, int, str, list[tuple[str, str]], bytes]]:
+    """records() of an uncompressed file, one record held at a time."""
+    at, wide = 0, CHUNK
+    while at < f.size:
+        body = f.read(at, min(wide, f.size - at))
+        skip = len(body) - len(body.lstrip(b"\r\n"))
+        head = _head(body, skip)
+        if head is None:
+            if wide >= f.size - at:
                 return
-            headers = header_lines(body[end + 1 : stop.start()])
-            size = int(dict((k.lower(), v) for k, v in headers).get("content-length") or 0)
-            yield at, stop.end() + size - at, line.decode("ascii", "replace"), headers, body[stop.end() : stop.end() + size]
-            at = stop.end() + size
-            continue
-        arc = _arc(line, body)
-        if arc is None:
-            at = end + 1
+            wide *= 2
             continue
-        version, headers, size = arc
-        if not line.startswith(b"filedesc:"):
-            yield at, end + 1 + size - at, version, headers, body[end + 1 : end + 1 + size]
-        at = end + 1 + size
+        version, headers, start, size, kept = head
+        if kept:
+            yield at + skip, start - skip + size, version, headers, f.read(at + start, size)
+        at, wide = at + start + size, CHUNK
+
+
+def read_range(path: str, begin: int, end: int, raw: bool) -> Iterator[tuple]:
+    """Rows of the members that start in [begin, end) of a gzip file, or of a whole other file."""
+    f = Ranged(path)
+    try:
+        magic = f.read(0, min(4, f.size))
+        if magic[:2] != GZIP and magic not in (ZSTD, SKIPPABLE):
+            for offset, length, version, headers, payload in plain_records(f) if begin == 0 else ():
+                yield path, offset, length, version, headers, f.read(offset, length) if raw else payload
+            return
+        packed = gzip_members(f, begin, end) if magic[:2] == GZIP else zstd_frames(f) if begin == 0 else ()
+        for offset, length, body in packed:
+            for _, _, version, headers, payload in records(body):
+                yield path, offset, length, version, headers, f.read(offset, length) if raw else payload
+    finally:
+        f.close()
+
 
+def batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA as Arrow batches of about BATCH_BYTES."""
+    names = [x.name for x in ARROW]
+    held, size = [], 0
+    for path, offset, length, version, headers, payload in rows:
+        held.append((path, offset, length, version, [{"k": k, "v": v} for k, v in headers], payload))
+        size += len(payload)
+        if size >= BATCH_BYTES or len(held) >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), ARROW)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), ARROW)], names=names)
 
-def read_file(path: str, raw: bool) -> Iterator[tuple]:
-    from pyarrow import fs
 
-    uri = path if "://" in path else f"file://{path}"
-    system, name = fs.FileSystem.from_uri(uri)
-    with system.open_input_file(name) as f:
-        data = f.read()
-    packed = data[:2] == GZIP or data[:4] in (ZSTD, SKIPPABLE)
-    for offset, length, body in members(data):
-        for at, size, version, headers, payload in records(body):
-            place = (offset, length) if packed else (at, size)
-            content = data[place[0] : place[0] + place[1]] if raw else payload
-            yield (path, *place, version, headers, content)
+class _Range(InputPartition):
+    def __init__(self, path: str, begin: int, end: int):
+        self.path, self.begin, self.end = path, begin, end
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.raw, self.path = options.get("mode") == "raw", options["path"]
+        self.split = int(options.get("splitbytes") or options.get("splitBytes") or SPLIT_BYTES)
 
     def partitions(self):
-        plain = self.path.removeprefix("file://")
-        return [InputPartition(p) for p in sorted(glob.glob(plain, recursive=True) or [plain])]
+        """Ranges of gzip files (a member belongs to the range it starts in), other files whole."""
+        out = []
+        for path, size in list_files(self.path):
+            step = self.split if path.endswith(".gz") else max(1, size)
+            out += [_Range(path, at, at + step) for at in range(0, max(1, size), step)]
+        return out
 
     def read(self, partition):
-        yield from read_file(partition.value, self.raw)
+        yield from batches(read_range(partition.path, partition.begin, partition.end, self.raw))
 
 
 class _Writer(DataSourceWriter):
+    """Tasks write to names of one attempt in the target's file system; the driver renames what is committed."""
+
     def __init__(self, options):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
 
     def write(self, rows):
-        import os
-        import uuid
-
-        os.makedirs(self.path, exist_ok=True)
-        name = f"{self.path}/.part-{uuid.uuid4().hex}"
-        with open(name, "wb") as f:
+        system, folder = open_system(self.path)
+        system.create_dir(folder, recursive=True)
+        name = f"{folder}/.part-{uuid.uuid4().hex}"
+        with system.open_output_stream(name, compression=None) as f:
             for row in rows:
                 f.write(zlib_member(record_bytes(row["version"], [(h["k"], h["v"]) for h in row["headers"]], bytes(row["payload"] or b""))))
         return _Done(name)
 
     def commit(self, messages):
-        import os
-
+        system, folder = open_system(self.path)
+        job = uuid.uuid4().hex[:12]
         for i, m in enumerate(x for x in messages if x):
-            os.replace(m.name, f"{self.path}/part-{i:05d}.warc.gz")
+            system.move(m.name, f"{folder}/part-{i:05d}-{job}.warc.gz")
 
     def abort(self, messages):
-        import os
-
+        system, _ = open_system(self.path)
         for m in messages:
-            if m and os.path.exists(m.name):
-                os.remove(m.name)
+            if m:
+                system.delete_file(m.name)
 
 
 class _Done(WriterCommitMessage):
@@ -214,8 +280,6 @@ def header(name: str) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, -1)["v"])
 
 
-
-
 def with_fields(rows: DataFrame) -> DataFrame:
     """Records with url, ts14, type, payload_digest and content_type."""
     return rows.select(
@@ -247,3 +311,34 @@ def to_cdx(rows: DataFrame) -> DataFrame:
         F.col("length").alias("compressed_size"),
         F.array(F.col("offset").cast("string"), F.col("file")).alias("extra"),
     )
+
+
+def extract(pointers: DataFrame, file: str = "file", offset: str = "offset", length: str = "length") -> DataFrame:
+    """Records (SCHEMA) that pointers name: each range is read and parsed, and nothing else.
+
+    Pointers are dealt by file and sorted by offset, about a file's worth of neighbours to a
+    task; a pointer whose range holds no record gives no row.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            f, at = None, None
+            for part in parts:
+                for path, begin, size in zip(*(c.to_pylist() for c in part.columns)):
+                    if path != at:
+                        if f is not None:
+                            f.close()
+                        f, at = Ranged(path), path
+                    body = f.read(begin, size)
+                    for machine in (zlib.decompressobj(31),) if body[:2] == GZIP else ():
+                        body = machine.decompress(body)
+                    for _, _, version, headers, payload in records(body):
+                        yield path, begin, size, version, headers, payload
+            if f is not None:
+                f.close()
+
+        yield from batches(rows())
+
+    named = pointers.select(F.col(file).alias("file"), F.col(offset).cast("long").alias("offset"), F.col(length).cast("long").alias("length"))
+    dealt = named.repartition("file", F.floor(F.col("offset") / SPLIT_BYTES)).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(run, SCHEMA)

@@ -34,7 +34,11 @@ def test_surt_round_trip_and_hosts(spark):
     for host, sound in (("com,example", True), ("com", False), ("com,,x", False), ("com,-x", False), ("com,x--y", False), ("com,x-y", True)):
         assert one(spark, surt.is_valid_host(F.col("h")), h=host) is sound, host
     prefixes = one(spark, surt.url_prefixes(F.col("u")), u="http://example.com/a")
-    assert prefixes[0] == "com,example," and "com,example:80)/a?" in prefixes and len(prefixes) == 13
+    assert set(prefixes) == {f"com,example{port})/a{end}" for port in ("", ":80", ":443") for end in (" ", "?", "#", "/")}
+    assert set(one(spark, surt.url_prefixes(F.col("u")), u="example.com")) == {"com,example)", "com,example:80)", "com,example:443)", "com,example,"}
+    assert set(one(spark, surt.url_prefixes(F.col("u")), u="http://example.com/a/?b=1")) == {f"com,example{port})/a?b=1 " for port in ("", ":80", ":443")} | set()
+    assert one(spark, surt.surt_to_url(F.col("k")), k="https://x.org/a") == "https://x.org/a"
+    assert one(spark, surt.surt_from_base(F.col("a"), F.col("b")), a="../c?z&y", b="com,example)/a/b/") == "com,example)/a/c?y&z"
 
 
 def test_time14(spark):
@@ -54,7 +58,16 @@ def test_text(spark):
     assert one(spark, text.format_bytes(F.col("n")), n=1536) == "1.5 KB"
     assert one(spark, text.thousands(F.col("n"), 2), n=1234.05) == "1,234.05"
     assert one(spark, text.after(F.col("t"), "="), t="none") == "none"
-    assert one(spark, text.split_limited(F.col("t"), ",", 2), t="a,") == ["a"]
+    assert one(spark, text.split_limited(F.col("t"), ",", 2), t="a,") == ["a", ""]
+    assert one(spark, text.split_limited(F.col("t"), ",", 3), t="a,") == ["a"]
+    assert one(spark, text.split_limited(F.col("t"), ",", 2), t="") == [""]
+    assert one(spark, text.strip_bracket(F.col("t"), "'", "'"), t="'") == ""
+    assert one(spark, text.strip_bracket(F.col("t"), "<B>", "</b>"), t="<b>x</B>") == "x"
+    assert one(spark, text.has_word_character(F.col("t")), t="12") is False
+    assert one(spark, text.is_absolute_url_start(F.col("t")), t="//a") is False
+    assert one(spark, text.clean_latin(F.col("t")), t="a: b\u0301 & " + "x" * 100 + " c;") == "a b & c;"
+    nested = spark.createDataFrame([(0, "((((((((((((x))))))))))))"), (1, "y"), (2, None)], "i int, t string")
+    assert sorted(tuple(r) for r in text.to_fixpoint(nested, "t", lambda t: text.strip_bracket(t, "(", ")")).collect()) == [(0, "x"), (1, "y"), (2, None)]
     assert one(spark, text.clean_latin(F.col("t")), t="ab 漢字 é!") == "ab é!"
 
 

@@ -36,13 +36,13 @@ def test_prefix_match_is_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(words)), "i int, w string")
     known = spark.createDataFrame([(p,) for p in prefixes], "p string")
     want = [(i, max((p for p in prefixes if w.startswith(p)), key=len, default=None)) for i, w in enumerate(words)]
-    assert rows(joins.prefix_match(df, "w", known, "p", 4), "i", "matched") == want
+    assert rows(joins.prefix_match(df, "w", known, "p"), "i", "matched") == want
 
 
 def test_prefix_that_is_no_prefix_never_matches(spark):
     df = spark.createDataFrame([("ab",)], "w string")
     known = spark.createDataFrame([("a",), ("aa",)], "p string")
-    assert rows(joins.prefix_match(df, "w", known, "p", 4), "matched") == [("a",)]
+    assert rows(joins.prefix_match(df, "w", known, "p"), "matched") == [("a",)]
 
 
 def test_cogroup_is_a_full_outer_join(spark):
@@ -92,14 +92,14 @@ def test_html_kernel():
     assert [t["stack"] for t in tags if t["name"] == "a" and t["opening"]] == [["html", "body", "p"]]
     deep = list(html.iterate_tags("<i>" * 600))
     assert deep[-1]["error"] and len(deep) == html.MOST_DEPTH + 1
-    assert html.js_urls("""f('/a.js', "x y", 'http://b/c')""") == ["/a.js", "http://b/c"]
+    assert html.js_targets("""f('/a.js', "x y", 'http://b/c', "ab", "(.)")""", "http://b/") == ["http://b/a.js", "http://b/c"]
 
 
 def test_html_expressions(spark):
     df = spark.createDataFrame([("<A><!--x--><b><!-- open",), ("x-->rest",)], "h string")
     assert [r[0] for r in df.select(html.without_comments(F.col("h"))).collect()] == ["<A><b>", "rest"]
     assert spark.range(1).select(html.attribute(F.lit("<a data-href='d'>"), "href")).first()[0] == "d"
-    assert spark.range(1).select(html.css_embeds(F.lit("a{b:url( 'x.png' )} @import \"y.css\""))).first()[0] == ["x.png", "y.css"]
+    assert spark.range(1).select(html.css_embeds(F.lit("a{b:url( 'x.png' )} @import \"y.css\"; @import 'no.css'"), F.lit("http://a/b/"))).first()[0] == ["http://a/b/x.png", "http://a/b/y.css"]
     assert spark.range(1).select(html.strict_html(F.lit("x<p>"))).first()[0] is None
 
 
@@ -118,10 +118,12 @@ def test_graph_keeps_linkless_pages_as_nodes(spark):
 def test_attachment_walk(spark):
     records = spark.createDataFrame([("f", i, c) for i, c in enumerate("abcde")], "file string, line_no long, checksum string")
     side = spark.createDataFrame([("f", i, x) for i, x in enumerate(["# note", "a 1", "", "x 9", "bad"])], "file string, line_no long, line string")
-    want = [(0, "1", "Available"), (1, None, "Unavailable"), (2, None, "ChecksumMismatch"), (3, None, "ChecksumMismatch"), (4, None, "ChecksumMismatch")]
+    want = [(0, "1", "Available"), (1, None, "Unavailable"), (2, "9", "ChecksumMismatch"), (3, "9", "ChecksumMismatch"), (4, "9", "ChecksumMismatch")]
     assert rows(attachments.zipped(records, side), "line_no", "content", "status") == want
     moved = rows(attachments.zipped(records, side, advance_on_mismatch=True), "line_no", "content", "status")
     assert [s for _, _, s in moved] == ["Available", "Unavailable", "ChecksumMismatch", "Malformed", "Unavailable"]
+    numbers = attachments.zipped(records, side.withColumn("line", F.regexp_replace("line", "^a 1$", "a one")), parse=int)
+    assert rows(numbers, "line_no", "content", "status")[0] == (0, "one", "NotParsable")
     assert attachments.attachment_path("x.cdx.gz", "lang") == "x.cdx.lang.att.gz"
 
 
@@ -143,6 +145,55 @@ def test_plans_have_no_cross_join_and_push_filters(spark):
     assert "GreaterThanOrEqual(p_name,m)" in scan and "ReadSchema: struct<p_partkey:bigint,p_name:string>" in scan
 
 
+def test_long_and_empty_prefixes(spark):
+    df = spark.createDataFrame([(0, "k" * 400), (1, "other"), (2, None), (3, "k" * 400)], "i int, w string")
+    known = spark.createDataFrame([("k" * 300,), ("k",), ("",), (None,)], "p string")
+    assert rows(joins.prefix_match(df, "w", known, "p"), "i", "matched") == [(0, "k" * 300), (1, ""), (2, None), (3, "k" * 300)]
+    assert rows(joins.prefix_match(df, "w", known, "p", shortest_wins=True, inner=True), "i", "matched") == [(0, ""), (1, ""), (3, "")]
+
+
+def test_ranges_carry_their_last_key(spark):
+    keys = spark.createDataFrame([(i,) for i in range(10, 1000, 10)] + [(5000,)], "k int")
+    asked = spark.createDataFrame([(3,), (10,), (19,), (995,), (4999,), (None,)], "v int")
+    assert rows(joins.adjacent(keys, "k", asked, "v"), "k") == [(10,), (990,)]
+    parts = layout.equal_parts(spark.range(100).withColumnRenamed("id", "k"), "k", 7).groupBy("part").agg(F.count("k").alias("n"), F.min("k").alias("k"))
+    assert rows(parts, "part", "n", "k") == [(0, 15, 0), (1, 15, 15), (2, 14, 30), (3, 14, 44), (4, 14, 58), (5, 14, 72), (6, 14, 86)]
+    few = layout.equal_parts(spark.range(3).withColumnRenamed("id", "k"), "k", 7)
+    assert rows(few, "k", "part") == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_index_candidates_in_slices(spark, monkeypatch):
+    index = spark.createDataFrame([(i % 2, f"{i:03d}") for i in range(40)], "p int, k string")
+    prefixes = spark.createDataFrame([(f"{i:03d}",) for i in range(0, 40, 3)] + [("9",)], "x string")
+    want = rows(joins.index_candidates(index, "k", "p", prefixes, "x"), "p", "k", "x")
+    monkeypatch.setattr(joins, "BROADCAST_PREFIXES", 3)
+    assert rows(joins.index_candidates(index, "k", "p", prefixes, "x"), "p", "k", "x") == want
+
+
+TARGETS = """<html><head><base href="http://b.com/d/"><style>a{background:url('x.png')} @import "y.css";</style></head><body background="bg.gif">
+<p>A paragraph of text that is long enough to count as content.</p><a href="/p">hi <b>there <i>you</i></b> all</a><form action="f"><a href="q">x</a></form>
+<applet archive="a.jar,b.jar" codebase="c/"></applet><object data="m.swf"></object><img src="i.png" alt="pic"><link rel="icon" href="no.ico"><link rel="stylesheet" href="s.css">
+<script>var a="/q/w.js", b='no url', c='t.html?x', d="k";</script><div style="background:url(z.png)"></div></body></html>"""
+
+
+def test_targets_labels_and_embeds(spark):
+    found = [(x["tag"], x["target"].removeprefix("http://b.com/"), x["label"]) for x in html.page_links(TARGETS, "http://a.com/")]
+    files = [("applet", "d/c/a.jar", ""), ("applet", "d/c/b.jar", ""), ("object", "d/m.swf", ""), ("img", "d/i.png", ""), ("link", "d/s.css", "")]
+    assert found == [("a", "p", "hi there you all"), ("form", "d/f", ""), ("a", "d/q", "x"), *files]
+    embeds = {x.removeprefix("http://b.com/") for x in html.page_embeds(TARGETS, "http://a.com/", scripts=True)}
+    assert embeds == {"d/x.png", "d/y.css", "d/bg.gif", "d/c/a.jar", "d/c/b.jar", "d/m.swf", "d/i.png", "d/s.css", "q/w.js", "d/t.html?x", "d/z.png"}
+    assert {x.removeprefix("http://b.com/") for x in html.page_embeds(TARGETS, "http://a.com/", content_chars=30)} == {"d/c/a.jar", "d/c/b.jar", "d/m.swf", "d/i.png", "d/z.png"}
+    pages = spark.createDataFrame([("http://a.com/", TARGETS)], "url string, html string")
+    assert rows(html.labelled(pages, "img", "src", ("alt",)), "target", "label")[0] == ("http://b.com/d/i.png", "pic")
+    assert rows(html.selected(pages, ("b", "i")), "name", "text") == [("b", "there you"), ("i", "you")]
+
+
+def test_short_blocks_are_merged_and_unknown_ones_count(spark):
+    text = "the and of\nthat is was with\nto to to to\n" + " ".join(["xx"] * 10) + "\nthe"
+    docs = spark.createDataFrame([(1, text)], "k int, t string")
+    assert rows(derive.block_languages(docs, "k", "t"), "lang", "share") == [("en", 121 / 221)]
+
+
 def test_captures_reach_every_page(spark):
     from support import SF
 

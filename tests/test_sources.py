@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from arcframe.sources import http, jobs, lines, warc
+from arcframe.sources import http, indexed, jobs, lines, warc
 
 
 def response(url, body, extra=b""):
@@ -53,6 +53,58 @@ def test_written_archive_reads_back(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted((f"http://a/{i}", i) for i in range(20))
 
 
+def test_members_fall_into_the_range_they_start_in(spark, tmp_path):
+    body = b"".join(warc.zlib_member(response(f"http://a.com/{i}", bytes(i % 251 for _ in range(200 + i)))) for i in range(300))
+    (tmp_path / "m.warc.gz").write_bytes(body)
+    warc.register(spark)
+    path = str(tmp_path / "m.warc.gz")
+    cut = spark.read.format("warc").option("splitBytes", 1000).load(path)
+    assert cut.rdd.getNumPartitions() == -(-len(body) // 1000)
+    found = sorted((r["offset"], r["length"]) for r in cut.select("offset", "length").collect())
+    assert found == sorted((r["offset"], r["length"]) for r in spark.read.format("warc").load(path).collect()) and len(found) == 300
+    wanted = cut.where("offset % 7 = 0").select("file", "offset", "length")
+    got = warc.with_fields(warc.extract(wanted)).select("offset", "url", "type").collect()
+    assert len(got) == wanted.count() and {r["type"] for r in got} == {"response"}
+
+
+def test_plain_records_larger_than_a_chunk(spark, tmp_path):
+    big = response("http://a.com/big", b"x" * (3 << 20))
+    (tmp_path / "a.warc").write_bytes(big + response("http://a.com/2", b"y"))
+    warc.register(spark)
+    found = warc.with_fields(spark.read.format("warc").load(str(tmp_path))).select("url", F.octet_length("payload").alias("n"), "length").collect()
+    assert [r["url"] for r in found] == ["http://a.com/big", "http://a.com/2"] and found[0]["length"] == len(big) - 4
+
+
+def test_arc_fields(spark, tmp_path):
+    two = b"http://c.com/ 1.2.3.4 20130102030405 text/html 302 abc http://d.com/ 77 f.arc 5\nworld\n"
+    (tmp_path / "b.arc").write_bytes(two)
+    warc.register(spark)
+    found = dict((h["k"], h["v"]) for h in spark.read.format("warc").load(str(tmp_path / "b.arc")).first()["headers"])
+    assert (found["ARC-Result-Code"], found["ARC-Location"], found["ARC-Record-Location"], found["WARC-Payload-Digest"]) == ("302", "http://d.com/", "77", "abc")
+
+
+def test_an_index_scan_reads_few_blocks(spark, tmp_path):
+    rows = spark.range(20_000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("key"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"))
+    path = str(tmp_path / "ix")
+    indexed.write_indexed(rows, path, block_lines=100)
+    index = indexed.read_index(spark, path)
+    assert index.agg(F.sum("lines")).first()[0] == 20_000
+    one = spark.createDataFrame([("k0001",), ("k01234",)], "prefix string")
+    blocks = indexed.blocks_of_prefixes(index, one)
+    assert 2 <= blocks.count() <= 6
+    found = indexed.scan(spark, path, one)
+    assert found.count() == 110 and {r[0] for r in found.select("matched").distinct().collect()} == {"k0001", "k01234"}
+    asked = spark.createDataFrame([("k000000",), ("k000100",), ("k019999",), ("nothing",), (None,)], "key string")
+    assert sorted((r["key"], r["line"]) for r in indexed.lookup(spark, path, asked).collect()) == [("k000000", "line 0"), ("k000100", "line 100"), ("k019999", "line 19999"), ("nothing", None)]
+
+
+def test_lookup_of_a_key_over_many_blocks(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"{k}{i}") for k in "abc" for i in range(25)], "key string, line string")
+    indexed.write_indexed(rows, str(tmp_path / "ix"), block_lines=4, parts=2)
+    found = indexed.lookup(spark, str(tmp_path / "ix"), spark.createDataFrame([("b",)], "key string"))
+    assert sorted(r["line"] for r in found.collect()) == sorted(f"b{i}" for i in range(25))
+
+
 def test_http_bodies():
     body = gzip.compress("é".encode("iso-8859-1"))
     chunked = b"".join(b"%x\r\n%s\r\n" % (len(body[i : i + 7]), body[i : i + 7]) for i in range(0, len(body), 7)) + b"0\r\n\r\n"
