@@ -1,12 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is read clause by clause. A lexical step maps each word to a symbol (insult,
-threat, target, negation, reported speech, other) and, for insults and threats, a weight.
-Two transducers are composed into one table:
-
-* scope marks insults and threats that stand in the reach of a negation or in reported
-  speech;
-* attack scores the marked symbols, higher where a target stands near.
+A text is read clause by clause. A lexical step maps each word to a symbol: its class
+(insult, threat, intent, wish, death, target, negation, report, other), its place in
+multi-word phrases, and for insults a weight. Transducers, one for each kind of pattern, are
+composed into one table:
+
+* phrases turns the last word of a listed phrase into the symbol phrase;
+* scope marks insults, phrases and words of threats in the reach of a negation (-) and
+  behind a verb of reported speech (");
+* threats finds a threat as a clause pattern: intent, verb and target, or wish and death,
+  each within `near` words; a verb and a target alone are a weak one, a lone verb is none;
+* attack scores what is left, higher where a target stands near.
 
 A document's evidence is the sum over its clauses; a logistic curve turns it into a score.
 Insult stems and the curve are learned from a bounded sample of labelled rows
@@ -19,6 +23,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +34,28 @@ from arcframe.llm.common import written
 
 #: Labelled rows that a fit uses at most, those with the smallest hash of their id.
 SAMPLE_ROWS = 16_000
-#: Stems that a fit keeps at most.
+#: Stems that a fit keeps at most, those with the largest odds times toxic documents.
 STEM_ROWS = 4_000
 #: Learned stems need this many toxic documents, this share of them and this log-odds ratio.
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 4, 0.01, 2.5
 PREFIXES = (4, 5, 6, 7)
-#: Words that a fit ignores beyond this length.
-WORD_CHARS = 40
-
-# Symbols of the grammar and their words.
-SYMBOLS = ("other", "target", "insult", "threat", "negation", "report", "end")
-OTHER, TARGET, INSULT, THREAT, NEGATION, REPORT, END = range(7)
-TARGETS = "you your yours u ur he she they them him her people du dich dir ihr euch sie tu te toi vous ton ta usted tú vosotros ustedes"
-THREATS = "kill hurt destroy hunt beat burn töten umbringen schlagen tuer frapper détruire matar golpear destruir"
-NEGATIONS = "not no never neither nor isn't aren't don't nicht kein keine nie pas jamais aucun nunca jamás ningún"
-REPORTS = "said says wrote claimed reported quoted called sagte schrieb behauptete dit écrit affirme dijo escribió afirma"
+
+# Word classes and phrases of the grammar.
+CLASSES = {
+    "target": "you your yours u ur he she they them him her people du dich dir ihr euch sie tu te toi vous ton ta usted tú vosotros ustedes",
+    "threat": "kill hurt destroy hunt beat burn töten umbringen schlagen tuer frapper détruire matar golpear destruir",
+    "intent": "will gonna going shall must i'll we'll werde werden wirst vais allons veux voy vamos quiero",
+    "wish": "hope wish deserve deserves should hoffe sollst verdienst espère mérites devrais espero mereces deberías",
+    "death": "die dead suffer rot sterben krepieren leiden mourir crever souffrir morir pudrirte sufrir",
+    "negation": "not no never neither nor isn't aren't don't nicht kein keine nie pas jamais aucun nunca jamás ningún",
+    "report": "said says wrote claimed reported quoted called sagte schrieb behauptete dit écrit affirme dijo escribió afirma",
+}
 INSULTS = "idiot moron loser scum stupid pathetic worthless disgusting trash clown dumb fool"
+PHRASES = (
+    "piece of trash", "waste of space", "shut up", "go to hell", "drop dead", "get lost", "halt die klappe", "fahr zur hölle", "verpiss dich",
+    "ferme ta gueule", "va au diable", "espèce de merde", "vete al infierno", "cierra la boca", "pedazo de basura",
+)
+MARKS = {"": 1.0, "-": 0.15, '"': 0.6, '-"': 0.1}
 
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n]")
 DEFAULT_WEIGHT = 2.0
@@ -52,71 +63,140 @@ DEFAULT_WEIGHT = 2.0
 
 @dataclass
 class Transducer:
-    """arcs[(state, symbol)] = (next state, output symbol, weight); state 0 is first."""
+    """arcs[(state, symbol)] = (next state, output symbol, weight); the alphabet is what state `first` reads."""
+
+    first: object
+    arcs: dict[tuple[object, str], tuple[object, str, float]] = field(default_factory=dict)
+
+    def symbols(self) -> list[str]:
+        return sorted(symbol for state, symbol in self.arcs if state == self.first)
+
+
+PLAIN = ("other", "insult", "end", *CLASSES)
+SCOPED = ("insult", "phrase", "threat", "intent", "wish", "death")
 
-    arcs: dict[tuple[str, str], tuple[str, str, float]] = field(default_factory=dict)
-    first: str = ""
+
+def alphabet(phrases: tuple[str, ...] = PHRASES) -> list[str]:
+    """Input symbols: a class, or class:word for words of phrases."""
+    words = sorted({w for p in phrases for w in p.split()})
+    return [*PLAIN, *(f"{word_class(w)}:{w}" for w in words)]
+
+
+def word_class(word: str) -> str:
+    if word in INSULTS.split():
+        return "insult"
+    return next((name for name, words in CLASSES.items() if word in words.split()), "other")
+
+
+def phrase_transducer(phrases: tuple[str, ...] = PHRASES) -> Transducer:
+    """Words of phrases become their class, the last word of a whole phrase becomes `phrase`."""
+    listed = {tuple(p.split()) for p in phrases}
+    heads = {p[:n] for p in listed for n in range(len(p))}
+    symbols = [*alphabet(phrases), *(f"insult:{w}" for p in listed for w in p if word_class(w) != "insult")]
+    out = Transducer(())
+    for state in heads:
+        for symbol in symbols:
+            name, _, word = symbol.partition(":")
+            seen = (*state, word) if word else ()
+            tails = [seen[i:] for i in range(len(seen))]
+            done = any(t in listed for t in tails)
+            out.arcs[state, symbol] = (next((t for t in tails if t in heads), ()), "phrase" if done else name, 1.0)
+    return out
 
 
 def scope_transducer(reach: int = 3) -> Transducer:
-    """Copies symbols; insults and threats become insult-, insult" and insult-" (threat alike)."""
-    out = Transducer(first="0p")
+    """Marks SCOPED symbols: - within `reach` words behind a negation, " behind a report in the clause."""
+    out = Transducer((0, False))
     for left in range(reach + 1):
-        for said in "pr":
-            state = f"{left}{said}"
-            for symbol in SYMBOLS:
+        for said in (False, True):
+            for symbol in (*PLAIN, "phrase"):
                 if symbol == "end":
-                    nxt, mark = "0p", ""
+                    after = (0, False)
                 elif symbol == "negation":
-                    nxt, mark = f"{reach}{said}", ""
-                elif symbol == "report":
-                    nxt, mark = f"{max(left - 1, 0)}r", ""
+                    after = (reach, said)
                 else:
-                    nxt, mark = f"{max(left - 1, 0)}{said}", ""
-                if symbol in ("insult", "threat"):
-                    mark = "-" * (left > 0) + '"' * (said == "r")
+                    after = (max(left - 1, 0), said or symbol == "report")
+                mark = ("-" * (left > 0) + '"' * said) if symbol in SCOPED else ""
                 plain = "other" if symbol in ("negation", "report") else symbol
-                out.arcs[state, symbol] = (nxt, plain + mark, 1.0)
+                out.arcs[(left, said), symbol] = (after, plain + mark, 1.0)
+    return out
+
+
+def threat_transducer(near: int = 3) -> Transducer:
+    """Clause patterns of threats: menace at the target (or death) that completes one, weak without intent.
+
+    A state is what was seen last and how many words it still reaches; a verb remembers
+    whether an intent stood before it. The mark is that of the verb or of the death.
+    """
+    out = Transducer(("", "", 0))
+    inputs = ["other", "target", "end", *(s + m for s in SCOPED for m in MARKS)]
+    states = [("", "", 0), *((kind, mark, n) for kind in ("intent", "wish", "verb", "meant") for mark in MARKS for n in range(1, near + 1))]
+    for kind, mark, n in states:
+        later = (kind, mark, n - 1) if n > 1 else ("", "", 0)
+        for symbol in inputs:
+            name = symbol.rstrip('-"')
+            own = symbol[len(name) :]
+            after, output = later, symbol
+            if name == "end":
+                after = ("", "", 0)
+            elif name in ("intent", "wish"):
+                after, output = (name, own, near), "other"
+            elif name == "threat":
+                after, output = ("meant" if kind == "intent" else "verb", own, near), "other"
+            elif name == "death":
+                after, output = (("", "", 0), "menace" + own) if kind in ("wish", "intent") else (later, "other")
+            elif name == "target" and kind in ("verb", "meant"):
+                after, output = ("", "", 0), ("menace" if kind == "meant" else "weak") + mark
+            out.arcs[(kind, mark, n), symbol] = (after, output, 1.0)
     return out
 
 
 def attack_transducer(near: int = 4) -> Transducer:
-    """Scores marked symbols; a target within `near` words before or after raises them."""
-    out = Transducer(first="n0")
-    base = {"insult": 1.0, "threat": 0.4}
-    for kind in "nti":  # nothing, target or insult seen, words left
-        for left in range(near + 1):
-            if (kind == "n") != (left == 0):
-                continue
-            state = f"{kind}{left}"
-            after = f"{kind}{left - 1}" if left > 1 else "n0"
-            out.arcs[state, "other"] = (after, "", 0.0)
-            out.arcs[state, "end"] = ("n0", "", 0.0)
-            out.arcs[state, "target"] = (f"t{near}", "", 0.3 if kind == "i" else 0.0)
-            for symbol, weight in base.items():
-                for mark, factor in (("", 1.0), ("-", 0.6), ('"', 0.7), ('-"', 0.5)):
-                    out.arcs[state, symbol + mark] = (f"i{near}", "", weight * factor * (1.3 if kind == "t" else 1.0))
+    """Scores marked symbols; a target within `near` words before or after an insult raises it."""
+    out = Transducer(("", 0))
+    base = {"insult": 1.0, "phrase": 1.5, "menace": 2.0, "weak": 0.4}
+    for state in (("", 0), *((kind, n) for kind in ("target", "insult") for n in range(1, near + 1))):
+        after = (state[0], state[1] - 1) if state[1] > 1 else ("", 0)
+        out.arcs[state, "other"] = (after, "", 0.0)
+        out.arcs[state, "end"] = (("", 0), "", 0.0)
+        out.arcs[state, "target"] = (("target", near), "", 0.3 if state[0] == "insult" else 0.0)
+        for name, weight in base.items():
+            for mark, factor in MARKS.items():
+                aimed = 1.3 if state[0] == "target" and name == "insult" else 1.0
+                hit = ("target", near) if name in ("menace", "weak") else ("insult", near)
+                out.arcs[state, name + mark] = (hit, "", weight * factor * aimed)
     return out
 
 
-def compose(first: Transducer, second: Transducer) -> tuple[list[list[int]], list[list[float]]]:
-    """The reachable product as tables next[state][symbol] and weight[state][symbol]."""
-    start = (first.first, second.first)
-    index, queue, nexts, weights = {start: 0}, [start], [], []
-    while len(nexts) < len(queue):
-        a, b = queue[len(nexts)]
-        row, gains = [], []
-        for symbol in SYMBOLS:
-            a2, middle, w1 = first.arcs[a, symbol]
-            b2, _, w2 = second.arcs[b, middle]
-            if (a2, b2) not in index:
-                index[a2, b2] = len(queue)
-                queue.append((a2, b2))
-            row.append(index[a2, b2])
-            gains.append(w1 * w2)
-        nexts.append(row)
-        weights.append(gains)
-    return nexts, weights
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The reachable product: what the first writes, the second reads; weights are multiplied."""
+    out = Transducer((first.first, second.first))
+    symbols, queue, seen = first.symbols(), [out.first], {out.first}
+    while queue:
+        state = queue.pop()
+        for symbol in symbols:
+            a, middle, w1 = first.arcs[state[0], symbol]
+            b, written_, w2 = second.arcs[state[1], middle]
+            out.arcs[state, symbol] = ((a, b), written_, w1 * w2)
+            if (a, b) not in seen:
+                seen.add((a, b))
+                queue.append((a, b))
+    return out
+
+
+@cache
+def grammar_tables() -> tuple[dict[str, int], list[list[int]], list[list[float]]]:
+    """Number of each symbol, and next[state][symbol] and weight[state][symbol] of all transducers in a row."""
+    whole = compose(compose(compose(phrase_transducer(), scope_transducer()), threat_transducer()), attack_transducer())
+    symbols = {s: i for i, s in enumerate(whole.symbols())}
+    states = {whole.first: 0}
+    for state, _ in whole.arcs:
+        states.setdefault(state, len(states))
+    nexts, weights = ([[0] * len(symbols) for _ in states] for _ in range(2))
+    for (state, symbol), (after, _, weight) in whole.arcs.items():
+        nexts[states[state]][symbols[symbol]] = states[after]
+        weights[states[state]][symbols[symbol]] = weight
+    return symbols, nexts, weights
 
 
 @dataclass
@@ -139,30 +219,29 @@ class Lexicon(dict):
     def __init__(self, grammar: Grammar):
         super().__init__()
         self.stems = grammar.stems
-        self.fixed = {c: (END, 0.0) for c in ".!?;\n"}
-        for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT)):
-            self.fixed.update({w: (symbol, 1.0) for w in words.split()})
+        self.numbers = grammar_tables()[0]
+        self.fixed = {c: "end" for c in ".!?;\n"} | {w: name for name, words in CLASSES.items() for w in words.split()}
+        self.parts = {w for p in PHRASES for w in p.split()}
 
     def __missing__(self, word: str) -> tuple[int, float]:
         if len(self) >= self.LIMIT:
             self.clear()
         low = word.lower()
         weight = max([self.stems.get(low, 0.0), *(self.stems.get(low[:n] + "*", 0.0) for n in PREFIXES if len(low) >= n)])
-        found = (INSULT, weight) if weight > 0 else self.fixed.get(low, (OTHER, 0.0))
+        name = "insult" if weight > 0 else self.fixed.get(low, "other")
+        found = (self.numbers[f"{name}:{low}" if low in self.parts else name], weight)
         self[word] = found
         return found
 
 
 def evidence(texts: list[str], lexicon: Lexicon, tables) -> np.ndarray:
     """Summed clause scores of each text."""
-    nexts, weights = tables
+    _, nexts, weights = tables
     out = np.zeros(len(texts))
     for i, text in enumerate(texts):
-        symbols = [lexicon[w] for w in TOKEN.findall(text)]
-        if not any(s[0] == INSULT or s[0] == THREAT for s in symbols):
-            continue
         state, total = 0, 0.0
-        for symbol, weight in symbols:
+        for word in TOKEN.findall(text):
+            symbol, weight = lexicon[word]
             gain = weights[state][symbol]
             if gain:
                 total += gain * (weight or 1.0)
@@ -187,7 +266,7 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, label, half in zip(_texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             cell = 2 * half + label
             seen[cell] += 1
-            words = {w.lower() for w in TOKEN.findall(text) if 4 <= len(w) <= WORD_CHARS}
+            words = {w.lower() for w in TOKEN.findall(text) if len(w) >= 4}
             stems = words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n}
             for stem in stems:
                 both[stem][cell] += 1
@@ -231,6 +310,8 @@ def _with_stems(stems: dict[str, float]) -> Grammar:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Grammar:
     """Stems and curve from labelled (distinct texts), which holds SAMPLE_ROWS rows at most.
 
+    A text with both labels counts as toxic.
+
     The curve is fitted to evidence that the stems of the other half of the sample give;
     the stems kept are those of both halves. Rows without a label or text are left out.
     With no toxic row the fixed list stays.
@@ -239,7 +320,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     sample = written(
         labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
         .select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), half.alias("half"))
-        .dropDuplicates(["text"]),
+        .groupBy("text")
+        .agg(F.max("label").alias("label"), F.min("half").alias("half")),
         "toxicity-sample",
     )
     counts = sample.mapInArrow(_stem_counts, "stem string, " + ", ".join(f"{c} long" for c in CELLS))
@@ -272,7 +354,7 @@ def _evidence_map(grammar: Grammar, passed: int):
     """(text, *passed) -> (evidence, *passed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, tables = grammar.lexicon(), compose(scope_transducer(), attack_transducer())
+        lexicon, tables = grammar.lexicon(), grammar_tables()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -303,17 +385,20 @@ def held_out(id_col: str = "doc_id"):
 def fitted(docs: DataFrame, labels: DataFrame) -> Grammar:
     """A grammar from the labelled documents that are not held out.
 
-    The labels' rows are cut to SAMPLE_ROWS (smallest hash of the id) before the join,
-    so the broadcast side is bounded.
+    The labels' rows are cut to SAMPLE_ROWS (smallest hash of the id) before the join, so the
+    broadcast side is bounded; an id with both labels is toxic. Of documents that repeat an
+    id the text with the smallest hash counts, so the sample has SAMPLE_ROWS rows at most.
     """
     few = (
         labels.where(~held_out() & F.col("toxic").isNotNull())
-        .select("doc_id", "toxic")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
         .limit(SAMPLE_ROWS)
     )
-    return fit(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"))
+    joined = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text is not null")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    return fit(joined.groupBy("doc_id").agg(one["text"].alias("text"), F.max("toxic").alias("toxic")))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

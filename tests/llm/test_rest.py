@@ -39,10 +39,69 @@ def test_lookups_find_all_lines_of_a_key_over_blocks(spark, monkeypatch):
 
 
 def test_grammar_weighs_context():
-    tables, lexicon = toxicity.compose(toxicity.scope_transducer(), toxicity.attack_transducer()), toxicity.default_grammar().lexicon()
-    plain, aimed, denied, told, calm = toxicity.evidence(["an idiot", "you idiot", "not an idiot", "he said idiot", "the sea is calm. no"], lexicon, tables)
-    assert aimed > plain > denied > 0 and plain > 0 and told < aimed and calm == 0
-    assert toxicity.evidence(["not. an idiot"], lexicon, tables)[0] == plain
+    tables, lexicon = toxicity.grammar_tables(), toxicity.default_grammar().lexicon()
+    score = lambda *texts: toxicity.evidence(list(texts), lexicon, tables).tolist()
+    plain, aimed, denied, told, calm = score("an idiot", "you idiot", "not an idiot", "he said idiot", "the sea is calm. no")
+    assert aimed > plain > 5 * denied > 0 and told < aimed and calm == 0
+    assert score("not. an idiot") == [plain]
+    verb, weak, meant, wished, denied = score("they burn wood", "burn you", "we will burn you", "I hope you die", "we will never burn you")
+    assert verb == 0 < denied < weak < meant == wished
+    assert score("shut up", "up shut", "you piece of trash")[:2] == [1.5, 0.0] and score("go go to hell") == [1.5]
+
+
+def clause_scores(words, stems):
+    """The grammar's rules over one clause, by looking back from each word."""
+    kinds = ["insult" if w in stems else toxicity.word_class(w) if w not in toxicity.INSULTS.split() else "other" for w in words]
+    listed = [tuple(p.split()) for p in toxicity.PHRASES]
+    at = 0
+    for i in range(len(words)):  # a phrase begins anew behind the one before
+        if any(i + 1 - len(p) >= at and tuple(words[i + 1 - len(p) : i + 1]) == p for p in listed):
+            kinds[i], at = "phrase", i + 1
+    marks = []
+    for i, kind in enumerate(kinds):
+        denied = any(k == "negation" for k in kinds[max(0, i - 3) : i])
+        marks.append("-" * denied + '"' * ("report" in kinds[:i]) if kind in toxicity.SCOPED else "")
+    out, seen = [], None  # seen: the last part of a threat, (kind, mark, place)
+    for i, kind in enumerate(kinds):
+        if seen and i - seen[2] > 3:
+            seen = None
+        part = (kind, marks[i])
+        if kind in ("intent", "wish"):
+            part, seen = ("other", ""), (kind, marks[i], i)
+        elif kind == "threat":
+            part, seen = ("other", ""), ("meant" if seen and seen[0] == "intent" else "verb", marks[i], i)
+        elif kind == "death":
+            hit = seen and seen[0] in ("wish", "intent")
+            part, seen = ("menace", marks[i]) if hit else ("other", ""), None if hit else seen
+        elif kind == "target" and seen and seen[0] in ("verb", "meant"):
+            part, seen = ("menace" if seen[0] == "meant" else "weak", seen[1]), None
+        out.append(part)
+    total, last = 0.0, None
+    for i, (kind, mark) in enumerate(out):
+        near = last[0] if last and i - last[1] <= 4 else ""
+        if kind == "target":
+            total, last = total + 0.3 * (near == "insult"), ("target", i)
+        elif kind in ("insult", "phrase", "menace", "weak"):
+            base = {"insult": stems.get(words[i], 1.0) * (1.3 if near == "target" else 1.0), "phrase": 1.5 * stems.get(words[i], 1.0), "menace": 2.0, "weak": 0.4}[kind]
+            total, last = total + base * toxicity.MARKS[mark], ("target" if kind in ("menace", "weak") else "insult", i)
+    return total
+
+
+def test_composed_transducers_follow_the_rules():
+    rng = random.Random(9)
+    stems = toxicity.default_grammar().stems
+    words = ["other", "words", *(w for c in toxicity.CLASSES.values() for w in c.split()[:3]), "idiot", "trash", *"piece of trash shut up go to hell".split()]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    texts += [f"{rng.choice(texts)}. {rng.choice(texts)}" for _ in range(300)]
+    want = [sum(clause_scores(c.split(), stems) for c in t.split(".")) for t in texts]
+    assert toxicity.evidence(texts, toxicity.default_grammar().lexicon(), toxicity.grammar_tables()) == pytest.approx(want)
+
+
+def test_both_labels_and_repeated_ids_are_settled(spark):
+    docs = spark.createDataFrame([(i % 7, f"some text {i % 5} badword{i % 2}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(7)] + [(i, 1) for i in range(3)], "doc_id long, toxic int")
+    one, two = (toxicity.score_documents(docs.repartition(n), labels).groupBy("doc_id").agg(F.sum("score").alias("s")).orderBy("doc_id").collect() for n in (1, 5))
+    assert [r["s"] for r in one] == pytest.approx([r["s"] for r in two])
 
 
 def test_held_out_accuracy(spark):
