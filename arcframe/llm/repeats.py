@@ -38,6 +38,8 @@ PACK_BYTES = 3 << 19
 STRETCH, POSITION_BITS = 1 << 23, 24
 #: Runs of one anchor within a pack beyond which they go to the last pass directly.
 CROWD = 8
+#: Bytes of text whose entries an owner gets in the mean; there are as many owners as that takes.
+OWNER_BYTES = 4 << 20
 #: Intervals and open runs up to this size are broadcast to the texts.
 BROADCAST_BYTES = 2 << 20
 
@@ -409,8 +411,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = plain.mapInArrow(_keys, f"id {kind}, text string, text_key binary")
-    width = shuffle_width(spark)
-    owners = max(2, 2 * width)
+    size = _bytes(plain, F.octet_length("text"))
+    owners = max(2, 2 * shuffle_width(spark), size // OWNER_BYTES)
     sent = plain.select("text").mapInArrow(_first_pass(owners), SENT)
     found = written(sent.groupBy("owner").applyInPandas(_first_owner, FOUND), "repeats")
     bodies = F.collect_list("body").alias("bodies")
@@ -422,8 +424,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = found.where("kind = 1").unionByName(more).groupBy("text_key").agg(bodies)
     copies = texts.select("text_key").groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     facts = written(spans.join(copies, "text_key", "full_outer"), "spans")
-    size = _bytes(facts, F.expr("16 + aggregate(coalesce(bodies, array()), 0, (n, x) -> n + octet_length(x))"))
-    rows = _joined(texts, facts, size, "left").select("id", "text", "bodies", F.coalesce("copies", F.lit(1)).alias("copies"))
+    held = _bytes(facts, F.expr("16 + aggregate(coalesce(bodies, array()), 0, (n, x) -> n + octet_length(x))"))
+    rows = _joined(texts, facts, held, "left").select("id", "text", "bodies", F.coalesce("copies", F.lit(1)).alias("copies"))
     return rows.mapInArrow(_outcome, f"id {kind}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary").withColumnRenamed("id", id_col)
 
 

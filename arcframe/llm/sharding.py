@@ -98,24 +98,30 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
 
     size is the UTF-8 length of the text (null: none) plus 8. The law is `bytes`: shards get
     near-equal sums of sizes; grown_shard is null. slot counts the rows of a shard from 0
-    without gaps, in the order of virtual slot, id, checksum and size. Null ids lie in one
-    virtual slot and sort first; rows that repeat an id lie together. An empty table gives
-    an empty result.
+    without gaps, in the order of virtual slot, id, checksum and size; null ids sort first. An
+    id's hash is its virtual slot; rows that share an id (or have none) are dealt over all
+    slots by their place in the table, so that no id can fill one. An empty table gives an
+    empty result.
 
     Texts stay where they are: only id, size and checksum are shuffled, by virtual slot.
     Rows are numbered within a virtual slot; the slots' starts are sums over SLOTS rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = written(
+    placed = written(
         docs.select(
             F.col(id_col),
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            virtual_slot(id_col).alias("virtual_slot"),
+            F.monotonically_increasing_id().alias("__af_row"),
         ),
         "sizes",
     )
+    repeats = placed.groupBy(F.col(id_col).alias("__af_id")).agg(F.count(F.lit(1)).alias("__af_copies")).where("__af_copies > 1")
+    spread = F.pmod(F.xxhash64(F.col(id_col), "text_crc32", "__af_row"), F.lit(SLOTS)).cast("int")
+    sized = placed.join(repeats, F.col(id_col).eqNullSafe(F.col("__af_id")), "left")
+    sized = sized.withColumn("virtual_slot", F.when(F.col("__af_copies").isNull(), virtual_slot(id_col)).otherwise(spread)).drop("__af_id", "__af_copies", "__af_row")
+    sized = written(sized, "slotted")
     totals = slot_totals(sized)
     sizes = [0] * SLOTS
     for row in totals.collect():
@@ -147,8 +153,13 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """docs below path, one folder per shard, dealt by shard and virtual slot."""
-    spots = placed.select(id_col, "shard", "virtual_slot").dropDuplicates([id_col])
-    joined = docs.join(spots, docs[id_col].eqNullSafe(spots[id_col]), "left").drop(spots[id_col])
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """docs below path, one folder per shard, dealt by shard and virtual slot; rows meet theirs by id, checksum and number."""
+    number = lambda text: F.row_number().over(Window.partitionBy("__af_id", "__af_crc").orderBy(text))
+    spots = placed.select(F.col(id_col).alias("__af_id"), F.col("text_crc32").alias("__af_crc"), "shard", "virtual_slot")
+    spots = spots.withColumn("__af_n", number("virtual_slot"))
+    own = docs.withColumn("__af_id", F.col(id_col)).withColumn("__af_crc", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    own = own.withColumn("__af_n", number(F.lit(0)))
+    same = [own[c].eqNullSafe(spots[c]) for c in ("__af_id", "__af_crc", "__af_n")]
+    joined = own.join(spots, same[0] & same[1] & same[2], "left").drop("__af_id", "__af_crc", "__af_n")
     joined.repartition("shard", "virtual_slot").write.partitionBy("shard").parquet(path)

@@ -144,16 +144,96 @@ def test_mixture_with_nulls_and_given_targets(spark, docs):
     assert got == {"s0": 0.75, "s1": 0.25, "s2": 0.0}
 
 
-def test_topic_features_are_brute_force(texts):
+def test_word_counts_are_brute_force(texts):
+    import re
+
+    import numpy as np
     import pyarrow as pa
 
+    from arcframe.llm.common import run_hashes
+
     plain = [t or "" for t in texts]
-    words, topics = mixing.features(pa.array(plain))
-    for t, w, k in zip(plain, words, topics):
-        parts = [x for x in __import__("re").split(rb"[\x20\x09-\x0d]+", t.encode()) if x]
-        classes = Counter(sum(x) % mixing.TOPICS for x in parts if len(x) >= mixing.TOPIC_WORD_BYTES)
-        best = min(range(mixing.TOPICS), key=lambda c: (-classes[c], c))
-        assert (w, k) == (len(parts), best if classes else 0)
+    words, counts = mixing.word_counts(pa.array(plain))
+    for t, n, c in zip(plain, words, counts):
+        parts = [x.lower() for x in re.split(rb"[\x20\x09-\x0d]+", t.encode()) if x]
+        want = np.zeros(mixing.PLACES)
+        for x in parts:
+            if len(x) >= mixing.WORD_BYTES:
+                want[int(run_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0] % np.uint64(mixing.PLACES))] += 1
+        assert n == len(parts) and np.allclose(c, np.log1p(want))
+
+
+def test_topics_follow_the_words_of_a_text(spark):
+    themes = ["ship sail harbour anchor", "bread flour oven crust", "court judge verdict appeal"]
+    rows = [(i, " ".join([*themes[i % 3].split()[: 2 + i % 3], "always"] * 3)) for i in range(90)] + [(900, None), (901, "")]
+    df = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r["topic"] for r in mixing.mixture(df).collect()}
+    by = [{found[i] for i in range(k, 90, 3)} for k in range(3)]
+    assert not (by[0] & by[1] or by[1] & by[2] or by[0] & by[2]) and found[900] == "0" == found[901]
+    again = {r["doc_id"]: r["topic"] for r in mixing.mixture(df.repartition(7)).collect()}
+    assert again == found
+    given = mixing.mixture(df.withColumn("kind", F.col("doc_id") % 2), topic_col="kind")
+    assert {r["topic"] for r in given.collect()} == {"0", "1"}
+
+
+def test_raking_is_the_classic_sweep(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    tokens = rng.integers(1, 100, (4, 3, 5))
+    rows = [(f"s{i}", f"l{j}", str(k), int(tokens[i, j, k])) for i, j, k in np.ndindex(tokens.shape)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    goals = [rng.random(n) + 0.1 for n in tokens.shape]
+    goals = [g / g.sum() for g in goals]
+    names = [("source", "s"), ("lang", "l"), ("topic", "")]
+    targets = {m: spark.createDataFrame([(f"{p}{i}", float(x)) for i, x in enumerate(g)], f"{m} string, target double") for (m, p), g in zip(names, goals)}
+    share = tokens.astype(float)
+    for _ in range(300):
+        for axis, g in enumerate(goals):
+            other = tuple(a for a in range(3) if a != axis)
+            share *= np.expand_dims(g / share.sum(axis=other), other)
+    found = {(r["source"], r["lang"], r["topic"]): r for r in mixing.rake(cells, targets, tolerance=1e-9).collect()}
+    assert all(abs(found[f"s{i}", f"l{j}", str(k)]["share"] - share[i, j, k]) < 1e-6 for i, j, k in np.ndindex(share.shape))
+    kept = {(r["source"], r["lang"], r["topic"]): r["keep_rate"] for r in mixing.rates(cells, targets).collect()}
+    ratio = share / tokens
+    assert all(abs(kept[f"s{i}", f"l{j}", str(k)] - ratio[i, j, k] / ratio.max()) < 1e-3 for i, j, k in np.ndindex(share.shape))
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 10)], "source string, lang string, tokens long")
+    targets = {m: spark.createDataFrame(rows, f"{m} string, target double") for m, rows in (("source", [("a", 0.9), ("b", 0.1)]), ("lang", [("x", 0.5), ("y", 0.5)]))}
+    assert mixing.rake(cells, targets).first()["margin_gap"] > 0.1
+
+
+def test_odd_rows_of_bytes_and_tokens(spark):
+    """Clashing names, repeated rows and ids, nulls."""
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (1, "other", "y"), (None, "a b", None), (2, None, "z")]
+    names = "doc_id long, text string, ids string, n_tokens string, spans string, kept string, n_bytes string, feature string, start string"
+    df = spark.createDataFrame([(*r, *"uvwxyz") for r in rows], names)
+    want = Counter((r[0], r[1] or "") for r in rows)
+    assert Counter((r["doc_id"], r["text"]) for r in bpe.coded(df, vocabulary("byte_bpe_50k.json")).collect()) == want
+    assert repeats.without_repeats(df).count() == media.media_table(df).count() == len(rows)
+    found = token_orc.token_table(df, vocabulary("word_bpe_49k.json"), 2).orderBy("start").collect()
+    assert len(found) == len(rows) and found[0]["start"] == 0 and [r["start"] + r["n_tokens"] for r in found[:-1]] == [r["start"] for r in found[1:]]
+
+
+def test_fragments_whose_bytes_change_places(spark):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    texts = []
+    for n, i, j in ((1200, 3, 515), (5000, 7, 4100), (300, 0, 30)):
+        for four in ("qzzq", "zqqz"):
+            run = ["a"] * n
+            for place, letter in zip((i, i + 256, j, min(j + 256, n - 1)), four):
+                run[place] = letter
+            texts.append("".join(run))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tokenizer = Tokenizer.from_file(path)
+    want = [len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    found = token_orc.token_table(df, path, 2).orderBy("doc_id").collect()
+    ids = [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4") for t in texts]
+    assert [r["n_tokens"] for r in found] == want and [r["ids_crc32"] for r in found] == [zlib.crc32(x) for x in ids]
 
 
 def test_kept_text_and_spans_are_returned(docs):

@@ -135,6 +135,22 @@ def test_shards_are_even_and_gapless(spark, docs, nothing):
     assert sharding.shard_documents(nothing).count() == 0
 
 
+def test_shard_columns_and_repeated_ids(spark):
+    import zlib
+
+    rng = random.Random(3)
+    texts = ["é" * rng.randint(0, 300) + str(i) for i in range(3000)]
+    rows = [(7 if i % 3 == 0 else i, None if i == 5 else texts[i % 400]) for i in range(3000)] + [(None, "x")] * 40
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).toPandas()
+    want = sorted((-1 if i is None else i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted(zip(found["doc_id"].fillna(-1).astype(int), found["size"], found["text_crc32"])) == want
+    sizes = found.groupby("shard")["size"].sum()
+    assert len(sizes) == 24 and sizes.max() / sizes.mean() < 1.05 and set(found["law"]) == {"bytes"} and found["grown_shard"].isna().all()
+    for _, own in found.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+        assert (own.sort_values("slot")["virtual_slot"].diff().dropna() >= 0).all()
+
+
 def test_rebalancing_edits_the_map():
     sizes = [random.Random(i).randint(1, 100) for i in range(200)]
     first = sharding.first_map(8, 200)
