@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from arcframe.llm.fragments import Memo, forced_cuts, slices, split_rows, token_bytes
 
 
+#: Fragments in the younger half of a worker's memory: each holds ids and bytes.
+CODER_ROWS = 1 << 16
+
+
 @cache
 def _fragment_coder(path: str) -> Memo:
     """fragment -> (ids as 32-bit integers, bytes the ids decode to).
@@ -30,7 +34,7 @@ def _fragment_coder(path: str) -> Memo:
         ids = tokenizer.encode(fragment.decode(), add_special_tokens=False).ids
         return np.array(ids, np.int32).tobytes(), b"".join([bodies[i] for i in ids])
 
-    return Memo(make)
+    return Memo(make, CODER_ROWS)
 
 
 def _texts(column: pa.Array) -> pa.Array:

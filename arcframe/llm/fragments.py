@@ -128,20 +128,20 @@ def coded_rows(column: pa.Array, cut: np.ndarray) -> tuple[list[bytes], np.ndarr
 class Memo(dict):
     """fragment -> value; a miss calls make().
 
-    When MEMO_ROWS are held they become the older half and the half before is forgotten;
-    what is met again moves back to the younger half.
+    When `rows` are held they become the older half and the half before is forgotten; what
+    is met again moves back to the younger half.
     """
 
-    def __init__(self, make: Callable[[bytes], object]):
+    def __init__(self, make: Callable[[bytes], object], rows: int = MEMO_ROWS):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.rows, self.old = make, rows, {}
 
     def __missing__(self, fragment: bytes):
         value = self.old.get(fragment)
         if value is None:
             value = self.make(fragment)
         if len(fragment) <= 64:
-            if len(self) >= MEMO_ROWS:
+            if len(self) >= self.rows:
                 self.old = dict(self)
                 self.clear()
             self[fragment] = value

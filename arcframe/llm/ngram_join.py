@@ -47,9 +47,9 @@ HOT_ROWS = 1 << 18
 #: Members and shingles of a block; in groups of more than 16 blocks they grow up to 4 times.
 BLOCK_ROWS, BLOCK_TOKENS = 500, 1 << 19
 #: Shingles of one owner in the mean, and members of one part of a hot shingle.
-OWNER_ROWS, PART_ROWS = 1 << 20, 20_000
+OWNER_ROWS, PART_ROWS = 1 << 19, 20_000
 #: Sets and shingles that a task packs together.
-PACK_SETS, PACK_SHINGLES = 60_000, 1 << 21
+PACK_SETS, PACK_SHINGLES = 60_000, 1 << 20
 #: Shingles and pairs of the units that one group of rows counts, in the mean.
 UNIT_TOKENS, UNIT_PAIRS = 1 << 21, 1 << 22
 #: Work of one step of a count in a unit: pairs that meet in a shingle, and shingles of a product of matrices.

@@ -3,7 +3,7 @@
 A text is read clause by clause. A lexical step maps each word to a symbol: its class
 (insult, threat, intent, wish, death, target, negation, report, other), its place in
 multi-word phrases, and for insults a weight. Transducers, one for each kind of pattern, are
-composed into one table:
+composed as far as texts reach:
 
 * phrases turns the last word of a listed phrase into the symbol phrase;
 * scope marks insults, phrases and words of threats in the reach of a negation (-) and
@@ -39,6 +39,10 @@ STEM_ROWS = 4_000
 #: Learned stems need this many toxic documents, this share of them and this log-odds ratio.
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 4, 0.01, 2.5
 PREFIXES = (4, 5, 6, 7)
+#: Longer words count by their first letters only.
+WHOLE_CHARS = 40
+#: Stems that a task holds before it sends its counts on.
+HELD_STEMS = 1 << 17
 
 # Word classes and phrases of the grammar.
 CLASSES = {
@@ -63,14 +67,11 @@ DEFAULT_WEIGHT = 2.0
 
 @dataclass
 class Transducer:
-    """arcs[(state, symbol)] = (next state, output symbol, weight); the alphabet is what state `first` reads."""
+    """arcs[(state, symbol)] = (next state, output symbol, weight)."""
 
     first: object
     arcs: dict[tuple[object, str], tuple[object, str, float]] = field(default_factory=dict)
 
-    def symbols(self) -> list[str]:
-        return sorted(symbol for state, symbol in self.arcs if state == self.first)
-
 
 PLAIN = ("other", "insult", "end", *CLASSES)
 SCOPED = ("insult", "phrase", "threat", "intent", "wish", "death")
@@ -168,35 +169,37 @@ def attack_transducer(near: int = 4) -> Transducer:
     return out
 
 
-def compose(first: Transducer, second: Transducer) -> Transducer:
-    """The reachable product: what the first writes, the second reads; weights are multiplied."""
-    out = Transducer((first.first, second.first))
-    symbols, queue, seen = first.symbols(), [out.first], {out.first}
-    while queue:
-        state = queue.pop()
-        for symbol in symbols:
-            a, middle, w1 = first.arcs[state[0], symbol]
-            b, written_, w2 = second.arcs[state[1], middle]
-            out.arcs[state, symbol] = ((a, b), written_, w1 * w2)
-            if (a, b) not in seen:
-                seen.add((a, b))
-                queue.append((a, b))
-    return out
+class State(dict):
+    """A state of the composed transducers: symbol -> (next state, weight), worked out when it is first met.
+
+    What one transducer writes, the next one reads; weights are multiplied. Only the part of
+    the product that texts reach is ever built.
+    """
+
+    def __init__(self, cascade: tuple[Transducer, ...], parts: tuple, known: dict[tuple, State]):
+        super().__init__()
+        self.cascade, self.parts, self.known = cascade, parts, known
+        known[parts] = self
+
+    def __missing__(self, symbol: str) -> tuple[State, float]:
+        word, gain, after = symbol, 1.0, []
+        for transducer, part in zip(self.cascade, self.parts):
+            part, word, weight = transducer.arcs[part, word]
+            after.append(part)
+            gain *= weight
+        state = self.known.get(tuple(after)) or State(self.cascade, tuple(after), self.known)
+        self[symbol] = (state, gain)
+        return state, gain
 
 
 @cache
-def grammar_tables() -> tuple[dict[str, int], list[list[int]], list[list[float]]]:
-    """Number of each symbol, and next[state][symbol] and weight[state][symbol] of all transducers in a row."""
-    whole = compose(compose(compose(phrase_transducer(), scope_transducer()), threat_transducer()), attack_transducer())
-    symbols = {s: i for i, s in enumerate(whole.symbols())}
-    states = {whole.first: 0}
-    for state, _ in whole.arcs:
-        states.setdefault(state, len(states))
-    nexts, weights = ([[0] * len(symbols) for _ in states] for _ in range(2))
-    for (state, symbol), (after, _, weight) in whole.arcs.items():
-        nexts[states[state]][symbols[symbol]] = states[after]
-        weights[states[state]][symbols[symbol]] = weight
-    return symbols, nexts, weights
+def transducers() -> tuple[Transducer, ...]:
+    return phrase_transducer(), scope_transducer(), threat_transducer(), attack_transducer()
+
+
+def composed() -> State:
+    """The first state of all transducers in a row."""
+    return State(transducers(), tuple(t.first for t in transducers()), {})
 
 
 @dataclass
@@ -214,38 +217,35 @@ class Grammar:
 class Lexicon(dict):
     """word -> (symbol, weight), filled as words are met."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 16
 
     def __init__(self, grammar: Grammar):
         super().__init__()
         self.stems = grammar.stems
-        self.numbers = grammar_tables()[0]
         self.fixed = {c: "end" for c in ".!?;\n"} | {w: name for name, words in CLASSES.items() for w in words.split()}
         self.parts = {w for p in PHRASES for w in p.split()}
 
-    def __missing__(self, word: str) -> tuple[int, float]:
+    def __missing__(self, word: str) -> tuple[str, float]:
         if len(self) >= self.LIMIT:
             self.clear()
         low = word.lower()
         weight = max([self.stems.get(low, 0.0), *(self.stems.get(low[:n] + "*", 0.0) for n in PREFIXES if len(low) >= n)])
         name = "insult" if weight > 0 else self.fixed.get(low, "other")
-        found = (self.numbers[f"{name}:{low}" if low in self.parts else name], weight)
+        found = (f"{name}:{low}" if low in self.parts else name, weight)
         self[word] = found
         return found
 
 
-def evidence(texts: list[str], lexicon: Lexicon, tables) -> np.ndarray:
+def evidence(texts: list[str], lexicon: Lexicon, first: State) -> np.ndarray:
     """Summed clause scores of each text."""
-    _, nexts, weights = tables
     out = np.zeros(len(texts))
     for i, text in enumerate(texts):
-        state, total = 0, 0.0
+        state, total = first, 0.0
         for word in TOKEN.findall(text):
             symbol, weight = lexicon[word]
-            gain = weights[state][symbol]
+            state, gain = state[symbol]
             if gain:
                 total += gain * (weight or 1.0)
-            state = nexts[state][symbol]
         out[i] = total
     return out
 
@@ -259,23 +259,28 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label, half) -> documents that hold each stem by half and label, summed over the task."""
+    """(text, label, half) -> documents that hold each stem by half and label, summed over parts of the task."""
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        rows = list(both.items())
+        both.clear()
+        for lo in range(0, len(rows), 20_000):
+            part = rows[lo : lo + 20_000]
+            counts = np.array([c for _, c in part], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part]), *(pa.array(counts[:, i]) for i in range(4))], names=["stem", *CELLS])
+
     both = defaultdict(lambda: [0, 0, 0, 0])
-    seen = [0, 0, 0, 0]
     for batch in batches:
         for text, label, half in zip(_texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             cell = 2 * half + label
-            seen[cell] += 1
+            both[""][cell] += 1
             words = {w.lower() for w in TOKEN.findall(text) if len(w) >= 4}
-            stems = words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n}
+            stems = {w for w in words if len(w) <= WHOLE_CHARS} | {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n}
             for stem in stems:
                 both[stem][cell] += 1
-    both[""] = seen
-    rows = list(both.items())
-    for lo in range(0, len(rows), 20_000):
-        part = rows[lo : lo + 20_000]
-        counts = np.array([c for _, c in part], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part]), *(pa.array(counts[:, i]) for i in range(4))], names=["stem", *CELLS])
+            if len(both) >= HELD_STEMS:
+                yield from counted()
+    yield from counted()
 
 
 CELLS = ("clean0", "toxic0", "clean1", "toxic1")
@@ -354,11 +359,11 @@ def _evidence_map(grammar: Grammar, passed: int):
     """(text, *passed) -> (evidence, *passed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, tables = grammar.lexicon(), grammar_tables()
+        lexicon, first = grammar.lexicon(), composed()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                x = evidence(_texts(part.column(0)), lexicon, tables)
+                x = evidence(_texts(part.column(0)), lexicon, first)
                 yield pa.RecordBatch.from_arrays([pa.array(x), *part.columns[1 : 1 + passed]], names=["x", *part.schema.names[1 : 1 + passed]])
 
     return run

@@ -194,11 +194,23 @@ def test_raking_is_the_classic_sweep(spark):
             share *= np.expand_dims(g / share.sum(axis=other), other)
     found = {(r["source"], r["lang"], r["topic"]): r for r in mixing.rake(cells, targets, tolerance=1e-9).collect()}
     assert all(abs(found[f"s{i}", f"l{j}", str(k)]["share"] - share[i, j, k]) < 1e-6 for i, j, k in np.ndindex(share.shape))
-    kept = {(r["source"], r["lang"], r["topic"]): r["keep_rate"] for r in mixing.rates(cells, targets).collect()}
+    kept = {(r["source"], r["lang"], r["topic"]): r["keep_rate"] for r in mixing.rates(cells, targets, short=0).collect()}
     ratio = share / tokens
     assert all(abs(kept[f"s{i}", f"l{j}", str(k)] - ratio[i, j, k] / ratio.max()) < 1e-3 for i, j, k in np.ndindex(share.shape))
 
 
+def test_cells_that_are_kept_whole_hold_a_small_share(spark):
+    cells = spark.createDataFrame([("big", 1_000_000)] + [(f"s{i}", 10 ** (i % 5)) for i in range(40)], "source string, tokens long")
+    targets = {"source": mixing.flattened(cells, "source")}
+    for short in (0.0, 0.02, 0.2):
+        found = mixing.rates(cells, targets, short).toPandas()
+        assert found["keep_rate"].max() == 1.0 and (found["keep_rate"] > 0).all()
+        ratio = found["share"] / found["tokens"]
+        whole = ratio[found["keep_rate"] == 1].min()
+        assert found["share"][ratio > whole * (1 + 1e-9)].sum() <= short
+        assert np.allclose(found["keep_rate"], np.minimum(1, ratio / whole))
+
+
 def test_targets_that_cannot_be_met_are_told(spark):
     cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 10)], "source string, lang string, tokens long")
     targets = {m: spark.createDataFrame(rows, f"{m} string, target double") for m, rows in (("source", [("a", 0.9), ("b", 0.1)]), ("lang", [("x", 0.5), ("y", 0.5)]))}

@@ -39,7 +39,7 @@ def test_lookups_find_all_lines_of_a_key_over_blocks(spark, monkeypatch):
 
 
 def test_grammar_weighs_context():
-    tables, lexicon = toxicity.grammar_tables(), toxicity.default_grammar().lexicon()
+    tables, lexicon = toxicity.composed(), toxicity.default_grammar().lexicon()
     score = lambda *texts: toxicity.evidence(list(texts), lexicon, tables).tolist()
     plain, aimed, denied, told, calm = score("an idiot", "you idiot", "not an idiot", "he said idiot", "the sea is calm. no")
     assert aimed > plain > 5 * denied > 0 and told < aimed and calm == 0
@@ -94,7 +94,7 @@ def test_composed_transducers_follow_the_rules():
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
     texts += [f"{rng.choice(texts)}. {rng.choice(texts)}" for _ in range(300)]
     want = [sum(clause_scores(c.split(), stems) for c in t.split(".")) for t in texts]
-    assert toxicity.evidence(texts, toxicity.default_grammar().lexicon(), toxicity.grammar_tables()) == pytest.approx(want)
+    assert toxicity.evidence(texts, toxicity.default_grammar().lexicon(), toxicity.composed()) == pytest.approx(want)
 
 
 def test_both_labels_and_repeated_ids_are_settled(spark):
