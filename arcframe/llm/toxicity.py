@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -236,26 +236,31 @@ class Lexicon(dict):
         return found
 
 
-def evidence(texts: list[str], lexicon: Lexicon, first: State) -> np.ndarray:
+def evidence(texts: Iterable[str], lexicon: Lexicon, first: State) -> np.ndarray:
     """Summed clause scores of each text."""
-    out = np.zeros(len(texts))
-    for i, text in enumerate(texts):
+    out = []
+    for text in texts:
         state, total = first, 0.0
         for word in TOKEN.findall(text):
             symbol, weight = lexicon[word]
             state, gain = state[symbol]
             if gain:
                 total += gain * (weight or 1.0)
-        out[i] = total
-    return out
+        out.append(total)
+    return np.array(out, np.float64)
 
 
 def default_grammar() -> Grammar:
     return Grammar({w: DEFAULT_WEIGHT for w in INSULTS.split()})
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
+#: Rows of a batch whose texts are Python strings at once.
+SLICE_ROWS = 256
+
+
+def _texts(column: pa.Array) -> Iterator[str]:
+    for lo in range(0, len(column), SLICE_ROWS):
+        yield from (t or "" for t in column.slice(lo, SLICE_ROWS).to_pylist())
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,25 +366,45 @@ def _evidence_map(grammar: Grammar, passed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, first = grammar.lexicon(), composed()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                x = evidence(_texts(part.column(0)), lexicon, first)
-                yield pa.RecordBatch.from_arrays([pa.array(x), *part.columns[1 : 1 + passed]], names=["x", *part.schema.names[1 : 1 + passed]])
+            x = evidence(_texts(batch.column(0)), lexicon, first)
+            yield pa.RecordBatch.from_arrays([pa.array(x), *batch.columns[1 : 1 + passed]], names=["x", *batch.schema.names[1 : 1 + passed]])
 
     return run
 
 
+def _scored(grammar: Grammar, text: int):
+    """A struct of a row, whose field at `text` is its text -> (evidence, the struct).
+
+    The text goes to the worker once and the struct goes back as it came.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, first = grammar.lexicon(), composed()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.column(0).slice(lo, SLICE_ROWS)
+                x = evidence(_texts(rows.field(text)), lexicon, first)
+                yield pa.RecordBatch.from_arrays([pa.array(x), rows], names=["x", "__af_all"])
+
+    return run
+
+
+def _with_scores(docs: DataFrame, grammar: Grammar, text_col: str) -> DataFrame:
+    """__af_all (a struct of the row of docs) and its score."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__af_all"))
+    scored = rows.mapInArrow(_scored(grammar, docs.columns.index(text_col)), rows.select(F.lit(0.0).alias("x"), "__af_all").schema)
+    curve = 1 / (1 + F.exp(-(F.lit(grammar.slope) * F.log1p("x") + F.lit(grammar.bias))))
+    return scored.select("__af_all", curve.alias("score"))
+
+
 def score(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
     """docs with a column `score` from 0 to 1 (a former column of that name is replaced).
 
     Only the text is read for the score. A null or empty text has no evidence and gets the
     curve's lowest score.
     """
-    others = [c for c in docs.columns if c != "score"]
-    rest = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__af_scored"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("__af_all"))
-    scored = rest.mapInArrow(_evidence_map(grammar, 1), rest.select(F.lit(0.0).alias("x"), "__af_all").schema)
-    curve = 1 / (1 + F.exp(-(F.lit(grammar.slope) * F.log1p("x") + F.lit(grammar.bias))))
-    return scored.select("__af_all.*", curve.alias("score"))
+    others = [F.col(f"__af_all.`{c}`") for c in docs.columns if c != "score"]
+    return _with_scores(docs, grammar, text_col).select(*others, "score")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -414,5 +439,4 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs whose score is below 0.5; columns as they were."""
-    scored = score(docs.select(F.col("text").alias("__af_body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__af_row")), fitted(docs, labels), "__af_body")
-    return scored.where("score < 0.5").select("__af_row.*")
+    return _with_scores(docs, fitted(docs, labels), "text").where("score < 0.5").select("__af_all.*")
