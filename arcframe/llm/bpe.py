@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcframe.llm.common import lean
 from arcframe.llm.fragments import Memo, forced_cuts, slices, split_rows, token_bytes
 
 
@@ -54,7 +55,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         tokenizer.no_truncation()
         tokenizer.no_padding()
         memo = Memo(lambda f: tokenizer.encode(f.decode(), add_special_tokens=False).ids)
-        for batch in batches:
+        for batch in lean(batches):
             for lo, hi in slices(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
                 ids = [[i for f in row for i in memo[f]] for row in split_rows(_texts(part.column(1)), cut)]
@@ -69,7 +70,7 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bodies = token_bytes(vocabulary)
-        for batch in batches:
+        for batch in lean(batches):
             texts = [b"".join([bodies[i] for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
@@ -87,7 +88,7 @@ def coded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, cut = _fragment_coder(vocabulary), forced_cuts(vocabulary)
-        for batch in batches:
+        for batch in lean(batches):
             for lo, hi in slices(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
                 sizes, ids, texts = [], [], []

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches as they are; before the next one and at the end, Arrow's pool gives back what it no longer uses.
+
+    Workers outlive their tasks, so what a pool keeps counts against all later stages.
+    """
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -101,8 +113,6 @@ def fresh_name(df: DataFrame, stem: str) -> str:
 
 def text_bytes(column) -> Iterator[bytes]:
     """UTF-8 bytes of each value of an Arrow string column; null is empty."""
-    import pyarrow as pa
-
     for lo in range(0, len(column), 128):
         for value in column.slice(lo, 128).cast(pa.large_binary()).to_pylist():
             yield value or b""

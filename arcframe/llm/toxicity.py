@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcframe.llm.common import written
+from arcframe.llm.common import lean, written
 
 #: Labelled rows that a fit uses at most, those with the smallest hash of their id.
 SAMPLE_ROWS = 16_000
@@ -275,7 +275,7 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part]), *(pa.array(counts[:, i]) for i in range(4))], names=["stem", *CELLS])
 
     both = defaultdict(lambda: [0, 0, 0, 0])
-    for batch in batches:
+    for batch in lean(batches):
         for text, label, half in zip(_texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             cell = 2 * half + label
             both[""][cell] += 1
@@ -365,7 +365,7 @@ def _evidence_map(grammar: Grammar, passed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, first = grammar.lexicon(), composed()
-        for batch in batches:
+        for batch in lean(batches):
             x = evidence(_texts(batch.column(0)), lexicon, first)
             yield pa.RecordBatch.from_arrays([pa.array(x), *batch.columns[1 : 1 + passed]], names=["x", *batch.schema.names[1 : 1 + passed]])
 
@@ -380,7 +380,7 @@ def _scored(grammar: Grammar, text: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, first = grammar.lexicon(), composed()
-        for batch in batches:
+        for batch in lean(batches):
             for lo in range(0, batch.num_rows, SLICE_ROWS):
                 rows = batch.column(0).slice(lo, SLICE_ROWS)
                 x = evidence(_texts(rows.field(text)), lexicon, first)
