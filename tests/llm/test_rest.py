@@ -122,6 +122,9 @@ def test_scores_of_odd_rows(spark, docs, nothing):
     assert toxicity.score_documents(nothing, none).count() == 0
     clash = docs.withColumn("score", F.lit("s")).withColumn("x", F.lit(1))
     assert toxicity.drop_toxic(clash, none).columns == clash.columns
+    rows = [(i, f"you are a stupid idiot and a moron, number {i}" if i % 3 == 0 else f"a plain line, number {i}" if i % 3 == 1 else None, "s", i) for i in range(700)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, score string, x int").coalesce(1)
+    assert sorted(map(tuple, toxicity.drop_toxic(many, none).collect())) == [r for r in rows if r[0] % 3]
 
 
 def test_shards_are_even_and_gapless(spark, docs, nothing):
