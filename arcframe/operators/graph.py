@@ -15,7 +15,9 @@ def links(anchors: DataFrame) -> DataFrame:
 
     Targets need a valid host; the shortest, then smallest, URL stands for a target's key.
     """
-    keyed = anchors.select("src_url", surt.surt(F.col("src_url")).alias("src_surt"), "ts14", "dst_url", surt.surt(F.col("dst_url")).alias("dst_surt"))
+    # The explode of one row keeps the optimiser from writing the long key expressions out again in filter and keys.
+    keys = F.struct(surt.surt(F.col("src_url")).alias("src_surt"), surt.surt(F.col("dst_url")).alias("dst_surt"))
+    keyed = anchors.select("src_url", "ts14", "dst_url", F.explode(F.array(keys)).alias("k")).select("src_url", "k.src_surt", "ts14", "dst_url", "k.dst_surt")
     valid = keyed.where(surt.is_valid_host(surt.surt_host(F.col("dst_surt"))))
     return first_per_key(valid, ["src_surt", "src_url", "ts14", "dst_surt"], [F.char_length("dst_url"), F.col("dst_url")])
 

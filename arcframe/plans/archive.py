@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 from arcframe.functions import surt
 from arcframe.operators import attachments, cdx, derive, graph, html
 from arcframe.plans.tables import BASE_TS14, CAPTURES_SQL, HOST_SQL, SURT_SQL, all_captures, captures, table
+from arcframe.session import stored
 
 
 def outlinks(spark, sf):
-    return html.outlinks(table(spark, sf, "pages").where(html.strict_html(F.col("html")).isNotNull())).select("url", "target")
+    return html.outlinks(table(spark, sf, "pages").where(html.strict_html(F.col("html")).isNotNull()), labels=False)
 
 
 def host_graph(spark, sf):
-    links = html.outlinks(table(spark, sf, "pages").where(html.strict_html(F.col("html")).isNotNull()))
-    return links.groupBy(surt.url_host(F.col("url")).alias("src_host"), surt.url_host(F.col("target")).alias("dst_host")).agg(F.count(F.lit(1)).alias("links"))
+    links = html.outlinks(table(spark, sf, "pages").where(html.strict_html(F.col("html")).isNotNull()), labels=False)
+    pairs = links.groupBy("url", "target").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy(surt.url_host(F.col("url")).alias("src_host"), surt.url_host(F.col("target")).alias("dst_host")).agg(F.sum("n").alias("links"))
 
 
 def outlink_targets(spark, sf):
@@ -24,8 +26,9 @@ def outlink_targets(spark, sf):
 
 
 def _edges(spark, sf):
-    found = html.outlinks(table(spark, sf, "pages"))
-    return graph.links(found.select(F.col("url").alias("src_url"), F.lit("20240101000000").alias("ts14"), F.col("target").alias("dst_url")))
+    """Links between keys, written once: nodes and adjacency both read them."""
+    found = html.outlinks(table(spark, sf, "pages"), labels=False).distinct()
+    return stored(graph.links(found.select(F.col("url").alias("src_url"), F.lit("20240101000000").alias("ts14"), F.col("target").alias("dst_url"))), "edges")
 
 
 def _nodes(spark, sf, edges):

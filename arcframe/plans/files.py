@@ -187,7 +187,12 @@ def subtract_keys_whole(spark, sf):
 QUERIES = {f.__name__: f for f in (warc_load, warc_http, warc_cdx, warc_raw, warc_extract, cdx_files, cdx_index_scan, cdx_lookup, prefix_long, doc_clean_latin, doc_trim_lines, doc_fixpoint, string_tests, html_selected, page_embed_urls, lang_merged, text_files, csv_files, named_files, line_offsets, sorted_layouts, subtract_keys_whole)}
 
 _TRIM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{2,}}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"""
-_PLAIN = r"trim(regexp_replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g'))"
+#: Entities of the pages; the ampersand comes last, so that what it leaves is not read again.
+_ENTITIES = {"middot": "·", "copy": "©", "quot": '"', "lt": "<", "gt": ">", "#39": "''", "nbsp": " ", "amp": "&"}
+_PLAIN = "{}"
+for _name, _sign in _ENTITIES.items():
+    _PLAIN = f"replace({_PLAIN}, '&{_name};', '{_sign}')"
+_PLAIN = rf"trim(regexp_replace({_PLAIN}, '\s+', ' ', 'g'))"
 _WORDS = "\n             ".join(
     f"{'WHEN' if i else 'CASE WHEN'} {name} > 0 AND {name} = greatest(de, en, es, fr) THEN '{name}'" for i, name in enumerate(sorted(derive.STOP_WORDS))
 )

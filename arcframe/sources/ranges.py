@@ -36,28 +36,49 @@ def list_files(path: str) -> list[tuple[str, int]]:
 
 
 class Ranged:
-    """A file read in chunks: bytes at any place, and the next place of a mark."""
+    """A file read in chunks, each byte once when read in order. fetched: the bytes read so far."""
 
     def __init__(self, path: str):
         system, name = open_system(path)
         self.file = system.open_input_file(name)
-        self.size, self.at, self.held = self.file.size(), 0, b""
+        self.size, self.at, self.held, self.fetched = self.file.size(), 0, b"", 0
 
     def read(self, at: int, n: int) -> bytes:
-        if not self.at <= at <= at + n <= self.at + len(self.held):
-            self.at, self.held = at, self.file.read_at(max(n, CHUNK), at)
-        return self.held[at - self.at : at - self.at + n]
+        """The n bytes at a place; what is held of them is not read again."""
+        skip = at - self.at
+        if not 0 <= skip <= len(self.held):
+            self.at, self.held, skip = at, b"", 0
+        lack = n - (len(self.held) - skip)
+        if lack > 0:
+            self.held = self.held[skip:] + self._fetch(self.at + len(self.held), max(lack, CHUNK))
+            self.at, skip = at, 0
+        return self.held[skip : skip + n]
+
+    def some(self, at: int) -> bytes:
+        """What is held behind a place, or else the next chunk: b"" only at the file's end."""
+        skip = at - self.at
+        if not 0 <= skip < len(self.held):
+            self.at, self.held, skip = at, self._fetch(at, CHUNK), 0
+        return self.held[skip:] if skip else self.held
+
+    def _fetch(self, at: int, n: int) -> bytes:
+        body = self.file.read_at(max(0, min(n, self.size - at)), at) if at < self.size else b""
+        self.fetched += len(body)
+        return body
 
     def find(self, mark: bytes, at: int, end: int) -> int:
         """The first place of mark in [at, end), or -1."""
         while at < end:
-            body = self.read(at, CHUNK)
-            if not body:
-                return -1
+            body = self.some(at)
             found = body.find(mark)
             if found >= 0:
                 return at + found if at + found < end else -1
-            at += max(1, len(body) - len(mark) + 1)
+            if at + len(body) >= self.size:
+                return -1
+            if len(body) < len(mark):
+                body = self.read(at, CHUNK)
+                continue
+            at += len(body) - len(mark) + 1
         return -1
 
     def close(self) -> None:

@@ -30,6 +30,8 @@ ARROW = pa.schema(
 )
 BLANK = re.compile(rb"\r?\n\r?\n")
 SPLIT_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+#: Bytes in which a record's header is looked for first.
+HEAD_BYTES = 1 << 14
 GZIP, ZSTD, SKIPPABLE = b"\x1f\x8b", b"\x28\xb5\x2f\xfd", b"\x5d\x2a\x4d\x18"
 
 
@@ -37,7 +39,7 @@ def _inflated(f: Ranged, at: int, machine) -> tuple[int, bytes] | None:
     """(length, content) of what a decompressor reads from at to its end; None where it is cut off."""
     start, parts = at, []
     while not machine.eof:
-        body = f.read(at, CHUNK)
+        body = f.some(at)
         if not body:
             return None
         parts.append(machine.decompress(body))
@@ -63,20 +65,24 @@ def gzip_members(f: Ranged, begin: int = 0, end: int | None = None) -> Iterator[
             at = f.find(GZIP, at + 2, end)
 
 
-def zstd_frames(f: Ranged) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of zstd frames; a leading skippable frame holds their dictionary."""
+def zstd_start(f: Ranged):
+    """(place of the first frame, maker of decompressors): a leading skippable frame holds a dictionary."""
     import zstandard
 
-    at, dictionary = 0, None
-    if f.read(0, 4) == SKIPPABLE:
-        size = int.from_bytes(f.read(4, 4), "little")
-        raw = f.read(8, size)
-        if raw[:4] == ZSTD:
-            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-        dictionary, at = zstandard.ZstdCompressionDict(raw), 8 + size
+    if f.read(0, 4) != SKIPPABLE:
+        return 0, zstandard.ZstdDecompressor()
+    size = int.from_bytes(f.read(4, 4), "little")
+    raw = f.read(8, size)
+    if raw[:4] == ZSTD:
+        raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+    return 8 + size, zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+
+
+def zstd_frames(f: Ranged) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of zstd frames."""
+    at, maker = zstd_start(f)
     while f.read(at, 4) == ZSTD:
-        machine = (zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()).decompressobj()
-        found = _inflated(f, at, machine)
+        found = _inflated(f, at, maker.decompressobj())
         if found is None:
             return
         yield at, *found
@@ -141,7 +147,7 @@ def records(body: bytes) -> Iterator[tuple[int, int, str, list[tuple[str, str]],
 
 def plain_records(f: Ranged) -> Iterator[tuple[int, int, str, list[tuple[str, str]], bytes]]:
     """records() of an uncompressed file, one record held at a time."""
-    at, wide = 0, CHUNK
+    at, wide = 0, HEAD_BYTES
     while at < f.size:
         body = f.read(at, min(wide, f.size - at))
         skip = len(body) - len(body.lstrip(b"\r\n"))
@@ -154,7 +160,7 @@ def plain_records(f: Ranged) -> Iterator[tuple[int, int, str, list[tuple[str, st
         version, headers, start, size, kept = head
         if kept:
             yield at + skip, start - skip + size, version, headers, f.read(at + start, size)
-        at, wide = at + start + size, CHUNK
+        at, wide = at + start + size, HEAD_BYTES
 
 
 def read_range(path: str, begin: int, end: int, raw: bool) -> Iterator[tuple]:
@@ -313,27 +319,40 @@ def to_cdx(rows: DataFrame) -> DataFrame:
     )
 
 
-def extract(pointers: DataFrame, file: str = "file", offset: str = "offset", length: str = "length") -> DataFrame:
+def unpacked(f: Ranged, begin: int, size: int, starts: dict) -> bytes:
+    """The content of a range: a gzip member, a zstd frame (with its file's dictionary) or plain bytes."""
+    body = f.read(begin, size)
+    if body[:2] == GZIP:
+        return zlib.decompressobj(31).decompress(body)
+    if body[:4] == ZSTD:
+        if "zstd" not in starts:
+            starts["zstd"] = zstd_start(f)[1]
+        return starts["zstd"].decompressobj().decompress(body)
+    return body
+
+
+def extract(pointers: DataFrame, file: str = "file", offset: str = "offset", length: str = "length", strict: bool = True) -> DataFrame:
     """Records (SCHEMA) that pointers name: each range is read and parsed, and nothing else.
 
     Pointers are dealt by file and sorted by offset, about a file's worth of neighbours to a
-    task; a pointer whose range holds no record gives no row.
+    task. A pointer whose range holds no record is an error, or without strict gives no row.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            f, at = None, None
+            f, at, starts = None, None, {}
             for part in parts:
                 for path, begin, size in zip(*(c.to_pylist() for c in part.columns)):
                     if path != at:
                         if f is not None:
                             f.close()
-                        f, at = Ranged(path), path
-                    body = f.read(begin, size)
-                    for machine in (zlib.decompressobj(31),) if body[:2] == GZIP else ():
-                        body = machine.decompress(body)
-                    for _, _, version, headers, payload in records(body):
+                        f, at, starts = Ranged(path), path, {}
+                    found = False
+                    for _, _, version, headers, payload in records(unpacked(f, begin, size, starts)):
+                        found = True
                         yield path, begin, size, version, headers, payload
+                    if strict and not found:
+                        raise ValueError(f"no record in {path} at {begin}, {size} bytes")
             if f is not None:
                 f.close()
 

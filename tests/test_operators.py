@@ -231,3 +231,35 @@ def test_link_queries_resolve_every_kind_of_link(spark, tmp_path):
     assert rows(hosts, "src_host", "dst_host", "links") == [("a.com", "a.com", 5), ("a.com", "o.org", 1), ("c.com", "b.net", 1)]
     surts = {r["surt"] for r in catalog.QUERIES["link_nodes"](spark, str(tmp_path)).collect()}
     assert {"org,o)/y", "net,b)/z/w", "com,a)/d/x"} <= surts
+
+
+def test_links_behind_void_tags_and_at_any_depth():
+    page = "<p>" + "<br><img src='i.png'>" * 2000 + "<a href='/x'>label</a>" + "<i>" * 3000 + "<a href='/deep'>d<b>e</b></a>"
+    found = [(x["target"], x["label"]) for x in html.page_links(page, "http://a.com/") if x["tag"] == "a"]
+    assert found == [("http://a.com/x", "label"), ("http://a.com/deep", "d e")]
+    void = list(html.iterate_tags("<p><br>one<hr>two</p>"))
+    assert [(t["name"], t["closing"], t["stack"]) for t in void] == [("p", False, []), ("br", True, ["p"]), ("hr", True, ["p"]), ("p", True, [])]
+
+
+def test_handlers_share_one_pass_and_tell_nesting():
+    page = "<title>t</title><div id=1><div id=2>x<a href='/a'>A</a></div><div id=3>y</div></div><style>p{}</style><a href='/o'><a href='/i'>in</a> out</a>"
+    tags = html.Tags(page)
+    title, divs, links, flat, ends = (html.Handler(frozenset(n), *k) for n, k in ((["title"], ()), (["div"], ()), (["a"], ()), (["a"], (False,)), (["div"], (False, True))))
+    every = [(h, tags.tags[i].source) for h, i in tags.handle([title, divs, links])]
+    assert [s for h, s in every] == ["<title>", "<div id=1>", "<div id=2>", "<a href='/a'>", "<div id=3>", "<a href='/o'>", "<a href='/i'>"]
+    names = lambda **k: [tags.tags[i].source for _, i in tags.handle([divs, links], **k)]
+    assert names(inner=False) == ["<div id=1>", "<a href='/a'>", "<a href='/o'>"]
+    assert names(outer=False) == ["<div id=2>", "<a href='/a'>", "<div id=3>", "<a href='/i'>"]
+    assert [tags.tags[i].source for _, i in tags.handle([flat], inner=False)] == ["<a href='/a'>", "<a href='/o'>", "<a href='/i'>"]
+    assert [tags.tags[i].source for _, i in tags.handle([ends])].count("</div>") == 3
+    first = next(i for _, i in tags.handle([divs]))
+    assert tags.text(first) == "x A y" and tags.children(first)[-1].source == "</div>"
+    assert html.Tags("<div>a<script>code</script>b</div>").text(0) == "a b"
+
+
+def test_style_targets_follow_the_grammar():
+    found = lambda css: html.css_targets(css, "http://a/b/")
+    assert found("x{background:URL( \"p (1).png\" )} y{src:url(q\\)r.png)}") == ["http://a/b/p (1).png", "http://a/b/q)r.png"]
+    assert found("/* url(no.png) */ a{content:'url(no2.png)'} b{x:url(\\79 es.png)}") == ["http://a/b/yes.png"]
+    assert found("@import url(m.css) screen; @import ('n.css') ; @import o.css; @import 'p.css' print;") == ["http://a/b/m.css", "http://a/b/n.css", "http://a/b/o.css"]
+    assert found("url()") == [] and found("url(open") == ["http://a/b/open"]

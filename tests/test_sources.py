@@ -146,3 +146,43 @@ def test_stream_counts_every_event(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.sql("SELECT sum(n) FROM counted").first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_files_are_read_once(tmp_path):
+    import gzip
+
+    from arcframe.sources import ranges, warc
+
+    record = lambda i: b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 900\r\n\r\n" + bytes([65 + i % 26]) * 900 + b"\r\n\r\n"
+    plain, packed = tmp_path / "a.warc", tmp_path / "a.warc.gz"
+    plain.write_bytes(b"".join(record(i) for i in range(3000)))
+    packed.write_bytes(b"".join(gzip.compress(record(i)) for i in range(3000)))
+    for path, read in ((plain, warc.plain_records), (packed, warc.gzip_members)):
+        f = ranges.Ranged(str(path))
+        assert sum(1 for _ in read(f)) == 3000
+        assert f.fetched < 1.2 * path.stat().st_size + (1 << 20)
+        f.close()
+    small = ranges.Ranged(str(packed))
+    assert small.find(b"\x1f\x8b", 1, small.size) == len(gzip.compress(record(0))) and small.find(b"not there", 0, small.size) == -1
+
+
+def test_pointers_into_zstd_files_give_their_records(spark, tmp_path):
+    import zstandard
+
+    from arcframe.sources import warc
+
+    record = lambda i: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/{i}\r\nContent-Length: 3\r\n\r\nb{i:02d}\r\n\r\n".encode()
+    dictionary = zstandard.ZstdCompressionDict(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/" * 20)
+    raw = dictionary.as_bytes()
+    frames = [zstandard.ZstdCompressor(dict_data=dictionary).compress(record(i)) for i in range(20)]
+    (tmp_path / "a.warc.zst").write_bytes(b"\x5d\x2a\x4d\x18" + len(raw).to_bytes(4, "little") + raw + b"".join(frames))
+    (tmp_path / "b.warc.zst").write_bytes(b"".join(zstandard.compress(record(i)) for i in range(20, 25)))
+    warc.register(spark)
+    rows = spark.read.format("warc").load(str(tmp_path))
+    pointers = rows.select("file", "offset", "length")
+    found = warc.extract(pointers)
+    assert sorted(bytes(r["payload"]) for r in found.collect()) == [b"b%02d" % i for i in range(25)]
+    import pytest
+
+    with pytest.raises(Exception, match="no record in"):
+        warc.extract(spark.createDataFrame([(str(tmp_path / "b.warc.zst"), 3, 9)], "file string, offset long, length long")).count()
