@@ -259,7 +259,7 @@ def test_handlers_share_one_pass_and_tell_nesting():
 
 def test_style_targets_follow_the_grammar():
     found = lambda css: html.css_targets(css, "http://a/b/")
-    assert found("x{background:URL( \"p (1).png\" )} y{src:url(q\\)r.png)}") == ["http://a/b/p (1).png", "http://a/b/q)r.png"]
+    assert found("x{background:URL( \"p (1).png\" )} y{src:url(q\\)r.png)}") == ["http://a/b/p%20(1).png", "http://a/b/q)r.png"]
     assert found("/* url(no.png) */ a{content:'url(no2.png)'} b{x:url(\\79 es.png)}") == ["http://a/b/yes.png"]
     assert found("@import url(m.css) screen; @import ('n.css') ; @import o.css; @import 'p.css' print;") == ["http://a/b/m.css", "http://a/b/n.css", "http://a/b/o.css"]
     assert found("url()") == [] and found("url(open") == ["http://a/b/open"]
