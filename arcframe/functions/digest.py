@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from arcframe.functions.udf import arrow_udf
+
 # Fixed value: the RFC 4648 base32 alphabet.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -42,3 +46,18 @@ def little_endian(value: Column) -> Column:
 
 def big_endian(value: Column) -> Column:
     return F.conv(F.hex(value), 16, 10).cast("long")
+
+
+@arrow_udf("int")
+def string_hash(text: pd.Series) -> pd.Series:
+    """The 32-bit string hash: units of UTF-16, each time 31 times what was there."""
+
+    def one(x: str | None) -> int | None:
+        if x is None:
+            return None
+        h = 0
+        for unit in np.frombuffer(x.encode("utf-16-le", "surrogatepass"), "<u2").tolist():
+            h = (31 * h + unit) & 0xFFFFFFFF
+        return h - (1 << 32) if h >> 31 else h
+
+    return text.map(one).astype("Int32")

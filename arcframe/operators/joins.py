@@ -107,6 +107,29 @@ def adjacent(df: DataFrame, key: str, lookups: DataFrame, lookup_key: str) -> Da
     return df.join(hit, df[key] == F.col("__hit"), "left_semi")
 
 
+def following(df: DataFrame, lookups: DataFrame, keys: list[str], at: str, take: list[str]) -> DataFrame:
+    """lookups with the columns take of the first row of df that has their keys and stands at or behind `at`.
+
+    Both sides meet in one order that is cut into ranges; the first row of a range is carried
+    back into those before it. No key is one task's work. Nulls where there is no such row;
+    of rows of df at one place any counts.
+    """
+    others = [c for c in lookups.columns if c not in (*keys, at)]
+    own, row = F.struct(F.lit(True).alias("__is"), *others), F.struct(F.lit(True).alias("__is"), *take)
+    left = lookups.select(*keys, at, F.lit(0).alias("__side"), own.alias("__own"))
+    right = df.select(*keys, at, F.lit(1).alias("__side"), row.alias("__row"))
+    ranged = in_ranges(left.unionByName(right, allowMissingColumns=True), [*keys, at, "__side"])
+    found = F.when(F.col("__side") == 1, F.struct(*keys, "__row"))
+    heads = ranged.where("__side = 1").groupBy("__part").agg(F.min_by(F.struct(*keys, "__row"), "__pos").alias("__head"))
+    parts = ranged.select("__part").distinct().join(heads, "__part", "left")
+    behind = F.last("__head", ignorenulls=True).over(Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1))
+    within = F.last(found, ignorenulls=True).over(Window.partitionBy("__part").orderBy(F.desc("__pos")).rowsBetween(Window.unboundedPreceding, 0))
+    hit = ranged.withColumn("__within", within).where("__side = 0").join(F.broadcast(parts.select("__part", behind.alias("__behind"))), "__part")
+    hit = hit.withColumn("__hit", F.coalesce("__within", "__behind"))
+    same = reduce(lambda a, b: a & b, (F.col(f"__hit.{k}").eqNullSafe(F.col(k)) for k in keys))
+    return hit.select(*keys, at, *[F.col(f"__own.{c}").alias(c) for c in others], *[F.when(same, F.col(f"__hit.__row.{c}")).alias(c) for c in take])
+
+
 def index_candidates(index: DataFrame, key: str, part: str, prefixes: DataFrame, prefix: str) -> DataFrame:
     """(part, key, prefix) of the index lines whose block can hold a key that begins with prefix.
 

@@ -2,41 +2,27 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arcframe.operators import budgets
 from arcframe.session import stored
 
 
-def next_fit(costs, budget: int):
-    """Bins of a sequence of costs: a new one where a non-empty bin would exceed budget."""
-    bin_id, held = 0, 0
-    for cost in costs:
-        cost = max(0, int(cost or 0))
-        if held and held + cost > budget:
-            bin_id, held = bin_id + 1, 0
-        held += cost
-        yield bin_id
-
-
-def budget_bins(df: DataFrame, order: str, cost: str, budget: int, lane: str | None = None) -> DataFrame:
+def budget_bins(df: DataFrame, order: str, cost: str, budget: int, lane: str | None = None, parts: int | None = None) -> DataFrame:
     """df's (order, cost, lane) with `bin`: next-fit by cost within each lane.
 
-    Only order and cost travel. Without a lane all rows are one sequence, as a fold needs;
-    give a lane (a file, a range of the order) to bin many sequences side by side. A row
+    Only order and cost travel. They are cut into ranges of (lane, order) and folded range by
+    range (budgets), so neither a single sequence nor a long lane is one task's work. A row
     above the budget has a bin of its own; a missing cost counts 0.
     """
     lanes = F.lit(0).alias("lane") if lane is None else F.col(lane).alias("lane")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord")
-        return group.assign(bin=list(next_fit(group["cost"], budget)))
-
     narrow = df.select(F.col(order).alias("ord"), F.col(cost).cast("long").alias("cost"), lanes)
-    kind = df.schema[order].dataType.simpleString()
-    lane_kind = "int" if lane is None else df.schema[lane].dataType.simpleString()
-    return narrow.groupBy("lane").applyInPandas(fold, f"ord {kind}, cost long, lane {lane_kind}, bin long")
+    width = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = in_ranges(narrow, ["lane", "ord", "cost"], width).withColumnRenamed("__part", "part")
+    found = budgets.bins_of_ranges(ranged.drop("ord"), "__pos", budget, width)
+    # Places within a range are those of the written table, so they name its rows.
+    return ranged.select("ord", "part", "__pos").join(found, ["part", "__pos"]).select("ord", "cost", "lane", "bin")
 
 
 def uniform_bins(df: DataFrame, key: str) -> DataFrame:
@@ -122,6 +108,13 @@ def dense_ids(df: DataFrame, order: list, name: str = "id", parts: int | None =
     return ranged.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__pos")).drop("__part", "__pos", "__start")
 
 
+def ids_within(df: DataFrame, lane: str, order: list, name: str) -> DataFrame:
+    """df with a gapless number from 0 within each lane; no lane is one task's work."""
+    ids = dense_ids(df, [lane, *order], "__id")
+    first = ids.groupBy(lane).agg(F.min("__id").alias("__first"))
+    return ids.join(first, lane).withColumn(name, F.col("__id") - F.col("__first")).drop("__id", "__first")
+
+
 def seeded_sample(df: DataFrame, fraction: float, key: str, seed: int) -> DataFrame:
     """About fraction of the rows, the same ones for a seed however rows are dealt."""
     fraction = min(1.0, max(0.0, fraction))

@@ -213,5 +213,14 @@ ORACLES = {
     "pipe_upper": "SELECT c_custkey, c_mktsegment, upper(c_mktsegment) AS piped FROM customer",
     "attach_zip": f"""WITH {_SIDE} SELECT file, line_no, checksum, content,
         CASE WHEN content IS NULL THEN 'Unavailable' WHEN line_no % 10 = 3 THEN 'ChecksumMismatch' ELSE 'Available' END AS status FROM s""",
+    "attach_walk": f"""WITH RECURSIVE {_SIDE},
+        r AS (SELECT file, line_no, checksum, row_number() OVER (PARTITION BY file ORDER BY line_no) AS t FROM s),
+        q AS (SELECT file, checksum AS head, content, row_number() OVER (PARTITION BY file ORDER BY line_no) AS p FROM s WHERE content IS NOT NULL),
+        w AS (SELECT DISTINCT file, 0::BIGINT AS t, 1::BIGINT AS p FROM r UNION ALL
+              SELECT r.file, r.t, w.p + CASE WHEN q.head = r.checksum THEN 1 ELSE 0 END
+              FROM w JOIN r ON r.file = w.file AND r.t = w.t + 1 LEFT JOIN q ON q.file = w.file AND q.p = w.p)
+        SELECT r.file, r.line_no, r.checksum, q.content,
+               CASE WHEN q.head IS NULL THEN 'Unavailable' WHEN q.head = r.checksum THEN 'Available' ELSE 'ChecksumMismatch' END AS status
+        FROM r JOIN w ON w.file = r.file AND w.t = r.t - 1 LEFT JOIN q ON q.file = r.file AND q.p = w.p""",
 }
 ORACLES |= {name: ORACLES[f.__name__].replace(_CDX, _CDX_ALL_PAGES) for name, f in ALL_PAGES.items()}
