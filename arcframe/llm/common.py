@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -32,14 +34,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches as they are; before the next one and at the end, Arrow's pool gives back what it no longer uses.
+    """The batches as they are; before the next one and at the end, what is no longer used goes back to the system.
 
-    Workers outlive their tasks, so what a pool keeps counts against all later stages.
+    Workers outlive their tasks, so what Arrow's pool and the C library keep counts against all
+    later stages: both give it back, the library (which holds freed texts, words and arrays) once a task.
     """
     for batch in batches:
         yield batch
         del batch
         pa.default_memory_pool().release_unused()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
 
 
 def shuffle_width(spark: SparkSession) -> int:
