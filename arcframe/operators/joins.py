@@ -133,17 +133,27 @@ def following(df: DataFrame, lookups: DataFrame, keys: list[str], at: str, take:
 def index_candidates(index: DataFrame, key: str, part: str, prefixes: DataFrame, prefix: str) -> DataFrame:
     """(part, key, prefix) of the index lines whose block can hold a key that begins with prefix.
 
-    A block reaches from its key up to, and including, the next line's key within its file.
-    Prefixes are broadcast, and where there are more than BROADCAST_PREFIXES they are taken
-    in as many slices as keep each below that number.
+    A block reaches from its key up to, and including, the next line's key within its part.
+    Blocks that begin within a prefix are met by prefix_match; in each part one more block
+    begins before the prefix and reaches it, which is looked up in the order of the blocks' ends.
     """
-    spans = index.withColumn("next_key", F.lead(key).over(Window.partitionBy(part).orderBy(key)))
-    known = prefixes.select(prefix).distinct()
-    n = -(-known.count() // BROADCAST_PREFIXES)
-    high = F.concat(F.col(prefix), F.lit("\U0010ffff"))
-    meets = (F.col(key) <= high) & (F.col("next_key").isNull() | (F.col("next_key") >= F.col(prefix)))
-    cut = [known.where(F.pmod(F.xxhash64(prefix), F.lit(2 * n)) == i) for i in range(2 * n)] if n > 1 else [known]
-    return reduce(lambda a, b: a.unionByName(b), (spans.join(F.broadcast(p), meets).select(part, key, prefix) for p in cut))
+    w = Window.partitionBy("__p").orderBy("__k")
+    spans = index.select(F.col(part).alias("__p"), F.col(key).alias("__k")).withColumn("__next", F.lead("__k").over(w))
+    known = prefixes.select(F.col(prefix).alias("__x")).where("__x is not null").distinct()
+    within = _all_prefixes(spans.select("__p", "__k").distinct(), "__k", known, "__x")
+    ends = spans.groupBy("__p", F.coalesce("__next", F.lit("\U0010ffff" * 4)).alias("__at")).agg(F.min("__k").alias("__begin"))
+    parts = spans.agg(F.collect_set("__p").alias("__parts"))
+    asked = known.join(F.broadcast(parts)).select(F.explode("__parts").alias("__p"), F.col("__x").alias("__at"))
+    before = following(ends, asked, ["__p"], "__at", ["__begin"]).where("__begin < __at")
+    found = within.select("__p", "__k", "__x").unionByName(before.select("__p", F.col("__begin").alias("__k"), F.col("__at").alias("__x")))
+    return found.select(F.col("__p").alias(part), F.col("__k").alias(key), F.col("__x").alias(prefix))
+
+
+def _all_prefixes(df: DataFrame, key: str, prefixes: DataFrame, prefix: str) -> DataFrame:
+    """df joined with every one of the distinct prefixes that its key begins with: keys are cut to the lengths that occur."""
+    lengths = [r[0] for r in prefixes.select(F.char_length(prefix)).distinct().collect()]
+    cut = df.withColumn("__n", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>"))).where(F.col("__n") <= F.char_length(key))
+    return cut.withColumn(prefix, F.expr(f"substring(`{key}`, 1, __n)")).drop("__n").join(prefixes, prefix)
 
 
 def islands(pointers: DataFrame, part: str, offset: str, length: str, tolerance: int) -> DataFrame:

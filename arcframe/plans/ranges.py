@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arcframe.operators import attachments, cdx, layout, runs
 from arcframe.plans.archive import _CDX_ALL_PAGES
+from arcframe.plans.files import _archive, _records
 from arcframe.plans.relational import _FOLD
 from arcframe.plans.tables import all_captures, table
-from arcframe.sources import budgeted, captures, indexed, lines, text_ranges
+from arcframe.sources import budgeted, captures, http, index_ranges, indexed, lines, text_ranges, warc
 
 
 def _document_lines(spark, sf, gzip):
@@ -76,7 +78,52 @@ def attach_cdx(spark, sf):
     return found.groupBy("surt").agg(F.count(F.lit(1)).alias("n"), F.count_if(available).alias("available"), F.min(F.when(available, F.col("good.content"))).alias("first"), F.count_if(available & (F.col("good.content") != F.concat(F.lit("at "), "ts14"))).alias("moved"))
 
 
-QUERIES = {f.__name__: f for f in (text_range_lines, text_range_lines_gzip, text_groups, text_group_lines, budget_load, file_costs, attach_cdx)}
+def _index(spark, sf):
+    path = indexed.new_folder(spark, "cdx-blocks")
+    captures.save_indexed(cdx.from_captures(all_captures(spark, sf)), path, 40)
+    return path
+
+
+def _host(key):
+    """The part of a key before its path; where the bracket stands, sorting by it keeps the order of keys."""
+    return F.substring_index(key, ")", 1)
+
+
+def cdx_range_partitions(spark, sf):
+    """Lines of each host in partitions of whole hosts, and how many partitions a host is in."""
+    found = index_ranges.range_partitions(spark, _index(spark, sf), 6, _host)
+    return found.groupBy(_host(F.col("key")).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("partition").alias("partitions"))
+
+
+def cdx_sample(spark, sf):
+    """500 captures drawn from the index: their number, different places, and those that are captures."""
+    drawn = index_ranges.sample(spark, _index(spark, sf), 500, 3)
+    every = cdx.from_captures(all_captures(spark, sf)).select(cdx.line().alias("line")).distinct()
+    found = drawn.join(every, "line", "left_semi").agg(F.count(F.lit(1)).alias("known"))
+    return drawn.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("place").alias("places")).join(F.broadcast(found))
+
+
+def cogroup_files(spark, sf):
+    """Orders and customers as two sorted folders, merged by key without a shuffle of lines."""
+    left, right = indexed.new_folder(spark, "left"), indexed.new_folder(spark, "right")
+    key = lambda c: F.lpad(F.col(c).cast("string"), 9, "0").alias("key")
+    indexed.write_indexed(table(spark, sf, "orders").select(key("o_custkey"), F.concat_ws(" ", "o_orderkey", "o_orderstatus").alias("line")), left, 100)
+    indexed.write_indexed(table(spark, sf, "customer").select(key("c_custkey"), F.col("c_name").alias("line")), right, 70)
+    found = index_ranges.cogroup(spark, left, right, 5)
+    return found.select("key", F.size("left").cast("long").alias("orders"), F.array_min("left").alias("first"), F.array_join("right", ",").alias("customer"))
+
+
+def warc_budget(spark, sf):
+    """Pages' records by CDX pointers, in tasks of at most 40,000 bytes: every body, and what no task exceeds."""
+    rows = _records(spark, _archive(spark, sf))
+    pointers = warc.to_cdx(rows).select("url", F.col("extra")[1].alias("file"), F.col("extra")[0].cast("long").alias("offset"), F.col("compressed_size").alias("length"))
+    found = warc.extract_by_budget(pointers, 40_000).select("bin", F.col("row.url").alias("url"), "length", F.md5(http.parsed(F.col("payload"))["body"]).alias("body_md5"), F.spark_partition_id().alias("task"))
+    w = Window.partitionBy("task")
+    over = (F.sum("length").over(w) > 40_000) & (F.count(F.lit(1)).over(w) > 1)
+    return found.select("url", "body_md5", over.alias("over_budget"))
+
+
+QUERIES = {f.__name__: f for f in (text_range_lines, text_range_lines_gzip, text_groups, text_group_lines, budget_load, file_costs, attach_cdx, cdx_range_partitions, cdx_sample, cogroup_files, warc_budget)}
 
 _DOCUMENT_LINES = r"""SELECT md5(regexp_replace(line, '\r$', '')) AS line_md5, count(*) AS n, count(*) AS places
     FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY 1"""
@@ -91,4 +138,9 @@ ORACLES = {
     "file_costs": "SELECT c_mktsegment AS segment, count(*) AS n, sum(length(c_name))::BIGINT AS cost FROM customer GROUP BY 1",
     "attach_cdx": _CDX_ALL_PAGES + """ SELECT surt, count(*) AS n, count(*) FILTER (status = 200 AND mime = 'text/html') AS available,
         min('at ' || ts14) FILTER (status = 200 AND mime = 'text/html') AS first, 0 AS moved FROM cdx GROUP BY surt""",
+    "cdx_range_partitions": _CDX_ALL_PAGES + " SELECT split_part(surt, ')', 1) AS host, count(*) AS n, 1 AS partitions FROM cdx GROUP BY 1",
+    "cdx_sample": _CDX_ALL_PAGES + " SELECT least(500, count(*)) AS n, least(500, count(*)) AS places, least(500, count(*)) AS known FROM cdx",
+    "cogroup_files": """SELECT lpad(key::VARCHAR, 9, '0') AS key, count(o_orderkey) AS orders, min(o_orderkey || ' ' || o_orderstatus) AS first, coalesce(min(c_name), '') AS customer
+        FROM (SELECT c_custkey AS key FROM customer UNION SELECT o_custkey FROM orders) LEFT JOIN orders ON o_custkey = key LEFT JOIN customer ON c_custkey = key GROUP BY key""",
+    "warc_budget": "SELECT url, md5(html) AS body_md5, false AS over_budget FROM pages",
 }

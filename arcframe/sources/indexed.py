@@ -22,6 +22,8 @@ from arcframe.sources.ranges import Ranged, open_system
 INDEX = "part int, key string, file string, offset long, length long, lines long"
 LINES = "key string, line string"
 BLOCK_LINES, TOLERANCE = 3_000, 1 << 16
+#: Bytes of near blocks that are read as one and by one task.
+ISLAND_BYTES = 16 << 20
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -86,7 +88,8 @@ def read_blocks(blocks: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     w = Window.partitionBy("file").orderBy("offset")
     gap = F.col("offset") - F.lag(F.col("offset") + F.col("length")).over(w)
     marked = blocks.select("file", "offset", "length").distinct().withColumn("new", F.when(gap <= tolerance, 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
-    merged = marked.groupBy("file", "island").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("spans"))
+    # A broad prefix has all blocks of a file as neighbours: they are cut by their place.
+    merged = marked.groupBy("file", "island", F.floor(F.col("offset") / ISLAND_BYTES)).agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("spans"))
     return merged.select("file", "spans").mapInArrow(run, LINES)
 
 

@@ -15,6 +15,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from arcframe.functions import digest, surt
+from arcframe.operators import budgets
+from arcframe.operators.layout import in_ranges
 from arcframe.sources.ranges import CHUNK, Ranged, list_files, open_system
 
 SCHEMA = "file string, offset long, length long, version string, headers array<struct<k:string, v:string>>, payload binary"
@@ -338,26 +341,58 @@ def extract(pointers: DataFrame, file: str = "file", offset: str = "offset", len
     task. A pointer whose range holds no record is an error, or without strict gives no row.
     """
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            f, at, starts = None, None, {}
-            for part in parts:
-                for path, begin, size in zip(*(c.to_pylist() for c in part.columns)):
-                    if path != at:
-                        if f is not None:
-                            f.close()
-                        f, at, starts = Ranged(path), path, {}
-                    found = False
-                    for _, _, version, headers, payload in records(unpacked(f, begin, size, starts)):
-                        found = True
-                        yield path, begin, size, version, headers, payload
-                    if strict and not found:
-                        raise ValueError(f"no record in {path} at {begin}, {size} bytes")
-            if f is not None:
-                f.close()
-
-        yield from batches(rows())
-
     named = pointers.select(F.col(file).alias("file"), F.col(offset).cast("long").alias("offset"), F.col(length).cast("long").alias("length"))
     dealt = named.repartition("file", F.floor(F.col("offset") / SPLIT_BYTES)).sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt.mapInArrow(partial(_extracted, strict=strict), SCHEMA)
+
+
+def _extracted(parts: Iterator[pa.RecordBatch], strict: bool) -> Iterator[pa.RecordBatch]:
+    """Records of (file, offset, length); a further column goes along with each of its records."""
+    f, at, starts = None, None, {}
+    for part in parts:
+        rows, taken, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for batch in batches(iter(rows)):  # noqa: B023
+                own = [batch.schema.field(i).name for i in range(batch.num_columns)]
+                more = part.column(3).take(pa.array(taken[: batch.num_rows], pa.int64())) if part.num_columns > 3 else None  # noqa: B023
+                del taken[: batch.num_rows]  # noqa: B023
+                yield batch if more is None else pa.RecordBatch.from_arrays([*batch.columns, more], names=[*own, "row"])  # noqa: B023
+
+        for i, (path, begin, length) in enumerate(zip(*(c.to_pylist() for c in part.columns[:3]))):
+            if path != at:
+                if f is not None:
+                    f.close()
+                f, at, starts = Ranged(path), path, {}
+            found = False
+            for _, _, version, headers, payload in records(unpacked(f, begin, length, starts)):
+                found = True
+                rows.append((path, begin, length, version, headers, payload))
+                taken.append(i)
+                size += len(payload)
+            if strict and not found:
+                raise ValueError(f"no record in {path} at {begin}, {length} bytes")
+            if size >= BATCH_BYTES:
+                yield from flush()
+                rows, size = [], 0
+        yield from flush()
+    if f is not None:
+        f.close()
+
+
+def extract_by_budget(pointers: DataFrame, budget: int, file: str = "file", offset: str = "offset", length: str = "length", strict: bool = True) -> DataFrame:
+    """Records (SCHEMA), each with `row`, the row of pointers that named it, and `bin`.
+
+    Pointers in the order of files and places are packed next-fit into bins of at most budget
+    bytes (a longer one is alone), and a task reads one bin: the work of running an action
+    over records by their CDX rows, at a known price a task.
+    """
+    named = pointers.select(F.col(file).alias("file"), F.col(offset).cast("long").alias("offset"), F.col(length).cast("long").alias("length"), F.struct(*pointers.columns).alias("row"))
+    ranged = in_ranges(named, ["file", "offset", "length"])
+    width = int(pointers.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    bins = budgets.bins_of_ranges(ranged.select(F.lit(0).alias("lane"), F.col("__part").alias("part"), "__pos", F.col("length").alias("cost")), "__pos", budget, width)
+    placed = ranged.join(bins.select(F.col("part").alias("__part"), "__pos", F.col("bin").cast("int").alias("bin")), ["__part", "__pos"])
+    n = (bins.agg(F.max("bin")).first()[0] or 0) + 1
+    dealt = placed.repartitionById(n, "bin").sortWithinPartitions("file", "offset").select("file", "offset", "length", F.struct("row", "bin").alias("row"))
+    kind = dealt.schema["row"].dataType.simpleString()
+    return dealt.mapInArrow(partial(_extracted, strict=strict), f"{SCHEMA}, row {kind}").select("*", F.col("row.bin").alias("bin")).withColumn("row", F.col("row.row"))

@@ -211,3 +211,87 @@ def test_following_rows(spark):
     asked = spark.createDataFrame(ask, "n long, k string, t long")
     found = {r["n"]: r["got"] for r in joins.following(df, asked, ["k"], "t", ["got"]).collect()}
     assert found == {n: min((x for j, x in have if j == k and x >= t), default=None) for n, k, t in ask}
+
+
+@pytest.fixture(scope="module")
+def sorted_lines(spark):
+    from arcframe.sources import indexed
+
+    rng = random.Random(12)
+    keys = [f"{'hot' if rng.random() < 0.4 else rng.choice('abcxyzé')},{rng.randrange(40):02d})/{rng.randrange(9)}" for _ in range(900)]
+    rows = [(k, f"line {i}") for i, k in enumerate(keys)]
+    path = indexed.new_folder(spark, "test")
+    indexed.write_indexed(spark.createDataFrame(rows, "key string, line string"), path, 11)
+    return path, rows
+
+
+def test_partitions_of_whole_groups(spark, sorted_lines):
+    from arcframe.sources import index_ranges
+
+    path, rows = sorted_lines
+    group = lambda key: F.substring_index(key, ")", 1)
+    found = [tuple(r) for r in index_ranges.range_partitions(spark, path, 7, group).collect()]
+    assert sorted(x[1:] for x in found) == sorted(rows)
+    owner = {}
+    for number, key, _ in found:
+        assert owner.setdefault(key.split(")")[0], number) == number
+    order = sorted(owner, key=str.encode)
+    assert [owner[g] for g in order] == sorted(owner.values()) and len(set(owner.values())) > 3
+    assert sorted(tuple(r) for r in index_ranges.range_partitions(spark, path, 1, group).select("key", "line").collect()) == sorted(rows)
+
+
+def test_samples_are_exact_and_repeat(spark, sorted_lines):
+    from arcframe.sources import index_ranges
+
+    path, rows = sorted_lines
+    one, two, other = (index_ranges.sample(spark, path, 60, seed).collect() for seed in (1, 1, 2))
+    assert len({r["place"] for r in one}) == 60 and {(r["key"], r["line"]) for r in one} <= set(rows)
+    assert sorted(one) == sorted(two) != sorted(other)
+    assert index_ranges.sample(spark, path, 5000).count() == 900 and index_ranges.sample(spark, path, 0).count() == 0
+
+
+def test_files_meet_without_a_shuffle_of_lines(spark, sorted_lines):
+    from arcframe.sources import index_ranges, indexed
+
+    path, rows = sorted_lines
+    rng = random.Random(13)
+    others = [(k if rng.random() < 0.8 else f"only,{k}", f"other {i}") for i, (k, _) in enumerate(rng.sample(rows, 200))]
+    right = indexed.new_folder(spark, "test")
+    indexed.write_indexed(spark.createDataFrame(others, "key string, line string"), right, 5)
+    found = index_ranges.cogroup(spark, path, right, 6)
+    got = {r["key"]: (sorted(r["left"]), sorted(r["right"])) for r in found.collect()}
+    want = {k: (sorted(x for j, x in rows if j == k), sorted(x for j, x in others if j == k)) for k in {k for k, _ in rows + others}}
+    assert got == want and found.count() == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0]
+
+
+def test_index_candidates_match_every_pair(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 5)))
+    index = sorted({(rng.randrange(3), word()) for _ in range(40)})
+    prefixes = sorted({word() for _ in range(15)} | {"zz", "é"})
+    want = set()
+    for i, (part, key) in enumerate(index):
+        after = index[i + 1][1] if i + 1 < len(index) and index[i + 1][0] == part else None
+        want |= {(part, key, p) for p in prefixes if key <= p + "\U0010ffff" and (after is None or after >= p)}
+    df = spark.createDataFrame(index, "part long, key string")
+    found = joins.index_candidates(df, "key", "part", spark.createDataFrame([(p,) for p in prefixes], "prefix string"), "prefix")
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_extraction_by_budget(spark, tmp_path):
+    from arcframe.sources import warc
+
+    record = lambda i: f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {3 + 100 * (i % 3)}\r\n\r\n".encode() + b"%03d" % i + b"x" * (100 * (i % 3)) + b"\r\n\r\n"
+    for name, lo in (("a", 0), ("b", 30)):
+        (tmp_path / f"{name}.warc.gz").write_bytes(b"".join(gzip.compress(record(i)) for i in range(lo, lo + 30)))
+    warc.register(spark)
+    pointers = spark.read.format("warc").load(str(tmp_path)).select("file", "offset", "length", F.substring("payload", 1, 3).cast("string").alias("number"))
+    found = warc.extract_by_budget(pointers, 500).select("bin", "length", "row.number", "payload", F.spark_partition_id().alias("task")).collect()
+    assert sorted(bytes(r["payload"])[:3].decode() for r in found) == [f"{i:03d}" for i in range(60)]
+    assert all(bytes(r["payload"])[:3].decode() == r["number"] for r in found)
+    sizes = {}
+    for r in found:
+        sizes.setdefault(r["task"], []).append(r["length"])
+    assert all(sum(x) <= 500 or len(x) == 1 for x in sizes.values()) and len(sizes) > 5
