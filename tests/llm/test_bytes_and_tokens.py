@@ -135,6 +135,15 @@ def test_mixture_meets_its_targets(spark):
     assert found["keep_rate"].max() == 1.0
 
 
+def test_expected_tokens_meet_the_targets_by_default(spark):
+    rows = [(i, "word " * (5 + i % 9), "en" if i % 3 else "de", f"s{0 if i % 2 else i % 40}") for i in range(2000)]
+    found = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    for margin in ("source", "lang", "topic"):
+        want = found.groupby(margin)["n_tokens"].sum() ** mixing.POWER
+        kept = (found["n_tokens"] * found["keep_rate"]).groupby(found[margin]).sum()
+        assert ((kept / kept.sum()) / (want / want.sum()) - 1).abs().max() < 0.005
+
+
 def test_mixture_with_nulls_and_given_targets(spark, docs):
     found = mixing.mixture(docs)
     assert found.count() == docs.count() and found.where("sampled and n_tokens = 0").count() == 0
@@ -176,9 +185,12 @@ def test_topics_follow_the_words_of_a_text(spark):
     assert {r["topic"] for r in given.collect()} == {"0", "1"}
 
 
-def test_raking_is_the_classic_sweep(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_raking_is_the_classic_sweep(spark, monkeypatch, most):
     import numpy as np
 
+    monkeypatch.setattr(mixing, "RAKE_CELLS", most)
+
     rng = np.random.default_rng(1)
     tokens = rng.integers(1, 100, (4, 3, 5))
     rows = [(f"s{i}", f"l{j}", str(k), int(tokens[i, j, k])) for i, j, k in np.ndindex(tokens.shape)]
