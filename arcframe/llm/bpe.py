@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +17,10 @@ from arcframe.llm.fragments import Memo, forced_cuts, slices, split_rows, token_
 CODER_ROWS = 1 << 16
 
 
-@cache
 def _fragment_coder(path: str) -> Memo:
     """fragment -> (ids as 32-bit integers, bytes the ids decode to).
 
-    Kept by a worker between tasks.
+    Made anew by each task: workers outlive a stage, and what they keep counts against the next ones.
     """
     from tokenizers import Tokenizer
 
