@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from arcframe.operators import attachments, cdx, derive, graph, groups, html, joins, layout
+from arcframe.operators import attachments, budgets, cdx, derive, graph, groups, html, joins, layout
 
 
 def rows(df, *names):
@@ -22,7 +22,7 @@ def test_next_fit_invariants():
     rng = random.Random(3)
     for _ in range(50):
         costs = [rng.choice([0, 1, 5, 20, 70]) for _ in range(40)]
-        bins = list(layout.next_fit(costs, 50))
+        bins = list(budgets.next_fit(costs, 50))
         assert bins == sorted(bins) and set(bins) == set(range(max(bins) + 1))
         for b in set(bins):
             held = [c for c, x in zip(costs, bins) if x == b]
