@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcframe.functions import digest
-from arcframe.operators import cdx
+from arcframe.operators import cdx, derive
 from arcframe.operators.joins import following
 from arcframe.operators.layout import ids_within, in_ranges
 from arcframe.session import stored
@@ -207,3 +207,15 @@ def save_side(rows: DataFrame, name: str, extension: str = ".att") -> int:
 
     dealt = rows.repartition("file").sortWithinPartitions("file", "line_no").select("file", "line")
     return dealt.mapInArrow(run, "files long").agg(F.sum("files")).first()[0] or 0
+
+
+def pipe_attach(records: DataFrame, value: Column, command: str, name: str, extension: str = ".att", timeout: int = 600) -> int:
+    """Side files of records (file, line_no, checksum, ...) whose content is what a shell command gives for each value; their number.
+
+    value is an expression over records, one line a record; where it is null nothing is piped
+    and the record has a blank side line. A failed command fails the task (derive.pipe).
+    """
+    given = records.select("file", "line_no", "checksum", value.cast("string").alias("given"))
+    piped = derive.pipe(given.where("given is not null"), "given", command, "content", timeout).drop("given")
+    blank = given.where("given is null").select("file", "line_no", "checksum", F.lit(None).cast("string").alias("content"))
+    return save_side(side_lines(piped.unionByName(blank)), name, extension)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arcframe.plans import archive, files, ranges, relational, scalar
+from arcframe.plans import archive, files, ranges, relational, savers, scalar
 
-QUERIES: dict = {**scalar.QUERIES, **relational.QUERIES, **archive.QUERIES, **files.QUERIES, **ranges.QUERIES}
-ORACLES: dict = {**scalar.ORACLES, **relational.ORACLES, **archive.ORACLES, **files.ORACLES, **ranges.ORACLES}
+QUERIES: dict = {**scalar.QUERIES, **relational.QUERIES, **archive.QUERIES, **files.QUERIES, **ranges.QUERIES, **savers.QUERIES}
+ORACLES: dict = {**scalar.ORACLES, **relational.ORACLES, **archive.ORACLES, **files.ORACLES, **ranges.ORACLES, **savers.ORACLES}

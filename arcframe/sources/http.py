@@ -8,6 +8,7 @@ import zlib
 
 import pandas as pd
 
+from arcframe.functions import charsets
 from arcframe.functions.udf import arrow_udf
 
 MESSAGE = "struct<status_line:string, status:int, headers:map<string,string>, mime:string, charset:string, location:string, body:binary, body_string:string, error:string>"
@@ -15,6 +16,8 @@ FIELDS = ("status_line", "status", "headers", "mime", "charset", "location", "bo
 # Charsets tried in turn after the header's own.
 CHARSETS = ("utf-8", "iso-8859-1", "windows-1252")
 
+MARKUP = ("text/html", "application/xhtml+xml", "text/xml", "application/xml")
+
 
 def dechunk(body: bytes) -> bytes:
     """The chunks of a chunked body; a malformed rest is kept as it is."""
@@ -48,13 +51,23 @@ def decoded(body: bytes, encoding: str) -> bytes:
     return body
 
 
-def text(body: bytes, charset: str | None) -> str:
-    """The first charset that decodes strictly, of the header's own and CHARSETS."""
-    for name in (charset, *CHARSETS):
+def text(body: bytes, charset: str | None, markup: bool = False) -> str:
+    """Text by the header's charset, or by the first of CHARSETS, that decodes strictly.
+
+    Markup whose header names no charset, or a wrong one, is read by the charsets that it
+    declares itself, line by line.
+    """
+    try:
+        if charset:
+            return body.decode(charset)
+    except (LookupError, UnicodeError):
+        pass
+    if markup:
+        return "\n".join(charsets.text_lines(body, CHARSETS[:1], CHARSETS[1:]))
+    for name in CHARSETS:
         try:
-            if name:
-                return body.decode(name)
-        except (LookupError, UnicodeDecodeError):
+            return body.decode(name)
+        except UnicodeError:
             continue
     return body.decode("utf-8", "replace")
 
@@ -79,7 +92,7 @@ def message(payload: bytes) -> tuple | None:
     except Exception as e:
         error = f"{type(e).__name__}: {e}"
     name = charset[1] if charset else None
-    return lines[0], int(status[1]) if status else None, headers, mime, name, headers.get("location"), body, text(body, name), error
+    return lines[0], int(status[1]) if status else None, headers, mime, name, headers.get("location"), body, text(body, name, mime in MARKUP), error
 
 
 @arrow_udf(MESSAGE)

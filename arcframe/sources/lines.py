@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arcframe.functions import charsets
+
 MOST_LINE_CHARS = 1 << 20
 
 
@@ -25,8 +27,10 @@ def chunks_of_lines(spark: SparkSession, path: str, size: int) -> DataFrame:
     return read_numbered(spark, path).withColumn("chunk", F.floor(F.col("line_no") / size).cast("long"))
 
 
-def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+def read_binary(spark: SparkSession, path: str, unpack: bool = False) -> DataFrame:
+    """(path, length, content) of whole files; unpack undoes gzip and zstd, told by the file's ending or first bytes. Empty files have no row."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    return files.withColumn("content", charsets.unpack(F.col("content"), F.col("path"))) if unpack else files
 
 
 def save_text(df: DataFrame, column: str, path: str, gzip: bool = False, overwrite: bool = False) -> None:

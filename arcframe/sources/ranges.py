@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from urllib.parse import quote
 
 CHUNK = 1 << 20
 
 
 def open_system(path: str):
-    """(file system, path in it) of a URI or a local path."""
+    """(file system, path in it) of a URI or a local path; blanks and other characters that no URI holds are escaped."""
     from pyarrow import fs
 
-    path = re.sub(r"^file:/(?!//)", "file:///", path)
+    path = quote(re.sub(r"^file:/(?!//)", "file:///", path), safe="%/:?=&@!$'()*+,;~[]")
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
