@@ -189,6 +189,11 @@ _CDX_ALL_PAGES = f"""WITH k AS (SELECT url, {SURT_SQL} AS surt, {_BASE32} AS dig
             SELECT surt, strftime(e.ts, '%Y%m%d%H%M%S'), url, CASE WHEN e.event_type = 'click' THEN 'text/plain' ELSE 'text/html' END,
                    CASE WHEN e.event_type = 'error' THEN 404 ELSE 200 END, digest, compressed_size
             FROM events e JOIN k ON e.user_id % k.pages = k.number)"""
+# Stop words by language as the Column expression has them; ties go to the first name.
+_HITS = {name: "len(list_filter(tokens, lambda t: t IN (" + ", ".join(f"'{w}'" for w in words) + ")))" for name, words in sorted(derive.STOP_WORDS.items())}
+_BEST = "greatest(" + ", ".join(_HITS.values()) + ")"
+_LANG = f"CASE WHEN {_BEST} > 0 THEN CASE " + " ".join(f"WHEN {hits} = {_BEST} THEN '{name}'" for name, hits in _HITS.items()) + " END END"
+_FOUND = "list_sort(list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w IN ({}))))"
 _SIDE = """s AS (SELECT source AS file, doc_id AS line_no, sha1(text) AS checksum, toxic || '/' || quality AS content FROM documents LEFT JOIN labels USING (doc_id))"""
 ORACLES = {
     "outlinks": f"WITH {_LINKS} SELECT url, target FROM l",
@@ -210,6 +215,16 @@ ORACLES = {
     "cdx_prefix_scan": _CDX + """ SELECT surt, p AS matched, count(*) AS n FROM (SELECT surt, ts14,
         CASE WHEN starts_with(surt, 'com,example,th') THEN 'com,example,th' WHEN starts_with(surt, 'com,example,t') THEN 'com,example,t'
              WHEN starts_with(surt, 'com,example,') THEN 'com,example,' END AS p FROM cdx) WHERE p IS NOT NULL GROUP BY surt, p""",
+    "lang_blocks": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+        t AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(lower(line), '[^\\p{{L}}\\p{{M}}0-9]+'), lambda x: x <> '') AS tokens FROM l),
+        m AS (SELECT *, CASE WHEN len(tokens) < {derive.LEAST_TERMS} AND lag(len(tokens)) OVER w < {derive.LEAST_TERMS} THEN 0 ELSE 1 END AS new
+              FROM t WHERE len(tokens) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+        k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM m),
+        b AS (SELECT doc_id, flatten(list(tokens ORDER BY line_no)) AS tokens FROM k GROUP BY doc_id, block),
+        g AS (SELECT doc_id, {_LANG} AS lang, (len(tokens) * len(tokens))::DOUBLE AS weight FROM b WHERE len(tokens) >= {derive.LEAST_TERMS})
+        SELECT doc_id, lang, share FROM (SELECT doc_id, lang, sum(weight) / sum(sum(weight)) OVER (PARTITION BY doc_id) AS share FROM g GROUP BY 1, 2) WHERE lang IS NOT NULL""",
+    "entity_sets": f"""SELECT doc_id, to_json({{'locations': {_FOUND.format("'and', 'der', 'les'")}, 'organizations': []::VARCHAR[], 'persons': {_FOUND.format("'The', 'Der'")}}})::VARCHAR AS entities
+        FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""",
     "pipe_upper": "SELECT c_custkey, c_mktsegment, upper(c_mktsegment) AS piped FROM customer",
     "attach_zip": f"""WITH {_SIDE} SELECT file, line_no, checksum, content,
         CASE WHEN content IS NULL THEN 'Unavailable' WHEN line_no % 10 = 3 THEN 'ChecksumMismatch' ELSE 'Available' END AS status FROM s""",
