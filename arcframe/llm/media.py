@@ -4,19 +4,23 @@ A payload is stored as an 8-bit greyscale image (binary PGM, 192 samples a row).
 gear hash cuts the stored bytes into chunks, so a passage that media share gives equal
 chunks wherever it stands.
 
-1. Manifest: per media the ordered chunk digests and sizes; no bytes move.
-2. Spark joins pick one owner per digest (and one row per media).
-3. Owners append their chunks, zstd-compressed, to pack files in the shared folder. Only
+1. Manifest: per media the ordered chunk digests and sizes; no bytes move. Digests are the
+   first DIGEST bytes of SHA-256.
+2. One owner is picked per digest (and one row per media); an owner's list of ordinals follows
+   from the digests it is first for, so media and digests meet once.
+3. Owners append their chunks to pack files in the shared folder, BLOCK bytes of chunks in a
+   zstd frame: small chunks share passages of a few hundred bytes and still pack well. Only
    the lists of media that own less than all of their chunks are joined to the texts, by
    broadcast while they are small.
 4. Reading: ordered lists meet the chunks' places in a join of small rows, sorted by place;
-   tasks read the ranges, rebuild the media and verify digest and size of every chunk and
+   tasks read the frames, rebuild the media and verify digest and size of every chunk and
    of the whole. Features are computed from the rebuilt samples.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +34,15 @@ from arcframe.llm.shared_files import Appender, RangeReader
 
 ROW = 192
 #: Chunk sizes in bytes; the mean lies near LEAST + 2 ** CUT_BITS.
-LEAST, MOST, CUT_BITS = 1024, 16384, 12
+LEAST, MOST, CUT_BITS = 256, 4096, 9
+#: Bytes of a digest, of the chunks in a frame, and frames that a reader holds unpacked.
+DIGEST, BLOCK, FRAMES = 16, 1 << 15, 64
 WINDOW = 32
 GEAR = (mix64(np.arange(5001, 5257, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 BROADCAST_ROWS = 200_000
 
 MANIFEST = "id {kind}, media binary, media_bytes long, n_bytes long, key long, digests array<binary>, sizes array<int>"
-PLACES = "digest binary, size int, pack string, at long, packed int"
+PLACES = "digest binary, size int, pack string, at long, packed int, within int"
 REBUILT = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -97,7 +103,7 @@ def chunked(texts: list[bytes]) -> Iterator[tuple[bytes, list[bytes]]]:
 
 
 def _digest(chunk: bytes) -> bytes:
-    return hashlib.sha256(chunk).digest()
+    return hashlib.sha256(chunk).digest()[:DIGEST]
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -125,24 +131,36 @@ def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packer(folder: str):
-    """(text, owned ordinals or null for all) -> places of the chunks written."""
+    """(text, owned ordinals or null for all) -> places of the chunks written, a frame of chunks at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         press, pack = zstandard.ZstdCompressor(level=3), Appender(folder, "pack", ".chunks")
+        held, within = [], 0
+
+        def flush() -> pa.RecordBatch:
+            body = press.compress(b"".join(held))
+            at, begins = pack.append(body), np.cumsum([0, *map(len, held[:-1])])
+            n = len(held)
+            columns = ([_digest(c) for c in held], [len(c) for c in held], [pack.name] * n, [at] * n, [len(body)] * n, begins)
+            kinds = (pa.binary(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["digest", "size", "pack", "at", "packed", "within"])
+
         for batch in batches:
             for lo, hi in slices(batch.column(0)):
                 texts = _bytes(batch.column(0).slice(lo, hi - lo))
                 owned = batch.column(1).slice(lo, hi - lo).to_pylist()
-                rows = []
                 for mine, (_, chunks) in zip(owned, chunked(texts)):
                     for i in range(len(chunks)) if mine is None else mine:
-                        body = press.compress(chunks[i])
-                        rows.append((_digest(chunks[i]), len(chunks[i]), pack.name, pack.append(body), len(body)))
-                if rows:
-                    kinds = (pa.binary(), pa.int32(), pa.string(), pa.int64(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["digest", "size", "pack", "at", "packed"])
+                        held.append(chunks[i])
+                        within += len(chunks[i])
+                        if within >= BLOCK:
+                            yield flush()
+                            within = 0
+        if held:
+            yield flush()
         pack.close()
 
     return run
@@ -167,20 +185,32 @@ def _rebuilder(folder: str):
         import zstandard
 
         unpress, reader = zstandard.ZstdDecompressor(), RangeReader(folder)
+        frames: OrderedDict[tuple[str, int], bytes] = OrderedDict()
+
+        def frame(p: dict) -> bytes:
+            place = p["pack"], p["at"]
+            if place not in frames:
+                frames[place] = unpress.decompress(reader.read(*place, p["packed"]))
+                if len(frames) > FRAMES:
+                    frames.popitem(last=False)
+            frames.move_to_end(place)
+            return frames[place]
+
         for batch in batches:
             rows = []
             for media, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 chunks = []
                 for p in parts:
-                    chunk = unpress.decompress(reader.read(p["pack"], p["at"], p["packed"]), max_output_size=p["size"])
+                    chunk = frame(p)[p["within"] : p["within"] + p["size"]]
                     if len(chunk) != p["size"] or _digest(chunk) != p["digest"]:
                         raise ValueError(f"chunk {p['digest'].hex()} is damaged in {p['pack']}")
                     chunks.append(chunk)
                 image = b"".join(chunks)
-                if _digest(image) != media:
+                whole = hashlib.sha256(image)
+                if whole.digest()[:DIGEST] != media:
                     raise ValueError(f"media {media.hex()} is not what was stored")
                 payload = samples(image)
-                rows.append((media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), media.hex(), feature(payload)))
+                rows.append((media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), whole.hexdigest(), feature(payload)))
             if rows:
                 kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 names = ["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -192,14 +222,13 @@ def _rebuilder(folder: str):
 
 def _ownership(manifest: DataFrame) -> DataFrame:
     """(key, owner, owned) of the media that do not own all of their chunks or have copies."""
-    single = manifest.groupBy("media").agg(F.min("id").alias("owner"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.any_value("digests").alias("digests"))
-    spread = single.select("media", "key", "owner", "copies", F.posexplode("digests").alias("ordinal", "digest"))
+    lists = manifest.groupBy("media").agg(F.any_value("digests").alias("digests"))
+    spread = lists.select("media", F.posexplode("digests").alias("ordinal", "digest"))
     first = spread.groupBy("digest").agg(F.min(F.struct("media", "ordinal")).alias("first"))
-    own = spread.join(first, "digest").withColumn("own", (F.col("first.media") == F.col("media")) & (F.col("first.ordinal") == F.col("ordinal")))
-    lists = own.groupBy("media", "key", "owner", "copies").agg(
-        F.sort_array(F.collect_list(F.when(F.col("own"), F.col("ordinal")))).alias("owned"), F.count(F.lit(1)).alias("chunks")
-    )
-    return lists.where((F.col("copies") > 1) | (F.size("owned") < F.col("chunks"))).select("key", "owner", "owned")
+    own = first.groupBy(F.col("first.media").alias("media")).agg(F.sort_array(F.collect_list("first.ordinal")).alias("owned"))
+    single = manifest.groupBy("media").agg(F.min("id").alias("owner"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.max(F.size("digests")).alias("chunks"))
+    found = single.join(own, "media", "left").withColumn("owned", F.coalesce("owned", F.array().cast("array<int>")))
+    return found.where((F.col("copies") > 1) | (F.size("owned") < F.col("chunks"))).select("key", "owner", "owned")
 
 
 def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -223,15 +252,16 @@ def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 def read_media(manifest: DataFrame, places: DataFrame, folder: str) -> DataFrame:
     """Facts of each distinct media, rebuilt from its ordered chunks and verified (REBUILT)."""
     width = shuffle_width(manifest.sparkSession)
-    place = places.groupBy("digest", "size").agg(F.min(F.struct("pack", "at", "packed")).alias("place"))
+    place = places.groupBy("digest", "size").agg(F.min(F.struct("pack", "at", "packed", "within")).alias("place"))
     single = manifest.groupBy("media").agg(F.any_value("digests").alias("digests"), F.any_value("sizes").alias("sizes"))
     wanted = single.select("media", F.posexplode(F.arrays_zip("digests", "sizes")).alias("ordinal", "chunk")).select(
         "media", "ordinal", F.col("chunk.digests").alias("digest"), F.col("chunk.sizes").alias("size")
     )
     parts = wanted.join(place, ["digest", "size"]).groupBy("media").agg(
-        F.sort_array(F.collect_list(F.struct("ordinal", "digest", "size", "place.pack", "place.at", "place.packed"))).alias("parts")
+        F.sort_array(F.collect_list(F.struct("ordinal", "digest", "size", "place.pack", "place.at", "place.packed", "place.within"))).alias("parts")
     )
-    near = parts.repartitionByRange(width, F.col("parts")[0]["pack"], F.col("parts")[0]["at"])
+    begin = [F.col("parts")[0][c] for c in ("pack", "at", "within")]
+    near = parts.repartitionByRange(width, *begin[:2]).sortWithinPartitions(*begin)
     return near.select("media", "parts").mapInArrow(_rebuilder(folder), REBUILT)
 
 

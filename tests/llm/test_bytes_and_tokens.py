@@ -51,6 +51,25 @@ def test_no_texts(nothing):
     assert mixing.mixture(nothing).count() == 0
 
 
+def test_media_share_passages_and_frames_hold_many_chunks(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(600))
+    texts = [" ".join([*(word() for _ in range(rng.randint(60, 400))), passage, *(word() for _ in range(60))]) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    folder = media.new_folder(spark, "media")
+    manifest, places = media.store_media(df, folder)
+    whole = sum(len(media.stored_form(t.encode())) for t in texts)
+    stored = places.agg(F.sum("size"), F.count("digest"), F.countDistinct("digest"), F.countDistinct("pack", "at")).first()
+    assert stored[1] == stored[2] and stored[3] * 8 < stored[1]
+    # The shared passage is most of the text; all but its borders is stored once.
+    assert stored[0] < whole - 39 * 0.5 * len(passage)
+    facts = media.read_media(manifest, places, folder)
+    assert {r["media_sha256"] for r in facts.collect()} == {hashlib.sha256(media.stored_form(t.encode())).hexdigest() for t in texts}
+
+
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_media_round_trip(docs, monkeypatch, most):
     monkeypatch.setattr(media, "BROADCAST_ROWS", most)
