@@ -12,9 +12,11 @@ leaves the sort at once.
   suffixes in common groups; they are done.
 * Last digit: for the runs left over (ends of repeated passages) the rest of each window.
 
-Digits are compared by 64-bit hashes from independent tables, so a group is decided by 96
-bits or more. Entries travel packed by slice of the input; what repeats within a slice is
-folded there, so an owner gets one entry a slice of even the commonest passage.
+The anchor is told by a polynomial hash mod 2**64, whose low bits are weak on texts such as
+Thue-Morse strings; a collision there only puts more runs into one bucket. What decides a
+group is the hash of its bytes modulo the prime 2**61 - 1, where two strings of n letters
+collide for at most n of its bases. Entries travel packed by slice of the input; what repeats
+within a slice is folded there, so an owner gets one entry a slice of even the commonest passage.
 """
 
 from __future__ import annotations
@@ -72,7 +74,60 @@ class Hasher:
         return mix64((prefix[end] - prefix[begin]) * self.unpower[begin] + (end - begin).astype(np.uint64))
 
 
-FIRST, SECOND = Hasher(90_001, 0x9E3779B97F4A7C15), Hasher(95_001, 0xC2B2AE3D27D4EB4F)
+class PrimeHasher:
+    """As Hasher, modulo the prime 2**61 - 1: no text makes differences that the modulus swallows."""
+
+    PRIME = np.uint64((1 << 61) - 1)
+    LOW = np.uint64((1 << 32) - 1)
+    #: Letters that go through at once: temporary arrays stay small however long a text is.
+    AT_ONCE = 1 << 15
+
+    def __init__(self, seed: int, base: int):
+        self.table = mix64(np.arange(seed, seed + 256, dtype=np.uint64)) % self.PRIME
+        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, int(self.PRIME)))
+        self.power = self.unpower = np.ones(1, np.uint64)
+
+    def folded(self, x: np.ndarray) -> np.ndarray:
+        """x modulo the prime, for any 64-bit x."""
+        x = (x & self.PRIME) + (x >> np.uint64(61))
+        return np.minimum(x, x - self.PRIME)
+
+    def shifted(self, x: np.ndarray) -> np.ndarray:
+        """x * 2**32, not quite reduced (under 2**61 + 2**35)."""
+        return (x >> np.uint64(29)) + ((x & np.uint64((1 << 29) - 1)) << np.uint64(32))
+
+    def times(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """a * b modulo the prime, both under it, from products of halves (2**64 is 8 there)."""
+        if len(a) > self.AT_ONCE:
+            out = np.empty(len(a), np.uint64)
+            for lo in range(0, len(a), self.AT_ONCE):
+                part = slice(lo, lo + self.AT_ONCE)
+                out[part] = self.times(a[part], b[part] if np.size(b) == len(a) else b)
+            return out
+        a1, a0, b1, b0 = a >> np.uint64(32), a & self.LOW, b >> np.uint64(32), b & self.LOW
+        least = a0 * b0
+        return self.folded(((a1 * b1) << np.uint64(3)) + self.shifted(a1 * b0 + a0 * b1) + (least & self.PRIME) + (least >> np.uint64(61)))
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        n = len(data)
+        while len(self.power) < n + 1:
+            self.power = np.concatenate([self.power, self.times(self.power, self.times(self.power[-1:], self.base))])
+            self.unpower = np.concatenate([self.unpower, self.times(self.unpower, self.times(self.unpower[-1:], self.inverse))])
+        out = np.zeros(n + 1, np.uint64)
+        for lo in range(0, n, self.AT_ONCE):
+            hi = min(n, lo + self.AT_ONCE)
+            terms = self.times(self.table[data[lo:hi]], self.power[lo:hi])
+            # Halves are summed apart, so that neither sum passes 64 bits.
+            low, high = np.cumsum(terms & self.LOW), np.cumsum(terms >> np.uint64(32))
+            out[lo + 1 : hi + 1] = self.folded(low + self.shifted(high) + out[lo])
+        return out
+
+    def strings(self, prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        value = self.times(self.folded(prefix[end] + self.PRIME - prefix[begin]), self.unpower[begin])
+        return mix64(value + (end - begin).astype(np.uint64))
+
+
+FIRST, SECOND = Hasher(90_001, 0x9E3779B97F4A7C15), PrimeHasher(95_001, 0x1B873593CC9E2D51)
 
 
 def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -43,6 +43,35 @@ def test_repeated_windows(docs, monkeypatch, bounds):
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found), key=repr) == want
 
 
+def test_hash_modulo_a_prime_is_exact_arithmetic(monkeypatch):
+    hasher, prime = repeats.SECOND, (1 << 61) - 1
+    monkeypatch.setattr(repeats.PrimeHasher, "AT_ONCE", 64)
+    edge = np.array([0, 1, prime - 1, prime - 1, 1 << 32, (1 << 32) - 1] * 40, np.uint64)
+    other = np.roll(edge[::-1], 7)
+    data = np.frombuffer(bytes(range(256)) * 3, np.uint8)
+    with np.errstate(over="ignore"):
+        assert [int(x) for x in hasher.times(edge, other)] == [int(x) * int(y) % prime for x, y in zip(edge, other)]
+        want, held = [0], 0
+        for i, letter in enumerate(data):
+            held = (held + int(hasher.table[letter]) * pow(int(hasher.base), i, prime)) % prime
+            want.append(held)
+        prefix = hasher.prefix(data)
+        assert [int(x) for x in prefix] == want
+        same = hasher.strings(prefix, np.array([3, 259, 4]), np.array([203, 459, 204]))
+    assert same[0] == same[1] != same[2]
+
+
+def test_repeats_in_structured_texts(spark):
+    """Thue-Morse and periodic texts, whose hashes modulo powers of two collide."""
+    odd = [bin(i).count("1") & 1 for i in range(2048)]
+    texts = ["".join("hi"[x] for x in odd), "".join("ih"[x] for x in odd[:700]), "".join("ab"[x] * 16 for x in odd[:64]), "".join("ba"[x] * 16 for x in odd[:64])]
+    texts += ["xyz" * 150, "zyx" * 90, "q" * 500, "".join("hi"[x] for x in odd[256:456]) + "tail", "a" * 199]
+    rows = list(enumerate(texts))
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found), key=repr)
+    assert got == repeat_reference([(d, t.encode()) for d, t in rows])
+
+
 def test_no_texts(nothing):
     assert repeats.remove_repeats(nothing).count() == 0
     assert media.media_table(nothing).count() == 0
