@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arcframe.functions import surt
 from arcframe.operators import attachments, cdx, derive, graph, html
-from arcframe.plans.tables import BASE_TS14, CAPTURES_SQL, HOST_SQL, SURT_SQL, all_captures, captures, table
+from arcframe.plans.tables import BASE_TS14, HOST_SQL, SURT_SQL, all_captures, table
 from arcframe.session import stored
 
 
@@ -86,40 +86,45 @@ def html_tag_stream(spark, sf):
 
 
 def html_embeds(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.size(html.embeds(F.col("html"), F.col("url"))).alias("embeds"))
+    """Embeds of the pages whose links are turned into images, as the given pages embed nothing."""
+    pages = table(spark, sf, "pages").withColumn("html", F.regexp_replace("html", r"<a\s([^>]*)href", "<img $1src"))
+    return pages.select("page_id", F.explode(html.embeds(F.col("html"), F.col("url"))).alias("target"))
 
 
 def html_css_js(spark, sf):
-    css = F.regexp_extract("html", r"(?is)<style[^>]*>(.*?)</style>", 1)
-    js = F.regexp_extract("html", r"(?is)<script[^>]*>(.*?)</script>", 1)
-    url = F.col("url")
-    return table(spark, sf, "pages").select("page_id", F.size(html.css_embeds(css, url)).alias("css"), F.size(html.script_urls(js, url)).alias("js"))
+    """Targets in all style and script blocks of a page, and in a sheet and a script that name its links."""
+    links = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href *= *"([^"]*)"'), F.lit(1))
+    blocks = lambda name: F.regexp_extract_all("html", F.lit(rf"(?is)<{name}[^>]*>(.*?)</{name}>"), F.lit(1))
+    css = F.concat_ws("\n", blocks("style"), F.transform(links, lambda x: F.concat(F.lit('@import url("'), x, F.lit('");'))))
+    js = F.concat_ws("\n", blocks("script"), F.transform(links, lambda x: F.concat(F.lit('load("'), x, F.lit('");'))))
+    pages = table(spark, sf, "pages").select("page_id", html.css_embeds(css, F.col("url")).alias("css"), html.script_urls(js, F.col("url")).alias("js"))
+    return pages.select("page_id", F.explode(F.create_map(F.lit("css"), "css", F.lit("js"), "js")).alias("kind", "targets")).select("page_id", "kind", F.explode("targets").alias("target"))
 
 
-def cdx_emit(spark, sf, rows=captures):
-    return cdx.from_captures(rows(spark, sf)).select("surt", "ts14", cdx.line().alias("line"))
+def cdx_emit(spark, sf):
+    return cdx.from_captures(all_captures(spark, sf)).select("surt", "ts14", cdx.line().alias("line"))
 
 
-def cdx_parse(spark, sf, rows=captures):
-    lines = cdx.from_captures(rows(spark, sf)).select(cdx.line().alias("value"))
+def cdx_parse(spark, sf):
+    lines = cdx.from_captures(all_captures(spark, sf)).select(cdx.line().alias("value"))
     return cdx.parse(lines).select("surt", "ts14", "url", "mime", "status", "digest", "compressed_size")
 
 
-def cdx_status_mime(spark, sf, rows=captures):
-    return cdx.html_pages(cdx.from_captures(rows(spark, sf))).groupBy("surt").agg(F.count(F.lit(1)).alias("captures"))
+def cdx_status_mime(spark, sf):
+    return cdx.html_pages(cdx.from_captures(all_captures(spark, sf))).groupBy("surt").agg(F.count(F.lit(1)).alias("captures"))
 
 
-def cdx_latest_capture(spark, sf, rows=captures):
-    return cdx.latest(cdx.from_captures(rows(spark, sf)).select("surt", "ts14", "digest"))
+def cdx_latest_capture(spark, sf):
+    return cdx.latest(cdx.from_captures(all_captures(spark, sf)).select("surt", "ts14", "digest"))
 
 
-def cdx_digest_dedup(spark, sf, rows=captures):
-    return cdx.first_of_digest(cdx.from_captures(rows(spark, sf)).select("surt", "digest", "ts14", "url")).select("surt", "digest", "ts14")
+def cdx_digest_dedup(spark, sf):
+    return cdx.first_of_digest(cdx.from_captures(all_captures(spark, sf)).select("surt", "digest", "ts14", "url")).select("surt", "digest", "ts14")
 
 
-def cdx_prefix_scan(spark, sf, rows=captures):
+def cdx_prefix_scan(spark, sf):
     prefixes = spark.createDataFrame([("com,example,",), ("com,example,th",), ("com,example,t",)], "prefix string")
-    return cdx.scan(cdx.from_captures(rows(spark, sf)).select("surt", "ts14"), prefixes).groupBy("surt", "matched").agg(F.count(F.lit(1)).alias("n"))
+    return cdx.scan(cdx.from_captures(all_captures(spark, sf)).select("surt", "ts14"), prefixes).groupBy("surt", "matched").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lang_blocks(spark, sf):
@@ -158,16 +163,13 @@ def attach_walk(spark, sf):
 QUERIES = {f.__name__: f for f in (outlinks, host_graph, outlink_targets, link_nodes, link_adjacency, json_nodes, json_adjacency, html_title, html_tag_counts, html_attr_values, html_comments_removed, html_scripts_removed, html_body_text, html_tag_stream, html_embeds, html_css_js, cdx_emit, cdx_parse, cdx_status_mime, cdx_latest_capture, cdx_digest_dedup, cdx_prefix_scan, lang_blocks, entity_sets, pipe_upper, attach_zip, attach_walk)}
 
 
-def _over_all_pages(query):
-    return lambda spark, sf: query(spark, sf, all_captures)
-
-
-#: The CDX queries once more, over captures of all pages.
+#: Second names of the CDX queries, from when only these read all pages.
 ALL_PAGES = {f"{f.__name__}_all_pages": f for f in (cdx_emit, cdx_parse, cdx_status_mime, cdx_latest_capture, cdx_digest_dedup, cdx_prefix_scan)}
-QUERIES |= {name: _over_all_pages(f) for name, f in ALL_PAGES.items()}
+QUERIES |= ALL_PAGES
 
 _LINKS = r"""l AS (SELECT url, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || href AS target
     FROM (SELECT url, unnest(regexp_extract_all(html, '<a\s[^>]*href *= *[''"]([^''"]*)[''"]', 1)) AS href FROM pages) WHERE href LIKE '/%' AND href NOT LIKE '//%')"""
+_HREFS = r"""h AS (SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) AS root, unnest(regexp_extract_all(html, '<a\s[^>]*href *= *"([^"]*)"', 1)) AS href FROM pages)"""
 _DST = SURT_SQL.replace("url", "target")
 _VALID = r"regexp_matches({0}, '^[a-z]+,[\p{{L}}\p{{M}}0-9,-]+$') AND NOT contains({0}, '--') AND NOT contains({0}, ',,')"
 _GRAPH = f"""{_LINKS},
@@ -181,9 +183,7 @@ _GRAPH = f"""{_LINKS},
     a AS (SELECT s.id AS src_id, '20240101000000' AS ts14, list_sort(list(DISTINCT t.id)) AS ids FROM e JOIN n s ON s.surt = e.src_surt JOIN n t ON t.surt = e.dst_surt GROUP BY 1)"""
 _BASE32 = """list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + ((('0x' || substr(sha1(html), 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), lambda a, b: a || b)"""
-_CDX = f"""WITH {CAPTURES_SQL}, k AS (SELECT url AS u, {SURT_SQL} AS surt, {_BASE32} AS digest, strlen(html) AS compressed_size FROM pages),
-    cdx AS (SELECT surt, ts14, url, mime, status, digest, compressed_size FROM captures JOIN k ON k.u = url)"""
-_CDX_ALL_PAGES = f"""WITH k AS (SELECT url, {SURT_SQL} AS surt, {_BASE32} AS digest, strlen(html) AS compressed_size,
+_CDX = f"""WITH k AS (SELECT url, {SURT_SQL} AS surt, {_BASE32} AS digest, strlen(html) AS compressed_size,
            row_number() OVER (ORDER BY page_id) - 1 AS number, count(*) OVER () AS pages FROM pages),
     cdx AS (SELECT surt, '{BASE_TS14}' AS ts14, url, 'text/html' AS mime, 200 AS status, digest, compressed_size FROM k UNION ALL
             SELECT surt, strftime(e.ts, '%Y%m%d%H%M%S'), url, CASE WHEN e.event_type = 'click' THEN 'text/plain' ELSE 'text/html' END,
@@ -207,6 +207,9 @@ ORACLES = {
     "html_attr_values": """SELECT page_id, nullif(regexp_extract(regexp_extract(html, '<html[^>]*>'), 'lang *= *"([^"]*)"', 1), '') AS lang FROM pages""",
     "html_comments_removed": "SELECT page_id, md5(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) AS md5 FROM pages",
     "html_scripts_removed": "SELECT page_id, md5(regexp_replace(html, '(?is)<script.*?</script>', '', 'g')) AS md5 FROM pages",
+    "html_embeds": f"WITH {_HREFS} SELECT DISTINCT page_id, root || href AS target FROM h",
+    "html_css_js": f"""WITH {_HREFS} SELECT DISTINCT page_id, 'css' AS kind, root || href AS target FROM h UNION ALL
+        SELECT DISTINCT page_id, 'js', root || href FROM h WHERE length(href) > 2 AND regexp_matches(href, '^/[A-Za-z0-9_]') AND NOT contains(href, ' ')""",
     "cdx_emit": _CDX + " SELECT surt, ts14, surt || ' ' || ts14 || ' ' || url || ' ' || mime || ' ' || status || ' ' || digest || ' - - ' || compressed_size AS line FROM cdx",
     "cdx_parse": _CDX + " SELECT surt, ts14, url, mime, status, digest, compressed_size FROM cdx",
     "cdx_status_mime": _CDX + " SELECT surt, count(*) AS captures FROM cdx WHERE status = 200 AND mime = 'text/html' GROUP BY surt",
@@ -238,4 +241,4 @@ ORACLES = {
                CASE WHEN q.head IS NULL THEN 'Unavailable' WHEN q.head = r.checksum THEN 'Available' ELSE 'ChecksumMismatch' END AS status
         FROM r JOIN w ON w.file = r.file AND w.t = r.t - 1 LEFT JOIN q ON q.file = r.file AND q.p = w.p""",
 }
-ORACLES |= {name: ORACLES[f.__name__].replace(_CDX, _CDX_ALL_PAGES) for name, f in ALL_PAGES.items()}
+ORACLES |= {name: ORACLES[f.__name__] for name, f in ALL_PAGES.items()}

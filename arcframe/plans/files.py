@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arcframe.functions import text, url
 from arcframe.operators import cdx, derive, html, joins, layout
-from arcframe.plans.archive import _BASE32, _CDX_ALL_PAGES, _DST, _LINKS
+from arcframe.plans.archive import _BASE32, _CDX, _DST, _LINKS
 from arcframe.plans.tables import SURT_SQL, all_captures, table
 from arcframe.sources import captures, http, indexed, lines, warc
 
@@ -148,8 +148,8 @@ def text_files(spark, sf):
 
 def csv_files(spark, sf):
     path = indexed.new_folder(spark, "csv")
-    lines.save_csv(table(spark, sf, "documents").select("doc_id", "lang", F.regexp_replace(F.substring("text", 1, 200), r"[\r\n\\]", " ").alias("head")), path)
-    return spark.read.option("header", True).option("escape", '"').csv(path).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.md5(F.coalesce("head", F.lit(""))).alias("head_md5"))
+    lines.save_csv(table(spark, sf, "documents").select("doc_id", "lang", F.regexp_replace("text", r"[\r\n\\]", " ").alias("line")), path)
+    return spark.read.option("header", True).option("escape", '"').option("maxCharsPerColumn", -1).csv(path).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.md5(F.coalesce("line", F.lit(""))).alias("line_md5"))
 
 
 def named_files(spark, sf):
@@ -214,12 +214,12 @@ ORACLES = {
     "warc_cdx": f"SELECT {SURT_SQL} AS surt, '20240101000000' AS ts14, url, 'text/html' AS mime, 200 AS status, {_BASE32} AS digest, '-' AS redirect FROM pages",
     "warc_raw": "SELECT count(*) AS records, count(*) AS whole, count(*) AS packed, count(*) AS placed FROM pages",
     "warc_extract": "SELECT url, md5(html) AS body_md5 FROM pages WHERE url LIKE 'https:%'",
-    "cdx_files": _CDX_ALL_PAGES + " SELECT surt, ts14, url, mime, status, digest, compressed_size FROM cdx",
-    "cdx_index_scan": _CDX_ALL_PAGES
+    "cdx_files": _CDX + " SELECT surt, ts14, url, mime, status, digest, compressed_size FROM cdx",
+    "cdx_index_scan": _CDX
     + """ SELECT surt, p AS matched, count(*) AS n FROM (SELECT surt, ts14,
         CASE WHEN starts_with(surt, 'com,example,th') THEN 'com,example,th' WHEN starts_with(surt, 'com,example,t') THEN 'com,example,t'
              WHEN starts_with(surt, 'com,example,') THEN 'com,example,' END AS p FROM cdx) WHERE p IS NOT NULL GROUP BY surt, p""",
-    "cdx_lookup": _CDX_ALL_PAGES + f", {_LINKS}, w AS (SELECT DISTINCT {_DST} AS looked_up FROM l) SELECT looked_up, count(*) AS captures, max(ts14) AS last FROM w JOIN cdx ON surt = looked_up GROUP BY 1",
+    "cdx_lookup": _CDX + f", {_LINKS}, w AS (SELECT DISTINCT {_DST} AS looked_up FROM l) SELECT looked_up, count(*) AS captures, max(ts14) AS last FROM w JOIN cdx ON surt = looked_up GROUP BY 1",
     "prefix_long": "SELECT doc_id, md5(CASE WHEN length(text) >= 300 THEN left(text, 300) ELSE '' END) AS matched_md5 FROM documents",
     "doc_clean_latin": f"""SELECT doc_id, md5({_TRIM.format(r"regexp_replace(regexp_replace(text, '[^ \t\n\r\f\x0B]{100,}', '', 'g'), '[^\p{Latin}0-9 \t\n\r\f\x0B.,!?''" + '"' + r"()\-&;]+', ' ', 'g')")}) AS md5 FROM documents""",
     "doc_trim_lines": f"SELECT doc_id, md5({_TRIM.format('text')}) AS md5 FROM documents",
@@ -241,7 +241,7 @@ ORACLES = {
         SELECT doc_id, lang, sum(weight)::DOUBLE / any_value(total) AS share FROM (SELECT *, (sum(weight) OVER (PARTITION BY doc_id))::DOUBLE AS total FROM l)
         WHERE lang IS NOT NULL GROUP BY doc_id, lang""",
     "text_files": "SELECT c_name AS line FROM customer",
-    "csv_files": r"SELECT doc_id, lang, md5(regexp_replace(left(text, 200), '[\r\n\\]', ' ', 'g')) AS head_md5 FROM documents",
+    "csv_files": r"SELECT doc_id, lang, md5(regexp_replace(coalesce(text, ''), '[\r\n\\]', ' ', 'g')) AS line_md5 FROM documents",
     "named_files": "SELECT c_mktsegment AS name, count(*) AS n, min(c_name) AS first FROM customer GROUP BY 1",
     "line_offsets": """SELECT part, source, count, (sum(length) OVER (PARTITION BY part ORDER BY source) - length)::BIGINT AS offset, length::BIGINT AS length
         FROM (SELECT lang AS part, source, count(*) AS count, sum(strlen(text) + 1) AS length FROM documents GROUP BY ALL)""",

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arcframe.operators import attachments, cdx, layout, runs
-from arcframe.plans.archive import _CDX_ALL_PAGES
+from arcframe.plans.archive import _CDX
 from arcframe.plans.files import _archive, _records
 from arcframe.plans.relational import _FOLD
 from arcframe.plans.tables import all_captures, table
@@ -136,10 +136,10 @@ ORACLES = {
     + """ SELECT bin, 1 AS partitions, count(*) AS n, sum(cost)::BIGINT AS cost, min(c_name || ' ' || c_mktsegment) AS first
           FROM b JOIN customer ON c_custkey = ord GROUP BY bin""",
     "file_costs": "SELECT c_mktsegment AS segment, count(*) AS n, sum(length(c_name))::BIGINT AS cost FROM customer GROUP BY 1",
-    "attach_cdx": _CDX_ALL_PAGES + """ SELECT surt, count(*) AS n, count(*) FILTER (status = 200 AND mime = 'text/html') AS available,
+    "attach_cdx": _CDX + """ SELECT surt, count(*) AS n, count(*) FILTER (status = 200 AND mime = 'text/html') AS available,
         min('at ' || ts14) FILTER (status = 200 AND mime = 'text/html') AS first, 0 AS moved FROM cdx GROUP BY surt""",
-    "cdx_range_partitions": _CDX_ALL_PAGES + " SELECT split_part(surt, ')', 1) AS host, count(*) AS n, 1 AS partitions FROM cdx GROUP BY 1",
-    "cdx_sample": _CDX_ALL_PAGES + " SELECT least(500, count(*)) AS n, least(500, count(*)) AS places, least(500, count(*)) AS known FROM cdx",
+    "cdx_range_partitions": _CDX + " SELECT split_part(surt, ')', 1) AS host, count(*) AS n, 1 AS partitions FROM cdx GROUP BY 1",
+    "cdx_sample": _CDX + " SELECT least(500, count(*)) AS n, least(500, count(*)) AS places, least(500, count(*)) AS known FROM cdx",
     "cogroup_files": """SELECT lpad(key::VARCHAR, 9, '0') AS key, count(o_orderkey) AS orders, min(o_orderkey || ' ' || o_orderstatus) AS first, coalesce(min(c_name), '') AS customer
         FROM (SELECT c_custkey AS key FROM customer UNION SELECT o_custkey FROM orders) LEFT JOIN orders ON o_custkey = key LEFT JOIN customer ON c_custkey = key GROUP BY key""",
     "warc_budget": "SELECT url, md5(html) AS body_md5, false AS over_budget FROM pages",

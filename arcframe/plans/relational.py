@@ -46,15 +46,15 @@ def reduce_by_key(spark, sf):
 
 
 def distinct_minus(spark, sf):
-    customers, suppliers = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    return groups.distinct_minus(customers.select(F.col("c_nationkey").alias("nation")).where("nation < 20"), suppliers.select(F.col("s_nationkey").alias("nation")).where("nation % 2 = 0"))
+    return groups.distinct_minus(table(spark, sf, "orders").select(F.col("o_orderkey").alias("key")), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key")))
 
 
 def combine_maps(spark, sf):
     of = lambda status: F.map_from_entries(F.sort_array(F.collect_list(F.struct("o_orderpriority", "n")))).alias(status)
     counts = table(spark, sf, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     left = counts.where("o_orderstatus = 'F'").agg(of("f"))
-    right = counts.where("o_orderstatus = 'O'").agg(of("o"))
+    others = counts.where("not o_orderstatus <=> 'F'").groupBy("o_orderpriority").agg(F.sum("n").alias("n"))
+    right = others.agg(of("o"))
     both = left.join(F.broadcast(right)).select(groups.combine_maps(F.col("f"), F.col("o")).alias("m"))
     return both.select(F.explode("m").alias("priority", "n"))
 
@@ -70,7 +70,7 @@ def group_total(spark, sf):
 
 def cogroup_orders_lineitem(spark, sf):
     orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    both = joins.cogroup({"customers": (orders.where("o_orderkey % 3 > 0"), "o_orderkey", F.col("o_custkey")), "parts": (lines.where("l_orderkey % 5 > 0"), "l_orderkey", F.col("l_partkey"))})
+    both = joins.cogroup({"customers": (orders, "o_orderkey", F.col("o_custkey")), "parts": (lines, "l_orderkey", F.col("l_partkey"))})
     return both.select("key", F.array_join("customers", ",").alias("customers"), F.array_join("parts", ",").alias("parts"))
 
 
@@ -130,12 +130,11 @@ def drop_keys(spark, sf):
 
 
 def adjacent_asof(spark, sf):
-    orders = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select("o_orderkey")
-    return joins.adjacent(orders, "o_orderkey", table(spark, sf, "customer").where("c_custkey % 11 = 0"), "c_custkey")
+    return joins.adjacent(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", table(spark, sf, "customer"), "c_custkey")
 
 
 def index_candidates(spark, sf):
-    index = table(spark, sf, "pages").where("page_id % 5 = 0").select((F.col("page_id") % 2).alias("file"), F.col("url").alias("key"))
+    index = table(spark, sf, "pages").select((F.col("page_id") % 2).alias("file"), F.col("url").alias("key"))
     prefixes = spark.createDataFrame([("http://www.",), ("https://t",), ("http://t",)], "prefix string")
     return joins.index_candidates(index, "key", "file", prefixes, "prefix")
 
@@ -197,23 +196,10 @@ def distinct_minus_whole(spark, sf):
     return groups.distinct_minus(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"))
 
 
-def cogroup_orders_lineitem_whole(spark, sf):
-    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    both = joins.cogroup({"customers": (orders, "o_orderkey", F.col("o_custkey")), "parts": (lines, "l_orderkey", F.col("l_partkey"))})
-    return both.select("key", F.array_join("customers", ",").alias("customers"), F.array_join("parts", ",").alias("parts"))
-
-
-def adjacent_asof_whole(spark, sf):
-    return joins.adjacent(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", table(spark, sf, "customer"), "c_custkey")
-
-
-def index_candidates_whole(spark, sf):
-    index = table(spark, sf, "pages").select((F.col("page_id") % 2).alias("file"), F.col("url").alias("key"))
-    prefixes = spark.createDataFrame([("http://www.",), ("https://t",), ("http://t",)], "prefix string")
-    return joins.index_candidates(index, "key", "file", prefixes, "prefix")
-
-
-QUERIES = {f.__name__: f for f in (run_groups, adjacent_distinct, first_of_sorted, zip_next, zip_index, take_until, drop_until, reduce_by_key, distinct_minus, combine_maps, topk_map, group_total, cogroup_orders_lineitem, exists_flag, lookup_left, subtract_keys, subtract_values, merge_sorted, prefix_match, prefix_shortest, prefix_filter, key_from, key_before, drop_keys, adjacent_asof, index_candidates, pointer_islands, budget_bins, budget_lanes, uniform_partitions, equal_partitions, chunks_by_lines, chunks_by_groups, sort_range_within, hash_sort_within, dense_ids, rows_sample, repartitioned_uniform, distinct_minus_whole, cogroup_orders_lineitem_whole, adjacent_asof_whole, index_candidates_whole)}
+QUERIES = {f.__name__: f for f in (run_groups, adjacent_distinct, first_of_sorted, zip_next, zip_index, take_until, drop_until, reduce_by_key, distinct_minus, combine_maps, topk_map, group_total, cogroup_orders_lineitem, exists_flag, lookup_left, subtract_keys, subtract_values, merge_sorted, prefix_match, prefix_shortest, prefix_filter, key_from, key_before, drop_keys, adjacent_asof, index_candidates, pointer_islands, budget_bins, budget_lanes, uniform_partitions, equal_partitions, chunks_by_lines, chunks_by_groups, sort_range_within, hash_sort_within, dense_ids, rows_sample, repartitioned_uniform, distinct_minus_whole)}
+#: Second names of queries, from when only these read whole tables.
+WHOLE = {f"{f.__name__}_whole": f for f in (cogroup_orders_lineitem, adjacent_asof, index_candidates)}
+QUERIES |= WHOLE
 
 _W = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
 _PREFIXES = """p AS (SELECT DISTINCT prefix FROM (SELECT unnest([left(p_type, 5), left(p_type, 8), array_to_string(string_split(p_type, ' ')[1:2], ' ')]) AS prefix FROM part)
@@ -235,13 +221,13 @@ ORACLES = {
     "take_until": f"SELECT event_id, user_id, event_type FROM events QUALIFY coalesce(sum((event_type = 'purchase')::INT) {_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0",
     "drop_until": f"SELECT event_id, user_id, event_type FROM events QUALIFY sum((event_type = 'purchase')::INT) {_W} ROWS UNBOUNDED PRECEDING) > 0",
     "reduce_by_key": "SELECT l_suppkey, sum(l_quantity)::BIGINT AS quantity, count(*) AS n, max(l_orderkey) AS last_order FROM lineitem GROUP BY l_suppkey",
-    "distinct_minus": "SELECT DISTINCT c_nationkey AS nation FROM customer WHERE c_nationkey < 20 EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey % 2 = 0",
-    "combine_maps": "SELECT o_orderpriority AS priority, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_orderpriority",
+    "distinct_minus": "SELECT o_orderkey AS key FROM orders EXCEPT SELECT l_orderkey FROM lineitem",
+    "combine_maps": "SELECT o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY o_orderpriority",
     "topk_map": "SELECT l_partkey, sum(l_quantity)::BIGINT AS value FROM lineitem GROUP BY l_partkey ORDER BY value DESC, l_partkey LIMIT 25",
     "group_total": "SELECT s_suppkey, s_nationkey, round(s_acctbal * 100)::BIGINT AS cents, (sum(round(s_acctbal * 100)::BIGINT) OVER (PARTITION BY s_nationkey))::BIGINT AS nation_cents FROM supplier",
     "cogroup_orders_lineitem": """
-        WITH o AS (SELECT o_orderkey AS key, string_agg(o_custkey, ',' ORDER BY o_custkey) AS customers FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1),
-             l AS (SELECT l_orderkey AS key, string_agg(l_partkey, ',' ORDER BY l_partkey) AS parts FROM lineitem WHERE l_orderkey % 5 > 0 GROUP BY 1)
+        WITH o AS (SELECT o_orderkey AS key, string_agg(o_custkey, ',' ORDER BY o_custkey) AS customers FROM orders GROUP BY 1),
+             l AS (SELECT l_orderkey AS key, string_agg(l_partkey, ',' ORDER BY l_partkey) AS parts FROM lineitem GROUP BY 1)
         SELECT key, coalesce(customers, '') AS customers, coalesce(parts, '') AS parts FROM o FULL JOIN l USING (key)""",
     "exists_flag": "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AS found FROM customer",
     "lookup_left": "SELECT c_custkey, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
@@ -255,10 +241,10 @@ ORACLES = {
     "key_before": "SELECT page_id, url FROM pages WHERE url >= 'http://t' OR url = (SELECT max(url) FROM pages WHERE url < 'http://t')",
     "drop_keys": "SELECT p_partkey, p_brand FROM part WHERE p_brand NOT IN (SELECT DISTINCT p_brand FROM part ORDER BY p_brand LIMIT 5)",
     "adjacent_asof": """
-        WITH o AS (SELECT o_orderkey, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM orders WHERE o_orderkey % 7 = 0)
-        SELECT o_orderkey FROM o WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey % 11 = 0 AND c_custkey >= o_orderkey AND (nxt IS NULL OR c_custkey < nxt))""",
+        WITH o AS (SELECT o_orderkey, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM orders)
+        SELECT o_orderkey FROM o WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey >= o_orderkey AND (nxt IS NULL OR c_custkey < nxt))""",
     "index_candidates": """
-        WITH i AS (SELECT page_id % 2 AS file, url AS key, lead(url) OVER (PARTITION BY page_id % 2 ORDER BY url) AS nxt FROM pages WHERE page_id % 5 = 0)
+        WITH i AS (SELECT page_id % 2 AS file, url AS key, lead(url) OVER (PARTITION BY page_id % 2 ORDER BY url) AS nxt FROM pages)
         SELECT file, key, p AS prefix FROM i JOIN (VALUES ('http://www.'), ('https://t'), ('http://t')) t(p)
         ON (key <= p OR starts_with(key, p)) AND (nxt IS NULL OR nxt >= p)""",
     "pointer_islands": """
@@ -277,15 +263,5 @@ ORACLES = {
     "dense_ids": "SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment DESC, c_custkey) - 1 AS id FROM customer",
     "repartitioned_uniform": "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey",
     "distinct_minus_whole": "SELECT DISTINCT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
-    "cogroup_orders_lineitem_whole": """
-        WITH o AS (SELECT o_orderkey AS key, string_agg(o_custkey, ',' ORDER BY o_custkey) AS customers FROM orders GROUP BY 1),
-             l AS (SELECT l_orderkey AS key, string_agg(l_partkey, ',' ORDER BY l_partkey) AS parts FROM lineitem GROUP BY 1)
-        SELECT key, coalesce(customers, '') AS customers, coalesce(parts, '') AS parts FROM o FULL JOIN l USING (key)""",
-    "adjacent_asof_whole": """
-        WITH o AS (SELECT o_orderkey, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM orders)
-        SELECT o_orderkey FROM o WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey >= o_orderkey AND (nxt IS NULL OR c_custkey < nxt))""",
-    "index_candidates_whole": """
-        WITH i AS (SELECT page_id % 2 AS file, url AS key, lead(url) OVER (PARTITION BY page_id % 2 ORDER BY url) AS nxt FROM pages)
-        SELECT file, key, p AS prefix FROM i JOIN (VALUES ('http://www.'), ('https://t'), ('http://t')) t(p)
-        ON (key <= p OR starts_with(key, p)) AND (nxt IS NULL OR nxt >= p)""",
 }
+ORACLES |= {name: ORACLES[f.__name__] for name, f in WHOLE.items()}

@@ -14,17 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(url, ts14, mime, status, keys of the body): every event is a capture of the page its user id falls on."""
-    pages = cdx.body_keys(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body")))
-    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.date_format("ts", "yyyyMMddHHmmss").alias("ts14"), (F.col("user_id") % 50).alias("page_id"))
-    status = F.when(F.col("event_type") == "error", 404).otherwise(200)
-    mime = F.when(F.col("event_type") == "click", "text/plain").otherwise("text/html")
-    return events.join(pages, "page_id").select("event_id", "url", "ts14", mime.alias("mime"), status.alias("status"), *KEYS)
-
-
 def all_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """captures() over all pages: one base capture of every page, and every event on the page its user id falls on.
+    """(event_id, url, ts14, mime, status, keys of the body): a base capture of every page, and every event on the page its user id falls on.
 
     Pages are numbered in the order of page_id, so ids with gaps lose no event.
     """
@@ -41,15 +32,6 @@ def all_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Time of the base capture of every page.
 BASE_TS14 = "20240101000000"
 
-#: The rows of captures() in SQL.
-CAPTURES_SQL = """
-    captures AS (
-        SELECT e.event_id, p.url, strftime(e.ts, '%Y%m%d%H%M%S') AS ts14,
-               CASE WHEN e.event_type = 'click' THEN 'text/plain' ELSE 'text/html' END AS mime,
-               CASE WHEN e.event_type = 'error' THEN 404 ELSE 200 END AS status, p.html AS body
-        FROM events e JOIN pages p ON e.user_id % 50 = p.page_id)
-"""
-
 #: SURT pieces of a URL in SQL (the test pages have no user, port or escapes).
 HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1))"
 REVERSED_SQL = "array_to_string(list_reverse(string_split(regexp_replace(" + HOST_SQL + r", '^www\d*\.', ''), '.')), ',')"
