@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,12 +45,38 @@ def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         del batch
         pa.default_memory_pool().release_unused()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that the C library and Arrow hold unused back to the system."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library has no such call
         pass
 
 
+def lean_group(make):
+    """make(rows) for applyInPandas; what groups before no longer use first goes back to the system."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        trim()
+        return make(rows)
+
+    return run
+
+
+def lean_pair(make):
+    """As lean_group, for make(left, right) of cogroups."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        trim()
+        return make(left, right)
+
+    return run
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcframe.llm.common import fresh_name, shuffle_width, written
+from arcframe.llm.common import fresh_name, lean, lean_group, lean_pair, shuffle_width, written
 from arcframe.llm.components import connected_components
 from arcframe.llm.fragments import slices
 from arcframe.llm.shingles import WORDS, shingle_sets
@@ -74,7 +74,7 @@ def _facts(width: int):
     """(id, text) -> kind 0: id, set size, class; kind 1: a shingle and its sets in a slice (n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             ids = batch.column(0)
             for lo, hi in slices(batch.column(1)):
                 pairs, sizes, seen = [], [], {}
@@ -180,7 +180,7 @@ def _sets(hot, moved: dict[tuple[int, int], int], owners: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held = {}, 0
-        for batch in batches:
+        for batch in lean(batches):
             for lo, hi in slices(batch.column(0)):
                 for tokens in shingle_sets(batch.column(0).slice(lo, hi - lo), width):
                     if len(tokens):
@@ -427,9 +427,9 @@ def _join(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int,
     owners = max(2, shuffle_width(spark), total // OWNER_ROWS)
     owners = 1 << (owners - 1).bit_length()
     sent = texts.select("text").mapInArrow(_sets(hot, moved, owners, width), SENT)
-    back = written(sent.groupBy("owner").applyInPandas(_shared(hot, owners), BACK), "shared-shingles")
+    back = written(sent.groupBy("owner").applyInPandas(lean_group(_shared(hot, owners)), BACK), "shared-shingles")
     cuts = Cuts(dict(back.where("home is null").groupBy("magnitude").agg(F.sum("entries")).collect()))
-    reduced = written(back.where("home is not null").groupBy("home").applyInPandas(_reduced(cuts, percent), REDUCED), "reduced-sets")
+    reduced = written(back.where("home is not null").groupBy("home").applyInPandas(lean_group(_reduced(cuts, percent)), REDUCED), "reduced-sets")
     members = written(_members(reduced), "grouped")
 
     wanted = members.groupBy("class").agg(F.collect_set("leader").alias("leaders"))
@@ -444,9 +444,9 @@ def _join(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int,
 
     segments = reduced.select("class", "segments")
     bodies = dealt.join(segments, "class").select("pack", *UNIT, "side", "class", F.posexplode("segments").alias("fragment", "segment"))
-    partial = bodies.groupBy("pack", "fragment").applyInPandas(_partial, PARTIAL)
+    partial = bodies.groupBy("pack", "fragment").applyInPandas(lean_group(_partial), PARTIAL)
     rows = dealt.join(wanted, "class")
-    links = rows.groupBy("pack").cogroup(partial.groupBy("pack")).applyInPandas(_links(percent, every), OUT)
+    links = rows.groupBy("pack").cogroup(partial.groupBy("pack")).applyInPandas(lean_pair(_links(percent, every)), OUT)
     return facts, classes, written(links, "links")
 
 
