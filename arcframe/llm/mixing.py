@@ -5,7 +5,7 @@ margin meet their targets. A document is kept with the calibrated probability of
 decided by a hash of its id, so the expected tokens of every margin are in proportion to
 the targets (but for what the caller lets cells fall short, see SHORT).
 
-Topics are clusters of word use, fitted on a bounded sample and given to every row, or a
+Topics are clusters of word use, fitted on all texts and given to every row, or a
 column of the caller's. Only the cell table is raked: cells are summed map-side before any shuffle. A
 table of counted, bounded size is swept by one task; of a larger one each sweep is a window per
 margin, and every SWEEPS sweeps are cut by checkpoint().
@@ -21,17 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcframe.llm.common import lean, run_hashes, shared_dir, written
+from arcframe.llm.common import lean, mix64, run_hashes, shared_dir, written
 from arcframe.llm.fragments import WHITE, slices
 from arcframe.llm.shingles import LOWER
 
 MARGINS = ("source", "lang", "topic")
 TOPICS = 8
-#: Texts that the topic model is fitted on at most, those with the smallest hash of id and text.
-TOPIC_SAMPLE = 4_000
-#: Words are counted in so many places by hash; words of fewer bytes, and places of more than this share of the sample, are left out.
+#: Words are counted in so many places by hash; words of fewer bytes, and places of more than this share of the texts, are left out.
 PLACES, WORD_BYTES, COMMON_SHARE = 2_048, 4, 0.5
-ROUNDS = 25
+#: Rounds of k-means at most; it ends where a round makes texts less than GAIN more like their centers.
+ROUNDS, GAIN = 25, 1e-4
+#: Parts of a unit vector's length; a text that lacks less of a center counts as equal to it.
+UNIT, LACK = 65_535, 1e-3
 TOLERANCE = 1e-3
 #: Sweeps between two looks at the gaps; raking ends where these no longer narrow the widest gap by this share.
 SWEEPS, PROGRESS = 4, 0.05
@@ -65,13 +66,22 @@ def word_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return LOWER[data], begins, ends - begins, np.searchsorted(offsets - base, begins, "right") - 1
 
 
-def word_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(number of words, log-scaled counts of long words by place) of each text."""
+def word_places(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of words of each text; row, place and log-scaled count of each place where a text has long words, in order)."""
     data, begins, sizes, owner = word_runs(column)
     long = sizes >= WORD_BYTES
     place = (run_hashes(data, begins[long], sizes[long]) % np.uint64(PLACES)).astype(np.int64)
-    counts = np.bincount(owner[long] * PLACES + place, minlength=len(column) * PLACES).reshape(len(column), PLACES)
-    return np.bincount(owner, minlength=len(column)).astype(np.int64), np.log1p(counts.astype(np.float32))
+    counts = np.bincount(owner[long] * PLACES + place, minlength=len(column) * PLACES)
+    at = np.flatnonzero(counts)
+    return np.bincount(owner, minlength=len(column)).astype(np.int64), at // PLACES, at % PLACES, np.log1p(counts[at].astype(np.float32))
+
+
+def word_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of words, log-scaled counts of long words by place) of each text."""
+    words, row, place, logs = word_places(column)
+    counts = np.zeros((len(column), PLACES), np.float32)
+    counts[row, place] = logs
+    return words, counts
 
 
 def _portions(column: pa.Array) -> Iterator[tuple[int, int]]:
@@ -81,53 +91,170 @@ def _portions(column: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 class Topics:
-    """Clusters of word use: spherical k-means over places weighted by their rarity."""
-
-    def __init__(self, counts: np.ndarray, topics: int = TOPICS):
-        held = (counts > 0).sum(0)
-        n = max(1, len(counts))
-        self.weight = np.where((held > 0) & (held <= COMMON_SHARE * n), np.log((1 + n) / (1 + held)), 0).astype(np.float32)
-        rows = self._scaled(counts)
-        rows = rows[rows.any(1)]
-        centers = rows[:1]
-        while len(centers) < min(topics, len(rows)):  # the row least like any center is the next one
-            centers = np.vstack([centers, rows[np.argmin((rows @ centers.T).max(1))]])
-        for _ in range(ROUNDS if len(rows) else 0):
-            own = (rows @ centers.T).argmax(1)
-            sums = np.stack([rows[own == k].sum(0) if (own == k).any() else centers[k] for k in range(len(centers))])
-            centers = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-        self.centers = centers
-
-    def _scaled(self, counts: np.ndarray) -> np.ndarray:
-        rows = counts * self.weight
-        return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-
-    def of(self, counts: np.ndarray) -> np.ndarray:
-        """The nearest center of each text, the first on ties; 0 without words that tell."""
-        if not len(self.centers):
-            return np.zeros(len(counts), np.int32)
-        return (self._scaled(counts) @ self.centers.T).argmax(1).astype(np.int32)
-
-
-def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TOPIC_SAMPLE) -> Topics:
-    """Topics from a bounded sample: the `rows` smallest hashes of (id, text), a hash once."""
-    keyed = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.col(text_col).alias("text")).where("text is not null")
-    few = keyed.select("h").distinct().orderBy("h").limit(rows)
+    """Clusters of word use: centers over places, and the weight of each place by its rarity."""
+
+    def __init__(self, weight: np.ndarray, centers: np.ndarray):
+        self.weight, self.centers = weight, centers
+
+    def of(self, n: int, row: np.ndarray, place: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """The nearest center of each of n texts (see word_places), the first on ties; 0 without words that tell."""
+        out = np.zeros(n, np.int32)
+        kept, sizes, places, values = _scaled(n, row, place, logs, self.weight)
+        if len(kept) and len(self.centers):
+            out[kept] = _likeness(sizes, places, values, self.centers).argmax(1)
+        return out
+
+
+def _scaled(n: int, row: np.ndarray, place: np.ndarray, logs: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(rows with words that tell, number of places of each, places, values): unit vectors in steps of 1 / UNIT.
+
+    Values are whole numbers, so sums over texts are exact and the same in any order.
+    """
+    value = logs.astype(np.float64) * weight[place]
+    norm = np.sqrt(np.bincount(row, value * value, n))
+    value = np.rint(UNIT * value / np.maximum(norm[row], 1e-9)).astype("<u2")
+    told = value > 0
+    sizes = np.bincount(row[told], minlength=n)
+    kept = np.flatnonzero(sizes)
+    return kept, sizes[kept].astype("<u4"), place[told].astype("<u2"), value[told]
+
+
+def _likeness(sizes: np.ndarray, places: np.ndarray, values: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Cosines of scaled texts to the centers; each depends on its text and center alone, not on its neighbours."""
+    row, value = np.repeat(np.arange(len(sizes)), sizes), values.astype(np.float64) / UNIT
+    return np.stack([np.bincount(row, value * center[places], len(sizes)) for center in centers], 1)
+
+
+def _unit(sums: np.ndarray) -> np.ndarray:
+    return sums / np.maximum(np.linalg.norm(sums.astype(np.float64)), 1e-9)
+
+
+#: A pass over texts gives per partition some vectors of whole numbers by key, which are added up.
+SUMS, BLOCKS = "key int, body binary", "key int, body binary, sizes binary, places binary, logs binary"
+
+
+def _sums(df: DataFrame) -> dict[int, np.ndarray]:
+    """The sum of the vectors of each key; a few keys, one vector each reaches the driver."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(body, "<i8") for body in rows["body"])
+        return pd.DataFrame({"key": rows["key"].iloc[:1], "body": [total.tobytes()]})
+
+    found = df.select("key", "body").groupBy("key").applyInPandas(add, SUMS).collect()
+    return {r["key"]: np.frombuffer(r["body"], "<i8") for r in found}
+
+
+def _block(batch: pa.RecordBatch, i: int, logs: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("sizes", "<u4"), ("places", "<u2"), ("logs", logs)))
+
+
+def _blocks(docs: DataFrame, text_col: str) -> DataFrame:
+    """Key 0: places and logs of up to 512 texts with words; key 1: per partition, texts by place and at the end all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(PLACES + 1, np.int64)
+        for batch in lean(batches):
+            for lo, hi in _portions(batch.column(0)):
+                _, row, place, logs = word_places(batch.column(0).slice(lo, hi - lo))
+                held += np.append(np.bincount(place, minlength=PLACES), hi - lo)
+                sizes = np.bincount(row, minlength=hi - lo)
+                bodies = [sizes[sizes > 0].astype("<u4"), place.astype("<u2"), logs.astype("<f4")]
+                yield pa.RecordBatch.from_pylist([{"key": 0, "body": None, **{c: x.tobytes() for c, x in zip(("sizes", "places", "logs"), bodies)}}], kinds)
+        yield pa.RecordBatch.from_pylist([{"key": 1, "body": held.tobytes()}], kinds)
+
+    kinds = pa.schema([("key", pa.int32()), *((c, pa.binary()) for c in ("body", "sizes", "places", "logs"))])
+    return written(docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").mapInArrow(run, BLOCKS), "word-places")
+
+
+def _rescaled(blocks: DataFrame, weight: np.ndarray) -> DataFrame:
+    """The blocks as unit vectors in steps of 1 / UNIT (logs: these values); texts without words that tell are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lean(batches):
+            for i in range(batch.num_rows):
+                sizes, place, logs = _block(batch, i, "<f4")
+                _, sizes, place, values = _scaled(len(sizes), np.repeat(np.arange(len(sizes)), sizes), place, logs, weight)
+                if len(sizes):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (sizes, place, values)], names=["sizes", "places", "logs"])
+
+    whole = blocks.where("key = 0").select("sizes", "places", "logs")
+    return written(whole.mapInArrow(run, whole.schema), "topic-rows")
+
+
+def _next_center(rows: DataFrame, centers: np.ndarray) -> np.ndarray | None:
+    """One text of all, drawn in proportion to what it lacks of the nearest center (k-means++); None if none lacks anything.
+
+    The text with the least -log(u) / lack is drawn, u being a hash of its vector and the
+    number of centers: equal vectors are one, and the order of rows plays no part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in lean(batches):
+            for i in range(batch.num_rows):
+                sizes, places, values = _block(batch, i, "<u2")
+                begin = np.cumsum(sizes.astype(np.int64)) - sizes
+                lack = 1 - _likeness(sizes, places, values, centers).max(1) if len(centers) else np.ones(len(sizes))
+                own = np.add.reduceat(mix64(places.astype(np.uint64) << np.uint64(16) | values), begin)
+                own = mix64(own + np.uint64(len(centers) + 1))
+                clock = np.where(lack > LACK, -np.log((own + 1.0) / 2.0**64) / np.maximum(lack, LACK), np.inf)
+                k = int(np.lexsort((own, clock))[0])
+                if clock[k] < np.inf and (best is None or (clock[k], own[k]) < best[:2]):
+                    at = slice(begin[k], begin[k] + sizes[k])
+                    best = (clock[k], own[k], places[at].tobytes(), values[at].tobytes())
+        if best is not None:
+            yield pa.RecordBatch.from_pylist([{"clock": float(best[0]), "own": int(best[1].view(np.int64)), "places": best[2], "logs": best[3]}])
+
+    first = rows.mapInArrow(run, "clock double, own long, places binary, logs binary").orderBy("clock", "own").first()
+    if first is None:
+        return None
+    center = np.zeros(PLACES)
+    center[np.frombuffer(first["places"], "<u2")] = np.frombuffer(first["logs"], "<u2")
+    return _unit(center)
+
+
+def _round(rows: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, int]:
+    """One round of k-means over all rows: the new centers, and how like all texts were to the old ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, like = np.zeros((len(centers), PLACES), np.int64), 0
         for batch in lean(batches):
-            for lo, hi in _portions(batch.column(1)):
-                _, counts = word_counts(batch.column(1).slice(lo, hi - lo))
-                rows = [np.flatnonzero(c) for c in counts]
-                body = [x.astype("<u2").tobytes() + c[x].tobytes() for x, c in zip(rows, counts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(body, pa.binary())], names=["h", "body"])
+            for i in range(batch.num_rows):
+                sizes, places, values = _block(batch, i, "<u2")
+                found = _likeness(sizes, places, values, centers)
+                own = found.argmax(1)
+                like += int(np.rint(found.max(1) * UNIT).sum())
+                at = np.repeat(own, sizes) * PLACES + places
+                sums += np.bincount(at, values, sums.size).astype(np.int64).reshape(sums.shape)
+        bodies = [*(x.tobytes() for x in sums), np.array([like], "<i8").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(bodies)), pa.int32()), pa.array(bodies, pa.binary())], names=["key", "body"])
+
+    found = _sums(rows.mapInArrow(run, SUMS))
+    return np.stack([_unit(found[k]) if found[k].any() else centers[k] for k in range(len(centers))]), int(found[len(centers)][0])
+
 
-    sample = keyed.join(F.broadcast(few), "h").mapInArrow(run, "h long, body binary").groupBy("h").agg(F.max("body").alias("body")).orderBy("h").collect()
-    counts = np.zeros((len(sample), PLACES), np.float32)
-    for row, r in zip(counts, sample):
-        n = len(r["body"]) // 6
-        row[np.frombuffer(r["body"], "<u2", n)] = np.frombuffer(r["body"], "<f4", n, 2 * n)
-    return Topics(counts)
+def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS) -> Topics:
+    """Spherical k-means over all texts, each row once; rarity is counted over all of them too.
+
+    The texts' places are written once and every round reads them all: ROUNDS rounds, or
+    until texts are no longer more like their centers (GAIN). The driver holds the centers.
+    """
+    blocks = _blocks(docs, text_col)
+    counted = _sums(blocks.where("key = 1"))
+    held = counted.get(1, np.zeros(PLACES + 1, np.int64))
+    held, n = held[:-1], int(held[-1])
+    weight = np.where((held > 0) & (held <= COMMON_SHARE * n), np.log((1 + n) / (1 + held)), 0.0)
+    rows = _rescaled(blocks, weight)
+    centers = np.zeros((0, PLACES))
+    while len(centers) < topics and (center := _next_center(rows, centers)) is not None:
+        centers = np.vstack([centers, center])
+    before = 0
+    for _ in range(ROUNDS if len(centers) else 0):
+        centers, like = _round(rows, centers)
+        if like <= before * (1 + GAIN):
+            break
+        before = like
+    return Topics(weight, centers)
 
 
 def with_features(docs: DataFrame, text_col: str = "text", topic_col: str | None = None, topics: Topics | None = None) -> DataFrame:
@@ -148,8 +275,8 @@ def with_features(docs: DataFrame, text_col: str = "text", topic_col: str | None
                     _, begins, _, owner = word_runs(part.column(0))
                     words, topic = np.bincount(owner, minlength=hi - lo).astype(np.int64), part.column(1)
                 else:
-                    words, counts = word_counts(part.column(0))
-                    topic = pa.array(model.value.of(counts).astype(str))
+                    words, *places = word_places(part.column(0))
+                    topic = pa.array(model.value.of(hi - lo, *places).astype(str))
                 yield pa.RecordBatch.from_arrays([pa.array(words), topic, part.column(2)], names=["tokens", "topic", "row"])
 
     return packed.mapInArrow(run, schema)
@@ -275,7 +402,7 @@ def mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed:
     """Per row: doc_id, source, lang, topic, n_tokens, cell_share, keep_rate, sampled, margin_gap.
 
     topic_col names a column of docs with topics; without it they are clusters of word use,
-    fitted on a bounded sample and given to every row (fit_topics). Null sources and languages are values of their own. Texts without words have no tokens,
+    fitted on all texts and given to every row (fit_topics). Null sources and languages are values of their own. Texts without words have no tokens,
     are never wanted and never sampled. Rows that repeat an id share their draw. An empty
     table gives an empty result.
     """

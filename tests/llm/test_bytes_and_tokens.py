@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +234,25 @@ def test_topics_follow_the_words_of_a_text(spark):
     assert {r["topic"] for r in given.collect()} == {"0", "1"}
 
 
+def test_topics_are_fitted_on_all_texts(spark):
+    n = 4_600
+    df = spark.range(n).select("id", F.concat_ws(" ", F.lit("always"), F.concat(F.lit("theme"), F.col("id") % 4), F.concat(F.lit("once"), F.col("id"))).alias("text"))
+    one = mixing.fit_topics(df)
+    _, counts = mixing.word_counts(pa.array([r["text"] for r in df.collect()]))
+    held = (counts > 0).sum(0)
+    want = np.where((held > 0) & (held <= mixing.COMMON_SHARE * n), np.log((1 + n) / (1 + held)), 0)
+    assert np.allclose(one.weight, want, rtol=1e-6)
+    two = mixing.fit_topics(df.repartition(5))
+    assert np.array_equal(one.weight, two.weight) and np.array_equal(one.centers, two.centers)
+    # the centers are the means of their own texts, all of them
+    rows = counts * want
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    own = (rows @ one.centers.T).argmax(1)
+    for k, center in enumerate(one.centers):
+        mean = rows[own == k].sum(0)
+        assert mean @ center / np.linalg.norm(mean) > 0.99
+
+
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_raking_is_the_classic_sweep(spark, monkeypatch, most):
     import numpy as np
