@@ -10,30 +10,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcframe.llm.common import lean
-from arcframe.llm.fragments import Memo, forced_cuts, slices, split_rows, token_bytes
+from arcframe.llm.fragments import Coder, forced_cuts, kept_coder, slices, token_bytes
 
 
-#: Fragments in the younger half of a worker's memory: each holds ids and bytes.
-CODER_ROWS = 1 << 16
-
-
-def _fragment_coder(path: str) -> Memo:
-    """fragment -> (ids as 32-bit integers, bytes the ids decode to).
-
-    Made anew by each task: workers outlive a stage, and what they keep counts against the next ones.
-    """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+def _token_table(path: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(bytes of all tokens, begin and size of those of each id)."""
     bodies = token_bytes(path)
+    sizes = np.zeros(max(bodies) + 1, np.int64)
+    sizes[list(bodies)] = [len(b) for b in bodies.values()]
+    return b"".join([bodies.get(i, b"") for i in range(len(sizes))]), np.cumsum(sizes) - sizes, sizes
 
-    def make(fragment: bytes) -> tuple[bytes, bytes]:
-        ids = tokenizer.encode(fragment.decode(), add_special_tokens=False).ids
-        return np.array(ids, np.int32).tobytes(), b"".join([bodies[i] for i in ids])
 
-    return Memo(make, CODER_ROWS)
+def _decoded(ids: np.ndarray, edges: np.ndarray, table: tuple[bytes, np.ndarray, np.ndarray]) -> pa.Array:
+    """The text of each row of ids; bytes that are no UTF-8 are replaced."""
+    body, begin, size = np.frombuffer(table[0], np.uint8), table[1][ids], table[2][ids]
+    stop = np.cumsum(size)
+    flat = body[np.repeat(begin - stop + size, size) + np.arange(int(size.sum()))]
+    ends = np.append(0, stop)[edges].astype(np.int64)
+    texts = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+    try:
+        return texts.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([b.decode("utf-8", "replace") for b in texts.to_pylist()], pa.string())
 
 
 def _texts(column: pa.Array) -> pa.Array:
@@ -47,18 +45,14 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer, cut = Tokenizer.from_file(vocabulary), forced_cuts(vocabulary)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        memo = Memo(lambda f: tokenizer.encode(f.decode(), add_special_tokens=False).ids)
+        coder = Coder(vocabulary, cut)
         for batch in lean(batches):
             for lo, hi in slices(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
-                ids = [[i for f in row for i in memo[f]] for row in split_rows(_texts(part.column(1)), cut)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
+                ids, edges = coder.ids(_texts(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids))], names=[id_col, "ids"])
 
+    cut = forced_cuts(vocabulary)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
@@ -76,29 +70,25 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataF
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def coded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def coded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Per row: id_col, ids array<int>, text (decoded from these ids).
 
     Encodes and decodes each whole text in one pass over the table, without a shuffle; a
     worker holds the fragments of about 2 MB of text at a time. A null text is encoded
-    as an empty one.
+    as an empty one. With keep, workers hold their table of fragments between tasks; else each
+    task makes one anew: workers outlive a stage, and what they keep counts against the next ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, cut = _fragment_coder(vocabulary), forced_cuts(vocabulary)
+        coder = kept_coder(vocabulary, cut.tobytes()) if keep else Coder(vocabulary, cut)
         for batch in lean(batches):
             for lo, hi in slices(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
-                sizes, ids, texts = [], [], []
-                for row in split_rows(_texts(part.column(1)), cut):
-                    found = [memo[f] for f in row]
-                    sizes.append(sum(len(f) // 4 for f, _ in found))
-                    ids.append(b"".join([f for f, _ in found]))
-                    texts.append(b"".join([body for _, body in found]).decode("utf-8", "replace"))
-                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
+                ids, edges = coder.ids(_texts(part.column(1)))
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, _decoded(ids, edges, table)], names=[id_col, "ids", "text"])
 
+    cut, table = forced_cuts(vocabulary), _token_table(vocabulary)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, text string")
 
@@ -111,4 +101,4 @@ def digests(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of the ids and the decoded text of each row."""
-    return digests(coded(docs, vocabulary, id_col, text_col), id_col)
+    return digests(coded(docs, vocabulary, id_col, text_col, keep=True), id_col)

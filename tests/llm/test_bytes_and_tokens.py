@@ -134,6 +134,31 @@ def test_cuts_are_certain(name):
             assert not cut[codes[:-1], codes[1:]].any()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_fragments_are_encoded_once_and_held(texts, monkeypatch, name):
+    """Fragments are encoded once while the table has room (but for those that lose their place at once); small tables and pools forget and give the same ids."""
+    import random
+
+    path = vocabulary(name)
+    tokenizer = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgé漢\u00a0'1-") for _ in range(rng.randint(1, 22))) for _ in range(3000)]
+    texts = [t or "" for t in texts] + [rng.choice([" ", "  ", "\n", ", "]).join(rng.choices(words, k=400)) for _ in range(40)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for slots, pool in ((1 << 18, 1 << 22), (16, 1 << 22), (1 << 10, 2000)):
+        monkeypatch.setattr(fragments.Coder, "SLOTS", slots)
+        monkeypatch.setattr(fragments.Coder, "POOL", pool)
+        coder, calls = fragments.Coder(path, fragments.forced_cuts(path)), []
+        make = coder.make
+        coder.make = coder.long.make = lambda f: calls.append(f) or make(f)
+        for _ in range(3):
+            for lo in range(0, len(texts), 9):
+                ids, edges = coder.ids(pa.array(texts)[lo : lo + 9])
+                assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])] == want[lo : lo + 9]
+        if slots == 1 << 18:
+            assert len(calls) < 1.01 * len(set(calls))
+
+
 def test_bpe_is_the_library(docs):
     path = vocabulary("byte_bpe_50k.json")
     tokenizer = tokenizers.Tokenizer.from_file(path)
