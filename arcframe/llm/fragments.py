@@ -17,7 +17,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from arcframe.llm.common import HEAD, run_hashes, same_runs
+from arcframe.llm.common import HEAD
 
 WHITE = b" \t\n\r\x0b\x0c"
 #: Bytes of text whose fragments are held at once.
@@ -78,40 +78,6 @@ def _offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1]
 
 
-def coded_rows(column: pa.Array, cut: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(distinct fragments, number of each fragment in order, row of each fragment).
-
-    Fragments of a slice are told apart by a 64-bit hash, and those with equal hashes are
-    compared byte by byte; on a difference the bytes themselves are the keys.
-    """
-    offsets = _offsets(column).astype(np.int64)
-    base, end = int(offsets[0]), int(offsets[-1])
-    data = memoryview(column.buffers()[2])[base:end].tobytes() if end > base else b""
-    if not data:
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = np.frombuffer(data, np.uint8)
-    begins = np.zeros(len(codes), bool)
-    begins[1:] = cut[codes[:-1], codes[1:]]
-    rows = offsets - base
-    begins[rows[:-1][rows[:-1] < len(codes)]] = True
-    starts = np.flatnonzero(begins)
-    sizes = np.diff(np.append(starts, len(codes)))
-    hashes = run_hashes(codes, starts, sizes)
-    by = np.argsort(hashes)
-    fresh = np.append(True, np.diff(hashes[by]) != 0)
-    first, number = by[fresh], np.empty(len(by), np.int64)
-    number[by] = np.cumsum(fresh) - 1
-    row = np.searchsorted(rows, starts, "right") - 1
-    like = first[number]
-    later = np.flatnonzero(like != np.arange(len(like)))
-    if not np.array_equal(sizes[later], sizes[like[later]]) or not same_runs(codes, starts[later], starts[like[later]], sizes[later]):
-        table: dict[bytes, int] = {}
-        number = np.array([table.setdefault(data[a : a + n], len(table)) for a, n in zip(starts.tolist(), sizes.tolist())])
-        return list(table), number, row
-    lo, hi = starts[first].tolist(), (starts[first] + sizes[first]).tolist()
-    return [data[a:b] for a, b in zip(lo, hi)], number, row
-
-
 class Memo(dict):
     """fragment -> value; a miss calls make().
 

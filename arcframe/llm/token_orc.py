@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcframe.llm.common import new_folder, shuffle_width
-from arcframe.llm.fragments import Memo, coded_rows, forced_cuts, slices
+from arcframe.llm.fragments import Coder, forced_cuts, kept_coder, slices
 
 #: Bytes of text that a task encodes at once.
 SLICE_BYTES = 4 << 20
@@ -30,29 +29,10 @@ ORC_OPTIONS = {
 }
 
 
-@cache
-def _coder(path: str) -> tuple[Memo, np.ndarray]:
-    """fragment -> ids as little-endian bytes, and the cuts; kept by a worker between tasks."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return Memo(lambda f: np.array(tokenizer.encode(f.decode(), add_special_tokens=False).ids, "<i4").tobytes()), forced_cuts(path)
-
-
-def _encoded(column: pa.Array, memo: Memo, cut: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def _encoded(column: pa.Array, coder: Coder, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one behind the other, end_id after each, and the edges of the texts."""
-    distinct, number, row = coded_rows(column, cut)
-    bodies = [memo[f] for f in distinct]
-    flat = np.frombuffer(b"".join(bodies), "<i4")
-    each = np.array([len(b) for b in bodies], np.int64) // 4
-    size = each[number] if len(number) else np.zeros(0, np.int64)
-    begin = (np.cumsum(each) - each)[number] if len(number) else size
-    stop = np.cumsum(size)
-    ids = flat[np.repeat(begin - (stop - size), size) + np.arange(int(size.sum()))]
-    ends = np.cumsum(np.bincount(row, size, len(column)).astype(np.int64))
-    return np.insert(ids, ends, np.int32(end_id)), np.append(0, ends + np.arange(1, len(column) + 1))
+    ids, edges = coder.ids(column)
+    return np.insert(ids, edges[1:], np.int32(end_id)), edges + np.arange(len(edges))
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> None:
@@ -64,11 +44,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, cut = _coder(vocabulary)
+        coder = kept_coder(vocabulary, cut)
         shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, hi in slices(batch.column(1), SLICE_BYTES):
-                ids, edges = _encoded(batch.column(1).slice(lo, hi - lo), memo, cut, end_id)
+                ids, edges = _encoded(batch.column(1).slice(lo, hi - lo), coder, end_id)
                 sizes = np.diff(edges)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -82,6 +62,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
                 )
                 start += int(edges[-1])
 
+    cut = forced_cuts(vocabulary).tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     (
