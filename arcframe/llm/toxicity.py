@@ -13,8 +13,7 @@ composed as far as texts reach:
 * attack scores what is left, higher where a target stands near.
 
 A document's evidence is the sum over its clauses; a logistic curve turns it into a score.
-Insult stems and the curve are learned from a bounded sample of labelled rows
-(SAMPLE_ROWS); everything else is a fixed list.
+Insult stems and the curve are learned from all labelled rows; everything else is a fixed list.
 """
 
 from __future__ import annotations
@@ -32,8 +31,10 @@ from pyspark.sql import functions as F
 
 from arcframe.llm.common import lean, written
 
-#: Labelled rows that a fit uses at most, those with the smallest hash of their id.
-SAMPLE_ROWS = 16_000
+#: Labelled ids up to this number are broadcast to documents; beyond it they are joined by key.
+BROADCAST_LABELS = 1_000_000
+#: Steps of the evidence's logarithm that the curve tells apart, a unit; every row counts in its step.
+CURVE_STEPS = 1_024
 #: Stems that a fit keeps at most, those with the largest odds times toxic documents.
 STEM_ROWS = 4_000
 #: Learned stems need this many toxic documents, this share of them and this log-odds ratio.
@@ -263,6 +264,20 @@ def _texts(column: pa.Array) -> Iterator[str]:
         yield from (t or "" for t in column.slice(lo, SLICE_ROWS).to_pylist())
 
 
+class Stems(dict):
+    """word of four letters or more -> its stems, filled as words are met."""
+
+    LIMIT = 1 << 16
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        low = word.lower()
+        whole = (low,) if len(low) <= WHOLE_CHARS else ()
+        self[word] = found = (*whole, *(low[:n] + "*" for n in PREFIXES if len(low) >= n))
+        return found
+
+
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, label, half) -> documents that hold each stem by half and label, summed over parts of the task."""
 
@@ -274,14 +289,12 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.array([c for _, c in part], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part]), *(pa.array(counts[:, i]) for i in range(4))], names=["stem", *CELLS])
 
-    both = defaultdict(lambda: [0, 0, 0, 0])
+    both, known = defaultdict(lambda: [0, 0, 0, 0]), Stems()
     for batch in lean(batches):
         for text, label, half in zip(_texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             cell = 2 * half + label
             both[""][cell] += 1
-            words = {w.lower() for w in TOKEN.findall(text) if len(w) >= 4}
-            stems = {w for w in words if len(w) <= WHOLE_CHARS} | {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n}
-            for stem in stems:
+            for stem in {s for w in set(TOKEN.findall(text)) if len(w) >= 4 for s in known[w]}:
                 both[stem][cell] += 1
             if len(both) >= HELD_STEMS:
                 yield from counted()
@@ -292,7 +305,7 @@ CELLS = ("clean0", "toxic0", "clean1", "toxic1")
 
 
 def _picked(counts: DataFrame, halves: tuple[int, ...]) -> dict[str, float]:
-    """Weights of the stems that stand out in these halves of the sample: STEM_ROWS at most."""
+    """Weights of the stems that stand out in these halves of the rows: STEM_ROWS at most."""
     toxic, clean = (sum(F.col(f"{kind}{h}") for h in halves) for kind in ("toxic", "clean"))
     sums = counts.select("stem", toxic.alias("toxic"), clean.alias("clean"))
     total = sums.where("stem = ''").first()
@@ -318,44 +331,45 @@ def _with_stems(stems: dict[str, float]) -> Grammar:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Grammar:
-    """Stems and curve from labelled (distinct texts), which holds SAMPLE_ROWS rows at most.
+    """Stems and curve from all rows of labelled.
 
-    A text with both labels counts as toxic.
+    Equal texts count once; a text with both labels counts as toxic.
 
-    The curve is fitted to evidence that the stems of the other half of the sample give;
+    The curve is fitted to evidence that the stems of the other half of the rows give;
     the stems kept are those of both halves. Rows without a label or text are left out.
-    With no toxic row the fixed list stays.
+    With no toxic row the fixed list stays. The driver gets counts by step of evidence.
     """
     half = F.pmod(F.shiftright(F.xxhash64(F.col(id_col).cast("string")), 7), F.lit(2)).cast("int")
-    sample = written(
+    rows = written(
         labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
         .select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), half.alias("half"))
         .groupBy("text")
         .agg(F.max("label").alias("label"), F.min("half").alias("half")),
-        "toxicity-sample",
+        "toxicity-rows",
     )
-    counts = sample.mapInArrow(_stem_counts, "stem string, " + ", ".join(f"{c} long" for c in CELLS))
+    counts = rows.mapInArrow(_stem_counts, "stem string, " + ", ".join(f"{c} long" for c in CELLS))
     counts = counts.groupBy("stem").agg(*(F.sum(c).alias(c) for c in CELLS))
     counts = written(counts.where(f"toxic0 + toxic1 >= {LEAST_DOCS} or stem = ''"), "toxicity-stems")
     grammar = _with_stems(_picked(counts, (0, 1)))
     pairs = []
     for learned, judged in ((0, 1), (1, 0)):
         other = _with_stems(_picked(counts, (learned,)))
-        pairs.append(sample.where(F.col("half") == judged).select("text", "label").mapInArrow(_evidence_map(other, 1), "x double, label int"))
-    points = pairs[0].unionByName(pairs[1]).toPandas()
+        pairs.append(rows.where(F.col("half") == judged).select("text", "label").mapInArrow(_evidence_map(other, 1), "x double, label int"))
+    step = F.round(F.log1p("x") * CURVE_STEPS).cast("long").alias("step")
+    points = pairs[0].unionByName(pairs[1]).groupBy(step, "label").count().toPandas().sort_values(["step", "label"])
     if points["label"].nunique() == 2:
-        grammar.slope, grammar.bias = logistic(np.log1p(points["x"].to_numpy()), points["label"].to_numpy())
+        grammar.slope, grammar.bias = logistic(points["step"].to_numpy() / CURVE_STEPS, points["label"].to_numpy(), points["count"].to_numpy())
     return grammar
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and bias of a one-feature logistic regression (Newton steps, slope kept positive)."""
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """Slope and bias of a one-feature logistic regression over n rows of each point (Newton steps, slope kept positive)."""
     a = np.stack([x, np.ones_like(x)], 1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        gradient = a.T @ (p - y) + ridge * w
-        hessian = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
+        gradient = a.T @ (n * (p - y)) + ridge * w
+        hessian = (a * (n * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
         w -= np.linalg.solve(hessian, gradient)
     return max(float(w[0]), 0.1), float(w[1])
 
@@ -413,22 +427,19 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Grammar:
-    """A grammar from the labelled documents that are not held out.
+    """A grammar from all labelled documents that are not held out.
 
-    The labels' rows are cut to SAMPLE_ROWS (smallest hash of the id) before the join, so the
-    broadcast side is bounded; an id with both labels is toxic. Of documents that repeat an
-    id the text with the smallest hash counts, so the sample has SAMPLE_ROWS rows at most.
+    An id with both labels is toxic. Of documents that repeat an id the text with the smallest
+    hash counts; texts are shuffled for that only where an id does repeat.
     """
-    few = (
-        labels.where(~held_out() & F.col("toxic").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-        .limit(SAMPLE_ROWS)
-    )
-    joined = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text is not null")
-    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
-    return fit(joined.groupBy("doc_id").agg(one["text"].alias("text"), F.max("toxic").alias("toxic")))
+    marked = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = written(marked, "labelled-ids")
+    side = F.broadcast(marked) if marked.count() <= BROADCAST_LABELS else marked
+    joined = docs.select("doc_id", "text").where("text is not null").join(side, "doc_id")
+    if not joined.groupBy("doc_id").count().where("count > 1").isEmpty():
+        one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+        joined = joined.groupBy("doc_id").agg(one["text"].alias("text"), F.max("toxic").alias("toxic"))
+    return fit(joined)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -114,6 +114,18 @@ def test_held_out_accuracy(spark):
     assert judged["score"].between(0, 1).all()
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_every_labelled_row_is_learned_from(spark, monkeypatch, bound):
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", bound, raising=False)
+    rows = spark.range(22_000).withColumnRenamed("id", "doc_id").where(~toxicity.held_out())
+    last = rows.orderBy(F.desc(F.xxhash64(F.col("doc_id").cast("string")))).limit(1_000).withColumn("toxic", F.lit(1))
+    labels = rows.join(last, "doc_id", "left").select("doc_id", F.coalesce("toxic", F.lit(0)).alias("toxic")).localCheckpoint()
+    assert labels.count() > 17_000
+    word = F.when(F.col("toxic") == 1, "zorgblat").otherwise("plain")
+    grammar = toxicity.fitted(labels.select("doc_id", F.concat(word, F.lit(" line "), "doc_id").alias("text")), labels)
+    assert grammar.stems.get("zorgblat", 0) > 2 and "plain" not in grammar.stems
+
+
 def test_scores_of_odd_rows(spark, docs, nothing):
     labels = spark.createDataFrame([(i, i % 2, 1) for i in range(10)], "doc_id long, toxic int, quality int")
     none = labels.limit(0)
