@@ -105,14 +105,14 @@ class Coder:
     """Ids of whole texts, fragment by fragment, with a bounded memory of short fragments.
 
     Fragments of up to 16 bytes are two words of 8 bytes and a length, and are looked up all at
-    once in a table of SLOTS places with two ways each: equal bytes are equal keys. A miss is
+    once in a table of `slots` places with two ways each: equal bytes are equal keys. A miss is
     encoded and takes the first way of its place, what was there moves to the second. Longer
     fragments go through a Memo. Ids lie in a pool; when it is full, the table begins anew.
     """
 
     SLOTS, POOL = 1 << 18, 1 << 22
 
-    def __init__(self, path: str, cut: np.ndarray):
+    def __init__(self, path: str, cut: np.ndarray, slots: int | None = None):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -120,7 +120,7 @@ class Coder:
         tokenizer.no_padding()
         self.make = lambda f: tokenizer.encode(f.decode(), add_special_tokens=False).ids
         self.cut, self.long = cut.reshape(-1), Memo(self.make, 1 << 13)
-        self.ways = [[np.zeros(self.SLOTS, t) for t in ("<u8", "<u8", "u1", "<i4", "u1")] for _ in range(2)]
+        self.ways = [[np.zeros(slots or self.SLOTS, t) for t in ("<u8", "<u8", "u1", "<i4", "u1")] for _ in range(2)]
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
     def _hold(self, ids: np.ndarray, at: int) -> None:
@@ -148,7 +148,7 @@ class Coder:
         two = np.where(sizes > 8, wide[starts + 8] & HEAD[np.clip(sizes - 8, 0, 8)], np.uint64(0))
         with np.errstate(over="ignore"):
             slot = (one * np.uint64(0x9E3779B97F4A7C15) ^ two * np.uint64(0xD6E8FEB86659FD93)) + sizes.astype(np.uint64)
-            slot = (slot ^ slot >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - (self.SLOTS - 1).bit_length())
+            slot = (slot ^ slot >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - (len(self.ways[0][0]) - 1).bit_length())
         slot = slot.astype(np.int64)
         begin, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         left = np.flatnonzero(sizes <= 16)
@@ -189,6 +189,6 @@ class Coder:
 
 
 @cache
-def kept_coder(path: str, cut: bytes) -> Coder:
+def kept_coder(path: str, cut: bytes, slots: int | None = None) -> Coder:
     """A coder that a worker keeps between tasks."""
-    return Coder(path, np.frombuffer(cut, bool))
+    return Coder(path, np.frombuffer(cut, bool), slots)

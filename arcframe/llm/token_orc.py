@@ -21,6 +21,8 @@ from arcframe.llm.fragments import Coder, forced_cuts, kept_coder, slices
 
 #: Bytes of text that a task encodes at once.
 SLICE_BYTES = 4 << 20
+#: Places of a worker's table of fragments (two fragments of 22 bytes each); it is kept, so rare words are encoded once.
+SLOTS = 1 << 20
 ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
     "orc.stripe.size": str(64 << 20),
@@ -44,7 +46,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = kept_coder(vocabulary, cut)
+        coder = kept_coder(vocabulary, cut, SLOTS)
         shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, hi in slices(batch.column(1), SLICE_BYTES):
