@@ -82,17 +82,6 @@ def _sender(bits: int, owner_bits: int):
     return run
 
 
-def _owner(runs: pd.DataFrame) -> pd.DataFrame:
-    """Bitmaps over the runs that one owner received."""
-    values = [golomb.decode(b, n, k) for b, n, k in zip(runs["body"], runs["n"], runs["k"])]
-    twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=n).astype(bool) for t, n in zip(runs["twice"], runs["n"])]
-    both = np.concatenate(values)
-    _, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
-    seen = (counts[inverse] > 1) | np.concatenate(twice)
-    cuts = np.cumsum(runs["n"].to_numpy())[:-1]
-    return runs.assign(k=0, body=b"", twice=[np.packbits(x).tobytes() for x in np.split(seen, cuts)])
-
-
 def _receiver(rows: pd.DataFrame) -> pd.DataFrame:
     """The marks of one block: 31 bits of the fingerprint, then the duplicate bit."""
     own = rows[rows["owner"] < 0].iloc[0]
@@ -125,7 +114,7 @@ def _marks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]
     sent = written(
         _keyed(docs, id_col, text_col, []).select("__af_row", "__af_print").mapInArrow(_sender(bits, owner_bits), SENT), "fingerprints"
     )
-    answers = sent.where("owner >= 0").groupBy("owner").applyInPandas(_owner, ANSWER)
+    answers = sent.where("owner >= 0").groupBy("owner").applyInPandas(golomb.answered, ANSWER)
     marks = sent.where("owner < 0").unionByName(answers).groupBy("block").applyInPandas(_receiver, MARKS)
     return written(marks, "marks"), rows
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 
 def rice_parameter(span: int, count: int) -> int:
@@ -40,3 +41,14 @@ def decode(blob: bytes, count: int, k: int) -> np.ndarray:
     remainder = rest @ (1 << np.arange(k - 1, -1, -1, dtype=np.int64)) if k else 0
     return np.cumsum((quotient << k) + remainder + 1) - 1
 
+
+
+def answered(runs: pd.DataFrame) -> pd.DataFrame:
+    """Bitmaps over the runs (n, k, body of encode(), bits `twice`) that one owner received: values met more than once."""
+    values = [decode(b, n, k) for b, n, k in zip(runs["body"], runs["n"], runs["k"])]
+    twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=n).astype(bool) for t, n in zip(runs["twice"], runs["n"])]
+    both = np.concatenate(values)
+    _, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
+    seen = (counts[inverse] > 1) | np.concatenate(twice)
+    cuts = np.cumsum(runs["n"].to_numpy())[:-1]
+    return runs.assign(k=0, body=b"", twice=[np.packbits(x).tobytes() for x in np.split(seen, cuts)])

@@ -2,20 +2,25 @@
 
 1. Sets are reduced to classes: texts with equal shingle sets are one member from here on,
    however many copies there are.
-2. All shingles are dealt by their hash to owners, packed by slices of the sets. Owners count
+2. Of each class the shingles below SKETCH (three eighths of all) go to owners as Rice-coded
+   fingerprints, and bitmaps come back: which of them occur elsewhere. A set that links lacks a
+   quarter of its shingles at most, so one that misses more of these has no link and is done.
+   Wrong matches of fingerprints only keep sets that could have gone. The other classes are
+   told by a bitmap of their numbers, CLASS_BITS at most.
+3. All shingles of these classes are dealt by their hash to owners, packed by slices of the sets. Owners count
    the classes that hold a shingle and send back those that two or more hold. That gives one
    global order: the binary magnitude of the count, then the hash; shingles of one class
    come first and need not be named. A table of at most 64 magnitudes cuts the order into
    FRAGMENTS ranges of equal size.
-3. Linked sets share a shingle of their prefixes in that order. The least class that holds a
+4. Linked sets share a shingle of their prefixes in that order. The least class that holds a
    shingle in its prefix leads it, and all sets of the shingle join the group of that leader:
    a family of near copies shares dozens of prefix shingles, but few leaders, so each set
    joins few groups and two linked sets have a group in common. No pair is made here.
-4. Groups are cut into blocks, and every pair of blocks is a unit of bounded size. Each
+5. Groups are cut into blocks, and every pair of blocks is a unit of bounded size. Each
    (unit, fragment) counts the partial overlaps of its sets apart from all others and gives
    one matrix of counts; the matrices of a unit are summed per pair, which tests the Jaccard
    bound exactly.
-5. A pair with several common groups counts in that of the least leader. Units return the
+6. A pair with several common groups counts in that of the least leader. Units return the
    number of links of each set and a forest of what they connect, or, on demand, every pair.
 
 Shingles are 64-bit hashes; counts are exact for them.
@@ -29,9 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcframe.llm import golomb
 from arcframe.llm.common import fresh_name, lean, lean_group, lean_pair, shuffle_width, written
 from arcframe.llm.components import connected_components
 from arcframe.llm.fragments import slices
@@ -55,6 +62,14 @@ UNIT_TOKENS, UNIT_PAIRS = 1 << 21, 1 << 22
 #: Work of one step of a count in a unit: pairs that meet in a shingle, and shingles of a product of matrices.
 STEP_PAIRS, STEP_TOKENS = 1 << 20, 512
 
+#: Ids of rows that go up to this number are broadcast to documents; beyond it they are joined by key.
+BROADCAST_IDS = 1_000_000
+#: Shingles whose hash is below it are sketched; bits of a fingerprint beyond those that number the shingles.
+SKETCH, SPARE_BITS = np.uint64(3 << 61), 8
+#: Bits of the map of classes that may have links: 16 a class, 2 to this power at most.
+CLASS_BITS = 29
+
+SKETCHED = "pack long, owner int, n int, k int, body binary, twice binary"
 FACTS = "kind int, id {kind}, n long, class long, high long"
 SENT = "owner int, n_sets int, body binary"
 BACK = "home int, n_sets int, body binary, magnitude int, entries long"
@@ -159,8 +174,110 @@ def _unpack(n_sets, bodies, more: int) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*out)]
 
 
-def _sets(hot, moved: dict[tuple[int, int], int], owners: int, width: int):
-    """(text) -> whole sets by owner of their shingles, packed; a class once in a pack."""
+def _sketches(moved: dict[tuple[int, int], int], bits: int, owner_bits: int, width: int):
+    """(text) -> per pack of sets: owner -1: their classes, sizes, and the set of each sketched shingle in the order of
+    fingerprints (twice: where a new one begins); other owners: fingerprints, and which of them two sets of the pack hold."""
+    rest = bits - owner_bits
+
+    def pack(number: int, sets: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        sizes, tokens = zip(*sets.values())
+        values = (np.concatenate(tokens) >> np.uint64(64 - bits)).astype(np.int64)
+        by = np.argsort(values, kind="stable")
+        values, local = values[by], np.repeat(np.arange(len(sets)), [len(t) for t in tokens])[by]
+        fresh = np.append(True, values[1:] != values[:-1])[: len(values)]
+        begin = np.flatnonzero(fresh)
+        values, count = values[begin], np.diff(np.append(begin, len(values)))
+        body = np.array(list(sets), "<i8").tobytes() + np.array(sizes, "<i4").tobytes() + local.astype("<u2").tobytes()
+        rows = [(number, -1, len(sets), 0, body, np.packbits(fresh).tobytes())]
+        cuts = np.flatnonzero(np.diff(values >> rest)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(values)]) if len(values) else ():
+            o, k = int(values[lo]) >> rest, golomb.rice_parameter(1 << rest, hi - lo)
+            rows.append((number, o, hi - lo, k, golomb.encode(values[lo:hi] - (o << rest), k), np.packbits(count[lo:hi] > 1).tobytes()))
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["pack", "owner", "n", "k", "body", "twice"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, sets, held = TaskContext.get().partitionId() << 32, {}, 0
+        for batch in lean(batches):
+            for lo, hi in slices(batch.column(0)):
+                for tokens in shingle_sets(batch.column(0).slice(lo, hi - lo), width):
+                    if len(tokens):
+                        pair = _digest(tokens)
+                        own = moved.get(pair, pair[0])
+                        if own not in sets:
+                            sets[own] = (len(tokens), tokens[: np.searchsorted(tokens, SKETCH)].copy())
+                            held += len(sets[own][1])
+                    if len(sets) >= PACK_SETS or held >= PACK_SHINGLES:
+                        yield pack(number, sets)
+                        number, sets, held = number + 1, {}, 0
+        if sets:
+            yield pack(number, sets)
+
+    return run
+
+
+def _hopeful(percent: int):
+    """Sets and answers of one pack -> class and size of each set that meets enough others to have a link."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows[rows["owner"] < 0].iloc[0]
+        answers = rows[rows["owner"] >= 0].sort_values("owner")
+        m, body = int(own["n"]), own["body"]
+        classes, sizes = np.frombuffer(body, "<i8", m), np.frombuffer(body, "<i4", m, 8 * m).astype(np.int64)
+        local = np.frombuffer(body, "<u2", -1, 12 * m) if len(body) > 12 * m else np.zeros(0, "<u2")
+        met = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(t, np.uint8), count=n) for t, n in zip(answers["twice"], answers["n"]))])
+        fresh = np.unpackbits(np.frombuffer(own["twice"], np.uint8), count=len(local))
+        missed = np.bincount(local[met[np.cumsum(fresh, dtype=np.int64) - 1] == 0], minlength=m)
+        keep = missed <= sizes - -(-sizes * percent // 100)
+        return pd.DataFrame({"class": classes[keep], "n": sizes[keep]})
+
+    return run
+
+
+class Marked:
+    """A bitmap of class numbers by their first bits; numbers that are not in it may be held as well."""
+
+    def __init__(self, bits: int, body: bytes):
+        self.shift, self.body = 64 - bits, body
+
+    def holds(self, own: int) -> bool:
+        at = (own & 0xFFFFFFFFFFFFFFFF) >> self.shift
+        return bool(self.body[at >> 3] >> (7 - (at & 7)) & 1)
+
+
+def _marked(classes: DataFrame, count: int) -> Marked:
+    """The map of these classes: each part of it is one task's, the driver gets 2 ** CLASS_BITS bits at most."""
+    bits = min(CLASS_BITS, max(16, count.bit_length() + 4))
+    part = min(10, bits - 13)
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        at = rows["class"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)
+        flags = np.zeros(1 << (bits - part), bool)
+        flags[(at & np.uint64(len(flags) - 1)).astype(np.int64)] = True
+        return pd.DataFrame({"part": [int(at[0]) >> (bits - part)], "body": [np.packbits(flags).tobytes()]})
+
+    keyed = classes.select("class", F.shiftrightunsigned("class", 64 - part).alias("part")).distinct()
+    body, step = bytearray(1 << (bits - 3)), 1 << (bits - part - 3)
+    for row in keyed.groupBy("part").applyInPandas(fill, "part long, body binary").collect():
+        body[row["part"] * step : (row["part"] + 1) * step] = row["body"]
+    return Marked(bits, bytes(body))
+
+
+def _linkable(texts: DataFrame, moved: dict[tuple[int, int], int], total: int, percent: int, width: int) -> tuple[Marked, int]:
+    """(the map of classes that may have links, shingles of their sets); total: shingles of all sets."""
+    owners = max(2, shuffle_width(texts.sparkSession), total // OWNER_ROWS)
+    owner_bits = (owners - 1).bit_length()
+    bits = min(60, max(total.bit_length() + SPARE_BITS, owner_bits + 1))
+    sent = written(texts.select("text").mapInArrow(_sketches(moved, bits, owner_bits, width), SKETCHED), "sketches")
+    answers = sent.where("owner >= 0").groupBy("owner").applyInPandas(lean_group(golomb.answered), SKETCHED)
+    found = sent.where("owner < 0").unionByName(answers).groupBy("pack").applyInPandas(lean_group(_hopeful(percent)), "class long, n long")
+    found = written(found, "linkable")
+    sums = found.agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("n")).first()
+    return _marked(found, sums["sets"]), sums["n"] or 0
+
+
+def _sets(hot, marked, moved: dict[tuple[int, int], int], owners: int, width: int):
+    """(text) -> whole sets of marked classes by owner of their shingles, packed; a class once in a pack."""
 
     def pack(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
         each = [len(t) for t in sets.values()]
@@ -186,7 +303,7 @@ def _sets(hot, moved: dict[tuple[int, int], int], owners: int, width: int):
                     if len(tokens):
                         pair = _digest(tokens)
                         own = moved.get(pair, pair[0])
-                        if own not in sets:
+                        if own not in sets and marked.value.holds(own):
                             sets[own] = tokens
                             held += len(tokens)
                     if len(sets) >= PACK_SETS or held >= PACK_SHINGLES:
@@ -424,9 +541,11 @@ def _join(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int,
     facts, classes, moved = _numbered(written(texts.mapInArrow(_facts(width), FACTS.format(kind=kind)), "shingle-facts"))
     hot = spark.sparkContext.broadcast(hot_shingles(facts))
     total = facts.where("kind = 0").agg(F.sum("n")).first()[0] or 0
+    marked, total = _linkable(texts, moved, total, percent, width)
+    marked = spark.sparkContext.broadcast(marked)
     owners = max(2, shuffle_width(spark), total // OWNER_ROWS)
     owners = 1 << (owners - 1).bit_length()
-    sent = texts.select("text").mapInArrow(_sets(hot, moved, owners, width), SENT)
+    sent = texts.select("text").mapInArrow(_sets(hot, marked, moved, owners, width), SENT)
     back = written(sent.groupBy("owner").applyInPandas(lean_group(_shared(hot, owners)), BACK), "shared-shingles")
     cuts = Cuts(dict(back.where("home is null").groupBy("magnitude").agg(F.sum("entries")).collect()))
     reduced = written(back.where("home is not null").groupBy("home").applyInPandas(lean_group(_reduced(cuts, percent)), REDUCED), "reduced-sets")
@@ -496,8 +615,13 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component stays, the one with the smallest id; columns as they were."""
-    name = fresh_name(docs, "__af_keep")
-    found = near_duplicate_components(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    keep = written(found.select(F.col(id_col).alias(name)).distinct(), "kept-ids")
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+    """One row of each component stays, the one with the smallest id; columns as they were.
+
+    The ids that go (of rows that repeat an id, none stays) meet the texts: up to BROADCAST_IDS without a shuffle of these.
+    """
+    name = fresh_name(docs, "__af_gone")
+    stays = F.max(F.col(id_col).eqNullSafe(F.col("component_id")))
+    found = near_duplicate_components(docs, id_col, text_col).groupBy(F.col(id_col).alias(name)).agg(stays.alias("stays"))
+    gone = written(found.where("not stays").select(name), "gone-ids")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

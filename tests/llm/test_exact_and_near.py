@@ -139,6 +139,22 @@ def test_sets_that_share_a_class_number_are_told_apart(spark, monkeypatch):
     assert as_rows(found, "doc_id", "n_shingles", "component_id") == near_reference(rows)
 
 
+@pytest.mark.parametrize("pack", [60_000, 3])
+def test_sketches_keep_every_linked_set_and_few_others(spark, monkeypatch, pack):
+    monkeypatch.setattr(ngram_join, "PACK_SETS", pack)
+    rng = random.Random(pack)
+    alone = [" ".join(str(rng.randrange(10**6)) for _ in range(120)) for _ in range(60)]
+    near = [t for _, t in family(spark, 20, 8)]
+    linked = {t for i, j, *_ in pair_reference(list(enumerate(near))) for t in (near[i], near[j])}
+    few = ["one", "one two three four five", "one two three four five six"]
+    texts = spark.createDataFrame([(t,) for t in alone + near + few], "text string").repartition(4)
+    sets = {t: next(iter(ngram_join.shingle_sets(ngram_join.pa.array([t])))) for t in {*alone, *near, *few}}
+    marked, total = ngram_join._linkable(texts, {}, sum(map(len, sets.values())), 75, 5)
+    held = {t for t, own in sets.items() if marked.holds(ngram_join._digest(own)[0])}
+    assert linked and linked <= held
+    assert len(held & set(alone)) <= 3 and total < sum(len(sets[t]) for t in [*near, *few]) + 400
+
+
 def swapped(n, i, j, fill):
     """Two runs of n letters that differ in the order of four letters, two by two 256 apart."""
     one, two = [fill] * n, [fill] * n
@@ -182,6 +198,17 @@ def test_one_row_of_each_component_stays(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == keep
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_only_ids_that_go_meet_the_texts(spark, monkeypatch, bound):
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", bound, raising=False)
+    text = "a b c d e f g h i j"
+    rows = [(1, text), (2, text), (2, "other words"), (3, text), (None, text), (None, "last"), (4, None)]
+    kept = ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and ("broadcast" in plan) == (bound > 0)
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], *rows[1:3], *rows[4:]], key=repr)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (300, 300), (200, 100)]
     found = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
