@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcframe.llm.common import lean
-from arcframe.llm.fragments import Coder, forced_cuts, kept_coder, slices, token_bytes
+from arcframe.llm.fragments import SLICE_BYTES, Coder, forced_cuts, kept_coder, slices, token_bytes
 
 
 def _token_table(path: str) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -74,7 +74,7 @@ def coded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     """Per row: id_col, ids array<int>, text (decoded from these ids).
 
     Encodes and decodes each whole text in one pass over the table, without a shuffle; a
-    worker holds the fragments of about 2 MB of text at a time. A null text is encoded
+    worker holds the fragments of 1 MB of text at a time, of 2 MB with keep. A null text is encoded
     as an empty one. With keep, workers hold their table of fragments between tasks; else each
     task makes one anew: workers outlive a stage, and what they keep counts against the next ones.
     """
@@ -82,12 +82,13 @@ def coded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = kept_coder(vocabulary, cut.tobytes()) if keep else Coder(vocabulary, cut)
         for batch in lean(batches):
-            for lo, hi in slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1), size):
                 part = batch.slice(lo, hi - lo)
                 ids, edges = coder.ids(_texts(part.column(1)))
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, _decoded(ids, edges, table)], names=[id_col, "ids", "text"])
 
+    size = SLICE_BYTES if keep else SLICE_BYTES // 2
     cut, table = forced_cuts(vocabulary), _token_table(vocabulary)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, text string")

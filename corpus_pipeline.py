@@ -24,21 +24,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arcframe.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from arcframe.llm.catalog import vocabulary
-from arcframe.llm.common import read_table, written
+from arcframe.llm.common import read_table, text_batches, written
 
 
+@text_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
+@text_batches
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+@text_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.drop_near_duplicates(docs)
 
 
+@text_batches
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.sample_mixture(docs)
 
@@ -48,6 +52,7 @@ def tokens(docs: DataFrame) -> DataFrame:
     return written(bpe.coded(docs, vocabulary("byte_bpe_50k.json")), "tokens")
 
 
+@text_batches
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(tokens(docs))
 
@@ -71,6 +76,7 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+@text_batches
 def run_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents: ids and decoded text of every row that is left."""
     return tokens(_mixed(spark, sf_dir))

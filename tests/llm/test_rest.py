@@ -200,6 +200,21 @@ def test_pipeline_stages(spark, docs, nothing):
         assert stage(spark, nothing, SF).count() == 0, name
 
 
+@pytest.mark.parametrize("rows,want", [("10000", 2_048), ("0", 2_048), ("500", 500)])
+def test_pipeline_stages_bound_the_rows_of_a_batch(spark, docs, rows, want):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for _, stage in corpus_pipeline.STAGES[1:3]:
+            spark.conf.set(key, rows)
+            stage(spark, docs, SF)
+            assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 
