@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arcframe.llm import bpe, divergence, exact_dedup, media, mixing, ngram_join, recurrent_lm, repeats, sharding, spelling, token_orc, toxicity, warc_index
-from arcframe.llm.common import read_table
+from arcframe.llm.common import read_table, text_batches
 
 
 def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,7 @@ def op11_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+@text_batches
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(read_table(spark, sf_dir, "documents"))
 

@@ -135,6 +135,63 @@ def test_divergence_matches_brute_force(spark, block, tile):
     assert divergence.divergence(df.limit(0)).count() == 0
 
 
+def test_divergence_moves_packed_counts(spark):
+    """Its tables have rows by tasks, owners and groups, not one for each group and term; more owners make no more sums of pairs."""
+    from pathlib import Path
+
+    from arcframe.session import shared_dir
+
+    rng = random.Random(3)
+    usual = [f"{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    rare = lambda i: "".join(chr(97 + int(c)) for c in f"{i:09d}")
+    rows = [(" ".join([*rng.sample(usual, 20), *(rare(100 * i + j) for j in range(50))]), "en", f"s{i % 6}") for i in range(120)]
+    df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(2)
+    folder, width = Path(shared_dir(spark).removeprefix("file://")), spark.conf.get("spark.sql.shuffle.partitions")
+    before = set(folder.glob("arcframe-*"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        got = divergence.divergence(df)
+        assert sorted(tuple(r) for r in got.select("lang", "source", "part", "item", "value", "rank").collect()) == brute_divergence(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    made = {p.name.split("-")[1]: spark.read.parquet(str(p)) for p in set(folder.glob("arcframe-*")) - before}
+    assert made["terms"].count() <= 2 * (32 + 6)
+    assert made["partial"].where("part = 'pair'").count() == 15
+
+
+def test_counts_of_slices_and_rounds_match_regex(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abYZéÀ漢🙂") for _ in range(rng.randint(1, 9))) for _ in range(50)] + ["x" * 300, "x" * 299 + "y"]
+    texts = ["".join(rng.choice([*words, " ", "-", "3", "\x00"]) for _ in range(rng.randint(0, 40))) for _ in range(120)] + ["", "end", "", "start", ""]
+    group = np.array([rng.randrange(3) for _ in texts])
+    names = [("en", "a"), ("en", "b"), ("de", "a")]
+    want, docs = Counter(), Counter()
+    for text, g in zip(texts, group):
+        found = Counter(t.translate(UP) for t in re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text))
+        want.update({(*names[g], t): n for t, n in found.items()})
+        docs.update((names[g][0], t) for t in found)
+    held = [divergence.counted(pa.array([t.encode() for t in texts], pa.large_binary()).slice(lo, 40), group[lo : lo + 40]) for lo in range(0, len(texts), 40)]
+    pieces = list(divergence.pieces_of(held, names, 3))
+    assert sum(p["counts"] for p in pieces) == len(want)
+    for counts in (1 << 22, 7):
+        monkeypatch.setattr(divergence, "ROUND_COUNTS", counts)
+        got, blocks = {}, {}
+        for owner in range(3):
+            for row in divergence.kept_counts(pa.Table.from_pylist([p for p in pieces if p["owner"] == owner]), 3, 4):
+                body = divergence.unpacked(row["body"])
+                terms = [t.decode() for t in body.column("term").to_pylist()]
+                assert terms == sorted(terms, key=str.encode) and row["total"] == sum(body.column("n").to_pylist())
+                assert max(body.column("col").to_pylist()) < row["width"] <= 4
+                got |= {(row["lang"], row["source"], t): n for t, n in zip(terms, body.column("n").to_pylist())}
+                blocks.setdefault((row["lang"], row["block"]), (row["width"], set()))[1].update(zip(body.column("col").to_pylist(), terms, body.column("lang_n").to_pylist()))
+        assert got == {k: n for k, n in want.items() if docs[k[0], k[2]] >= 10}
+        assert all(len(found) == width for width, found in blocks.values())
+        assert len({(lang, t) for (lang, _), (_, found) in blocks.items() for _, t, _ in found}) == sum(w for w, _ in blocks.values())
+        assert all(m == sum(n for (g, _, u), n in want.items() if (g, u) == (lang, t)) for (lang, _), (_, found) in blocks.items() for _, t, m in found)
+
+
 def test_shares_are_exact_beyond_doubles():
     counts = np.array([0, 1, 2**40 + 1, 3 * 10**15], np.int64)
     total = int(counts.sum())
