@@ -24,24 +24,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arcframe.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from arcframe.llm.catalog import vocabulary
-from arcframe.llm.common import read_table, text_batches, written
+from arcframe.llm.common import read_table, rested, text_batches, written
 
 
+@rested
 @text_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
+@rested
 @text_batches
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+@rested
 @text_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.drop_near_duplicates(docs)
 
 
+@rested
 @text_batches
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.sample_mixture(docs)
@@ -52,6 +56,7 @@ def tokens(docs: DataFrame) -> DataFrame:
     return written(bpe.coded(docs, vocabulary("byte_bpe_50k.json")), "tokens")
 
 
+@rested
 @text_batches
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(tokens(docs))

@@ -126,6 +126,19 @@ def test_every_labelled_row_is_learned_from(spark, monkeypatch, bound):
     assert grammar.stems.get("zorgblat", 0) > 2 and "plain" not in grammar.stems
 
 
+def test_every_stage_begins_with_a_collected_heap(spark, docs):
+    import corpus_pipeline
+
+    def full() -> int:
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs.where("doc_id < 3"), "/root/testdata/sf0.001")
+        assert full() > before, name
+
+
 def test_scores_of_odd_rows(spark, docs, nothing):
     labels = spark.createDataFrame([(i, i % 2, 1) for i in range(10)], "doc_id long, toxic int, quality int")
     none = labels.limit(0)
