@@ -19,7 +19,7 @@ Insult stems and the curve are learned from all labelled rows; everything else i
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -44,6 +44,8 @@ PREFIXES = (4, 5, 6, 7)
 WHOLE_CHARS = 40
 #: Stems that a task holds before it sends its counts on.
 HELD_STEMS = 1 << 17
+#: Stems frequent in toxic rows that go to all tasks; beyond it every stem of clean rows is counted.
+SENT_STEMS = 200_000
 
 # Word classes and phrases of the grammar.
 CLASSES = {
@@ -215,26 +217,50 @@ class Grammar:
         return Lexicon(self)
 
 
-class Lexicon(dict):
-    """word -> (symbol, weight), filled as words are met."""
+class Memo(dict):
+    """word -> made(word), kept for words of WHOLE_CHARS at most.
+
+    A full one takes no more, and starts anew after as many misses as say that the texts have changed.
+    """
 
     LIMIT = 1 << 16
 
+    def __init__(self):
+        super().__init__()
+        self.missed = 0
+
+    def __missing__(self, word: str):
+        found = self.made(word)
+        if len(self) >= self.LIMIT:
+            self.missed += 1
+            if self.missed >= 4 * self.LIMIT:
+                self.clear()
+                self.missed = 0
+        elif len(word) <= WHOLE_CHARS:
+            self[word] = found
+        return found
+
+
+PLAIN_WORD = ("other", 0.0)
+
+
+class Lexicon(Memo):
+    """word -> (symbol, weight), filled as words are met."""
+
     def __init__(self, grammar: Grammar):
         super().__init__()
         self.stems = grammar.stems
         self.fixed = {c: "end" for c in ".!?;\n"} | {w: name for name, words in CLASSES.items() for w in words.split()}
         self.parts = {w for p in PHRASES for w in p.split()}
+        self.heads = {w[: PREFIXES[0]] for w in (*self.stems, *self.fixed, *self.parts)}
 
-    def __missing__(self, word: str) -> tuple[str, float]:
-        if len(self) >= self.LIMIT:
-            self.clear()
+    def made(self, word: str) -> tuple[str, float]:
         low = word.lower()
+        if low[: PREFIXES[0]] not in self.heads:
+            return PLAIN_WORD
         weight = max([self.stems.get(low, 0.0), *(self.stems.get(low[:n] + "*", 0.0) for n in PREFIXES if len(low) >= n)])
         name = "insult" if weight > 0 else self.fixed.get(low, "other")
-        found = (f"{name}:{low}" if low in self.parts else name, weight)
-        self[word] = found
-        return found
+        return (f"{name}:{low}" if low in self.parts else name, weight)
 
 
 def evidence(texts: Iterable[str], lexicon: Lexicon, first: State) -> np.ndarray:
@@ -264,46 +290,76 @@ def _texts(column: pa.Array) -> Iterator[str]:
         yield from (t or "" for t in column.slice(lo, SLICE_ROWS).to_pylist())
 
 
-class Stems(dict):
-    """word of four letters or more -> its stems, filled as words are met."""
+class Stems(Memo):
+    """word of four letters or more -> its stems: all, or those that are wanted."""
 
-    LIMIT = 1 << 16
+    def __init__(self, wanted: frozenset[str] | None):
+        super().__init__()
+        self.wanted = wanted
+        self.heads = {stem[: PREFIXES[0]] for stem in wanted or ()}
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) >= self.LIMIT:
-            self.clear()
+    def made(self, word: str) -> tuple[str, ...]:
         low = word.lower()
+        if self.wanted is not None and low[: PREFIXES[0]] not in self.heads:
+            return ()
         whole = (low,) if len(low) <= WHOLE_CHARS else ()
-        self[word] = found = (*whole, *(low[:n] + "*" for n in PREFIXES if len(low) >= n))
-        return found
+        stems = (*whole, *(low[:n] + "*" for n in PREFIXES if len(low) >= n))
+        return stems if self.wanted is None else tuple(filter(self.wanted.__contains__, stems))
 
 
-def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label, half) -> documents that hold each stem by half and label, summed over parts of the task."""
+def _stem_counts(wanted: frozenset[str] | None = None):
+    """(text, label, half) -> documents that hold each (wanted) stem by half and label, summed over parts of the task; '' is in all."""
 
-    def counted() -> Iterator[pa.RecordBatch]:
-        rows = list(both.items())
-        both.clear()
-        for lo in range(0, len(rows), 20_000):
-            part = rows[lo : lo + 20_000]
-            counts = np.array([c for _, c in part], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part]), *(pa.array(counts[:, i]) for i in range(4))], names=["stem", *CELLS])
+    def counted(cells: list[Counter]) -> Iterator[pa.RecordBatch]:
+        stems = list(set().union(*cells))
+        for lo in range(0, len(stems), 20_000):
+            part = stems[lo : lo + 20_000]
+            counts = (pa.array([cell[s] for s in part], pa.int64()) for cell in cells)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *counts], names=["stem", *CELLS])
+        for cell in cells:
+            cell.clear()
 
-    both, known = defaultdict(lambda: [0, 0, 0, 0]), Stems()
-    for batch in lean(batches):
-        for text, label, half in zip(_texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            cell = 2 * half + label
-            both[""][cell] += 1
-            for stem in {s for w in set(TOKEN.findall(text)) if len(w) >= 4 for s in known[w]}:
-                both[stem][cell] += 1
-            if len(both) >= HELD_STEMS:
-                yield from counted()
-    yield from counted()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, known = [Counter() for _ in CELLS], Stems(wanted)
+        for batch in lean(batches):
+            for text, label, half in zip(_texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words = {w for w in set(TOKEN.findall(text)) if len(w) >= 4}
+                cells[2 * half + label].update({""}.union(*map(known.__getitem__, words)))
+                if sum(map(len, cells)) >= HELD_STEMS:
+                    yield from counted(cells)
+        yield from counted(cells)
+
+    return run
 
 
 CELLS = ("clean0", "toxic0", "clean1", "toxic1")
 
 
+def _counts(rows: DataFrame) -> DataFrame:
+    """CELLS of all stems that _picked() can take, and of '' (all rows).
+
+    Stems of toxic rows are counted first. Only those frequent enough there, in one half or in both, are
+    counted in the others: they are few, as each is in LEAST_SHARE of the toxic rows of a half.
+    """
+
+    def summed(counts: DataFrame) -> DataFrame:
+        return counts.groupBy("stem").agg(*(F.sum(c).alias(c) for c in CELLS))
+
+    def counted(label: int, wanted: frozenset[str] | None = None) -> DataFrame:
+        return rows.where(F.col("label") == label).select("text", "label", "half").mapInArrow(_stem_counts(wanted), form)
+
+    form = "stem string, " + ", ".join(f"{c} long" for c in CELLS)
+    toxic = written(summed(counted(1)).where(f"toxic0 + toxic1 >= {LEAST_DOCS} or stem = ''"), "toxic-stems")
+    total = toxic.where("stem = ''").first()
+    if total is None:
+        return toxic
+    least = [max(LEAST_DOCS, LEAST_SHARE * total[c]) for c in ("toxic0", "toxic1")]
+    often = toxic.where((F.col("toxic0") >= least[0]) | (F.col("toxic1") >= least[1]) | (F.col("toxic0") + F.col("toxic1") >= max(LEAST_DOCS, LEAST_SHARE * (total["toxic0"] + total["toxic1"]))))
+    often = often.where("stem != ''").select("stem").limit(SENT_STEMS + 1).toPandas()["stem"]
+    wanted = frozenset(often) if len(often) <= SENT_STEMS else None
+    return written(summed(toxic.unionByName(counted(0, wanted))).where(f"toxic0 + toxic1 >= {LEAST_DOCS} or stem = ''"), "toxicity-stems")
+
+
 def _picked(counts: DataFrame, halves: tuple[int, ...]) -> dict[str, float]:
     """Weights of the stems that stand out in these halves of the rows: STEM_ROWS at most."""
     toxic, clean = (sum(F.col(f"{kind}{h}") for h in halves) for kind in ("toxic", "clean"))
@@ -347,9 +403,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         .agg(F.max("label").alias("label"), F.min("half").alias("half")),
         "toxicity-rows",
     )
-    counts = rows.mapInArrow(_stem_counts, "stem string, " + ", ".join(f"{c} long" for c in CELLS))
-    counts = counts.groupBy("stem").agg(*(F.sum(c).alias(c) for c in CELLS))
-    counts = written(counts.where(f"toxic0 + toxic1 >= {LEAST_DOCS} or stem = ''"), "toxicity-stems")
+    counts = _counts(rows)
     grammar = _with_stems(_picked(counts, (0, 1)))
     pairs = []
     for learned, judged in ((0, 1), (1, 0)):

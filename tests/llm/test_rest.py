@@ -126,6 +126,21 @@ def test_every_labelled_row_is_learned_from(spark, monkeypatch, bound):
     assert grammar.stems.get("zorgblat", 0) > 2 and "plain" not in grammar.stems
 
 
+def test_clean_rows_count_only_stems_that_can_be_picked(spark, monkeypatch):
+    words = lambda i: f"{i} Common halved zorgblat{' solitary' * (i < 15)}" if i % 5 == 0 else f"{i} Common other zorgblat{'' if i % 7 else 's'}"
+    rows = spark.createDataFrame([(words(i), int(i % 5 == 0), i // 5 % 2) for i in range(200)], "text string, label int, half int").localCheckpoint()
+    sent, every = [], toxicity._stem_counts
+    monkeypatch.setattr(toxicity, "_stem_counts", lambda wanted=None: sent.append(wanted) or every(wanted))
+    found = {}
+    for bound in (200_000, 0):
+        monkeypatch.setattr(toxicity, "SENT_STEMS", bound)
+        found[bound] = {r["stem"]: tuple(r)[1:] for r in toxicity._counts(rows).collect()}
+    assert sent[1] and sent[3] is None and "zorgblat" in sent[1] and not {"soli*", "solitary", "othe*", "other"} & sent[1]
+    assert found[200_000] == {s: c for s, c in found[0].items() if s in found[200_000]}
+    assert {"", "zorgblat", "zorg*", "common", "halved"} <= set(found[200_000]) and found[0]["zorgblat"] == found[200_000]["zorgblat"]
+    assert found[200_000][""] == (80, 20, 80, 20)
+
+
 def test_every_stage_begins_with_a_collected_heap(spark, docs):
     import corpus_pipeline
 
@@ -139,6 +154,16 @@ def test_every_stage_begins_with_a_collected_heap(spark, docs):
         assert full() > before, name
 
 
+def test_rare_words_are_told_by_their_heads():
+    lexicon = toxicity.Grammar({"zorgbl*": 3.0, "kilometer": 2.0}).lexicon()
+    assert [lexicon[w] for w in ("Zorgblat", "zorgb", "KILOMETER", "kill", "STÄDTE", "of", "U")] == [
+        ("insult", 3.0), ("other", 0.0), ("insult", 2.0), ("threat", 0.0), ("other", 0.0), ("other:of", 0.0), ("target", 0.0),
+    ]
+    lexicon.LIMIT = 3
+    for _ in range(2):
+        assert all(lexicon[f"zorgblat{'x' * i}"] == ("insult", 3.0) for i in range(100))
+
+
 def test_scores_of_odd_rows(spark, docs, nothing):
     labels = spark.createDataFrame([(i, i % 2, 1) for i in range(10)], "doc_id long, toxic int, quality int")
     none = labels.limit(0)
