@@ -205,7 +205,8 @@ def save_side(rows: DataFrame, name: str, extension: str = ".att") -> int:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["files"])
 
-    dealt = rows.repartition("file").sortWithinPartitions("file", "line_no").select("file", "line")
+    # By a hash of the name: where rows stand by file already, Spark leaves out a shuffle by it, and may then part a file's rows again.
+    dealt = rows.repartition(F.xxhash64("file")).sortWithinPartitions("file", "line_no").select("file", "line")
     return dealt.mapInArrow(run, "files long").agg(F.sum("files")).first()[0] or 0
 
 

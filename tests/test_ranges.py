@@ -295,3 +295,20 @@ def test_extraction_by_budget(spark, tmp_path):
     for r in found:
         sizes.setdefault(r["task"], []).append(r["length"])
     assert all(sum(x) <= 500 or len(x) == 1 for x in sizes.values()) and len(sizes) > 5
+
+
+def test_a_side_file_has_all_lines_whatever_dealt_its_rows(spark, tmp_path):
+    (tmp_path / "one.txt").write_bytes(b"")
+    file = f"file://{tmp_path}/one.txt"
+    rows = spark.range(0, 2000, 1, 4).select(F.concat(F.lit(file), F.substring(F.col("id").cast("string"), 1, 0)).alias("file"), F.col("id").alias("line_no"), F.concat(F.lit("line "), "id").alias("line"))
+    rows = rows.join(rows.groupBy("file").agg(F.min("line_no").alias("first")), "file")
+    # A join by file that Spark plans as a shuffle, and turns into a broadcast of its small side once it runs.
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        assert attachments.save_side(rows, "note") == 1
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert gzip.decompress((tmp_path / "one.txt.note.att.gz").read_bytes()).decode().split("\n")[:-1] == [f"line {i}" for i in range(2000)]
