@@ -263,3 +263,11 @@ def test_style_targets_follow_the_grammar():
     assert found("/* url(no.png) */ a{content:'url(no2.png)'} b{x:url(\\79 es.png)}") == ["http://a/b/yes.png"]
     assert found("@import url(m.css) screen; @import ('n.css') ; @import o.css; @import 'p.css' print;") == ["http://a/b/m.css", "http://a/b/n.css", "http://a/b/o.css"]
     assert found("url()") == [] and found("url(open") == ["http://a/b/open"]
+
+
+def test_references_end_in_a_semicolon(spark):
+    assert html.unescape("a &amp; b &amp &ampc; &copy=1 &notit; &#65; &#x42; &#67 &amp;lt;") == "a & b &amp &ampc; &copy=1 &notit; A B &#67 &lt;"
+    page = "<html><head><title>cut &amp; off &amp</title></head><body>one &lt;two&gt; three&amp</body></html>"
+    assert html.body_text(page) == "one <two> three&amp"
+    found = html.selected(spark.createDataFrame([(1, page)], "page_id int, html string"), ("title",))
+    assert [r["text"] for r in found.collect()] == ["cut & off &amp"]
