@@ -140,7 +140,7 @@ def index_candidates(index: DataFrame, key: str, part: str, prefixes: DataFrame,
     w = Window.partitionBy("__p").orderBy("__k")
     spans = index.select(F.col(part).alias("__p"), F.col(key).alias("__k")).withColumn("__next", F.lead("__k").over(w))
     known = prefixes.select(F.col(prefix).alias("__x")).where("__x is not null").distinct()
-    within = _all_prefixes(spans.select("__p", "__k").distinct(), "__k", known, "__x")
+    within = _all_prefixes(spans.select("__p", "__k"), "__k", known, "__x")
     ends = spans.groupBy("__p", F.coalesce("__next", F.lit("\U0010ffff" * 4)).alias("__at")).agg(F.min("__k").alias("__begin"))
     parts = spans.agg(F.collect_set("__p").alias("__parts"))
     asked = known.join(F.broadcast(parts)).select(F.explode("__parts").alias("__p"), F.col("__x").alias("__at"))

@@ -312,3 +312,9 @@ def test_a_side_file_has_all_lines_whatever_dealt_its_rows(spark, tmp_path):
         for name in settings:
             spark.conf.unset(name)
     assert gzip.decompress((tmp_path / "one.txt.note.att.gz").read_bytes()).decode().split("\n")[:-1] == [f"line {i}" for i in range(2000)]
+
+
+def test_equal_index_lines_are_candidates_each(spark):
+    index = spark.createDataFrame([(0, "a"), (0, "ba"), (0, "ba"), (0, "c"), (1, "a"), (1, "a")], "part long, key string")
+    found = joins.index_candidates(index, "key", "part", spark.createDataFrame([("b",)], "prefix string"), "prefix")
+    assert sorted(map(tuple, found.collect())) == [(0, "a", "b"), (0, "ba", "b"), (0, "ba", "b"), (1, "a", "b")]
