@@ -4,9 +4,11 @@
     spark.read.format("text_ranges").option("splitBytes", 64 << 20).load("/data/*.txt")
 
 Rows: file, offset, within, line, range. Ranges are numbered over all files in the order of
-their names, and a task reads one range in order. A line belongs to the range in which it
-begins; one that begins where a range ends belongs to the range that ends there, so a range
-behind the first passes over what stands before its first line feed, and each line occurs once.
+their names, and a task reads its ranges in order: one, or with option tasks (load sets it)
+neighbours of TASK_BYTES at most together, of which a file's are read in one go. A line belongs
+to the range in which it begins; one that begins where a range ends belongs to the range that
+ends there, so a range behind the first passes over what stands before its first line feed, and
+each line occurs once.
 
 In gzip files a range holds the members that begin in it: offset is the place of the member
 in which a line begins and within its place in the member's content (0 in plain files). A
@@ -21,7 +23,9 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -29,8 +33,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from arcframe.sources.ranges import Ranged, list_files, open_system
 
 SCHEMA = "file string, offset long, within long, line string, range long"
-KINDS = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-SPLIT_BYTES, SAMPLE_BYTES, BATCH_BYTES, PIECE = 64 << 20, 1 << 20, 4 << 20, 1 << 20
+SPLIT_BYTES, SAMPLE_BYTES, TASK_BYTES, PIECE = 64 << 20, 1 << 20, 16 << 20, 1 << 20
+BATCH_ROWS = 1 << 16
 GZIP = b"\x1f\x8b\x08"
 
 
@@ -99,53 +103,101 @@ def _first_member(f: Ranged, begin: int, end: int) -> int:
     return at
 
 
-def lines(f: Ranged, begin: int, end: int) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, within, line) of the lines that belong to [begin, end) of a file."""
+class Block(NamedTuple):
+    """Whole lines that follow each other: the places where they begin, and their bytes, a line feed behind each.
+
+    owner: the last place before a line that is part of its range: where a line begins with
+    a range (or a range's first member), it belongs to the range before.
+    """
+
+    offset: np.ndarray
+    within: np.ndarray
+    owner: np.ndarray
+    body: bytes
+
+
+def blocks(f: Ranged, begin: int, end: int) -> Iterator[Block]:
+    """The lines that belong to [begin, end) of a file."""
     packed = f.read(0, 3) == GZIP
     if packed:
         begin_at = 0 if begin == 0 else _first_member(f, begin, min(end, f.size))
         pieces = _members(f, begin_at) if begin_at >= 0 else iter(())
     else:
         pieces = _plain(f, begin)
-    skipping, held, start, late = begin > 0, [], None, None
+    # start: (offset, within, owner) of the line that goes on; late: the first member behind the range.
+    skipping, held, start, late, before = begin > 0, [], None, None, begin
     for offset, within, piece in pieces:
-        at = 0
         if packed and late is None and offset >= end:
             late = offset
         if skipping and (late is not None if packed else offset >= end):
             return
-        while at < len(piece):
-            if start is None:
-                start = (offset, within + at) if packed else (offset + at, 0)
-                beyond = start[0] > end if not packed else late is not None and start != (late, 0)
-                if beyond and not skipping:
-                    return
-            stop = piece.find(b"\n", at)
-            if stop < 0:
-                if not skipping:
-                    held.append(piece[at:])
-                break
+        if start is None:
+            if packed:
+                start = (offset, within, offset if within else before)
+            else:
+                start = (offset, 0, max(0, offset - 1))
+            if not skipping and (late is not None and start[:2] != (late, 0) if packed else offset > end):
+                return
+        before = offset
+        stops = np.flatnonzero(np.frombuffer(piece, np.uint8) == 10)[: 1 if late is not None else None]
+        if not len(stops):
             if not skipping:
-                yield *start, b"".join([*held, piece[at:stop]])
-            skipping, held, start, at = False, [], None, stop + 1
-            if packed and late is not None:
+                held.append(piece)
+            continue
+        begins = stops[:-1] + 1
+        if packed:
+            places = np.append(start[0], np.full(len(begins), offset)), np.append(start[1], within + begins), np.append(start[2], np.full(len(begins), offset))
+            n = len(stops)
+        else:
+            places = np.append(start[0], offset + begins), np.zeros(len(stops), np.int64), np.append(start[2], offset + begins - 1)
+            n = int(np.searchsorted(places[0], end, "right"))
+        first = 1 if skipping else 0
+        if n > first:
+            body = piece[stops[0] + 1 if skipping else 0 : stops[n - 1] + 1]
+            yield Block(*(x[first:n] for x in places), b"".join([*held, body]))
+        if n < len(stops) or late is not None:
+            return
+        at = int(stops[-1]) + 1
+        skipping, held, start = False, [piece[at:]], None
+        if at < len(piece):
+            start = (offset, within + at, offset) if packed else (offset + at, 0, offset + at - 1)
+            if not packed and start[0] > end:
                 return
     if start is not None and not skipping:
-        yield *start, b"".join(held)
+        yield Block(*(np.array([x], np.int64) for x in start), b"".join([*held, b"\n"]))
 
 
-def span_lines(f: Ranged, begin: int, end: int) -> Iterator[tuple[int, int, bytes]]:
-    """lines() of a plain file between two places where lines begin; of a gzip file all of it."""
+def lines(f: Ranged, begin: int, end: int) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, within, line) of the lines that belong to [begin, end) of a file."""
+    for block in blocks(f, begin, end):
+        yield from zip(block.offset.tolist(), block.within.tolist(), block.body.split(b"\n"))
+
+
+def span_blocks(f: Ranged, begin: int, end: int) -> Iterator[Block]:
+    """blocks() of a plain file between two places where lines begin; of a gzip file all of it."""
     if f.read(0, 3) == GZIP:
-        yield from lines(f, 0, f.size)
-        return
-    for offset, within, line in lines(f, 0, end - 1) if begin == 0 else lines(f, begin - 1, end - 1):
-        yield offset, within, line
+        return blocks(f, 0, f.size)
+    return blocks(f, max(0, begin - 1), end - 1)
+
+
+def _strings(body: bytes) -> pa.Array:
+    """The lines of a block without a carriage return at their end; bytes that are no UTF-8 are replaced."""
+    body = body.replace(b"\r\n", b"\n")
+    stops = np.flatnonzero(np.frombuffer(body, np.uint8) == 10)
+    ends = np.append(0, stops - np.arange(len(stops))).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(stops), pa.py_buffer(ends), pa.py_buffer(body.replace(b"\n", b"")))
+    try:
+        found.validate(full=True)
+        return found
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in body.split(b"\n")[:-1]], pa.string())
 
 
 class _Range(InputPartition):
-    def __init__(self, number: int, spans: list[tuple[str, int, int]], exact: bool = False):
-        self.number, self.spans, self.exact = number, spans, exact
+    """Spans (file, begin, end, number of the first range, bytes of a range); of a plan's bin all have its number."""
+
+    def __init__(self, spans: list[tuple[str, int, int, int, int]], exact: bool = False):
+        self.spans, self.exact = spans, exact
 
 
 class _Reader(DataSourceReader):
@@ -153,37 +205,45 @@ class _Reader(DataSourceReader):
         self.plan = options.get("plan")
         self.paths = json.loads(options["paths"]) if options.get("paths") else [options.get("path")]
         self.split = max(1, int(options.get("splitBytes") or options.get("splitbytes") or SPLIT_BYTES))
+        self.tasks = int(options.get("tasks") or 0)
 
     def partitions(self):
         if self.plan:
-            return [_Range(number, spans, True) for number, spans in sorted(read_plan(self.plan).items())] or [_Range(0, [])]
+            return [_Range([(*span, number, 0) for span in spans], True) for number, spans in sorted(read_plan(self.plan).items())] or [_Range([])]
         spans = []
         for path, size in (x for path in self.paths for x in list_files(path)):
-            step = self.split
+            step, factor = self.split, 1.0
             if path.endswith(".gz") and size > step:
-                step = max(1, int(step / max(1.0, gzip_factor(path))))
-            spans += [(path, at, at + step) for at in range(0, size, step)]
-        return [_Range(i, [span]) for i, span in enumerate(spans)] or [_Range(0, [])]
+                factor = max(1.0, gzip_factor(path))
+                step = max(1, int(step / factor))
+            spans += [(path, at, at + step, step, (min(size, at + step) - at) * factor) for at in range(0, size, step)]
+        most = min(TASK_BYTES, sum(x[-1] for x in spans) / self.tasks) if self.tasks else 0
+        tasks, filled = [], 0
+        for number, (path, begin, end, step, cost) in enumerate(spans):
+            if not tasks or filled + cost > most:
+                tasks.append([])
+                filled = 0
+            own = tasks[-1]
+            if own and own[-1][0] == path:
+                own[-1] = (path, own[-1][1], end, *own[-1][3:])
+            else:
+                own.append((path, begin, end, number, step))
+            filled += cost
+        return [_Range(x) for x in tasks] or [_Range([])]
 
     def read(self, partition):
-        rows, size = [], 0
-        for path, begin, end in partition.spans:
+        for path, begin, end, number, step in partition.spans:
             f = Ranged(path)
             try:
-                for offset, within, line in (span_lines if partition.exact else lines)(f, begin, end):
-                    rows.append((path, offset, within, line.removesuffix(b"\r").decode("utf-8", "replace"), partition.number))
-                    size += len(line)
-                    if size >= BATCH_BYTES or len(rows) >= 1 << 16:
-                        yield _batch(rows)
-                        rows, size = [], 0
+                for block in (span_blocks if partition.exact else blocks)(f, begin, end):
+                    n = len(block.offset)
+                    ranges = number + (block.owner - begin) // step if step else np.full(n, number)
+                    columns = [pa.repeat(path, n), pa.array(block.offset), pa.array(block.within), _strings(block.body), pa.array(ranges)]
+                    batch = pa.RecordBatch.from_arrays(columns, names=["file", "offset", "within", "line", "range"])
+                    for at in range(0, n, BATCH_ROWS):
+                        yield batch.slice(at, BATCH_ROWS)
             finally:
                 f.close()
-        if rows:
-            yield _batch(rows)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=["file", "offset", "within", "line", "range"])
 
 
 def read_plan(folder: str) -> dict[int, list[tuple[str, int, int]]]:
@@ -215,7 +275,7 @@ def register(spark: SparkSession) -> None:
 
 
 def load(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(file, offset, within, line, range) of the lines of text files, a task per range."""
+    """(file, offset, within, line, range) of the lines of text files; small neighbouring ranges share a task, while every core has four."""
     register(spark)
-    reader = spark.read.format("text_ranges").option("splitBytes", str(split_bytes))
+    reader = spark.read.format("text_ranges").option("splitBytes", str(split_bytes)).option("tasks", str(4 * spark.sparkContext.defaultParallelism))
     return reader.load(path) if isinstance(path, str) else reader.option("paths", json.dumps(path)).load()

@@ -318,3 +318,30 @@ def test_equal_index_lines_are_candidates_each(spark):
     index = spark.createDataFrame([(0, "a"), (0, "ba"), (0, "ba"), (0, "c"), (1, "a"), (1, "a")], "part long, key string")
     found = joins.index_candidates(index, "key", "part", spark.createDataFrame([("b",)], "prefix string"), "prefix")
     assert sorted(map(tuple, found.collect())) == [(0, "a", "b"), (0, "ba", "b"), (0, "ba", "b"), (1, "a", "b")]
+
+
+@pytest.mark.parametrize("packed", [None, 1, 5, 64])
+def test_many_small_ranges_share_a_task_and_keep_their_numbers(tmp_path, monkeypatch, packed):
+    bodies = texts(7)
+    written(tmp_path, bodies, packed)
+    want, number = [], 0
+    for path, size in ranges.list_files(str(tmp_path)):
+        for begin in range(0, size, 7):
+            f = ranges.Ranged(path)
+            want += [(path, offset, within, line.removesuffix(b"\r").decode(), number) for offset, within, line in text_ranges.lines(f, begin, begin + 7)]
+            f.close()
+            number += 1
+    read = text_ranges.TextRanges({"path": str(tmp_path), "splitBytes": "7", "tasks": "9"}).reader(None)
+    monkeypatch.setattr(text_ranges, "gzip_factor", lambda path: 1.0)  # ranges of 7 packed bytes
+    tasks = read.partitions()
+    found = [tuple(x.values()) for task in tasks for batch in read.read(task) for x in batch.to_pylist()]
+    assert found == want and len({x[4] for x in found}) > 8
+    assert 9 <= len(tasks) <= 30 < number
+
+
+def test_groups_over_tasks_of_many_ranges(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"".join(b"%d %d\n" % (i // 1000, i) for i in range(4000)))
+    rows = text_ranges.load(spark, str(tmp_path), 20)
+    assert rows.select("range").distinct().count() > 1300 and rows.rdd.getNumPartitions() <= 2 * 4 * spark.sparkContext.defaultParallelism
+    found = runs.whole_groups(rows, F.split("line", " ")[0]).collect()
+    assert sorted((r["key"], r["rows"], r["first"]["offset"]) for r in found) == [("0", 1000, 0), ("1", 1000, 5890), ("2", 1000, 12890), ("3", 1000, 19890)]
