@@ -34,7 +34,8 @@ from arcframe.sources.ranges import Ranged, list_files, open_system
 
 SCHEMA = "file string, offset long, within long, line string, range long"
 SPLIT_BYTES, SAMPLE_BYTES, TASK_BYTES, PIECE = 64 << 20, 1 << 20, 16 << 20, 1 << 20
-BATCH_ROWS = 1 << 16
+#: Rows of a batch, and bytes behind a range that are looked at for its last line's end at once.
+BATCH_ROWS, BEHIND = 1 << 16, 4 << 10
 GZIP = b"\x1f\x8b\x08"
 
 
@@ -78,9 +79,9 @@ def _is_member(f: Ranged, at: int) -> bool:
         return False
 
 
-def _plain(f: Ranged, at: int) -> Iterator[tuple[int, int, bytes]]:
+def _plain(f: Ranged, at: int, end: int) -> Iterator[tuple[int, int, bytes]]:
     while at < f.size:
-        body = f.some(at)
+        body = f.some(at)[: max(0, end - at) + BEHIND]
         yield at, 0, body
         at += len(body)
 
@@ -116,14 +117,14 @@ class Block(NamedTuple):
     body: bytes
 
 
-def blocks(f: Ranged, begin: int, end: int) -> Iterator[Block]:
-    """The lines that belong to [begin, end) of a file."""
-    packed = f.read(0, 3) == GZIP
+def blocks(f: Ranged, begin: int, end: int, packed: bool | None = None) -> Iterator[Block]:
+    """The lines that belong to [begin, end) of a file; packed: whether it is a gzip file, where that is known."""
+    packed = is_packed(f) if packed is None else packed
     if packed:
         begin_at = 0 if begin == 0 else _first_member(f, begin, min(end, f.size))
         pieces = _members(f, begin_at) if begin_at >= 0 else iter(())
     else:
-        pieces = _plain(f, begin)
+        pieces = _plain(f, begin, end)
     # start: (offset, within, owner) of the line that goes on; late: the first member behind the range.
     skipping, held, start, late, before = begin > 0, [], None, None, begin
     for offset, within, piece in pieces:
@@ -173,11 +174,13 @@ def lines(f: Ranged, begin: int, end: int) -> Iterator[tuple[int, int, bytes]]:
         yield from zip(block.offset.tolist(), block.within.tolist(), block.body.split(b"\n"))
 
 
-def span_blocks(f: Ranged, begin: int, end: int) -> Iterator[Block]:
+def is_packed(f: Ranged) -> bool:
+    return f.read(0, 3) == GZIP
+
+
+def span_blocks(f: Ranged, begin: int, end: int, packed: bool) -> Iterator[Block]:
     """blocks() of a plain file between two places where lines begin; of a gzip file all of it."""
-    if f.read(0, 3) == GZIP:
-        return blocks(f, 0, f.size)
-    return blocks(f, max(0, begin - 1), end - 1)
+    return blocks(f, 0, f.size, True) if packed else blocks(f, max(0, begin - 1), end - 1, False)
 
 
 def _strings(body: bytes) -> pa.Array:
@@ -209,7 +212,8 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         if self.plan:
-            return [_Range([(*span, number, 0) for span in spans], True) for number, spans in sorted(read_plan(self.plan).items())] or [_Range([])]
+            bins = [[(*span, number, 0) for span in spans] for number, spans in sorted(read_plan(self.plan).items())]
+            return [_Range(x, True) for x in _shared(bins, [sum(end - begin for _, begin, end, *_ in x) for x in bins], self.tasks)] or [_Range([])]
         spans = []
         for path, size in (x for path in self.paths for x in list_files(path)):
             step, factor = self.split, 1.0
@@ -217,35 +221,51 @@ class _Reader(DataSourceReader):
                 factor = max(1.0, gzip_factor(path))
                 step = max(1, int(step / factor))
             spans += [(path, at, at + step, step, (min(size, at + step) - at) * factor) for at in range(0, size, step)]
-        most = min(TASK_BYTES, sum(x[-1] for x in spans) / self.tasks) if self.tasks else 0
-        tasks, filled = [], 0
-        for number, (path, begin, end, step, cost) in enumerate(spans):
-            if not tasks or filled + cost > most:
-                tasks.append([])
-                filled = 0
-            own = tasks[-1]
-            if own and own[-1][0] == path:
-                own[-1] = (path, own[-1][1], end, *own[-1][3:])
-            else:
-                own.append((path, begin, end, number, step))
-            filled += cost
-        return [_Range(x) for x in tasks] or [_Range([])]
+        found = []
+        for task in _shared([[(i, *x)] for i, x in enumerate(spans)], [x[-1] for x in spans], self.tasks):
+            own = []
+            for number, path, begin, end, step, _ in task:
+                if own and own[-1][0] == path:
+                    own[-1] = (path, own[-1][1], end, *own[-1][3:])
+                else:
+                    own.append((path, begin, end, number, step))
+            found.append(_Range(own))
+        return found or [_Range([])]
 
     def read(self, partition):
-        for path, begin, end, number, step in partition.spans:
-            f = Ranged(path)
-            try:
-                for block in (span_blocks if partition.exact else blocks)(f, begin, end):
+        f = at = None
+        try:
+            for path, begin, end, number, step in partition.spans:
+                if path != at:
+                    if f is not None:
+                        f.close()
+                    f, at = Ranged(path), path
+                    packed = is_packed(f)
+                for block in (span_blocks if partition.exact else blocks)(f, begin, end, packed):
                     n = len(block.offset)
                     ranges = number + (block.owner - begin) // step if step else np.full(n, number)
                     columns = [pa.repeat(path, n), pa.array(block.offset), pa.array(block.within), _strings(block.body), pa.array(ranges)]
                     batch = pa.RecordBatch.from_arrays(columns, names=["file", "offset", "within", "line", "range"])
-                    for at in range(0, n, BATCH_ROWS):
-                        yield batch.slice(at, BATCH_ROWS)
-            finally:
+                    for row in range(0, n, BATCH_ROWS):
+                        yield batch.slice(row, BATCH_ROWS)
+        finally:
+            if f is not None:
                 f.close()
 
 
+def _shared(units: list[list], costs: list[float], tasks: int) -> list[list]:
+    """Neighbouring units as one, of TASK_BYTES and of a share of all costs in `tasks` at most; with no tasks each by itself."""
+    most = min(TASK_BYTES, sum(costs) / tasks) if tasks else 0
+    out, filled = [], 0
+    for unit, cost in zip(units, costs):
+        if not out or filled + cost > most:
+            out.append([])
+            filled = 0
+        out[-1].extend(unit)
+        filled += cost
+    return out
+
+
 def read_plan(folder: str) -> dict[int, list[tuple[str, int, int]]]:
     """bin -> its (file, begin, end), in order, of a plan's Parquet folder."""
     from pyarrow import dataset

@@ -345,3 +345,19 @@ def test_groups_over_tasks_of_many_ranges(spark, tmp_path):
     assert rows.select("range").distinct().count() > 1300 and rows.rdd.getNumPartitions() <= 2 * 4 * spark.sparkContext.defaultParallelism
     found = runs.whole_groups(rows, F.split("line", " ")[0]).collect()
     assert sorted((r["key"], r["rows"], r["first"]["offset"]) for r in found) == [("0", 1000, 0), ("1", 1000, 5890), ("2", 1000, 12890), ("3", 1000, 19890)]
+
+
+@pytest.mark.parametrize("part_bytes", [256, 4 << 20])
+def test_small_bins_share_tasks_and_have_partitions(spark, tmp_path, monkeypatch, part_bytes):
+    monkeypatch.setattr(budgeted, "PART_BYTES", part_bytes)  # four ranges a part, or all of them
+    rng = random.Random(8)
+    bodies = ["".join("z" * rng.randint(0, 30) + f"{i}\n" for i in range(n)).encode() for n in (300, 0, 1, 200)]
+    written(tmp_path, bodies)
+    cost = F.char_length("line")
+    every = [x.decode() for b in bodies for x in b.split(b"\n")[:-1]]
+    want = list(zip(budgets.next_fit([len(x) for x in every], 50), every))
+    found = budgeted.load(spark, str(tmp_path), 50, cost, 64).select("range", "line", F.spark_partition_id().alias("partition")).collect()
+    assert [(r["range"], r["line"]) for r in found] == want and all(r["partition"] == r["range"] for r in found)
+    plan = budgeted.write_plan(spark, str(tmp_path), 50, cost, 64)
+    tasks = text_ranges.TextRanges({"plan": plan, "tasks": "4"}).reader(None).partitions()
+    assert 4 <= len(tasks) <= 9 and want[-1][0] > 100
